@@ -1,19 +1,753 @@
-"""Registered queries of the library's own operators, and the SQL that gives the same rows."""
+"""Registered queries of the library's own operators, and the SQL that gives the same rows.
+
+Every query reads the given tables. Where the tables lack what an operator looks for (images, fences, phone numbers),
+the query adds a mark made of the row's own values to every row, and the SQL does the same.
+"""
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from corpusmill.functions import text as T
+from corpusmill.functions.ordering import with_positions
+from corpusmill.functions.storage import materialize, new_path
+from corpusmill.operators import classify, cleaning, components, dedup, extract, intake, pii, structure, validation
+from corpusmill.plans import flows
+from corpusmill.sources import sinks
+from corpusmill.streaming import streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+REQUEST, TASK = "request-1", flows.TASK_ID
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("uid"), "text")
+
+
+DOC_PATH = "concat(source, '/', doc_id, '.txt')"
+SQL_PATH = "source || '/' || doc_id || '.txt'"
+SPACED = "replace(text, '\\n', '\\n\\n')"
+SQL_STRIP = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))"
+SQL_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return flows.surviving_by_language(documents(spark, sf_dir))
+
+
+_queries["surviving_by_language"] = flagship
+_sql["surviving_by_language"] = f"""
+SELECT lang, count(*) AS total, count(*) FILTER (WHERE doc_id = rep) AS kept
+FROM (SELECT lang, doc_id, min(doc_id) OVER (PARTITION BY {SQL_STRIP}) AS rep FROM documents) GROUP BY lang"""
+
+# --- sources and validation -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {SQL_PATH} AS path, doc_id, row_number() OVER (ORDER BY {SQL_PATH}) - 1 AS uid FROM documents")
+def a2_assign_uids(spark, sf_dir):
+    return with_positions(documents(spark, sf_dir).select(F.expr(DOC_PATH).alias("path"), "doc_id"), ["path"])
+
+
+@query("SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents")
+def a4_normalize_text(spark, sf_dir):
+    marked = F.concat(F.lit(T.BOM), F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))).cast("binary")
+    return documents(spark, sf_dir).select("doc_id", T.normalize_text(marked).alias("text"))
+
+
+@query("SELECT doc_id, text, 'utf-8' AS encoding, CAST(NULL AS VARCHAR) AS error FROM documents")
+def a5_decode_with_fallback(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", extract.decode_with_fallback(F.col("text").cast("binary")).alias("d")).select("doc_id", "d.*")
+
+
+@query("""
+SELECT 'DOCUMENT_TOO_LARGE' AS code, doc_id AS uid FROM documents WHERE strlen(text) > 20000
+UNION ALL SELECT 'BATCH_TOO_LARGE', min(doc_id) FROM (SELECT doc_id, sum(strlen(text)) OVER (ORDER BY doc_id) AS run FROM documents) WHERE run > 400000 HAVING count(*) > 0
+UNION ALL SELECT 'TOO_MANY_DOCUMENTS', NULL FROM documents HAVING count(*) > 500""")
+def a6_enforce_batch_budget(spark, sf_dir):
+    sized = documents(spark, sf_dir).select(F.col("doc_id").alias("uid"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return validation.enforce_batch_budget(sized, validation.BatchLimits(documents=500, document_bytes=20_000, total_bytes=400_000))
+
+
+@query("""
+SELECT doc_id + 1 AS line_no, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 10 IN (1, 2) THEN NULL ELSE doc_id END AS uid,
+  CASE WHEN doc_id % 10 = 0 THEN 'INVALID_JSON' WHEN doc_id % 10 = 1 THEN 'UNKNOWN_FIELDS' WHEN doc_id % 10 = 2 THEN 'INVALID_UID' END AS error_code FROM documents""")
+def a7_validate_samples(spark, sf_dir):
+    good = F.to_json(F.struct(F.col("doc_id").alias("uid"), "text"))
+    kind = F.col("doc_id") % 10
+    line = F.when(kind == 0, F.concat(F.lit("{"), good)).when(kind == 1, F.to_json(F.struct(F.col("doc_id").alias("uid"), "text", "lang"))).when(kind == 2, F.to_json(F.struct(F.lit("x").alias("uid"), "text"))).otherwise(good)
+    rows, bad = validation.validate_samples(documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("line_no"), line.alias("value")))
+    ok = rows.select((F.col("uid") + 1).alias("line_no"), "uid", F.lit(None).cast("string").alias("error_code"))
+    return ok.unionByName(bad.select("line_no", F.lit(None).cast("long").alias("uid"), "error_code"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'UNSUPPORTED_INPUT_FORMAT' WHEN strlen(text) > 9000 THEN 'INPUT_TOO_LARGE' WHEN doc_id % 5 = 0 THEN 'INVALID_CONTROL_CHARACTER' WHEN doc_id % 3 = 0 THEN 'INVALID_MARKDOWN' END AS error_code FROM documents""")
+def a8_validate_markdown_input(spark, sf_dir):
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".pdf").otherwise(".MD"))
+    body = F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("\x07")).otherwise(""), F.when(F.col("doc_id") % 3 == 0, "~~~\n").otherwise(""), F.col("text"))
+    code = F.when(F.octet_length("text") > 9000, validation.validate_markdown_input(name, F.col("text").cast("binary"), 9000)).otherwise(validation.validate_markdown_input(name, body.cast("binary"), 9010))
+    return documents(spark, sf_dir).select("doc_id", code.alias("error_code"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {SQL_STRIP} = '' THEN 'INVALID_TEXT' WHEN length(text) > 3000 OR strlen(text) > 3100 THEN 'TEXT_TOO_LARGE' END AS error_code FROM documents")
+def a9_validate_classifier_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", validation.validate_classifier_text(F.col("text"), 3000, 3100).alias("error_code"))
+
+
+@query(f"SELECT source, count(*) AS documents, sha256(string_agg({SQL_PATH}, chr(10) ORDER BY {SQL_PATH})) AS fingerprint FROM documents GROUP BY source")
+def a11_batch_fingerprint(spark, sf_dir):
+    return validation.batch_fingerprint(documents(spark, sf_dir).select("source", F.expr(DOC_PATH).alias("path")), ["source"]).drop("set_digest")
+
+
+# --- extraction ---------------------------------------------------------------------------------------------------
+
+FORMATS = "pdf image pptx xls xlsx html epub json xml yaml csv tsv markdown text unknown_text docx doc ppt".split()
+SQL_FORMATS = "[" + ", ".join(f"'{f}'" for f in FORMATS) + "]"
+
+
+@query(r"""
+SELECT page_id, lower(regexp_extract(list_extract(string_split(url, '/'), -1), '[^.]\.([^.]+)$', 1)) AS extension,
+  CASE WHEN regexp_matches(lower(ltrim(html)), '^(<!doctype html|<html|<head|<body)') THEN 'html' ELSE 'unknown_text' END AS format, CAST(NULL AS VARCHAR) AS error FROM pages""")
+def b1_detect_format(spark, sf_dir):
+    return extract.detect_format(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "url", "html").select("page_id", "extension", "format", "error")
+
+
+@F.pandas_udf(BinaryType())
+def _package(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """A small word-processor package around each text: the archive operators' input."""
+
+    def one(i: int, body: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            body = body.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+            z.writestr("word/document.xml", f"<w:document><w:t>{body}</w:t>{'<w:drawing/>' * (i % 4)}{'<wp:anchor/>' * (i % 3)}</w:document>")
+            for k in range(i % 5):
+                z.writestr(f"word/media/{k}.png", "x" * (k + 1))
+        return out.getvalue()
+
+    return pd.Series([one(i, t or "") for i, t in zip(ids, texts, strict=True)])
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.archive_entries(documents(spark, sf_dir).select("doc_id", _package("doc_id", "text").alias("content")))
+
+
+@query("SELECT doc_id, 'docx' AS format, CAST(NULL AS VARCHAR) AS error FROM documents")
+def b2_detect_zip_format(spark, sf_dir):
+    return extract.detect_zip_format(packages(spark, sf_dir))
+
+
+@query("""
+SELECT doc_id, '[Content_Types].xml' AS name, CAST(8 AS BIGINT) AS size FROM documents
+UNION ALL SELECT doc_id, 'word/document.xml', strlen('<w:document><w:t></w:t></w:document>') + strlen(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + (doc_id % 4) * 12 + (doc_id % 3) * 12 FROM documents
+UNION ALL SELECT doc_id, 'word/media/' || k || '.png', k + 1 FROM (SELECT doc_id, unnest(range(doc_id % 5)) AS k FROM documents)""")
+def b3_archive_entries(spark, sf_dir):
+    return packages(spark, sf_dir).select("doc_id", "name", "size")
+
+
+@query("""
+WITH c AS (SELECT doc_id, length(text) AS chars, doc_id % 5 AS images, doc_id % 4 AS drawings, doc_id % 3 AS anchors FROM documents)
+SELECT doc_id, CAST(chars AS INT) AS text_character_count, CAST(images AS INT) AS image_count, images > 0 AND chars < 200 * images AS image_dominant,
+  CASE WHEN images > 0 THEN least(1.0::DOUBLE, images * 200 / greatest(chars, 1)::DOUBLE) ELSE 0.0::DOUBLE END AS scanned_page_likelihood,
+  CAST(CASE WHEN images > 0 AND chars < 200 * images THEN 2 ELSE 0 END + drawings + 2 * anchors AS INT) AS visual_complexity_score,
+  concat_ws(',', CASE WHEN images > 0 AND chars < 200 * images THEN 'image_dominant_document' END, CASE WHEN drawings > 0 THEN 'drawings=' || drawings END, CASE WHEN anchors > 0 THEN 'anchored_objects=' || anchors END) AS reasons FROM c""")
+def b4_docx_features(spark, sf_dir):
+    found = extract.docx_features(extract.docx_counts(packages(spark, sf_dir)))
+    return found.select("doc_id", "text_character_count", "image_count", "image_dominant", "scanned_page_likelihood", "visual_complexity_score", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, {SQL_FORMATS}[doc_id % 18 + 1] AS format, n_chars % 9 AS score FROM documents),
+p AS (SELECT *, CASE WHEN format IN ('pdf', 'image', 'pptx') THEN 'mineru' WHEN format IN ('xls', 'xlsx', 'html', 'epub') THEN 'docling'
+  WHEN format IN ('doc', 'ppt') THEN NULL WHEN format = 'docx' THEN CASE WHEN score >= 5 THEN 'mineru' ELSE 'docling' END ELSE 'plain_text' END AS processor FROM f)
+SELECT doc_id, format, processor, CASE WHEN processor IS NULL THEN NULL WHEN format = 'docx' THEN CASE WHEN score >= 5 THEN 'visual_complexity_score=' || score ELSE 'ordinary_docx' END ELSE 'fixed_route=' || format END AS reasons,
+  CASE WHEN processor IS NULL THEN 'UNSUPPORTED_ROUTE' END AS route_error FROM p""")
+def b5_route_documents(spark, sf_dir):
+    fmt = F.element_at(F.array(*map(F.lit, FORMATS)), (F.col("doc_id") % 18 + 1).cast("int"))
+    docs = documents(spark, sf_dir).select("doc_id", fmt.alias("format"), (F.col("n_chars") % 9).alias("visual_complexity_score"))
+    return extract.route_documents(docs, 5, tuple(FORMATS)).select("doc_id", "format", "processor", F.array_join("route_reasons", ",").alias("reasons"), "route_error")
+
+
+@query("""
+SELECT conv_id, string_agg(CASE WHEN turn = 0 THEN '# ' || t ELSE t END, chr(10) || chr(10) ORDER BY turn, t) FILTER (WHERE turn % 5 <> 4 AND t <> '') || chr(10) AS markdown
+FROM (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations) GROUP BY conv_id""")
+def b6_content_list_to_markdown(spark, sf_dir):
+    kind = F.when(F.col("turn") % 5 == 4, "image").when(F.col("turn") == 0, "title").otherwise("text")
+    items = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", kind.alias("type"), "text"))).alias("i"))
+    return items.select("conv_id", extract.content_list_to_markdown(F.to_json("i")).alias("markdown"))
+
+
+IMAGE = "concat('![alt ', doc_id, '](img/', doc_id, '.png) ', text)"
+
+
+@query("SELECT doc_id, 'alt ' || doc_id || ' ' || text AS text FROM documents")
+def b7_strip_images(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", extract.strip_images(F.expr(IMAGE)).alias("text"))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS forbidden FROM documents")
+def b8_has_forbidden_image_content(spark, sf_dir):
+    body = F.when(F.col("doc_id") % 2 == 0, F.expr(IMAGE)).otherwise(F.concat(F.lit("`![a](b)` "), F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", extract.has_forbidden_image_content(body).alias("forbidden"))
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN 'EMPTY_OUTPUT' WHEN strlen(text) > 4000 THEN 'OUTPUT_TOO_LARGE' END AS error_code FROM documents")
+def b9_check_extraction_output(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", extract.check_extraction_output(F.col("text"), 4000).alias("error_code"))
+
+
+# --- structure ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT doc_id, CAST(line AS INT) AS block_ix, 'paragraph' AS type, CAST(2 * line AS INT) AS line_start,
+  CAST(coalesce(sum(length(content) + 2) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start, CAST(length(content) AS INT) AS size FROM ({SQL_LINES})""")
+def c1_segment_blocks(spark, sf_dir):
+    blocks = structure.segment_blocks(documents(spark, sf_dir).select("doc_id", F.expr(SPACED).alias("text")))
+    return blocks.select("doc_id", "block_ix", "type", "line_start", "start", (F.col("end") - F.col("start")).alias("size"))
+
+
+@query(f"""
+SELECT doc_id, CAST(line AS INT) AS line, CAST(coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM ({SQL_LINES})""")
+def c2_line_offsets(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(structure.line_offsets(F.col("text"))).alias("line", "start"))
+
+
+@query("""
+WITH n AS (SELECT doc_id, length(CAST(doc_id AS VARCHAR)) AS d FROM documents)
+SELECT doc_id, 'code' AS kind, 0 AS start, CAST(7 + d AS INT) AS "end" FROM n
+UNION ALL SELECT doc_id, 'autolink', CAST(12 + d AS INT), CAST(28 + 2 * d AS INT) FROM n
+UNION ALL SELECT doc_id, 'destination', CAST(37 + 2 * d AS INT), CAST(39 + 3 * d AS INT) FROM n""")
+def c3_protected_spans(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    marked = F.concat(F.lit("`code "), n, F.lit("` see <https://e.org/"), n, F.lit("> and [x](u/"), n, F.lit(") "), F.translate("text", "<>`[]()", ""))
+    return documents(spark, sf_dir).select("doc_id", F.explode(structure.protected_spans(marked)).alias("s")).select("doc_id", "s.kind", "s.start", "s.end")
+
+
+@query(f"""
+WITH o AS (SELECT doc_id, coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(content) AS n, line FROM ({SQL_LINES})),
+s AS (SELECT doc_id, start, start + CASE WHEN line % 3 = 0 THEN 2 * n ELSE n END AS fin FROM o),
+f AS (SELECT *, CASE WHEN start < max(fin) OVER (PARTITION BY doc_id ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, fin ROWS UNBOUNDED PRECEDING) AS island FROM f)
+SELECT doc_id, CAST(min(start) AS INT) AS start, CAST(max(fin) AS INT) AS "end" FROM g GROUP BY doc_id, island""")
+def c4_merge_spans(spark, sf_dir):
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.arrays_zip(structure.line_offsets(F.col("text")).alias("start"), structure.text_lines(F.col("text")).alias("content"))).alias("line", "x"))
+    n = F.char_length("x.content")
+    return structure.merge_spans(lines.select("doc_id", "x.start", (F.col("x.start") + F.when(F.col("line") % 3 == 0, 2 * n).otherwise(n)).alias("end")))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS unclosed FROM documents")
+def c5_unclosed_fence(spark, sf_dir):
+    body = F.concat(F.lit("```text\n"), F.col("text"), F.when(F.col("doc_id") % 2 == 0, "\n``").otherwise("\n````"))
+    return documents(spark, sf_dir).select("doc_id", structure.unclosed_fence(body).alias("unclosed"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10))) AS content, generate_subscripts(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10)), 1) - 1 AS line FROM documents),
+b AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM l WHERE trim(content) = '')
+SELECT doc_id, CAST(min(line) AS INT) AS line_start, CAST(max(line) + 1 AS INT) AS line_end FROM b GROUP BY doc_id, run""")
+def c6_blank_runs(spark, sf_dir):
+    return structure.blank_runs(documents(spark, sf_dir).select("doc_id", F.expr(SPACED).alias("text")))
+
+
+@query("SELECT doc_id, 'heading' || repeat(',paragraph', len(string_split(text, chr(10)))) AS signature, 'u/' || doc_id AS targets FROM documents")
+def c7_signature_and_targets(spark, sf_dir):
+    body = F.concat(F.lit("# [x](u/"), F.col("doc_id").cast("string"), F.lit(")\n\n"), F.expr(SPACED))
+    marked = documents(spark, sf_dir).select("doc_id", body.alias("t"))
+    return marked.select("doc_id", F.array_join(structure.block_type_signature("t"), ",").alias("signature"), F.array_join(structure.link_targets("t"), ",").alias("targets"))
+
+
+# --- paragraphs ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, trim(regexp_replace(replace(text, chr(10), ' '), '[ \t]+', ' ', 'g')) AS key FROM documents")
+def d1_paragraph_key(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.paragraph_key(F.col("text")).alias("key"))
+
+
+@query("SELECT doc_id, count(*) AS paragraphs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY doc_id")
+def d2_top_level_paragraphs(spark, sf_dir):
+    body = F.concat(F.lit("> quoted\n\n- item\n\n| a | b |\n| --- | --- |\n| c | d |\n\n"), F.expr(SPACED))
+    blocks = structure.segment_blocks(documents(spark, sf_dir).select("doc_id", body.alias("text")))
+    return structure.top_level_paragraphs(blocks).groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
+
+
+@query(f"""
+WITH l AS (SELECT *, trim(regexp_replace(content, '[ \t]+', ' ', 'g')) AS key FROM ({SQL_LINES})),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY line) AS rank, max(line) OVER (PARTITION BY doc_id) AS last FROM l)
+SELECT doc_id, string_agg(content || CASE WHEN line < last THEN chr(10) || chr(10) ELSE '' END, '' ORDER BY line) FILTER (WHERE rank = 1) AS text, CAST(count(*) FILTER (WHERE rank > 1) AS INT) AS duplicate_paragraphs_removed FROM r GROUP BY doc_id""")
+def d3_dedup_paragraphs(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", cleaning.dedup_paragraphs(F.expr(SPACED)).alias("d")).select("doc_id", "d.*")
+
+
+# --- personal data ------------------------------------------------------------------------------------------------
+
+SQL_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}"
+SQL_IPS = r"list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: regexp_full_match(x, '([0-9]{1,3}\.){3}[0-9]{1,3}\.?') AND list_max(list_transform(list_filter(string_split(x, '.'), lambda o: o <> ''), lambda o: TRY_CAST(o AS INT))) <= 255)"
+SQL_CARDS = "list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN CAST(x[i] AS INT) ELSE (2 * CAST(x[i] AS INT)) // 10 + (2 * CAST(x[i] AS INT)) % 10 END)) % 10 = 0)"
+
+
+def _values(matches):
+    return F.array_join(F.transform(matches, lambda m: m["value"]), ",").alias("found")
+
+
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{SQL_EMAIL}'), ',') AS found FROM documents")
+def e1_find_emails(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", _values(pii.find_emails(F.col("text"))))
+
+
+@query("SELECT doc_id, '138 ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '-1234' AS found FROM documents")
+def e2_find_cn_phones(spark, sf_dir):
+    body = F.concat(F.translate("text", "0123456789", ""), F.lit(" 138 "), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("-1234 "), F.lit("23800138000 1280013800"))
+    return documents(spark, sf_dir).select("doc_id", _values(pii.find_cn_phones(body)))
+
+
+@query("""
+WITH b AS (SELECT doc_id, '11010519491231' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS b FROM documents),
+c AS (SELECT doc_id, b, substr('10X98765432', CAST(list_sum(list_transform(range(1, 18), lambda i: CAST(b[i] AS INT) * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i])) % 11 + 1 AS INT), 1) AS k FROM b)
+SELECT doc_id, CASE WHEN k = 'X' THEN b || 'X' ELSE '' END AS found FROM c""")
+def e3_find_cn_ids(spark, sf_dir):
+    serial = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
+    body = F.concat(F.translate("text", "0123456789", ""), F.lit(" 11010519491231"), serial, F.lit("X, 11010519490231"), serial, F.lit("X"))
+    return documents(spark, sf_dir).select("doc_id", _values(pii.find_cn_ids(body)))
+
+
+@query(f"SELECT doc_id, array_to_string({SQL_CARDS}, ',') AS found FROM documents")
+def e4_find_bank_cards(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", _values(pii.find_bank_cards(F.col("text"))))
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({SQL_IPS}, lambda x: rtrim(x, '.')), ',') AS found FROM documents")
+def e5_find_ipv4(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", _values(pii.find_ipv4(F.col("text"))))
+
+
+SQL_COUNTS = f"len(regexp_extract_all(text, '{SQL_EMAIL}')) AS email_redactions, 0 AS id_card_redactions, 0 AS phone_redactions, len({SQL_CARDS}) AS bank_card_redactions, len({SQL_IPS}) AS ipv4_redactions"
+
+
+@query("SELECT doc_id, 1 + len(regexp_extract_all(text, '" + SQL_EMAIL + "')) AS email_redactions, 1 AS id_card_redactions, 0 AS bank_card_redactions FROM documents")
+def e6_resolve_overlaps(spark, sf_dir):
+    """An id that is a card number by its check digit too, and an address inside an e-mail: the first entity wins."""
+    body = F.concat(F.lit("11010519491231002X 1.2.3.4@sample.org "), F.regexp_replace("text", r"[0-9]{12,}", "0"))
+    found = documents(spark, sf_dir).select("doc_id", pii.find_pii(body).alias("m"))
+    wanted = [c for c in pii.counts(F.col("m"))]
+    return found.select("doc_id", *wanted).select("doc_id", "email_redactions", "id_card_redactions", "bank_card_redactions")
+
+
+@query("SELECT doc_id, 'EMAIL_ADDRESS' AS entity, 11 AS start, 18 AS \"end\" FROM documents")
+def e7_exclude_protected(spark, sf_dir):
+    body = F.concat(F.lit("`a@b.org`: c@d.org "), F.translate("text", "@<>`", "")).alias("t")
+    marked = documents(spark, sf_dir).select("doc_id", body).withColumn("s", structure.protected_spans("t"))
+    kept = pii.exclude_protected(F.filter(pii.candidates(F.col("t")), lambda m: m["entity"] == "EMAIL_ADDRESS"), F.col("s"))
+    return marked.select("doc_id", F.explode(kept).alias("m")).select("doc_id", "m.entity", "m.start", "m.end")
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{SQL_EMAIL}', '[EMAIL]', 'g') AS text FROM documents")
+def e8_redact(spark, sf_dir):
+    emails = F.filter(pii.find_pii(F.col("text")), lambda m: m["entity"] == "EMAIL_ADDRESS")
+    return documents(spark, sf_dir).select("doc_id", pii.redact(F.col("text"), emails).alias("text"))
+
+
+@query(f"SELECT lang, source, sum(email_redactions) AS email_redactions, sum(id_card_redactions) AS id_card_redactions, sum(phone_redactions) AS phone_redactions, sum(bank_card_redactions) AS bank_card_redactions, sum(ipv4_redactions) AS ipv4_redactions, count(*) AS documents FROM (SELECT lang, source, {SQL_COUNTS} FROM documents) GROUP BY lang, source")
+def e9_pii_summary(spark, sf_dir):
+    return pii.pii_summary(documents(spark, sf_dir).select("lang", "source", "text"), ["lang", "source"])
+
+
+@query("SELECT doc_id, doc_id % 4 > 2 AS rejected FROM documents")
+def e10_pii_candidate_guard(spark, sf_dir):
+    body = F.concat(F.translate("text", "0123456789@", ""), F.repeat(F.lit(" a@b.org"), (F.col("doc_id") % 4).cast("int")), F.lit(" 1234567890123"))
+    return documents(spark, sf_dir).select("doc_id", pii.too_many_candidates(body, limit=3).alias("rejected"))
+
+
+# --- formatting and cleaning ------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(trim(text, chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '([^\s])[ \t]{2,}([^\s])', '\1 \2', 'g') || chr(10) AS text FROM documents")
+def f1_normalize_markdown(spark, sf_dir):
+    body = F.concat(F.replace(F.col("text"), F.lit("\n"), F.lit("  \r\n")), F.lit("\n\n\n"))
+    return documents(spark, sf_dir).select("doc_id", cleaning.normalize_markdown(body).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS changes FROM documents")
+def f2_count_format_changes(spark, sf_dir):
+    framed = F.concat(F.lit("a\n"), F.col("text"), F.lit("\nz"))
+    changed = F.concat(F.lit("b\n"), F.col("text"), F.lit("\ny"))
+    return documents(spark, sf_dir).select("doc_id", cleaning.count_format_changes(framed, F.when(F.col("doc_id") % 3 == 0, framed).otherwise(changed)).alias("changes"))
+
+
+@query("SELECT doc_id, 'a ' || doc_id || chr(10) || 'TABLE_DELIMITER:left,center' || chr(10) || 'x y' || chr(10) || chr(10) || text AS text FROM documents")
+def f3_normalize_table_delimiters(spark, sf_dir):
+    head = F.concat(F.lit("| a | "), F.col("doc_id").cast("string"), F.lit(" |\n|:---|:-:|\n| x | y |\n\n"), F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", cleaning.normalize_table_delimiters(head).alias("text"))
+
+
+@query("SELECT doc_id, unnest(['VISIBLE_TEXT', 'LINK_TARGETS', 'PROTECTED_UNITS']) AS violation FROM documents WHERE doc_id % 2 = 1")
+def f4_content_preserved(spark, sf_dir):
+    before = F.concat(F.lit("[x](u) "), F.col("text"))
+    after = F.when(F.col("doc_id") % 2 == 0, F.concat(before, F.lit("  \n"))).otherwise(F.concat(F.lit("[y](v) "), F.col("text")))
+    return cleaning.content_preserved(documents(spark, sf_dir).select("doc_id", before.alias("before"), after.alias("after")))
+
+
+SQL_CLEAN = f"SELECT doc_id, lang, source, 'succeeded' AS status, 0 AS duplicate_paragraphs_removed, {SQL_COUNTS} FROM documents"
+CLEAN_COLUMNS = ["doc_id", "status", "duplicate_paragraphs_removed", *pii.COUNTERS.values()]
+
+
+@query(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM ({SQL_CLEAN})")
+def g1_clean_documents(spark, sf_dir):
+    return cleaning.clean_documents(documents(spark, sf_dir).select("doc_id", "text")).select(*CLEAN_COLUMNS)
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 6000 THEN 'INPUT_TOO_LARGE' WHEN len(string_split(text, chr(10))) > 8 THEN 'TOO_MANY_BLOCKS' WHEN length(text) > 3000 AND strpos(text, chr(10)) = 0 THEN 'BLOCK_TOO_LARGE' END AS error_code FROM documents")
+def g2_resource_guard(spark, sf_dir):
+    limits = cleaning.CleaningLimits(max_input_bytes=6000, max_blocks=8, max_block_chars=1 << 30)
+    one = cleaning.CleaningLimits(max_input_bytes=6000, max_blocks=8, max_block_chars=3000)
+    docs = documents(spark, sf_dir).select("doc_id", "text", structure.blocks_of(F.expr(SPACED)).alias("b"), structure.protected_spans(F.lit("")).alias("s"))
+    code = F.when(F.contains("text", F.lit("\n")), cleaning.resource_guard(F.col("text"), F.col("b"), F.col("s"), limits)).otherwise(cleaning.resource_guard(F.col("text"), F.col("b"), F.col("s"), one))
+    return docs.select("doc_id", code.alias("error_code"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'INVALID_TERMINAL_NEWLINE' WHEN doc_id % 3 = 1 THEN 'INVALID_ENCODING' END AS error_code FROM documents")
+def g3_check_clean_output(spark, sf_dir):
+    tail = F.when(F.col("doc_id") % 3 == 0, "\n\n").when(F.col("doc_id") % 3 == 1, "\r\n").otherwise("\n")
+    return documents(spark, sf_dir).select("doc_id", cleaning.check_clean_output(F.concat("text", tail)).alias("error_code"))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS preserved FROM documents")
+def g4_protected_regions_preserved(spark, sf_dir):
+    before = F.concat(F.lit("`a`  "), F.col("text"))
+    after = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("`a` "), F.col("text"), F.lit("\n"))).otherwise(F.concat(F.lit("`b` "), F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", before.alias("x"), after.alias("y")).select("doc_id", cleaning.protected_regions_preserved("x", "y").alias("preserved"))
+
+
+@query("SELECT doc_id, sha256(text) AS input_sha256, CAST(strlen(text) AS BIGINT) AS input_bytes FROM documents")
+def g5_content_digest(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", *cleaning.content_digest(F.col("text"), "input"))
+
+
+@query(f"""
+SELECT lang, source, count(*) AS documents, count(*) AS succeeded, sum(duplicate_paragraphs_removed) AS duplicate_paragraphs_removed, sum(email_redactions) AS email_redactions,
+  sum(bank_card_redactions) AS bank_card_redactions, sum(ipv4_redactions) AS ipv4_redactions FROM ({SQL_CLEAN}) GROUP BY ROLLUP (lang, source)""")
+def g6_cleaning_report(spark, sf_dir):
+    cleaned = cleaning.clean_documents(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return cleaning.cleaning_report(cleaned, ["lang", "source"]).select("lang", "source", "documents", "succeeded", "duplicate_paragraphs_removed", "email_redactions", "bank_card_redactions", "ipv4_redactions")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'INPUT_DIGEST_MISMATCH' ELSE 'INVALID_SUMMARY' END AS error_code FROM documents WHERE doc_id % 50 IN (0, 1)")
+def g7_check_summary(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    counted = docs.select("doc_id", *(F.when((F.col("doc_id") % 50 == 1) & F.lit(c == "formatting_changes"), -1).otherwise(0).alias(c) for c in cleaning.COUNTERS), *cleaning.content_digest(F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "input"))
+    return cleaning.check_summary(counted, docs)
+
+
+# --- de-duplication ----------------------------------------------------------------------------------------------
+
+SQL_EXACT = f"SELECT doc_id AS uid, source, min(doc_id) OVER w AS rep, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY {SQL_STRIP})"
+
+
+def _sql_uuid(space: str, name: str) -> str:
+    """SQL for a name-based UUID; ``name`` is a BLOB expression."""
+    h = f"sha1(from_hex('{space.replace('-', '')}') || {name})"
+    return f"""(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr({h}, 17, 1))::INT % 4 + 1 AS INT), 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))"""
+
+
+SQL_MEMBERS = "encode(string_agg(CAST(uid AS VARCHAR), ',' ORDER BY uid))"
+SQL_CLUSTER_ID = _sql_uuid(dedup.CLUSTER_NAMESPACE, f"encode('{REQUEST}') || from_hex('00') || {SQL_MEMBERS}")
+SQL_DECISIONS = f"""SELECT uid, source, CASE WHEN n > 1 THEN cluster_id END AS cluster_id, uid = rep AS representative, CASE WHEN n > 1 THEN 'exact' END AS method
+FROM ({SQL_EXACT}) JOIN (SELECT rep, {SQL_CLUSTER_ID} AS cluster_id FROM ({SQL_EXACT}) GROUP BY rep) USING (rep)"""
+
+
+@query(f"SELECT uid, rep AS exact_rep, n AS group_size FROM ({SQL_EXACT})")
+def h1_exact_groups(spark, sf_dir):
+    return dedup.exact_groups(samples(spark, sf_dir)).select("uid", "exact_rep", "group_size")
+
+
+@query("SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(1, length(text) - 3)), lambda i: substr(lower(text), i, 5)))) AS shingles FROM documents")
+def h2_char_shingles(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.size(dedup.char_shingles(F.col("text"))).cast("long").alias("shingles"))
+
+
+@query()
+def h3_minhash_signature(spark, sf_dir):
+    return dedup.minhash_signatures(samples(spark, sf_dir)).select("uid", F.size("bands").alias("bands"), F.md5(F.array_join(F.transform("bands", F.hex), "").cast("binary")).alias("signature_md5"))
+
+
+@query()
+def h5_lsh_edges(spark, sf_dir):
+    return dedup.lsh_edges(dedup.minhash_signatures(samples(spark, sf_dir)))
+
+
+@query("SELECT doc_id AS node, rep AS component FROM (SELECT doc_id, min(doc_id) OVER w AS rep, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY substr(text, 1, 40))) WHERE n > 1")
+def h6_connected_components(spark, sf_dir):
+    """Chains: each document linked to the next one of the same beginning."""
+    before = F.lag("doc_id").over(Window.partitionBy(F.substring("text", 1, 40)).orderBy("doc_id"))
+    return components.connected_components(documents(spark, sf_dir).select(before.alias("src"), F.col("doc_id").alias("dst")))
+
+
+@query()
+def h7_expand_clusters(spark, sf_dir):
+    docs = samples(spark, sf_dir)
+    groups, _ = materialize(dedup.exact_groups(docs), "exact-groups")
+    return dedup.expand_clusters(groups, dedup.minhash_clusters(docs.join(groups.where("uid = exact_rep").select("uid"), "uid", "left_semi"))).select("uid", "cluster", "by_minhash")
+
+
+@query(f"SELECT rep AS exact_rep, rep AS representative FROM ({SQL_EXACT}) WHERE n > 1 GROUP BY rep")
+def h9_pick_representative(spark, sf_dir):
+    best = F.min(F.struct((-F.col("stripped_length")).alias("l"), "uid"))["uid"]
+    return dedup.exact_groups(samples(spark, sf_dir)).where("group_size > 1").groupBy("exact_rep").agg(best.alias("representative"))
+
+
+@query(f"SELECT rep AS exact_rep, {SQL_CLUSTER_ID} AS cluster_id FROM ({SQL_EXACT}) GROUP BY rep HAVING count(*) > 1")
+def h10_cluster_id(spark, sf_dir):
+    groups = dedup.exact_groups(samples(spark, sf_dir)).where("group_size > 1")
+    return groups.groupBy("exact_rep").agg(dedup.cluster_id(F.lit(REQUEST), F.collect_list("uid")).alias("cluster_id"))
+
+
+@query()
+def h11_dedup_decisions(spark, sf_dir):
+    """Includes the cluster methods (H8)."""
+    return dedup.dedup_decisions(samples(spark, sf_dir), REQUEST)
+
+
+@query(f"SELECT uid, cluster_id, representative, method FROM ({SQL_DECISIONS})")
+def h11_exact_decisions(spark, sf_dir):
+    return dedup.exact_decisions(samples(spark, sf_dir), REQUEST)
+
+
+@query(f"SELECT 'MISSING_UID' AS code, uid, CAST(NULL AS VARCHAR) AS cluster_id FROM ({SQL_DECISIONS}) WHERE cluster_id IS NULL AND uid % 97 = 0")
+def h12_validate_decisions(spark, sf_dir):
+    docs = samples(spark, sf_dir)
+    decisions = dedup.exact_decisions(docs, REQUEST).where("cluster_id IS NOT NULL OR uid % 97 <> 0")
+    return dedup.validate_decisions(decisions, docs.select("uid"))
+
+
+def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.concat_ws("/", "source", F.concat((F.col("doc_id") % 50).cast("string"), F.lit(".txt")))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("uid"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_id"), named.alias("file_storage_path"))
+    return dedup.mapping_table(docs)
+
+
+def _business(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.business_result(dedup.exact_decisions(samples(spark, sf_dir), REQUEST), _mapping(spark, sf_dir), TASK)
+
+
+SQL_BUSINESS = f"""SELECT 'f' || uid AS file_id, source || '/' || (uid % 50) || '.txt' AS file_storage_path, CASE WHEN n > 1 THEN group_id END AS group_id, uid = rep AS keep
+FROM ({SQL_EXACT}) JOIN (SELECT rep, {_sql_uuid(TASK, SQL_MEMBERS)} AS group_id FROM ({SQL_EXACT}) GROUP BY rep) USING (rep)"""
+
+
+@query(SQL_BUSINESS)
+def h13_business_result(spark, sf_dir):
+    return _business(spark, sf_dir)
+
+
+@query(f"SELECT count(*) AS total_files, count(*) FILTER (WHERE keep) AS unique_files, count(*) FILTER (WHERE NOT keep) AS moved_duplicates, count(DISTINCT group_id) AS groups FROM ({SQL_BUSINESS})")
+def h14_dedup_summary(spark, sf_dir):
+    return dedup.dedup_summary(_business(spark, sf_dir))
+
+
+@query(f"""
+WITH d AS (SELECT file_id, file_storage_path AS source, 'duplicate/' || list_extract(string_split(file_storage_path, '/'), -1) AS destination FROM ({SQL_BUSINESS}) WHERE NOT keep),
+r AS (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY source, file_id) AS rank FROM d)
+SELECT file_id, source, destination, CASE WHEN rank = 1 THEN 'planned' ELSE 'failed' END AS state, CASE WHEN rank > 1 THEN 'OUTPUT_CONFLICT' END AS code FROM r""")
+def h15_quarantine_plan(spark, sf_dir):
+    return dedup.quarantine_plan(_business(spark, sf_dir))
+
+
+@query("SELECT 'DUPLICATE_UID' AS code, doc_id AS uid FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT 'BLANK_FIELD', doc_id FROM documents WHERE doc_id % 100 = 1")
+def h16_mapping_table(spark, sf_dir):
+    rows = _mapping(spark, sf_dir).withColumn("file_id", F.when(F.col("uid") % 100 == 1, " ").otherwise(F.col("file_id")))
+    return dedup.check_mapping(rows.union(rows.where("uid % 100 = 0")))
+
+
+# --- classification ----------------------------------------------------------------------------------------------
+
+CHUNKS = classify.ChunkConfig(tokens=66, overlap=16, windows=16, special_tokens=2)
+SQL_TOKENS = r"SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS tokens FROM documents"
+SQL_STARTS = f"""SELECT doc_id, tokens, list_distinct_last AS starts FROM (SELECT doc_id, tokens, CASE WHEN len(tokens) = 0 THEN [] WHEN s[-1] < last THEN list_append(s, last) ELSE s END AS list_distinct_last
+  FROM (SELECT doc_id, tokens, last, range(0, last + 1, 48) AS s FROM (SELECT doc_id, tokens, greatest(len(tokens) - 64, 0) AS last FROM ({SQL_TOKENS}))))"""
+SQL_SAMPLED = f"""SELECT doc_id, tokens, CASE WHEN len(starts) <= 16 THEN starts ELSE list_transform(range(0, 16), lambda i: starts[CAST(round_even(i * (len(starts) - 1) / 15.0::DOUBLE, 0) AS INT) + 1]) END AS starts FROM ({SQL_STARTS})"""
+SQL_WINDOWS = f"SELECT doc_id, tokens, unnest(starts) AS start, generate_subscripts(starts, 1) - 1 AS chunk_ix FROM ({SQL_SAMPLED})"
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", classify.whitespace_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, CAST(unnest(starts) AS INT) AS start FROM ({SQL_STARTS})")
+def i1_window_starts(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("doc_id", F.explode(classify.window_starts(F.col("tokens"), CHUNKS)).alias("start"))
+
+
+@query(f"SELECT doc_id, CAST(chunk_ix AS INT) AS chunk_ix, CAST(start AS INT) AS start FROM ({SQL_WINDOWS})")
+def i2_sample_windows(spark, sf_dir):
+    return classify.token_windows(_tokens(spark, sf_dir), CHUNKS)
+
+
+@query(f"SELECT doc_id, CAST(chunk_ix AS INT) AS chunk_ix, array_to_string(list_slice(tokens, start + 1, start + 64), ' ') AS chunk FROM ({SQL_WINDOWS})")
+def i3_chunk_text(spark, sf_dir):
+    return classify.chunk_text(_tokens(spark, sf_dir), CHUNKS)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four chunks a document, three labels; weights are whole numbers of the row's own values."""
+    chunks = documents(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk_ix"))
+    weights = F.array(*((F.col("doc_id") * (l + 1) + F.col("chunk_ix") * l) % 4 + 1 for l in range(3)))
+    named = chunks.select("doc_id", "chunk_ix", weights.alias("w")).select("doc_id", "chunk_ix", F.posexplode("w").alias("label_ix", "x"), (F.get("w", F.lit(0)) + F.get("w", F.lit(1)) + F.get("w", F.lit(2))).alias("s"))
+    return named.select("doc_id", "chunk_ix", "label_ix", F.concat(F.lit("l"), F.col("label_ix").cast("string")).alias("label"), (F.col("x") / F.col("s")).alias("score"))
+
+
+SQL_SCORES = """SELECT doc_id, chunk_ix, label_ix, 'l' || label_ix AS label, ((doc_id * (label_ix + 1) + chunk_ix * label_ix) % 4 + 1)::DOUBLE / sum((doc_id * (label_ix + 1) + chunk_ix * label_ix) % 4 + 1) OVER (PARTITION BY doc_id, chunk_ix) AS score
+FROM documents, (SELECT unnest(range(4)) AS chunk_ix), (SELECT unnest(range(3)) AS label_ix)"""
+SQL_BEST = f"""SELECT doc_id, label, confidence FROM (SELECT doc_id, label, label_ix, avg(score) AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY round(avg(score), 12) DESC, label_ix) AS r FROM ({SQL_SCORES}) GROUP BY doc_id, label, label_ix) WHERE r = 1"""
+
+
+@query("SELECT doc_id, CAST(c AS INT) AS chunk_ix, CASE WHEN doc_id % 10 = 0 THEN 'SHAPE' ELSE 'SUM' END AS code FROM documents, (SELECT unnest(range(4)) AS c) WHERE doc_id % 10 IN (0, 1)")
+def i4_validate_scores(spark, sf_dir):
+    scores = _scores(spark, sf_dir).where("NOT (doc_id % 10 = 0 AND label_ix = 2)")
+    return classify.validate_scores(scores.withColumn("score", F.when(F.col("doc_id") % 10 == 1, F.col("score") / 2).otherwise(F.col("score"))), 3)
+
+
+@query(f"SELECT doc_id, label, round(confidence, 9) AS confidence FROM ({SQL_BEST})")
+def i5_aggregate_scores(spark, sf_dir):
+    rounded = _scores(spark, sf_dir).withColumn("score", F.round("score", 12))
+    return classify.aggregate_scores(rounded).select("doc_id", "label", F.round("confidence", 9).alias("confidence"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang || '|' || source || '|' || doc_id END AS levels FROM documents")
+def i6_split_label_path(spark, sf_dir):
+    label = F.concat_ws(" > ", "lang", "source", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("doc_id").cast("string")))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(classify.split_label_path(label), "|").alias("levels"))
+
+
+@query(f"SELECT doc_id, 'a|b|' || label || '|' || label AS tags, round(confidence, 9) AS top_triple_confidence, round(confidence, 9) AS end_doc_confidence, 'r1' AS release_id, CAST(NULL AS VARCHAR) AS error_code FROM ({SQL_BEST})")
+def i7_compose_tags(spark, sf_dir):
+    scores = _scores(spark, sf_dir).withColumn("score", F.round("score", 12))
+    end = classify.aggregate_scores(scores)
+    top = end.withColumn("label", F.concat(F.lit("a > b > "), "label"))
+    tags = classify.compose_tags(top, end, "r1")
+    return tags.select("doc_id", F.array_join("tags", "|").alias("tags"), F.round("top_triple_confidence", 9).alias("top_triple_confidence"), F.round("end_doc_confidence", 9).alias("end_doc_confidence"), "release_id", "error_code")
+
+
+@query()
+def i8_score_chunks(spark, sf_dir):
+    """Trained on the labelled documents' chunks, applied to all chunks."""
+    chunks = classify.chunk_text(_tokens(spark, sf_dir), CHUNKS)
+    labelled = chunks.join(table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
+    return classify.score_chunks(chunks, classify.fit_chunk_model(labelled, "quality", 1 << 12), ["low", "high"])
+
+
+@query("SELECT 'end' AS model, 'LABEL_COUNT' AS code UNION ALL SELECT 'top', 'LABEL_COUNT' UNION ALL SELECT 'other', 'UNKNOWN_MODEL'")
+def i9_validate_label_manifest(spark, sf_dir):
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    top = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("top").alias("model"), F.concat_ws(" > ", "r_name", "n_name", F.col("n_nationkey").cast("string")).alias("label"))
+    end = region.select(F.lit("end").alias("model"), F.col("r_name").alias("label"))
+    other = region.select(F.lit("other").alias("model"), F.col("r_name").alias("label"))
+    return classify.validate_label_manifest(top.union(end).union(other), {"top": 18, "end": 6}, "top")
+
+
+@query("""
+WITH p AS (SELECT toxic AS prediction, quality AS label FROM labels), c AS (SELECT DISTINCT prediction AS c FROM p UNION SELECT DISTINCT label FROM p),
+e AS (SELECT c, count(*) FILTER (WHERE prediction = c AND label = c) AS tp, count(*) FILTER (WHERE label = c) AS a, count(*) FILTER (WHERE prediction = c) AS n FROM p, c GROUP BY c)
+SELECT round((SELECT avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END) FROM p), 9) AS accuracy, round(avg(2.0 * tp / (a + n)), 9) AS macro_f1 FROM e""")
+def i10_offline_metrics(spark, sf_dir):
+    pairs = table(spark, sf_dir, "labels").select(F.col("toxic").alias("prediction"), F.col("quality").alias("label"))
+    return classify.offline_metrics(pairs).select(F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
+
+
+# --- intake, sinks, streams ------------------------------------------------------------------------------------
+
+SQL_FINGERPRINT = """sha256('{"event_type":"' || event_type || '","props":' || coalesce('"' || replace(props, '"', '\\"') || '"', 'null') || '}')"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.with_fingerprint(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"), ["props", "event_type"])
+
+
+@query(f"SELECT event_id, {SQL_FINGERPRINT} AS fingerprint FROM events")
+def j1_request_fingerprint(spark, sf_dir):
+    return _requests(spark, sf_dir).select("event_id", "fingerprint")
+
+
+@query(f"""
+WITH e AS (SELECT event_id, ts, user_id, {SQL_FINGERPRINT} AS f FROM events), w AS (SELECT *, row_number() OVER k AS r, first_value(f) OVER k AS f0 FROM e WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CASE WHEN r = 1 THEN 'accepted' WHEN f = f0 THEN 'replay' ELSE 'conflict' END AS decision FROM w""")
+def j2_resolve_intake(spark, sf_dir):
+    return intake.resolve_intake(_requests(spark, sf_dir), ["user_id"], ["ts", "event_id"]).select("event_id", "decision")
+
+
+@query(f"""SELECT uid, '{{"uid":' || uid || ',"clusterId":' || coalesce('"' || cluster_id || '"', 'null') || ',"representative":' || representative || ',"method":' || coalesce('"' || method || '"', 'null') || '}}' AS value FROM ({SQL_DECISIONS})""")
+def k1_decision_lines(spark, sf_dir):
+    return sinks.decision_lines(dedup.exact_decisions(samples(spark, sf_dir), REQUEST))
+
+
+@query(f"SELECT uid, rep AS exact_rep, 'recovered' AS state FROM ({SQL_EXACT})")
+def k2_write_once(spark, sf_dir):
+    path, out = new_path(spark, "published"), dedup.exact_groups(samples(spark, sf_dir)).select("uid", "exact_rep")
+    sinks.write_once(out, path)
+    return spark.read.parquet(path).withColumn("state", F.lit(sinks.write_once(out, path)))
+
+
+@query("SELECT 'documents' AS profile, 1 AS schema_version, count(*) AS records FROM documents")
+def k3_run_manifest(spark, sf_dir):
+    path = new_path(spark, "manifest")
+    n, mark = sinks.table_digest(documents(spark, sf_dir).select("doc_id"))
+    sinks.append_run_manifest(spark, path, TASK, "documents", {"records": n}, {"rows": str(mark)})
+    return spark.read.parquet(path).select("profile", "schema_version", F.col("counts")["records"].alias("records"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return streams.file_stream(spark, sf_dir, schema, f"{name}.parquet")
+
+
+@query(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM ({SQL_CLEAN})")
+def l1_stream_clean(spark, sf_dir):
+    out = new_path(spark, "stream-clean")
+    cleaned = streams.stream_clean(_stream(spark, sf_dir, "documents").select("doc_id", "text")).select(*CLEAN_COLUMNS)
+    streams.run_available(cleaned, f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data")
+
+
+@query(f"SELECT DISTINCT user_id, {SQL_FINGERPRINT} AS fingerprint FROM events")
+def l2_stream_intake(spark, sf_dir):
+    out = new_path(spark, "stream-intake")
+    requests = intake.with_fingerprint(_stream(spark, sf_dir, "events").select("ts", "user_id", "event_type", "props"), ["props", "event_type"])
+    streams.run_available(streams.stream_intake(requests, ["user_id"], delay="3650 days").select("user_id", "fingerprint"), f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
