@@ -71,7 +71,9 @@ RUN_TOKEN = re.compile(rf"(?i){WORD}|[0-9]+|plus|dot|\.")
 BRACKET_AT = re.compile(r"(?i)\x20?(?:[\[({<]\x20?(?:at|@)\x20?[\])}>]|_at_)\x20?")
 BRACKET_DOT = re.compile(r"(?i)\x20?(?:[\[({<]\x20?(?:dot|punkt|punto|point|\.)\x20?[\])}>]|_dot_)\x20?")
 BRACKETED = tuple(f"{o}{gap}{w}" for o in "[({<" for gap in ("", " ") for w in ("at", "@")) + ("_at_",)
-BARE_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])\x20at\x20(?=[a-z0-9-]+\x20dot\x20[a-z0-9])")
+# Top-level names that an address in plain words must end with.
+TOP = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|me|dev|app|ai|de|fr|es|it|nl|be|uk|eu|us|ca|cn|jp|ru|ch|at|se|no|dk|fi|pl|pt|br|mx|in|au|nz"
+BARE_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\x20at\x20(?=(?:[a-z0-9-]+\x20dot\x20)+(?:{TOP})\b)")
 BARE_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])")
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9])")
 
