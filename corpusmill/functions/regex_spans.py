@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 MATCH = "struct<start:int,end:int,value:string>"
 
 
-def find_matches(text: Column, pattern: str) -> Column:
+def find_matches(text: Column, pattern: str, hint: Column | None = None) -> Column:
     """``array<struct<start,end,value>>``: leftmost non-overlapping matches, offsets in code points, half open.
 
     Neither the split nor the extraction gives positions; together they do: match i starts after gaps 0..i and
-    matches 0..i-1. ``pattern`` must not match the empty string. Null texts give null.
+    matches 0..i-1. ``pattern`` must not match the empty string. Null texts give null. ``hint`` is a cheap condition that
+    every text with a match meets; other texts are not searched.
     """
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
@@ -27,4 +28,5 @@ def find_matches(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("pos"), F.when(piece["hit"].isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
     found = F.aggregate(pieces, start_state, step, lambda acc: acc["found"])
-    return F.when(text.isNull(), None).when(text.rlike(pattern), found).otherwise(nothing)
+    searched = F.when(text.rlike(pattern), found).otherwise(nothing)
+    return F.when(text.isNull(), None).when(F.lit(True) if hint is None else hint, searched).otherwise(nothing)

@@ -30,16 +30,24 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, "０１２３４５６７８９", "0123456789")
 
 
+def has_at(text: Column) -> Column:
+    return F.contains(text, F.lit("@"))
+
+
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"\p{Nd}")
+
+
 def _only(matches: Column, valid) -> Column:
     return F.filter(matches, lambda m: F.coalesce(valid(m["value"]), F.lit(False)))
 
 
 def find_emails(text: Column) -> Column:
-    return find_matches(text, EMAIL)
+    return find_matches(text, EMAIL, has_at(text))
 
 
 def find_cn_phones(text: Column) -> Column:
-    return _only(find_matches(ascii_digits(text), PHONE), lambda v: F.regexp_replace(v, "[ -]", "").rlike(r"\A\d{11}\z"))
+    return _only(find_matches(ascii_digits(text), PHONE, has_digit(text)), lambda v: F.regexp_replace(v, "[ -]", "").rlike(r"\A\d{11}\z"))
 
 
 def valid_cn_id(value: Column) -> Column:
@@ -52,15 +60,15 @@ def valid_cn_id(value: Column) -> Column:
 
 
 def find_cn_ids(text: Column) -> Column:
-    return _only(find_matches(ascii_digits(text), ID_CARD), valid_cn_id)
+    return _only(find_matches(ascii_digits(text), ID_CARD, has_digit(text)), valid_cn_id)
 
 
 def find_bank_cards(text: Column) -> Column:
-    return _only(find_matches(ascii_digits(text), BANK_CARD), lambda v: F.call_function("luhn_check", v))
+    return _only(find_matches(ascii_digits(text), BANK_CARD, has_digit(text)), lambda v: F.call_function("luhn_check", v))
 
 
 def find_ipv4(text: Column) -> Column:
-    return _only(find_matches(ascii_digits(text), IPV4), lambda v: F.forall(F.split(v, r"\."), lambda p: p.try_cast("int") <= 255))
+    return _only(find_matches(ascii_digits(text), IPV4, has_digit(text)), lambda v: F.forall(F.split(v, r"\."), lambda p: p.try_cast("int") <= 255))
 
 
 FINDERS = {"EMAIL_ADDRESS": find_emails, "CN_ID_CARD": find_cn_ids, "CN_MOBILE_PHONE": find_cn_phones, "CREDIT_CARD": find_bank_cards, "IPV4_ADDRESS": find_ipv4}
@@ -126,8 +134,8 @@ def pii_summary(docs: DataFrame, by: list[str]) -> DataFrame:
 def candidate_count(text: Column, protected: Column | None = None) -> Column:
     """Unvalidated candidates outside protected spans, over all entities, overlaps included."""
     total = F.lit(0)
-    for source, pattern in ((text, EMAIL_CANDIDATE), *((ascii_digits(text), p) for p in (PHONE, ID_CARD, BANK_CARD, IPV4))):
-        found = find_matches(source, pattern)
+    for source, pattern, hint in ((text, EMAIL_CANDIDATE, has_at(text)), *((ascii_digits(text), p, has_digit(text)) for p in (PHONE, ID_CARD, BANK_CARD, IPV4))):
+        found = find_matches(source, pattern, hint)
         total = total + F.size(found if protected is None else F.filter(found, lambda m: ~F.exists(protected, lambda p: (p["start"] < m["end"]) & (p["end"] > m["start"]))))
     return total
 
