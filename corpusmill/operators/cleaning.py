@@ -59,6 +59,10 @@ def _finish(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": done, "changes": [markdown.count_changes(a or "", b) for a, b in zip(texts, done, strict=True)]})
 
 
+# Kept as steps of their own: inlined into the expressions between them they could not be evaluated.
+_prepare, _finish = _prepare.asNondeterministic(), _finish.asNondeterministic()
+
+
 def dedup_paragraph_rows(docs: DataFrame) -> DataFrame:
     """The same choice as rows, for blocks that already lie in a table: ``doc_id, start, end, key, keep``."""
     first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("start")) == 1
