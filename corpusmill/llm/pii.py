@@ -147,7 +147,7 @@ def _digits(m: re.Match) -> str | None:
 def rewrite(text: str) -> Rewritten | None:
     """The text with its disguises undone, or None if it holds no trigger."""
     low = text.lower()
-    odd = not text.isascii() and TRIGGER_CHARS.search(text)
+    odd = not text.isascii() and not LOOK_ALIKE.keys().isdisjoint(text)
     ats = "@" in text or " dot " in low or any(b in low for b in BRACKETED)
     if not (odd or ats or RUN_TRIGGER.search(low)):
         return None
