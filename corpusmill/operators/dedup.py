@@ -106,7 +106,9 @@ def minhash_signatures(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) ->
                 bands = [band_keys(t or "", cfg) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bands, pa.list_(pa.binary()))], names=["uid", "bands"])
 
-    return docs.select(F.col("uid").cast("long").alias("uid"), "text").mapInArrow(run, "uid long, bands array<binary>").where(F.size("bands") > 0)
+    # hashing costs far more than moving a text once, and few input files must not mean few tasks
+    width = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return docs.select(F.col("uid").cast("long").alias("uid"), "text").repartition(width, "uid").mapInArrow(run, "uid long, bands array<binary>").where(F.size("bands") > 0)
 
 
 def lsh_edges(signatures: DataFrame) -> DataFrame:
