@@ -26,8 +26,11 @@ def normalize_text(data: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """White space of any script off both ends."""
-    return F.regexp_replace(F.regexp_replace(text, rf"(?U)\A[\s{SEPARATORS}]+", ""), rf"(?U)(?<![\s{SEPARATORS}])[\s{SEPARATORS}]+\z", "")
+    """White space of any script off both ends; texts without any there are not searched."""
+    blank = rf"[\s{SEPARATORS}]"
+    edges = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    trimmed = F.regexp_replace(F.regexp_replace(text, rf"(?U)\A{blank}+", ""), rf"(?U)(?<!{blank}){blank}+\z", "")
+    return F.when(edges.rlike(rf"(?U){blank}"), trimmed).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
