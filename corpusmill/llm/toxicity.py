@@ -10,7 +10,7 @@ at most ``max_train_bytes``. That bounds the single fitting task whatever the co
 
 Defined results: null and empty texts get the score of the intercept alone; repeated rows get equal scores; an empty
 table gives no rows; when no row can be learnt from, every score is the smoothed base rate; extra columns are ignored;
-labels whose ``toxic`` is null are not learnt from.
+labels whose ``toxic`` is null are not learnt from; of texts that share an id the least is learnt from, once.
 """
 
 from __future__ import annotations
@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
         .limit(cfg.max_train_rows)
     )
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= cfg.max_train_bytes)
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # one text per id, so that repeated ids can't swell the fitting task
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
 
     def run(batches):
         table = pa.Table.from_batches(list(batches), schema=pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("toxic", pa.int32())]))

@@ -226,6 +226,13 @@ def test_toxicity_edges(spark, docs):
     assert len(rows) == len(EDGE) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_learns_once_per_id(spark, docs):
+    texts = [(i, "vile awful slur" if i % 3 == 0 else "calm plain words") for i in range(30)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)], "doc_id long, toxic int")
+    once, often = toxicity.train(docs(texts), labels), toxicity.train(docs(texts + texts[:1] * 200), labels)
+    assert once[1] == often[1] and (once[0] == often[0]).all() and once[0].any()
+
+
 # --- HTML
 
 
