@@ -91,12 +91,12 @@ def build_index(docs: DataFrame, terms: list[str], anchors: dict[int, tuple[int,
             if near is None:
                 at = [p for p, n in enumerate(numbers) if n is not None]
             else:
-                at, upto = [], 0
+                wanted = bytearray(len(words))  # a later anchor may reach back before an earlier one's range
                 for p, n in enumerate(numbers):
                     if n is not None and (reach := near.get(n)):
-                        lo, hi = max(upto, p - reach[0]), min(len(words), p + reach[1] + 1)
-                        at += [q for q in range(lo, hi) if numbers[q] is not None]
-                        upto = max(upto, hi)
+                        lo, hi = max(0, p - reach[0]), min(len(words), p + reach[1] + 1)
+                        wanted[lo:hi] = b"\x01" * (hi - lo)
+                at = [p for p, n in enumerate(numbers) if n is not None and wanted[p]]
             return len(words), at, [numbers[p] for p in at]
 
         return lambda texts: list(map(list, zip(*map(one, texts), strict=True)))

@@ -88,6 +88,18 @@ def test_decontamination_matches_brute_force(spark, docs, limit):
     assert got == sorted(want)
 
 
+def test_index_keeps_what_a_later_anchor_reaches_back_to(spark, docs):
+    text = "t0 t1 t2 A t4 t5 t6 t7 t8 B"
+    terms = text.lower().split()
+    near = {terms.index("a"): (0, 9), terms.index("b"): (9, 0)}
+    assert decontamination.build_index(docs([(1, text)]), terms, near).first().positions == list(range(10))
+    # "a" begins item 2 and "b" ends item 1; other terms are more frequent than both
+    table = docs([(1, text)] + [(i, " ".join(t for t in terms if t not in "ab")) for i in range(2, 6)])
+    bench = spark.createDataFrame([("1", text), ("2", "a t4")], "item_id string, text string")
+    got = {r.doc_id: r.n_hit for r in decontamination.decontaminate(table, bench).collect()}
+    assert got == {1: 10} | dict.fromkeys(range(2, 6), 0)
+
+
 def test_decontamination_of_nothing(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontamination.decontaminate(docs([(1, "a b")]), bench).collect()] == [False]
