@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import byte_bpe, decontamination, near_duplicates, quality, secrets
@@ -19,29 +19,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays, once; documents without an id stay."""
-    found = materialize(near_duplicates.near_duplicates(docs).select("doc_id", "component_id").where("doc_id IS NOT NULL"), "near-duplicates")
-    extra = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Of each group the document of the smallest id stays, once, and of its documents without an id one.
+
+    Rows are told apart by id and text: ids may be null or stand for different texts."""
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), secrets.blob_id(F.col("text")).alias("blob"))
+    found = materialize(near_duplicates.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id"), "near-duplicates")
+    unnamed = found.where("key.unnamed")
+    first = unnamed.groupBy("component_id").agg(F.min("key").alias("first"))
+    extra = found.where("NOT key.unnamed AND key <> component_id").select("key.*").unionByName(unnamed.join(first, "component_id").where("key <> first").select("key.*")).distinct()
+    kept = docs.join(extra, same_row(docs, extra), "left_anti").select(docs.columns)
+    repeated = materialize(found.groupBy("key").count().where("count > 1").select("key.*"), "repeated-rows")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(docs.columns)).alias("d")).select("d.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    once = kept.join(repeated, same_row(kept, repeated), "left_semi").groupBy("doc_id", secrets.blob_id(F.col("text"))).agg(F.min(F.struct(docs.columns)).alias("d")).select("d.*")
+    return kept.join(repeated, same_row(kept, repeated), "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def same_row(docs: DataFrame, keys: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(keys["doc_id"]) & (secrets.blob_id(docs["text"]) == keys["blob"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark window occurs go."""
-    found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which a benchmark window occurs go, whatever their ids: the text alone decides."""
+    addressed = docs.select(secrets.blob_id(F.col("text")).alias("doc_id"), "text")
+    found = decontamination.decontaminate(addressed, read_table(spark, sf_dir, "benchmark"))
+    hit = found.where("contaminated").select(F.col("doc_id").alias("blob")).distinct()
+    return docs.join(hit, secrets.blob_id(docs["text"]) == hit["blob"], "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret found is replaced in the text; ``n_chars`` follows."""
-    found = secrets.scan_increment(docs, new_path(spark, "ledger")).where("doc_id IS NOT NULL AND size(spans) > 0")
-    spans = found.select("doc_id", "blob", F.col("spans").alias("_spans")).distinct()
-    on = (docs["doc_id"] == spans["doc_id"]) & (secrets.blob_id(docs["text"]) == spans["blob"])
+    """Each secret found is replaced in the text, whatever its document's id; ``n_chars`` follows."""
+    found = secrets.scan_increment(docs, new_path(spark, "ledger")).where("size(spans) > 0")
+    spans = found.groupBy("blob").agg(F.first("spans").alias("_spans"))
+    on = secrets.blob_id(docs["text"]) == spans["blob"]
     joined = docs.join(spans, on, "left").select(*(docs[c] for c in docs.columns), "_spans")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact_expr("text", "_spans"))
     changed = joined.withColumn("text", text)

@@ -296,6 +296,24 @@ def test_stages_on_edge_rows(spark, docs, sf):
     assert redacted == {1: ("[SECRET]\" x", 11), 2: (None, 0)}
 
 
+def test_stages_decide_by_row_when_ids_are_null_or_repeated(spark, docs, sf):
+    import corpus_pipeline
+
+    prose = [" ".join(hashlib.md5(f"{k} {i}".encode()).hexdigest()[:7] for i in range(90)) for k in range(4)]
+    passage = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len((r.text or "").split()) >= 10)
+    rows = lambda stage, table: sorted(((r.doc_id, r.text) for r in stage(spark, table.drop("score"), sf).collect()), key=str)
+    leaked = docs([(None, f"so {passage} it is"), (5, f"so {passage} it is"), (5, prose[0]), (None, prose[1])])
+    assert rows(corpus_pipeline.benchmark_decontamination, leaked) == [(5, prose[0]), (None, prose[1])]
+    secret = 'token = "abcdefghijklmnopqrst" x'
+    hidden = docs([(None, secret), (None, "plain"), (5, secret), (5, "plain")])
+    assert rows(corpus_pipeline.secret_scan, hidden) == sorted([(None, '[SECRET]" x'), (None, "plain"), (5, '[SECRET]" x'), (5, "plain")], key=str)
+    # 5 is a copy of 3 and a text of its own; 7 is two texts of their own, one of them twice
+    copies = docs([(3, prose[0]), (5, prose[0]), (5, prose[1]), (7, prose[2]), (7, prose[3]), (7, prose[3])])
+    assert rows(corpus_pipeline.near_dedup, copies) == sorted([(3, prose[0]), (5, prose[1]), (7, prose[2]), (7, prose[3])], key=str)
+    unnamed = docs([(None, prose[0])] * 30 + [(None, prose[0].upper()), (None, prose[1])])
+    assert len(rows(corpus_pipeline.near_dedup, unnamed)) == 2
+
+
 def test_nothing_else_imports_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     for path in (root / "corpusmill").rglob("*.py"):
