@@ -66,15 +66,18 @@ TRIGGER_CHARS = re.compile("[" + re.escape("".join(LOOK_ALIKE)) + "]")
 DIGIT_OF = {w: str(i) for line in SPELLED for i, w in enumerate(line.split())} | {"oh": "0"}
 WORD = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
 DIGIT_RUN = re.compile(rf"(?i)(?:\bplus[\x20-]+)?\b{WORD}(?:[\x20,-]{{1,3}}(?:{WORD}|[0-9]+)|\x20?(?:\.|\bdot\b)\x20?(?:{WORD}|[0-9]+))*(?![A-Za-z])")
-RUN_TRIGGER = re.compile(rf"\b{WORD}[\x20,.-]{{1,3}}(?:dot\x20)?{WORD}\b")
+# Whatever DIGIT_RUN joins: a spelled digit beside another, or beside figures.
+RUN_GAP = r"(?:[\x20,-]{1,3}|\x20?(?:\.|dot)\x20?)"
+RUN_TRIGGER = re.compile(rf"\b{WORD}{RUN_GAP}(?:{WORD}|[0-9])")
 RUN_TOKEN = re.compile(rf"(?i){WORD}|[0-9]+|plus|dot|\.")
 BRACKET_AT = re.compile(r"(?i)\x20?(?:[\[({<]\x20?(?:at|@)\x20?[\])}>]|_at_)\x20?")
 BRACKET_DOT = re.compile(r"(?i)\x20?(?:[\[({<]\x20?(?:dot|punkt|punto|point|\.)\x20?[\])}>]|_dot_)\x20?")
-BRACKETED = tuple(f"{o}{gap}{w}" for o in "[({<" for gap in ("", " ") for w in ("at", "@")) + ("_at_",)
+BRACKETED = tuple(f"{o}{gap}{w}" for o in "[({<" for gap in ("", " ") for w in ("at", "@", "dot", "punkt", "punto", "point", ".")) + ("_at_", "_dot_")
 # Top-level names that an address in plain words must end with.
 TOP = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|me|dev|app|ai|de|fr|es|it|nl|be|uk|eu|us|ca|cn|jp|ru|ch|at|se|no|dk|fi|pl|pt|br|mx|in|au|nz"
 BARE_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\x20at\x20(?=(?:[a-z0-9-]+\x20dot\x20)+(?:{TOP})\b)")
 BARE_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])")
+NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\x20dot\x20(?=[0-9])")
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9])")
 
 
@@ -155,7 +158,7 @@ def rewrite(text: str) -> Rewritten | None:
     if odd:
         out.apply([(m.start(), m.end(), LOOK_ALIKE[m[0]]) for m in TRIGGER_CHARS.finditer(text)])
     out.apply([(m.start(), m.end(), d) for m in DIGIT_RUN.finditer(out.text) if (d := _digits(m)) is not None])
-    for pattern, new in ((BRACKET_AT, "@"), (BRACKET_DOT, "."), (BARE_AT, "@"), (SPACED_AT, "@")):
+    for pattern, new in ((BRACKET_AT, "@"), (BRACKET_DOT, "."), (NUMBER_DOT, "."), (BARE_AT, "@"), (SPACED_AT, "@")):
         out.apply([(m.start(), m.end(), new) for m in pattern.finditer(out.text)])
     if "@" in out.text:  # a bare " dot " counts only within an address
         out.apply([(m.start(), m.end(), ".") for m in BARE_DOT.finditer(out.text) if _in_address(out.text, m)])

@@ -177,6 +177,20 @@ def test_plain_text_has_no_spans(text):
     assert pii.detect(text)[1] == []
 
 
+@pytest.mark.parametrize(
+    ("text", "piece"),
+    [("go to 192[.]168[.]1[.]1 now", "192[.]168[.]1[.]1"), ("go to 10 (dot) 0 (dot) 0 (dot) 1 now", "10 (dot) 0 (dot) 0 (dot) 1"), ("go to 192 dot 168 dot 1 dot 1 now", "192 dot 168 dot 1 dot 1")],
+)
+def test_addresses_need_no_other_trigger(text, piece):
+    at = text.index(piece)
+    assert pii.detect(text)[1] == [("ip", at, at + len(piece))]
+
+
+def test_runs_of_spelled_digits_and_figures_in_turn():
+    run = "four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1"  # 4111111111111111
+    assert pii.detect(f"pay {run} now")[1] == [("card", 4, 4 + len(run))]
+
+
 def test_long_runs_are_linear():
     assert pii.detect("1" * 300_000)[0] == []
     assert pii.detect("a" * 300_000 + "@")[0] == []
