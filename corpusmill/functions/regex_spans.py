@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import running_totals
+
 MATCH = "struct<start:int,end:int,value:string>"
 
 
 def find_matches(text: Column, pattern: str, hint: Column | None = None) -> Column:
     """``array<struct<start,end,value>>``: leftmost non-overlapping matches, offsets in code points, half open.
 
-    Neither the split nor the extraction gives positions; together they do: match i starts after gaps 0..i and
-    matches 0..i-1. ``pattern`` must not match the empty string. Null texts give null. ``hint`` is a cheap condition that
-    every text with a match meets; other texts are not searched.
+    Neither the split nor the extraction gives positions; together they do: match i ends after gaps 0..i and matches
+    0..i. ``pattern`` must not match the empty string. Null texts give null. ``hint`` is a cheap condition that every
+    text with a match meets; other texts are not searched.
     """
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    pieces = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
     nothing = F.array().cast(f"array<{MATCH}>")
-    start_state = F.struct(F.lit(0).alias("pos"), nothing.alias("found"))
+    searched = F.when(text.rlike(pattern), positioned(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), text, pattern)).otherwise(nothing)
+    return F.when(text.isNull(), None).when(F.lit(True) if hint is None else hint, searched).otherwise(nothing)
 
-    def step(acc, piece):
-        start = acc["pos"] + piece["gap"]
-        end = start + F.coalesce(F.char_length(piece["hit"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("value")).cast(MATCH))
-        return F.struct(end.alias("pos"), F.when(piece["hit"].isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(pieces, start_state, step, lambda acc: acc["found"])
-    searched = F.when(text.rlike(pattern), found).otherwise(nothing)
-    return F.when(text.isNull(), None).when(F.lit(True) if hint is None else hint, searched).otherwise(nothing)
+def positioned(hits: Column, text: Column, pattern: str) -> Column:
+    """The matches ``hits`` of ``pattern`` in ``text`` with their offsets."""
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+    ends = running_totals(F.zip_with(gaps, hits, lambda g, h: F.char_length(g) + F.char_length(h)))
+    return F.zip_with(ends, hits, lambda e, h: F.struct((e - F.char_length(h)).alias("start"), e.alias("end"), h.alias("value")).cast(MATCH))
