@@ -5,10 +5,12 @@ keeping, for each character they emit, the source range it stands for: homoglyph
 digits, at/dot disguises. The same rules run over the rewritten text, and each span found is mapped back to source
 characters. A mapped span that touches a base span of its kind is dropped, so base spans always stay.
 
-The transducers run only on texts in which one of their triggers occurs; the trigger test reads the whole text.
+The transducers run only on texts in which one of their triggers occurs. The triggers are whatever the transducers'
+own tables and patterns can begin with, so an unrelated character elsewhere never decides whether a disguise is found.
 
-Defined results: null and empty texts have no spans; repeated rows get equal results; an empty table gives no rows;
-very long texts cost linear time (no rule can backtrack over a run it has read); extra columns are ignored.
+Defined results: null and empty texts have no spans; a very long text or very many spans cost linear time (no rule
+backtracks over a run it has read, spans are compared by position); spans of equal start are ordered by kind; repeated
+rows get equal results; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -70,15 +74,26 @@ DIGIT_RUN = re.compile(rf"(?i)(?:\bplus[\x20-]+)?\b{WORD}(?:[\x20,-]{{1,3}}(?:{W
 RUN_GAP = r"(?:[\x20,-]{1,3}|\x20?(?:\.|dot)\x20?)"
 RUN_TRIGGER = re.compile(rf"\b{WORD}{RUN_GAP}(?:{WORD}|[0-9])")
 RUN_TOKEN = re.compile(rf"(?i){WORD}|[0-9]+|plus|dot|\.")
-BRACKET_AT = re.compile(r"(?i)\x20?(?:[\[({<]\x20?(?:at|@)\x20?[\])}>]|_at_)\x20?")
-BRACKET_DOT = re.compile(r"(?i)\x20?(?:[\[({<]\x20?(?:dot|punkt|punto|point|\.)\x20?[\])}>]|_dot_)\x20?")
-BRACKETED = tuple(f"{o}{gap}{w}" for o in "[({<" for gap in ("", " ") for w in ("at", "@", "dot", "punkt", "punto", "point", ".")) + ("_at_", "_dot_")
-# Top-level names that an address in plain words must end with.
+# Words for the two marks, and top-level names that an address in plain words must end with unless its
+# shape tells.
+AT, DOT = "at|@", r"dot|punkt|punto|point|\."
 TOP = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|me|dev|app|ai|de|fr|es|it|nl|be|uk|eu|us|ca|cn|jp|ru|ch|at|se|no|dk|fi|pl|pt|br|mx|in|au|nz"
-BARE_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\x20at\x20(?=(?:[a-z0-9-]+\x20dot\x20)+(?:{TOP})\b)")
-BARE_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])")
+BRACKET_AT = re.compile(rf"(?i)\x20?(?:[\[({{<]\x20?(?:{AT})\x20?[\])}}>]|_at_)\x20?")
+BRACKETED_DOT = rf"\x20?(?:[\[({{<]\x20?(?:{DOT})\x20?[\])}}>]|_dot_)\x20?"
+BRACKET_DOT = re.compile(rf"(?i){BRACKETED_DOT}")
 NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\x20dot\x20(?=[0-9])")
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9])")
+# A bare " at " joins an address if a disguised dot follows: a bracketed one, two bare ones, or one bare one with a known
+# top-level name or after a local part that holds a figure, dot or underscore, as plain words don't.
+LABEL = r"[A-Za-z0-9-]++"
+BARE_AT = re.compile(
+    rf"(?i)(?<![A-Z0-9._%+-])(?:(?=[A-Z%+-]*+[0-9._])(?P<shaped>)|)[A-Z0-9._%+-]*+(?<=[A-Z0-9])(?P<at>\x20at\x20)"
+    rf"(?={LABEL}(?:\.{LABEL})*+(?:{BRACKETED_DOT}{LABEL}|(?:\x20dot\x20{LABEL}){{2}}|\x20dot\x20(?:{TOP})\b|(?P<bare>\x20dot\x20[A-Z]{{2}})))"
+)
+# Bare dots count within an address only: a chain of address words that holds an "@".
+DOTTED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])(?<!\x20dot\x20)(?:[A-Za-z0-9._%+-]++(?:\x20dot\x20[A-Za-z0-9._%+-]++)*+)@[A-Za-z0-9.-]++(?:\x20dot\x20[A-Za-z0-9.-]++)*+")
+BARE_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])")
+MARK_TRIGGER = re.compile(rf"[\[({{<]\x20?(?:{AT}|{DOT})\x20?[\])}}>]|_at_|_dot_|\x20dot\x20|\x20@\x20")
 
 
 def find_emails(text: str) -> list[tuple[int, int]]:
@@ -121,23 +136,24 @@ class Rewritten:
 
     def __init__(self, text: str):
         self.text = text
-        self.starts: list[int] | range = range(len(text))
-        self.ends: list[int] | range = range(1, len(text) + 1)
+        self.starts = np.arange(len(text), dtype=np.int32)
+        self.ends = self.starts + np.int32(1)
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace ascending, disjoint ranges; emitted characters stand for the whole range replaced."""
+        """Replace ascending, disjoint, non-empty ranges; emitted characters stand for the whole range replaced."""
         if not edits:
             return
         out, starts, ends, last = [], [], [], 0
-        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+        for a, b, new in edits:
             out += self.text[last:a], new
-            starts += [*self.starts[last:a], *[self.starts[a] if a < b else 0] * len(new)]
-            ends += [*self.ends[last:a], *[self.ends[b - 1] if a < b else 0] * len(new)]
+            starts += self.starts[last:a], np.full(len(new), self.starts[a], np.int32)
+            ends += self.ends[last:a], np.full(len(new), self.ends[b - 1], np.int32)
             last = b
-        self.text, self.starts, self.ends = "".join(out), starts, ends
+        self.text = "".join([*out, self.text[last:]])
+        self.starts, self.ends = np.concatenate([*starts, self.starts[last:]]), np.concatenate([*ends, self.ends[last:]])
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.starts[a], self.ends[b - 1]
+        return int(self.starts[a]), int(self.ends[b - 1])
 
 
 def _digits(m: re.Match) -> str | None:
@@ -151,39 +167,38 @@ def rewrite(text: str) -> Rewritten | None:
     """The text with its disguises undone, or None if it holds no trigger."""
     low = text.lower()
     odd = not text.isascii() and not LOOK_ALIKE.keys().isdisjoint(text)
-    ats = "@" in text or " dot " in low or any(b in low for b in BRACKETED)
-    if not (odd or ats or RUN_TRIGGER.search(low)):
+    if not (odd or MARK_TRIGGER.search(low) or RUN_TRIGGER.search(low)):
         return None
     out = Rewritten(text)
     if odd:
         out.apply([(m.start(), m.end(), LOOK_ALIKE[m[0]]) for m in TRIGGER_CHARS.finditer(text)])
     out.apply([(m.start(), m.end(), d) for m in DIGIT_RUN.finditer(out.text) if (d := _digits(m)) is not None])
-    for pattern, new in ((BRACKET_AT, "@"), (BRACKET_DOT, "."), (NUMBER_DOT, "."), (BARE_AT, "@"), (SPACED_AT, "@")):
+    out.apply([(*m.span("at"), "@") for m in BARE_AT.finditer(out.text) if m["bare"] is None or m["shaped"] is not None])
+    for pattern, new in ((BRACKET_AT, "@"), (BRACKET_DOT, "."), (NUMBER_DOT, "."), (SPACED_AT, "@")):
         out.apply([(m.start(), m.end(), new) for m in pattern.finditer(out.text)])
-    if "@" in out.text:  # a bare " dot " counts only within an address
-        out.apply([(m.start(), m.end(), ".") for m in BARE_DOT.finditer(out.text) if _in_address(out.text, m)])
+    if "@" in out.text:
+        out.apply([(d.start(), d.end(), ".") for m in DOTTED.finditer(out.text) for d in BARE_DOT.finditer(out.text, *m.span())])
     return out
 
 
-def _in_address(text: str, m: re.Match, reach: int = 64) -> bool:
-    """An ``@`` stands near, with only address characters and further `` dot `` between."""
-    before, after = BARE_DOT.sub(".", text[max(0, m.start() - reach) : m.start()]), BARE_DOT.sub(".", text[m.end() : m.end() + reach])
-    return bool(re.search(r"@[A-Za-z0-9.-]+$", before) or re.match(r"[A-Za-z0-9._%+-]+@", after))
-
-
 def detect(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with the method's own; both by kind as listed, then start."""
     base = find_spans(text)
     changed = rewrite(text)
     if changed is None or changed.text == text:
         return base, base
-    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    for kind, a, b in base:
-        taken[kind].append((a, b))
-    extra = [(kind, *changed.source(a, b)) for kind, a, b in find_spans(changed.text)]
-    extra = [(k, a, b) for k, a, b in extra if not any(a < y and x < b for x, y in taken[k])]
-    rank = {k: i for i, k in enumerate(KINDS)}
-    return base, sorted({*base, *extra}, key=lambda s: (rank[s[0]], s[1], s[2]))
+    extra = {(kind, *changed.source(a, b)) for kind, a, b in find_spans(changed.text)}
+    spans: list[Span] = []
+    for kind in KINDS:
+        own = [s for s in base if s[0] == kind]  # disjoint, by start
+        ends = [b for _, _, b in own]
+        new = []
+        for s in extra:
+            at = bisect_right(ends, s[1]) if s[0] == kind else -1  # the first base span that ends after this one starts
+            if at >= 0 and (at == len(own) or own[at][1] >= s[2]):
+                new.append(s)
+        spans += sorted([*own, *new], key=lambda s: s[1:])
+    return base, spans
 
 
 def joined(spans: list[Span]) -> str:
