@@ -5,12 +5,16 @@ Features are the character n-grams inside words (each word with one blank on bot
 ``log((pos+1)/(P+2)) - log((neg+1)/(N+2))``; logistic regression with an L2 penalty is fitted over the ``keep``
 buckets whose ratio is best supported.
 
-Training reads a bounded sample: at most ``max_train_rows`` labelled rows, the smallest by a hash of the id, texts of
-at most ``max_train_bytes``. That bounds the single fitting task whatever the corpus size; scoring reads every text.
-
-Defined results: null and empty texts get the score of the intercept alone; repeated rows get equal scores; an empty
-table gives no rows; when no row can be learnt from, every score is the smoothed base rate; extra columns are ignored;
-labels whose ``toxic`` is null are not learnt from; of texts that share an id the least is learnt from, once.
+Training reads a bounded sample of whole texts: at most ``max_train_rows`` labelled rows, the smallest by a hash of the
+id. Buckets are counted where the texts are read and summed by bucket; only the chosen buckets of a text travel on, so
+the task that fits holds at most ``max_train_rows * keep`` small integers, however long the texts are. Scoring reads
+every text.
+
+Defined results: null and empty texts get the score of the intercept alone; very long texts count each bucket once;
+repeated rows get equal scores; an empty table gives no rows; when no row can be learnt from, every score is the
+smoothed base rate; labels whose ``toxic`` is null are not learnt from; of texts that share an id the least is learnt
+from, once, as toxic if any of its labels is; among equally supported buckets the least numbers are kept; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import decode, per_text
+from .support import decode, materialize, per_text
 
 
 @dataclass(frozen=True)
@@ -35,7 +39,6 @@ class ToxicityConfig:
     penalty: float = 10.0
     rounds: int = 150
     max_train_rows: int = 12_000
-    max_train_bytes: int = 20_000
     threshold: float = 0.3
 
 
@@ -57,69 +60,84 @@ def ngram_buckets(text: str, cfg: ToxicityConfig) -> np.ndarray:
     return np.concatenate(found)
 
 
-def fit_weights(texts: list[str], toxic: np.ndarray, cfg: ToxicityConfig) -> tuple[np.ndarray, float]:
-    """Weights per bucket (ratio times learnt coefficient) and the intercept."""
-    rows, size = len(texts), cfg.buckets
-    weights = np.zeros(size)
-    positives = float(toxic.sum())
-    intercept = float(np.log((positives + 1) / (rows - positives + 1)))
-    if not 0 < positives < rows:
-        return weights, intercept
-    features = [np.unique(ngram_buckets(t, cfg)) for t in texts]
-    in_pos = np.zeros(size)
-    in_all = np.zeros(size)
-    for f, y in zip(features, toxic, strict=True):
-        in_all[f] += 1
-        if y:
-            in_pos[f] += 1
-    ratio = np.log((in_pos + 1) / (positives + 2)) - np.log((in_all - in_pos + 1) / (rows - positives + 2))
-    support = np.abs(ratio) * np.sqrt(np.minimum(in_all, rows - in_all))
-    support[in_all < cfg.min_docs] = 0
-    chosen = np.argsort(-support, kind="stable")[: cfg.keep]
-    chosen = chosen[support[chosen] > 0]
-    if not len(chosen):
-        return weights, intercept
-    column = np.full(size, -1)
-    column[chosen] = np.arange(len(chosen))
-    picked = [(c := column[f])[c >= 0] for f in features]
-    cols, at = np.concatenate(picked), np.repeat(np.arange(rows), [len(p) for p in picked])
-    value, y = ratio[chosen][cols], toxic.astype(float)
-    coef, moment, spread = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+def fit_coefficients(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, intercept: float, cfg: ToxicityConfig) -> np.ndarray:
+    """Logistic regression over the chosen features (``rows``: their numbers per text); the intercept comes last."""
+    n, width = len(rows), len(ratio)
+    cols, at = np.concatenate([np.zeros(0, np.int64), *rows]), np.repeat(np.arange(n), [len(r) for r in rows])
+    value, y = ratio[cols], toxic.astype(float)
+    coef, moment, spread = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     coef[-1] = intercept
     for step in range(1, cfg.rounds + 1):  # Adam on the full sample
-        z = np.bincount(at, value * coef[cols], rows) + coef[-1]
+        z = np.bincount(at, value * coef[cols], n) + coef[-1]
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        slope = np.append(np.bincount(cols, value * error[at], len(chosen)) + cfg.penalty * coef[:-1], error.sum()) / rows
+        slope = np.append(np.bincount(cols, value * error[at], width) + cfg.penalty * coef[:-1], error.sum()) / n
         moment = 0.9 * moment + 0.1 * slope
         spread = 0.99 * spread + 0.01 * slope**2
         coef -= 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
-    weights[chosen] = ratio[chosen] * coef[:-1]
-    return weights, float(coef[-1])
+    return coef
 
 
-def train(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> tuple[np.ndarray, float]:
-    """Fit on a bounded sample of ``labels(doc_id, toxic)`` joined to ``docs(doc_id, text)``; one task fits."""
+def training_rows(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig) -> DataFrame:
+    """``doc_id, text, toxic`` of at most ``max_train_rows`` ids, written once."""
     sample = (
         labels.select("doc_id", "toxic")
         .where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(cfg.max_train_rows)
     )
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= cfg.max_train_bytes)
-    # one text per id, so that repeated ids can't swell the fitting task
-    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    # one text per id, so that repeated ids can't swell the sample
+    return materialize(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-sample")
+
 
-    def run(batches):
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("toxic", pa.int32())]))
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        weights, intercept = fit_weights([decode(t) for t in table["text"].to_pylist()], table["toxic"].to_numpy(), cfg) if table.num_rows else (np.zeros(cfg.buckets), 0.0)
-        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([intercept], pa.float64())], names=["weights", "intercept"])
+def chosen_buckets(rows: DataFrame, total: int, toxic: int, cfg: ToxicityConfig) -> DataFrame:
+    """``bucket, ratio`` of the ``keep`` best supported buckets: counted in the tasks that read the texts, then summed."""
 
-    fitted = rows.select(F.col("doc_id").cast("long"), "text", "toxic").repartition(1).mapInArrow(run, "weights binary, intercept double").head()
-    if fitted is None:
-        return np.zeros(cfg.buckets, np.float32), 0.0
-    return np.frombuffer(bytes(fitted.weights), "<f4"), float(fitted.intercept)
+    def count(batches):
+        seen, bad = np.zeros(cfg.buckets, np.int64), np.zeros(cfg.buckets, np.int64)
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.unique(ngram_buckets(decode(text or b""), cfg))
+                seen[found] += 1
+                bad[found] += bool(label)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at]), pa.array(bad[at])], names=["bucket", "seen", "bad"])
+
+    counts = rows.select("text", "toxic").mapInArrow(count, "bucket int, seen long, bad long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    ratio = F.log((F.col("bad") + 1) / (toxic + 2)) - F.log((F.col("seen") - F.col("bad") + 1) / (total - toxic + 2))
+    support = F.abs(ratio) * F.sqrt(F.least(F.col("seen"), total - F.col("seen")).cast("double"))
+    known = counts.where(F.col("seen") >= cfg.min_docs).select("bucket", ratio.alias("ratio"), F.round(support, 9).alias("support")).where("support > 0")
+    return known.orderBy(F.desc("support"), "bucket").limit(cfg.keep).select("bucket", "ratio")
+
+
+def train(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> tuple[np.ndarray, float]:
+    """Weights per bucket (ratio times learnt coefficient) and the intercept, from ``labels(doc_id, toxic)``."""
+    rows = training_rows(docs, labels, cfg)
+    weights, facts = np.zeros(cfg.buckets, np.float32), rows.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") != 0).alias("bad")).head()
+    if not facts.n:
+        return weights, 0.0
+    intercept = float(np.log((facts.bad + 1) / (facts.n - facts.bad + 1)))
+    chosen = sorted(chosen_buckets(rows, facts.n, facts.bad, cfg).collect()) if 0 < facts.bad < facts.n else []  # at most cfg.keep
+    if not chosen:
+        return weights, intercept
+    buckets, ratio = np.array([r.bucket for r in chosen]), np.array([r.ratio for r in chosen])
+
+    def pick(batches):
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(buckets, ngram_buckets(decode(t or b""), cfg))).astype(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "features", "toxic"])
+
+    def fit(batches):
+        names = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.int32())), ("toxic", pa.int32())])
+        table = pa.Table.from_batches(list(batches), schema=names).sort_by("doc_id")
+        coef = fit_coefficients([np.asarray(f, np.int64) for f in table["features"].to_pylist()], table["toxic"].to_numpy() != 0, ratio, intercept, cfg)
+        yield pa.RecordBatch.from_arrays([pa.array([coef.tolist()], pa.list_(pa.float64()))], names=["coef"])
+
+    picked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(pick, "doc_id long, features array<int>, toxic int")
+    coef = np.array(picked.repartition(1).mapInArrow(fit, "coef array<double>").head().coef)
+    weights[buckets] = ratio * coef[:-1]
+    return weights, float(coef[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
@@ -128,13 +146,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], cfg: ToxicityConfig
 
     def make():
         weights, intercept = shared.value
-        seen = np.zeros(cfg.buckets, bool)
 
         def one(raw: bytes) -> float:
-            found = ngram_buckets(decode(raw), cfg)
-            seen[found] = True
-            z = intercept + float(weights[seen].sum())
-            seen[found] = False
+            z = intercept + float(weights[np.unique(ngram_buckets(decode(raw), cfg))].sum())
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         def work(texts: list[bytes]) -> list[list]:
