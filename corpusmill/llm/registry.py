@@ -41,8 +41,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
-def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest_columns(secrets.scan_increment(read_table(spark, sf_dir, "documents"), new_path(spark, "ledger")))
+def op8_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """``ledger`` names a lasting ledger, of which a later run scans only what is new; the query alone begins an empty
+    one, so that running it again never does less."""
+    return secrets.digest_columns(secrets.scan_increment(read_table(spark, sf_dir, "documents"), ledger or new_path(spark, "ledger")))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

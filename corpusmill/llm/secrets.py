@@ -5,12 +5,15 @@ the pairs (blob, rule version) already scanned and what was found. A run finds t
 blob's text from one of its paths, scans it with the rules it lacks, appends to the ledger, and joins the findings back
 to all paths. Texts travel once, keyed by path and blob, so a blob with a third of all paths is one row there.
 
-Positions come from ``split`` and ``regexp_extract_all``: a match starts after all gaps and matches before it.
+Positions come from ``split`` and ``regexp_extract_all``: a match ends after all gaps and matches up to it.
 
 Ledger layout, below one folder: ``scanned/`` (blob, rule_key) and ``findings/`` (blob, spans), both append-only Parquet.
 
-Defined results: null and empty texts are one blob without findings; repeated rows get equal results; null paths are
-paths like any other; an empty table gives no rows and appends nothing; extra columns are ignored.
+Defined results: null and empty texts are one blob without findings; very long texts are scanned whole, in time linear
+in their length and matches; spans of equal start are in rule order; repeated rows get equal results; null paths are
+paths like any other; an empty table gives no rows and appends nothing; extra columns, whatever their names, are
+ignored. A run that dies between the two appends leaves findings without their pairs: the next run scans these blobs
+again, and equal findings count once.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrays import let
+from corpusmill.functions.regex_spans import positioned
+
 from .support import materialize, path_exists
 
 
@@ -65,21 +71,11 @@ def blob_id(text: Column) -> Column:
 
 def spans_of(text: Column, rule: Rule) -> Column:
     """Array of ``(rule_key, start, end)`` in code points."""
-    whole = rule.pattern
-    hits = F.regexp_extract_all(text, F.lit(f"({whole})"), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(f"({whole})"), F.lit(rule.group + 1))
-    gaps = F.transform(F.split(text, whole, -1), lambda g: F.char_length(g))
-    pieces = F.arrays_zip(gaps.alias("gap"), F.transform(hits, lambda h: F.char_length(h)).alias("len"), F.transform(values, lambda v: F.char_length(v)).alias("value"))
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("found"))
-
-    def step(acc, piece):
-        start = acc["pos"] + piece["gap"]
-        end = start + F.coalesce(piece["len"], F.lit(0))
-        span = F.struct(F.lit(rule.key).alias("rule_key"), start.alias("start"), end.alias("end")).cast(SPAN)
-        return F.struct(end.alias("pos"), F.when(piece["value"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(pieces, empty, step, lambda acc: acc["found"])
-    return F.when(text.rlike(rule.hint), found).otherwise(empty["found"])
+    part = lambda group: F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(group))
+    pairs = F.arrays_zip(positioned(part(1), text, rule.pattern).alias("m"), part(rule.group + 1).alias("v"))
+    kept = F.filter(pairs, lambda x: F.char_length(x["v"]) >= rule.least)
+    found = F.transform(kept, lambda x: F.struct(F.lit(rule.key).alias("rule_key"), x["m"]["start"].alias("start"), x["m"]["end"].alias("end")).cast(SPAN))
+    return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan_increment(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, path_col: str = "doc_id") -> DataFrame:
@@ -128,15 +124,22 @@ def digest_columns(found: DataFrame, path_col: str = "doc_id") -> DataFrame:
     return found.select(path_col, *map(count, base), F.sha2(show(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"))
 
 
-def redact_expr(text: str, spans: str) -> Column:
+def redact_expr(text: Column, spans: Column) -> Column:
     """The text with each span replaced by ``[SECRET]``; overlapping spans go as one."""
-    state = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    joined = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<gap:int,start:int>>").alias("cuts")), _cut)
+
+    def rebuild(done):
+        pieces = F.transform(done["cuts"], lambda c: F.concat(F.substring(text, c["gap"] + 1, c["start"] - c["gap"]), F.lit("[SECRET]")))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, done["end"] + 1, F.char_length(text)))
+
+    return let(joined, rebuild)
 
-    def step(acc, s):
-        keep = F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("[SECRET]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), keep.alias("out"))
 
-    return F.aggregate(F.col(spans), state, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, F.char_length(text))))
+def _cut(acc: Column, s: Column) -> Column:
+    """Adds the gap before a span that begins at or after the end of those before it."""
+    one = F.struct(acc["end"].alias("gap"), s["start"].alias("start")).cast("struct<gap:int,start:int>")
+    cuts = F.when(s["start"] >= acc["end"], F.array_append(acc["cuts"], one)).otherwise(acc["cuts"])
+    return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), cuts.alias("cuts"))
 
 
 # DuckDB: the same positions from its own split and extract functions; the method's prefix rules are fixed in length
