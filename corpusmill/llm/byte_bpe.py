@@ -6,9 +6,9 @@ the rest are merged on bytes linked in a list, with a heap of adjacent pairs by
 
 A memo of at most ``memo_entries`` pre-tokens per worker spares repeated lookups; it is emptied when full.
 
-Defined results: null and empty texts have no tokens and decode to nothing; malformed UTF-8 is encoded as U+FFFD;
-repeated rows get equal results; a pre-token of n bytes costs n log n; an empty table gives no rows; extra columns are
-ignored.
+Defined results: null and empty texts have no tokens and decode to nothing; malformed UTF-8 is encoded as U+FFFD; very
+long texts are encoded whole, and a pre-token of n bytes costs n log n; of pairs of equal rank the leftmost is merged
+first; repeated rows get equal results; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -162,8 +162,6 @@ class ByteBpe:
             pieces = find(text)
             coded = list(map(get, pieces))
             if None in coded:
-                if len(memo) > limit:
-                    memo.clear()
                 for i, ids in enumerate(coded):
                     if ids is None:
                         p = pieces[i]
@@ -171,6 +169,8 @@ class ByteBpe:
                         if ids is None:
                             ids = pack("<%dI" % len(ids := self.encode_piece(p.encode("utf-8", "replace"))), *ids)
                             if len(p) <= longest:
+                                if len(memo) >= limit:
+                                    memo.clear()
                                 memo[p] = ids
                         coded[i] = ids
             return b"".join(coded)

@@ -11,9 +11,10 @@
 Rows are keyed by a ``row_id`` fixed in the written index, so repeated or null ids need no care, and every later
 shuffle is by ``(row_id, pos)``: a passage shared by a third of all documents spreads over all tasks.
 
-Defined results: null and empty texts have no words and are not contaminated; repeated rows get equal results; items
-without words are ignored, items of equal id count once, a null item_id counts as the empty string; an empty table
-gives no rows, an empty benchmark marks nothing; extra columns are ignored.
+Defined results: null and empty texts have no words and are not contaminated; very long texts are read whole; repeated
+rows get equal results; of terms equally rare the least number anchors; items without words are ignored, items of equal
+id count once, a null item_id counts as the empty string; an empty table gives no rows, an empty benchmark marks
+nothing; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

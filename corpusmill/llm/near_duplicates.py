@@ -13,9 +13,10 @@ than ``cell_limit`` of them never forms its pairs: each member names the balls o
 the bits outside the cell's families), and members of one ball, at most 2 bits apart, are linked in a star. That is as
 exact, and linear. Components come from distributed star contraction over different fingerprints.
 
-Defined results: texts without words, null included, have fingerprint zero and link like any other; repeated rows and
-equal texts share a component; rows with a null id join components but never name one (null if no member has an id);
-an empty table gives no rows; extra columns are ignored.
+Defined results: texts without words, null included, have fingerprint zero and link like any other; very long texts are
+hashed whole, in slices; a bit set in just half of the hashes is 0; repeated rows and equal texts share a component; rows
+with a null id join components but never name one (null if no member has an id); an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ class SimHashConfig:
     shingle: int = 3
     seed: int = 42
     families: int = 4
-    pivots_per_family: int = 8
+    #: As many as a segment has bits, so that equal coordinates mean equal segments and cells stay small.
+    pivots_per_family: int = 16
     cell_limit: int = 64
     pivot_seed: int = 1
 

@@ -8,7 +8,8 @@ order and differ from an equal share by less than one document at either end. No
 
 Defined results: null texts have size 16 and checksum 0 (that of the empty text); null ids come first; rows equal in
 id, checksum and size are interchangeable and get consecutive slots; a document larger than a shard's share leaves
-shards after it empty; an empty table gives no rows; extra columns are ignored.
+shards after it empty; of a very long text only length and checksum are kept; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -163,6 +163,21 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert secrets.scan_increment(docs([]), ledger).count() == 0
 
 
+def test_query_with_a_lasting_ledger_scans_nothing_twice(spark, sf):
+    ledger = new_path(spark, "ledger")
+    first = sorted(map(tuple, registry.op8_secrets(spark, sf, ledger).collect()), key=repr)
+    scanned = spark.read.parquet(f"{ledger}/scanned").count()
+    assert sorted(map(tuple, registry.op8_secrets(spark, sf, ledger).collect()), key=repr) == first
+    assert spark.read.parquet(f"{ledger}/scanned").count() == scanned > 0
+
+
+def test_secrets_in_a_very_long_text(spark, docs):
+    n = 4_000
+    text = " ".join(f"é{i} AKIA{'A' * 16}" for i in range(n))
+    spans = secrets.scan_increment(docs([(1, text)]), new_path(spark, "ledger")).head().spans
+    assert len(spans) == n and all(text[s.start : s.end] == "AKIA" + "A" * 16 for s in spans)
+
+
 def test_prefix_rules(spark, docs):
     text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 18 + " xoxb-1234567890-abc"
     spans = secrets.scan_increment(docs([(1, text)]), new_path(spark, "ledger")).head().spans
@@ -314,6 +329,26 @@ def test_stages_decide_by_row_when_ids_are_null_or_repeated(spark, docs, sf):
     assert len(rows(corpus_pipeline.near_dedup, unnamed)) == 2
 
 
+def test_stages_with_clashing_columns_and_long_texts(spark, docs, sf):
+    import corpus_pipeline
+
+    prose = " ".join(hashlib.md5(str(i).encode()).hexdigest()[:7] for i in range(90))
+    long = " ".join(hashlib.md5(str(i).encode()).hexdigest()[:9] for i in range(60_000)) + ' token = "abcdefghijklmnopqrst"'
+    table = docs([(1, prose), (1, prose), (2, long), (2, long), (3, None)]).drop("score")
+    for name in ("_spans", "blob", "found", "key", "id", "row", "component_id", "unnamed", "a.b", "kept", "fp"):
+        table = table.withColumn(name, F.lit(name))
+    table = table.withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, sf)
+        assert out.columns == table.columns and stage(spark, table.limit(0), sf).count() == 0
+        assert all(r["a.b"] == "a.b" and r["_spans"] == "_spans" for r in out.collect())
+    kept = corpus_pipeline.near_dedup(spark, table, sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+    assert {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, table, sf).collect()}[2] == long.replace('token = "abcdefghijklmnopqrst', "[SECRET]")
+    encoded = corpus_pipeline.encode_tokens(spark, table, sf).collect()
+    assert sorted((r.doc_id, r.n_tokens == 0) for r in encoded) == [(1, False), (1, False), (2, False), (2, False), (3, True)]
+
+
 def test_nothing_else_imports_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     for path in (root / "corpusmill").rglob("*.py"):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusmill.llm import byte_bpe, html_text, language, pii, quality, registry, toxicity
 
@@ -33,6 +35,16 @@ def test_edge_rows_give_one_row_each(spark, docs, name):
     assert (out(empty) if out else byte_bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN)).count() == 0
 
 
+def test_columns_named_like_results_are_ignored(spark, docs):
+    table = docs([(1, "a b c"), (1, "a b c")])
+    for name in ("spans", "kept", "n_words", "k", "t", "lang_pred", "ids", "n_tokens", "predicted", "held_out", "toxic", "accepted"):
+        table = table.withColumn(name, F.lit("x"))
+    labels = spark.createDataFrame([(1, 1, "q")], "doc_id long, toxic int, text string")
+    for out in (pii.personal_data(table), quality.quality_report(table), language.language_id(table), toxicity.toxicity(table, labels), byte_bpe.encode_documents(table, RANKS, public_tokenizers.PATTERN)):
+        first, second = out.collect()
+        assert first == second and first.doc_id == 1
+
+
 # --- quality
 
 
@@ -69,19 +81,36 @@ def test_quality_counts_property(text):
     assert quality.judge(text.encode(), squeeze, quality.CompressionBands())[:5] == brute_quality(text)
 
 
-def test_bands_reject_repetition_and_noise_and_keep_labelled_clean_texts(spark):
+def test_bands_reject_repetition_and_noise():
     rng, bands = random.Random(1), quality.CompressionBands()
     squeeze = quality.compressor(bands)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
     assert not quality.judge((" ".join(words) + " ").encode() * 40, squeeze, bands)[6]
     assert not quality.judge(b" ".join(bytes(rng.randrange(128, 256) for _ in range(40)) for _ in range(80)), squeeze, bands)[6]
-    sf = "/root/testdata/sf0.01"
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    rows = [r for r in registry.op4_quality(spark, sf).collect() if r.doc_id in labels and not r.base_failed]
-    clean = [r.kept for r in rows if labels[r.doc_id] == 1]
+
+
+def test_labelled_texts_of_another_fold(spark):
+    """The limits were set in view of sf0.01; here sf0.1, rows of one fold, by language: no clean text goes, and with the
+    base rule at least seven tenths of the labelled junk do (the rest are words between bars, see README)."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in registry.op4_quality(spark, sf).collect() if r.doc_id in labels]
+    for code in set(lang.values()):
+        clean = [r.kept for r in rows if lang[r.doc_id] == code and labels[r.doc_id] == 1 and not r.base_failed]
+        assert clean and all(clean)
     junk = [r.kept for r in rows if labels[r.doc_id] == 0]
-    assert all(clean)
-    assert sum(junk) / len(junk) < 0.7
+    assert sum(junk) / len(junk) < 0.3
+
+
+def test_bands_depend_on_length_alone():
+    """A chunk is held to the band of its own length, in short texts and long ones alike."""
+    bands = quality.CompressionBands()
+    for n in (100, 255, 256, 3000, 10**6):
+        low, low_ascii, high = next(limits for below, *limits in bands.bands if n < below)
+        assert quality.fits(b"a" * n, high, bands) and not quality.fits(b"a" * n, high + 0.01, bands)
+        assert quality.fits(b"a" * n, low_ascii, bands) and not quality.fits(b"a" * n, low_ascii - 0.01, bands)
+        assert quality.fits("é".encode() * (n // 2), low, bands)
 
 
 LICENCES = [p for p in sorted(Path("/usr/share/common-licenses").glob("*")) if p.is_file() and not p.is_symlink()]
@@ -191,6 +220,38 @@ def test_runs_of_spelled_digits_and_figures_in_turn():
     assert pii.detect(f"pay {run} now")[1] == [("card", 4, 4 + len(run))]
 
 
+@pytest.mark.parametrize(
+    ("text", "piece"),
+    [
+        ("ask joe at example [dot] com now", "joe at example [dot] com"),
+        ("ask joe[at]example dot com now", "joe[at]example dot com"),
+        ("ask joe @ example dot com now", "joe @ example dot com"),
+        ("ask joe at mail dot example dot xyz now", "joe at mail dot example dot xyz"),
+        ("ask joe.7 at example dot xyz now", "joe.7 at example dot xyz"),
+        (f"ask {'a' * 100} dot {'b' * 100} (at) {'c' * 100} dot com now", f"{'a' * 100} dot {'b' * 100} (at) {'c' * 100} dot com"),
+    ],
+)
+def test_mixed_disguises_of_any_length(text, piece):
+    at = text.index(piece)
+    assert pii.detect(text)[1] == [("email", at, at + len(piece))]
+
+
+DISGUISED = ["joe at example [dot] com", "10[.]0[.]0[.]1", "j (at) x (dot) org", "four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1", "a@b.co", "plain words at the dot matrix", "plus one two one two five five five one two three four", "jоhn@exаmple.com", "1 dot 2 dot 3 dot 4"]
+
+
+@given(st.lists(st.sampled_from(DISGUISED), min_size=1, max_size=4), st.sampled_from("@#é。٣; ("))
+@settings(max_examples=200, deadline=None)
+def test_an_unrelated_character_changes_no_span(parts, stray):
+    text = " ;; ".join(parts)
+    assert pii.detect(text + " ;; " + stray)[1] == pii.detect(text)[1]
+
+
+def test_many_spans_are_compared_in_linear_time():
+    n = 30_000
+    base, spans = pii.detect(" ".join(f"u{i} (at) x{i} (dot) com a{i}@b.org" for i in range(n)))
+    assert len(base) == n and len(spans) == 2 * n and spans == sorted(spans, key=lambda s: s[1])
+
+
 def test_long_runs_are_linear():
     assert pii.detect("1" * 300_000)[0] == []
     assert pii.detect("a" * 300_000 + "@")[0] == []
@@ -252,6 +313,31 @@ def test_language_edges(spark, docs):
     assert language.language_id(docs([])).count() == 0
 
 
+def test_language_sizes_match_brute_force():
+    import zstandard
+
+    models = {"b": b" der die und ist das nicht mit auf von zu ", "a": b" the and of to in that is was with for "}
+    cfg = language.LanguageConfig(chunk_bytes=40)
+    text = "The end of it was in the town. " * 5 + "½ Ⅷ 12"
+    norm = " " + re.sub("[^a-z]+", " ", text.lower()).strip() + " "
+    for (lang, squeeze), known in zip(language.coders(models, cfg.level), sorted(models), strict=True):
+        d = zstandard.ZstdCompressionDict(models[known], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own = zstandard.ZstdCompressor(level=cfg.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        pieces = [norm[i : i + 40].encode() for i in range(0, len(norm), 40)]
+        assert lang == known and [squeeze(p) for p in pieces] == [own.compress(p) for p in pieces]
+        assert all(zstandard.ZstdDecompressor(dict_data=d).decompress(own.compress(p), max_output_size=99) == p for p in pieces)
+
+
+def test_language_reads_whole_texts_and_needs_letters(spark, docs):
+    models = {"en": b" the and of to in that is was with for ", "de": b" der die und ist das nicht mit auf von zu "}
+    rows = [(1, "½ ²"), (2, "Ⅷ 1 ①"), (3, "the " * 3 + "der die das und nicht mit auf von zu ist " * 2_000), (4, "zzz"), (5, "zzz")]
+    got = {r.doc_id: r for r in language.predict(docs(rows), models).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und", "und", "de"] and got[4].lang_pred == got[5].lang_pred
+    assert language.normalise("Ab-c ½d²E") == "ab c d e"
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language.train_dictionaries(spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, lang string"), language.LanguageConfig(max_langs=1))
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -275,6 +361,49 @@ def test_toxicity_learns_once_per_id(spark, docs):
     assert once[1] == often[1] and (once[0] == often[0]).all() and once[0].any()
 
 
+def own_bucket(gram, cfg):
+    h = len(gram)
+    for ch in gram:
+        h = (h + ord(ch)) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 32
+    return h % cfg.buckets
+
+
+def own_buckets(text, cfg):
+    words = [f" {w} " for w in text.lower().split()]
+    return {own_bucket(w[i : i + n], cfg) for w in words for n in cfg.orders for i in range(len(w) - n + 1)}
+
+
+def test_toxicity_ratios_and_scores_match_brute_force(spark, docs):
+    rng, cfg = random.Random(4), toxicity.ToxicityConfig(buckets=1 << 12, keep=40)
+    texts = [(i, " ".join(rng.choice(["vile", "awful", "calm", "plain", "words", "Ärger"]) for _ in range(rng.randrange(12)))) for i in range(60)]
+    bad = {i: int("vile" in t) for i, t in texts}
+    labels = spark.createDataFrame(list(bad.items()), "doc_id long, toxic int")
+    seen, ill = Counter(), Counter()
+    for i, t in texts:
+        seen.update(own_buckets(t, cfg))
+        ill.update(own_buckets(t, cfg) if bad[i] else ())
+    n, p = len(texts), sum(bad.values())
+    ratio = {b: math.log((ill[b] + 1) / (p + 2)) - math.log((seen[b] - ill[b] + 1) / (n - p + 2)) for b in seen}
+    support = {b: round(abs(ratio[b]) * min(seen[b], n - seen[b]) ** 0.5, 9) for b in seen if seen[b] >= cfg.min_docs}
+    best = sorted((b for b in support if support[b] > 0), key=lambda b: (-support[b], b))[: cfg.keep]
+    rows = toxicity.training_rows(docs(texts), labels, cfg)
+    got = {r.bucket: r.ratio for r in toxicity.chosen_buckets(rows, n, p, cfg).collect()}
+    assert sorted(got) == sorted(best) and all(abs(got[b] - ratio[b]) < 1e-9 for b in best)
+    weights, intercept = toxicity.train(docs(texts), labels, cfg)
+    assert set(np.flatnonzero(weights)) <= set(best)
+    for r in toxicity.score(docs(texts), (weights, intercept), cfg).collect():
+        z = intercept + sum(float(weights[b]) for b in own_buckets(dict(texts)[r.doc_id], cfg))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.predicted == (r.score >= cfg.threshold)
+
+
+def test_toxicity_learns_from_long_texts_whole(spark, docs):
+    texts = [(i, "calm words " * 20_000 + ("vile slur" if i % 2 else "kind end")) for i in range(8)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(9, None)], "doc_id long, toxic int")
+    rows = {r.doc_id: r.score for r in toxicity.score(docs(texts), toxicity.train(docs(texts), labels)).collect()}
+    assert min(rows[i] for i in (1, 3, 5, 7)) > max(rows[i] for i in (0, 2, 4, 6))
+
+
 # --- HTML
 
 
@@ -302,12 +431,30 @@ PROSE = "A long enough sentence of article text stands here, with a comma or two
         (f"<body><nav><a href=x>n</a></nav><div id=main><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div><div class='comments'><p>{PROSE}</p></div><form>f<input></form></body>", " ".join(["T", *[PROSE.strip()] * 2])),
         (f"<div class=sidebar><ul><li><a>x</a></li></ul></div><article><header><h1>T</h1></header><p>{PROSE}<a href=y>link</a> end</p></article><aside>q</aside>", f"T {PROSE}link end"),
         ("<div>" * 3000 + "deep", "deep"),
+        (f"<body><div class='content no-sidebar'><p>{PROSE}</p><p>{PROSE}</p></div></body>", " ".join([PROSE.strip()] * 2)),
+        (f"<body><article><h1>T</h1><p>{PROSE}</p><p><a href=1>one</a>, <a href=2>two</a></p><ol><li><a href=3>r</a></li><li><a href=4>s</a></li></ol></article></body>", f"T {PROSE.strip()} one, two r s"),
+        (f"<body><main><p>{PROSE}<math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></main></body>", PROSE + "x=2"),
+        (f"<body><div id=wrap><h1>H</h1><section>{'<p>' + PROSE + '</p>'}</section><section>{('<p>' + PROSE + '</p>') * 5}</section><table><tr><td>a<td>b</table><ul><li><a href=1>l</a><li><a href=2>m</a></ul></div></body>", " ".join(["H", *[PROSE.strip()] * 6, "a", "b"])),
+        (f"<body><div id=c><h1>H</h1><p>{PROSE}</p><section id='related-work'><h2 id='related-work'>Related</h2><p>{PROSE}</p></section></div></body>", f"H {PROSE.strip()} Related {PROSE.strip()}"),
+        (f"<body><div><h1>T</h1><p>{PROSE}</p></div><div class='comments-section'>{('<p>' + PROSE + '</p>') * 3}</div><div class=cookie-banner>we use</div></body>", f"T {PROSE.strip()}"),
+        (f"<article class=post><p>{PROSE}</p><div class=comment-list><p>{PROSE}</p></div></article><article class=comment><p>{PROSE}</p></article>", PROSE.strip()),
     ],
 )
 def test_html_cases(page, expected):
     assert html_text.extract(page) == expected
 
 
+@pytest.mark.parametrize("piece", ["<textarea>", "<div>", "<p><b>", "<header>", "<td>", "<li>", "<a '", "<title>"])
+def test_html_of_unclosed_elements_is_linear(piece):
+    assert html_text.extract(piece * 30_000) in ("", "<a '" * 15_000) or piece == "<a '"
+
+
+def test_html_extra_columns_and_empty_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a", "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.main_text(pages).collect()] == [(1, "u", "a", 1)]
+    assert html_text.main_text(pages.limit(0)).count() == 0
+
+
 def test_html_null_page(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None)], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in html_text.main_text(pages).collect()] == [("", 0)] * 2
