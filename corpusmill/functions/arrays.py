@@ -1,4 +1,4 @@
-"""Array expressions that stay linear: binding a value once, running totals, first occurrences."""
+"""Array expressions that stay linear: binding a value once, running totals and maxima, first occurrences."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CHUNK = 64
+CHUNK = 256
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -15,33 +15,32 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Inclusive running values of ``combine`` over an array of integers.
 
+    An accumulator that grows by one element a step is copied each time, so the array is taken in chunks: only a chunk's
+    own accumulator grows by elements, the outer one grows by chunks.
+    """
+    parts = F.array().cast("array<array<int>>")
 
-def running_totals(values: Column, levels: int = 2) -> Column:
-    """Inclusive running totals of an array of integers.
+    def extend(acc: Column, chunk: Column) -> Column:
+        grown = F.aggregate(chunk, F.array(acc["last"]), lambda out, x: F.array_append(out, combine(F.element_at(out, -1), x)))
+        return let(grown, lambda g: F.struct(F.element_at(g, -1).alias("last"), F.array_append(acc["parts"], F.slice(g, F.lit(2), F.size(chunk))).alias("parts")))
 
-    An accumulator that grows by one element a step is copied each time, so totals are built in chunks: within a chunk
-    by such an accumulator, over the chunks' own totals by the same function.
-    """
+    def whole(xs: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.aggregate(chunks, F.struct(zero.alias("last"), parts.alias("parts")), extend, lambda acc: F.flatten(acc["parts"]))
 
-    def grown(xs: Column) -> Column:
-        sums = F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
-        return F.slice(sums, 2, F.size(xs))
+    return let(values, whole)
 
-    if not levels:
-        return grown(values)
 
-    def chunked(xs: Column) -> Column:
-        last = F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
-        return let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * CHUNK + 1, F.lit(CHUNK))), summed)
+def running_totals(values: Column) -> Column:
+    return running(values, lambda x, y: x + y, F.lit(0))
 
-    def summed(chunks: Column) -> Column:
-        upto = running_totals(F.transform(chunks, total), levels - 1)
-        return F.flatten(F.zip_with(chunks, upto, lambda chunk, end: let(end - total(chunk), lambda ahead: F.transform(grown(chunk), lambda x: x + ahead))))
 
-    return let(values, lambda xs: F.when(F.size(xs) <= CHUNK, grown(xs)).otherwise(chunked(xs)))
+def running_maxima(values: Column) -> Column:
+    return running(values, lambda x, y: F.greatest(x, y), F.lit(-(1 << 31)))
 
 
 def first_flags(keys: Column) -> Column:

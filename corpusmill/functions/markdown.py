@@ -1,398 +1,308 @@
-"""Markdown structure of one text: blocks, protected spans, line rewriting. A documented subset of CommonMark and tables.
+"""Markdown structure as expressions: a text is cut into blocks by one regular expression, and every rule is a map over
+the blocks. A documented subset of CommonMark and tables.
 
 Blocks: fence, html_block, heading (ATX and setext), thematic_break, blockquote, list_item, table, definition,
-indented_code, paragraph. Block quotes and list items are containers: the paragraphs in them are listed too, not as
-top level. Nested containers are read as text of the outer one. Line ends are CRLF, CR and LF only. All offsets are
-code points, half open.
+indented_code, paragraph, and blank for the white space between. They cover the text: joined, they give it back. Block
+quotes and list items are containers; what they hold is read as text of theirs, a list item goes on over lines indented
+by two blanks (three in numbered lists) or a tab. Parentheses in link destinations nest three deep. Line ends are CRLF, CR and LF only. All offsets
+are code points, half open. Loops in the patterns are possessive, so they neither backtrack nor recurse.
 """
 
 from __future__ import annotations
 
-import difflib
-import re
-from typing import NamedTuple
-
-LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|\Z)")
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
-HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]|$)")
-SETEXT = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
-BREAK = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-QUOTE = re.compile(r" {0,3}>")
-ITEM = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
-DEFINITION = re.compile(r" {0,3}\[(?!\^)([^\]\n]+)\]:[ \t]*(<[^<>\n]*>|\S+)")
-DELIMITER_ROW = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-HTML_START = re.compile(r" {0,3}<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9-]*)(?=[\s/>]|$))")
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .arrays import first_flags, let, running_totals
+from .regex_spans import positioned
+from .text import paragraph_key
+
+NL, EOL, LINE = r"(?:\r\n|\r|\n)", r"(?:\r\n|\r|\n|\z)", r"[^\r\n]*+"
+INDENT = r"[ ]{0,3}+"
+SPACE = r"[\s\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f&&[^\r\n]]"
+BLANK = rf"{SPACE}*+{EOL}"
 # Element names that open an HTML block.
-HTML_TAGS = frozenset(
-    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul".split()
+HTML_TAGS = "address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h1|h2|h3|h4|h5|h6|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul"
+RAW_TAGS = "script|pre|style|textarea"
+MARKER = r"(?:[-*+]|[0-9]{1,9}[.)])"
+
+OPENS = {
+    "fence": rf"{INDENT}(?:`{{3,}}+[^`\r\n]*+{EOL}|~{{3,}})",
+    "html_block": rf"{INDENT}<(?:!--|[!?]|(?i:/?(?:{HTML_TAGS})|(?:{RAW_TAGS}))(?:[\s/>]|\z))",
+    "heading": rf"{INDENT}#{{1,6}}(?:[ \t]|{EOL})",
+    "thematic_break": rf"{INDENT}(?:(?:\*[ \t]*+){{3,}}+|(?:-[ \t]*+){{3,}}+|(?:_[ \t]*+){{3,}}+){EOL}",
+    "blockquote": rf"{INDENT}>",
+    "list_item": rf"{INDENT}{MARKER}(?:[ \t]|{EOL})",
+    "table": rf"[^\r\n|]*+\|{LINE}{NL}{INDENT}\|?[ \t]*+:?-++:?[ \t]*+(?:\|[ \t]*+:?-++:?[ \t]*+)*+\|?[ \t]*+{EOL}",
+    "definition": rf"{INDENT}\[(?!\^)[^\]\r\n]++\]:[ \t]*+(?:<[^<>\r\n]*+>|\S)",
+    "indented_code": r"(?:[ ]{4}|\t)",
+}
+INTERRUPTS = "|".join(OPENS[k] for k in ("fence", "heading", "thematic_break", "blockquote", "list_item", "html_block", "table"))
+SETEXT = rf"{INDENT}(?:=++|-++)[ \t]*+{EOL}"
+
+
+def _fence(mark: str, name: str, info: str) -> str:
+    close = rf"{INDENT}\k<{name}>{mark}*+[ \t]*+{EOL}"
+    return rf"{INDENT}(?<{name}>{mark}{{3,}}+){info}{EOL}(?:(?!{close})(?!\z){LINE}{EOL})*+(?:{close})?+"
+
+
+def _item(marker: str, width: int) -> str:
+    deeper = rf"(?:[ ]{{{width}}}|\t)"
+    return rf"{INDENT}{marker}(?:[ \t]{LINE})?+{EOL}(?:(?!{BLANK})(?:(?={deeper})|(?!{INTERRUPTS})){LINE}{EOL}|(?:{SPACE}*+{NL})++(?={deeper}{SPACE}*+\S))*+"
+
+
+FENCE = rf"{_fence('`', 'tick', '[^`' + chr(92) + 'r' + chr(92) + 'n]*+')}|{_fence('~', 'tilde', LINE)}"
+BLOCKS = "|".join(
+    [
+        rf"(?:{SPACE}*+{NL})++(?:{SPACE}++\z)?+|{SPACE}++\z",
+        FENCE,
+        rf"{INDENT}<!--(?s:.*?)(?:-->{LINE}{EOL}|\z)",
+        rf"{INDENT}<[!?](?s:.*?)(?:>{LINE}{EOL}|\z)",
+        rf"{INDENT}<(?<raw>(?i:{RAW_TAGS}))(?=[\s/>]|\z)(?s:.*?)(?:(?i:</\k<raw>>){LINE}{EOL}|\z)",
+        rf"{INDENT}</?(?i:{HTML_TAGS})(?=[\s/>]|\z){LINE}{EOL}(?:(?!{BLANK}){LINE}{EOL})*+",
+        rf"{INDENT}#{{1,6}}(?:[ \t]{LINE})?+{EOL}",
+        OPENS["thematic_break"],
+        rf"{OPENS['blockquote']}{LINE}{EOL}(?:(?!{BLANK})(?:(?={OPENS['blockquote']})|(?!{INTERRUPTS})){LINE}{EOL})*+",
+        _item("[-*+]", 2),
+        _item("[0-9]{1,9}[.)]", 3),
+        rf"{OPENS['table']}(?:(?!{BLANK}|{OPENS['heading']}|{OPENS['fence']}|{OPENS['blockquote']}){LINE}{EOL})*+",
+        rf"{OPENS['definition']}{LINE}{EOL}",
+        rf"{OPENS['indented_code']}{LINE}{EOL}(?:(?!{BLANK}){OPENS['indented_code']}{LINE}{EOL}|(?:{SPACE}*+{NL})++(?=(?:[ ]{{4}}|\t){SPACE}*+\S))*+",
+        rf"[^\r\n]++{EOL}(?:(?!{BLANK}|{INTERRUPTS}|{SETEXT}){LINE}{EOL})*+(?:{SETEXT})?+",
+    ]
 )
-RAW_TAGS = frozenset("script pre style textarea".split())
-CODE_SPAN = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+)>")
-INLINE_HTML = re.compile(r"<!--.*?-->|</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>", re.S)
-LINK_OPEN = re.compile(r"\]\(")
-IMAGE_TAG = re.compile(r"(?is)<img\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-ALT = re.compile(r"(?is)\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-
-
-class Block(NamedTuple):
-    type: str
-    line_start: int
-    line_end: int
-    start: int
-    end: int
-    top_level: bool
-
-
-class Span(NamedTuple):
-    kind: str
-    start: int
-    end: int
-
-
-def split_lines(text: str) -> list[tuple[int, str]]:
-    """``(offset, line without its end)``."""
-    out = [(m.start(), m[0].rstrip("\r\n")) for m in LINE.finditer(text) if m.start() < len(text)]
-    return out
-
-
-def fence_open(line: str) -> str | None:
-    m = FENCE.fullmatch(line)
-    return m[1] if m and not (m[1][0] == "`" and "`" in m[2]) else None
-
-
-def fence_closes(line: str, opener: str) -> bool:
-    body = line.strip(" ").rstrip(" \t")
-    return len(line) - len(line.lstrip(" ")) <= 3 and len(body) >= len(opener) and not body.strip(opener[0])
-
-
-def has_unclosed_fence(text: str) -> bool:
-    opener = None
-    for _, line in split_lines(text):
-        if opener is None:
-            opener = fence_open(line)
-        elif fence_closes(line, opener):
-            opener = None
-    return opener is not None
-
-
-def _html_end(line: str) -> str | None:
-    """What ends the HTML block that this line opens: a pattern, or "" for a blank line; None if it opens none."""
-    m = HTML_START.match(line)
-    if not m:
-        return None
-    tag = (m[2] or "").lower()
-    if not tag:
-        return "-->" if "<!--" in line else ">"
-    if tag in RAW_TAGS and not m[1]:
-        return f"</{tag}>"
-    return "" if tag in HTML_TAGS else None
-
-
-def segment(text: str) -> list[Block]:
-    """Blocks in order of (start, end)."""
-    lines = split_lines(text)
-    n = len(lines)
-    out: list[Block] = []
-
-    def add(kind: str, a: int, b: int, top: bool = True) -> None:
-        last = lines[b - 1]
-        out.append(Block(kind, a, b, lines[a][0], last[0] + len(last[1]), top))
-
-    def blank(i: int) -> bool:
-        return not lines[i][1].strip()
-
-    def is_table(i: int) -> bool:
-        return i + 1 < n and "|" in lines[i][1] and ("|" in lines[i + 1][1] or "-" in lines[i + 1][1]) and bool(DELIMITER_ROW.match(lines[i + 1][1])) and "|" in lines[i][1] + lines[i + 1][1]
-
-    def interrupts(i: int) -> bool:
-        line = lines[i][1]
-        return bool(fence_open(line) or HEADING.match(line) or BREAK.match(line) or QUOTE.match(line) or ITEM.match(line) or _html_end(line) is not None or is_table(i))
-
-    def inner_paragraphs(a: int, b: int) -> None:
-        start = None
-        for k in range(a, b + 1):
-            text_here = k < b and bool(re.sub(r"^[ \t]*(?:>[ \t]?)*(?:(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$))?", "", lines[k][1]).strip())
-            if text_here and start is None:
-                start = k
-            elif not text_here and start is not None:
-                add("paragraph", start, k, False)
-                start = None
-
-    i = 0
-    while i < n:
-        line = lines[i][1]
-        if blank(i):
-            i += 1
-            continue
-        j = i + 1
-        if opener := fence_open(line):
-            while j < n and not fence_closes(lines[j][1], opener):
-                j += 1
-            j = min(n, j + 1)
-            add("fence", i, j)
-        elif (stop := _html_end(line)) is not None:
-            if stop:
-                j = i
-                while j < n and stop not in lines[j][1].lower():
-                    j += 1
-                j = min(n, j + 1)
-            else:
-                while j < n and not blank(j):
-                    j += 1
-            add("html_block", i, j)
-        elif HEADING.match(line):
-            add("heading", i, j)
-        elif BREAK.match(line):
-            add("thematic_break", i, j)
-        elif QUOTE.match(line):
-            while j < n and not blank(j) and (QUOTE.match(lines[j][1]) or not interrupts(j)):
-                j += 1
-            add("blockquote", i, j)
-            inner_paragraphs(i, j)
-        elif m := ITEM.match(line):
-            width = len(m[0].expandtabs(4))
-            while j < n:
-                indent = len(lines[j][1]) - len(lines[j][1].lstrip(" "))
-                if blank(j):
-                    k = j
-                    while k < n and blank(k):
-                        k += 1
-                    if k == n or len(lines[k][1]) - len(lines[k][1].lstrip(" ")) < min(width, 4) or ITEM.match(lines[k][1]):
-                        break
-                    j = k
-                elif indent >= min(width, 4) or not interrupts(j) and not blank(j - 1):
-                    j += 1
-                else:
-                    break
-            add("list_item", i, j)
-            inner_paragraphs(i, j)
-        elif is_table(i):
-            j = i + 2
-            while j < n and not blank(j) and not (HEADING.match(lines[j][1]) or fence_open(lines[j][1]) or QUOTE.match(lines[j][1])):
-                j += 1
-            add("table", i, j)
-        elif DEFINITION.match(line):
-            add("definition", i, j)
-        elif line.startswith(("    ", "\t")):
-            while j < n and (blank(j) or lines[j][1].startswith(("    ", "\t"))):
-                j += 1
-            while blank(j - 1):
-                j -= 1
-            add("indented_code", i, j)
-        else:
-            kind = "paragraph"
-            while j < n and not blank(j):
-                if SETEXT.match(lines[j][1]):
-                    kind, j = "heading", j + 1
-                    break
-                if interrupts(j):
-                    break
-                j += 1
-            add(kind, i, j)
-        i = j
-    return sorted(out, key=lambda b: (b.start, b.end))
-
-
-def _destination(text: str, at: int, end: int) -> tuple[int, int] | None:
-    """Of the link whose ``(`` is just before ``at``: its destination, parentheses balanced."""
-    while at < end and text[at] in " \t\n":
-        at += 1
-    if at < end and text[at] == "<":
-        close = text.find(">", at, end)
-        return (at, close + 1) if close >= 0 else None
-    depth, i = 0, at
-    while i < end and text[i] not in " \t\n":
-        if text[i] == "\\":
-            i += 1
-        elif text[i] == "(":
-            depth += 1
-        elif text[i] == ")":
-            if not depth:
-                break
-            depth -= 1
-        i += 1
-    return (at, min(i, end)) if i > at and text.find(")", i, end) >= 0 else None
-
-
-def protected(text: str, blocks: list[Block] | None = None) -> list[Span]:
-    """Spans that no rewriting may touch, left to right, without overlaps: fences, HTML blocks, code spans, inline
-    HTML, autolinks, link and image destinations, destinations of reference definitions."""
-    blocks = segment(text) if blocks is None else blocks
-    spans = [Span(b.type, b.start, b.end) for b in blocks if b.type in ("fence", "html_block")]
-    for b in blocks:
-        if not b.top_level or b.type in ("fence", "html_block", "thematic_break"):
-            continue
-        if b.type == "definition" and (m := DEFINITION.match(text, b.start, b.end)):
-            spans.append(Span("definition", m.start(2), m.end(2)))
-            continue
-        at = b.start
-        while at < b.end:
-            options = [(m.start(), k, m) for k, p in (("code", CODE_SPAN), ("autolink", AUTOLINK), ("html_inline", INLINE_HTML), ("destination", LINK_OPEN)) if (m := p.search(text, at, b.end))]
-            if not options:
-                break
-            _, kind, m = min(options, key=lambda o: o[0])
-            if kind == "destination":
-                where = _destination(text, m.end(), b.end)
-                if where:
-                    spans.append(Span(kind, *where))
-                at = where[1] if where else m.end()
-            else:
-                spans.append(Span(kind, m.start(), m.end()))
-                at = m.end()
-    return sorted(spans, key=lambda s: (s.start, s.end))
-
-
-def paragraph_key(text: str) -> str:
-    return re.sub(r"[ \t]+", " ", re.sub(r"\r\n|\r|\n", " ", text)).strip()
-
-
-def dedup_paragraphs(text: str) -> tuple[str, int]:
-    """The first of equal top-level paragraphs stays; later ones go with the blank lines after them."""
-    lines = split_lines(text)
-    seen: set[str] = set()
-    cuts = []
-    for b in segment(text):
-        if b.type != "paragraph" or not b.top_level:
-            continue
-        key = paragraph_key(text[b.start : b.end])
-        if key in seen:
-            j = b.line_end
-            while j < len(lines) and not lines[j][1].strip():
-                j += 1
-            cuts.append((b.start, lines[j][0] if j < len(lines) else len(text)))
-        seen.add(key)
-    out, last = [], 0
-    for a, b in cuts:
-        out.append(text[last:a])
-        last = b
-    return "".join([*out, text[last:]]), len(cuts)
-
-
-def normalize(text: str) -> str:
-    """Text-level formatting: LF ends, no trailing blanks, single blank lines, ``-`` bullets, single inner blanks in
-    paragraphs, one LF at the end. Fences, HTML blocks, indented code and tables keep their lines."""
-    text = re.sub(r"\r\n?", "\n", text.removeprefix("﻿"))
-    blocks = [b for b in segment(text) if b.top_level]
-    lines = text.split("\n")
-    out: list[str] = []
-    last = 0
-    for b in blocks:
-        if b.line_start > last and out:
-            out.append("")
-        for k in range(b.line_start, b.line_end):
-            line = lines[k]
-            if b.type not in ("fence", "html_block", "indented_code"):
-                line = line.rstrip(" \t")
-            if b.type == "list_item":
-                line = re.sub(r"^( {0,3})[*+](?=[ \t])", r"\1-", line)
-            if b.type == "paragraph":
-                line = re.sub(r"(?<=\S)[ \t]{2,}(?=\S)", " ", line)
-            out.append(line if b.type == "fence" or line.strip() or (out and out[-1]) else "")
-        last = b.line_end
-    return "\n".join(out).strip("\n") + "\n" if out else ""
-
-
-def count_changes(before: str, after: str) -> int:
-    """Differing stretches of lines, neighbouring ones as one."""
-    if before == after:
-        return 0
-    codes = difflib.SequenceMatcher(None, before.splitlines(True), after.splitlines(True), autojunk=False).get_opcodes()
-    return sum(c[0] != "equal" and (i == 0 or codes[i - 1][0] == "equal") for i, c in enumerate(codes))
-
-
-def table_form(text: str) -> str:
-    """Tables in a form to compare: cells joined by blanks, delimiter rows as their alignments."""
-    lines = text.split("\n")
-    for b in segment(text):
-        if b.type != "table":
-            continue
-        for k in range(b.line_start, b.line_end):
-            cells = [c.strip() for c in lines[k].strip().strip("|").split("|")]
-            if k == b.line_start + 1:
-                align = [("center" if c[:1] == ":" == c[-1:] and len(c) > 1 else "left" if c[:1] == ":" else "right" if c[-1:] == ":" else "none") for c in cells]
-                lines[k] = "TABLE_DELIMITER:" + ",".join(align)
-            else:
-                lines[k] = " ".join(c for c in cells if c)
-    return "\n".join(lines)
-
-
-def type_signature(text: str) -> list[str]:
-    return [b.type for b in segment(text)]
-
-
-def link_targets(text: str) -> list[str]:
-    return [text[s.start : s.end].strip("<>") for s in protected(text) if s.kind in ("destination", "definition", "autolink")]
-
-
-def visible_text(text: str) -> str:
+CLOSED = rf"\A{INDENT}(?<f>`{{3,}}+|~{{3,}}+)(?s:.*)[\r\n]{INDENT}\k<f>[`~]*+[ \t]*+{NL}?+\z"
+SPECIAL = rf"\A(?:{SPACE}|[\r\n]|{INDENT}[`~<#>*+_\[0-9-])|\|"
+INNER_PARAGRAPH = rf"(?:[ \t]*+(?:>[ \t]?+)*+(?:{MARKER}(?:[ \t]++|(?=[\r\n]|\z)))?+(?={SPACE}*+\S){LINE}{EOL})++"
+
+CODE = r"(?<!`)(?<c>`++)(?s:.+?)(?<!`)\k<c>(?!`)"
+AUTOLINK = r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*+|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]++@[A-Za-z0-9.-]++)>"
+INLINE_HTML = r"<!--(?s:.*?)-->|</?[A-Za-z][A-Za-z0-9-]*+(?:\s[^<>]*+)?+/?>"
+_PLAIN = r"[^\s()\\]|\\[^\r\n]"
+_NESTED = rf"\((?:{_PLAIN}|\((?:{_PLAIN}|\((?:{_PLAIN})*+\))*+\))*+\)"
+DESTINATION = rf"(?:<[^<>\r\n]*+>|(?:{_PLAIN}|{_NESTED})++)"
+OPEN_LINK = r"\]\([ \t\r\n]*+"
+INLINE = rf"{CODE}|{AUTOLINK}|{INLINE_HTML}|{OPEN_LINK}(?<d>{DESTINATION})(?=[^)]*+\))"
+IMAGE_TAG = r"(?i:<img)\b(?:(?!\b(?i:alt)\s*+=)(?:[^>\"']|\"[^\"]*+\"|'[^']*+'))*+(?:(?i:alt)\s*+=\s*+(?:\"(?<x>[^\"]*+)\"|'(?<y>[^']*+)'|(?<z>[^\s\"'>]++)))?+(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>"
+IMAGE = rf"!\[(?<alt>(?:[^\[\]\\]|\\[^\r\n])*+)\](?:\([ \t\r\n]*+{DESTINATION}?+\s*+(?:\"[^\"]*+\"|'[^']*+')?+\s*+\)|\[[^\]\r\n]*+\])?+"
+LABEL = r"\[([^\]\r\n]++)\]"
+
+BLOCK = "struct<type:string,value:string>"
+SPAN = "struct<kind:string,start:int,end:int>"
+UNTOUCHED = ("fence", "html_block", "indented_code")
+
+
+def block_type(value: Column) -> Column:
+    """Of one piece of a text; pieces that begin as no special block does are told apart by their last line alone."""
+    underlined = F.when(value.rlike(rf"[\r\n]{SETEXT}\z"), "heading").otherwise("paragraph")
+    found = F.when(value.rlike(rf"\A(?:{BLANK})++\z"), "blank")
+    for name, pattern in OPENS.items():
+        found = found.when(value.rlike(rf"\A(?:{pattern})"), name)
+    return F.when(value.rlike(SPECIAL), found.otherwise(underlined)).otherwise(underlined)
+
+
+def blocks(text: Column) -> Column:
+    """All blocks, blank ones included, in order; their values joined are the text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(BLOCKS), F.lit(0)), lambda v: F.struct(block_type(v).alias("type"), v.alias("value")).cast(BLOCK))
+
+
+def joined(values: Column) -> Column:
+    return F.array_join(values, "")
+
+
+def _trimmed(value: Column) -> Column:
+    """Without its line end."""
+    return F.regexp_replace(value, rf"{NL}\z", "")
+
+
+def located(found: Column) -> Column:
+    """The blocks with ``line_start, line_end, start, end``; the line end of a block is not part of it."""
+    breaks = lambda b: F.size(F.split(b["value"], NL, -1)) - 1
+    ends = running_totals(F.transform(found, lambda b: F.char_length(b["value"])))
+    lines = running_totals(F.transform(found, breaks))
+
+    def one(b, place):
+        size, n = F.char_length(b["value"]), breaks(b)
+        start, line = place["e"] - size, place["l"] - n
+        last = F.when(b["value"].rlike(r"[\r\n]\z"), place["l"]).otherwise(place["l"] + 1)
+        return F.struct(b["type"].alias("type"), b["value"].alias("value"), line.alias("line_start"), last.alias("line_end"), start.alias("start"), (start + F.char_length(_trimmed(b["value"]))).alias("end"))
+
+    return F.zip_with(found, F.zip_with(ends, lines, lambda e, l: F.struct(e.alias("e"), l.alias("l"))), one)
+
+
+def inner_paragraphs(block: Column) -> Column:
+    """``start, end, lines before, lines`` of the paragraphs inside a container, relative to it."""
+    value = block["value"]
+    hits = positioned(F.regexp_extract_all(value, F.lit(INNER_PARAGRAPH), F.lit(0)), value, INNER_PARAGRAPH)
+    breaks = lambda s: F.size(F.split(s, NL, -1)) - 1
+    return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.char_length(_trimmed(m["value"]))).alias("end"), breaks(F.substring(value, F.lit(1), m["start"])).alias("before"), (breaks(_trimmed(m["value"])) + 1).alias("lines")))
+
+
+def inline_spans(value: Column) -> Column:
+    """Spans inside one block, left to right: code, autolinks, tags, link and image destinations."""
+    nothing = F.array().cast(f"array<{SPAN}>")
+    hits, inner = F.regexp_extract_all(value, F.lit(INLINE), F.lit(0)), F.regexp_extract_all(value, F.lit(INLINE), F.lit(2))
+
+    def one(m, d):
+        first = F.substring(m["value"], 1, 1)
+        kind = F.when(first == "`", "code").when(first == "]", "destination").when(m["value"].rlike(rf"\A{AUTOLINK}\z"), "autolink").otherwise("html_inline")
+        return F.struct(kind.alias("kind"), F.when(first == "]", m["end"] - F.char_length(d)).otherwise(m["start"]).alias("start"), m["end"].alias("end")).cast(SPAN)
+
+    return F.when(value.rlike(r"[`<]|\]\("), F.zip_with(positioned(hits, value, INLINE), inner, one)).otherwise(nothing)
+
+
+def protected(places: Column) -> Column:
+    """Of located blocks the spans that no rewriting may touch, left to right and disjoint: fences, HTML blocks, code,
+    tags, autolinks, link and image destinations, destinations of definitions."""
+    nothing = F.array().cast(f"array<{SPAN}>")
+
+    def of(b):
+        whole = F.array(F.struct(b["type"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")).cast(SPAN))
+        head = F.char_length(F.regexp_extract(b["value"], rf"\A({INDENT}\[[^\]\r\n]++\]:[ \t]*+)", 1))
+        target = F.char_length(F.regexp_extract(b["value"], rf"\A{INDENT}\[[^\]\r\n]++\]:[ \t]*+(<[^<>\r\n]*+>|\S++)", 1))
+        definition = F.array(F.struct(F.lit("definition").alias("kind"), (b["start"] + head).alias("start"), (b["start"] + head + target).alias("end")).cast(SPAN))
+        moved = F.transform(inline_spans(b["value"]), lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end")).cast(SPAN))
+        return F.when(b["type"].isin("fence", "html_block"), whole).when(b["type"] == "definition", definition).when(b["type"].isin("blank", "thematic_break"), nothing).otherwise(moved)
+
+    return F.flatten(F.transform(places, of))
+
+
+def protected_units(found: Column) -> Column:
+    """``kind:block type:content`` of the protected spans, in order."""
+
+    def of(b):
+        value = b["value"]
+        inline = F.transform(inline_spans(value), lambda s: F.concat_ws(":", s["kind"], b["type"], F.substring(value, s["start"] + 1, s["end"] - s["start"])))
+        target = F.array(F.concat(F.lit("definition:definition:"), F.regexp_extract(value, rf"\]:[ \t]*+(<[^<>\r\n]*+>|\S++)", 1)))
+        whole = F.array(F.concat_ws(":", b["type"], b["type"], _trimmed(value)))
+        none = F.array().cast("array<string>")
+        return F.when(b["type"].isin("fence", "html_block"), whole).when(b["type"] == "definition", target).when(b["type"].isin("blank", "thematic_break"), none).otherwise(inline)
+
+    return F.flatten(F.transform(found, of))
+
+
+def unclosed_fence(text: Column) -> Column:
+    """True if a fence stays open; only texts that hold a fence mark are searched."""
+    anchored = rf"(?:\A|(?<=[\r\n]))(?:{FENCE})"
+    marked = F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~"))
+    return F.coalesce(F.when(marked, F.exists(F.regexp_extract_all(text, F.lit(anchored), F.lit(0)), lambda f: ~f.rlike(CLOSED))).otherwise(False), F.lit(False))
+
+
+def without_repeated_paragraphs(found: Column) -> Column:
+    """``struct<text,removed>``: the first of equal paragraphs stays, later ones go with the blank lines after them."""
+    keys = F.transform(found, lambda b, i: F.when(b["type"] == "paragraph", F.concat(F.lit("p"), paragraph_key(b["value"]))).otherwise(F.concat(F.lit("-"), i.cast("string"))))
+
+    def rebuild(first):
+        stays = lambda b, i: F.get(first, i) & ((b["type"] != "blank") | (i == 0) | F.get(first, i - 1))
+        text = joined(F.transform(F.filter(found, lambda b, i: F.coalesce(stays(b, i), F.lit(True))), lambda b: b["value"]))
+        return F.struct(text.alias("text"), F.size(F.filter(first, lambda f: ~f)).alias("removed"))
+
+    return let(first_flags(keys), rebuild)
+
+
+def formatted_values(found: Column) -> Column:
+    """The blocks' new values, blank runs as one empty line: LF line ends, no trailing blanks, ``-`` bullets, single inner
+    blanks in paragraphs; fences, HTML blocks and indented code keep their lines."""
+
+    def one(b):
+        lines = F.regexp_replace(b["value"], r"\r\n?", "\n")
+        value = F.regexp_replace(lines, r"[ \t]+(?=\n|\z)", "")
+        return (
+            F.when(b["type"] == "blank", "\n").when(b["type"].isin(*UNTOUCHED), lines)
+            .when(b["type"] == "list_item", F.regexp_replace(value, r"(?m)^( {0,3})[*+](?=[ \t])", "$1-"))
+            .when(b["type"] == "paragraph", F.regexp_replace(value, r"(?<=\S)[ \t]{2,}(?=\S)", " "))
+            .otherwise(value)
+        )
+
+    return F.transform(found, one)
+
+
+def changed_stretches(found: Column, values: Column) -> Column:
+    """How many stretches of lines formatting changes: each block's lines beside those of its new value, line ends
+    included; blank lines beyond the first of a run, and at either end of the text, are lines taken out."""
+    lines = lambda text: F.regexp_extract_all(text, F.lit(rf"[^\r\n]++{EOL}|{NL}"), F.lit(0))
+
+    def of(b, new, i, last):
+        outer = (b["type"] == "blank") & ((i == 0) | (i == last))
+        missing_end = (i == last) & ~new.endswith("\n")
+        after = F.when(outer, F.array().cast("array<string>")).otherwise(lines(F.when(missing_end, F.concat(new, F.lit("\n"))).otherwise(new)))
+        return let(after, lambda a: F.transform(lines(b["value"]), lambda x, k: ~x.eqNullSafe(F.get(a, k))))
+
+    def count(pairs):
+        flags = F.flatten(F.transform(pairs, lambda p, i: of(p["b"], p["v"], i, F.size(pairs) - 1)))
+        return let(flags, lambda f: F.size(F.filter(f, lambda x, i: x & ~F.coalesce(F.get(f, i - 1), F.lit(False)))))
+
+    return let(F.arrays_zip(found.alias("b"), values.alias("v")), count)
+
+
+def ended(text: Column) -> Column:
+    """Without empty lines at either end, and with one LF at the end; empty if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\A\n+", ""), r"\n+\z", "")
+    return F.when(bare == "", "").otherwise(F.concat(bare, F.lit("\n")))
+
+
+def table_form(found: Column) -> Column:
+    """The blocks' values, tables in a form to compare: cells joined by blanks, delimiter rows as their alignments."""
+
+    def row(line, i):
+        cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"\A\|+|\|+\z", ""), r"\|", -1), lambda c: F.trim(c))
+        sides = F.transform(cells, lambda c: F.when(c.rlike(r"\A:.*:\z"), "center").when(c.startswith(":"), "left").when(c.endswith(":"), "right").otherwise("none"))
+        return F.when(i == 1, F.concat(F.lit("TABLE_DELIMITER:"), F.array_join(sides, ","))).otherwise(F.array_join(F.filter(cells, lambda c: c != ""), " "))
+
+    def one(b):
+        tail = F.regexp_extract(b["value"], rf"({NL}?)\z", 1)
+        return F.when(b["type"] == "table", F.concat(F.array_join(F.transform(F.split(_trimmed(b["value"]), NL, -1), row), "\n"), tail)).otherwise(b["value"])
+
+    return F.transform(found, one)
+
+
+def link_targets(found: Column) -> Column:
+    """Destinations, autolinks and definitions in order, without angle brackets."""
+    targets = F.filter(protected_units(found), lambda u: u.rlike(r"\A(?:destination|autolink|definition):"))
+    return F.transform(targets, lambda u: F.regexp_replace(F.regexp_extract(u, r"(?s)\A[^:]*:[^:]*:(.*)\z", 1), r"\A<|>\z", ""))
+
+
+def visible_text(found: Column) -> Column:
     """What a reader sees: marks, destinations and tags gone, white space single."""
-    text = table_form(text)
-    kept, last = [], 0
-    for s in protected(text):
-        if s.kind in ("html_inline", "html_block", "destination", "definition"):
-            kept.append(text[last : s.start])
-            last = s.end
-    text = "".join([*kept, text[last:]])
-    text = re.sub(r"(?m)^ {0,3}(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d{1,9}[.)][ \t]+|`{3,}.*$|~{3,}.*$|(?:=+|-+|[-*_ ]{3,})$|\[[^\]]*\]:[ \t]*$)", "", text)
-    text = re.sub(r"!?\[([^\]]*)\](?:\(\s*(?:\"[^\"]*\")?\s*\)|\[[^\]]*\])?", r"\1", text)
-    return " ".join(re.sub(r"[*_`~]+", "", text).split())
+    dropped = rf"(?<keep>{CODE}|{AUTOLINK})|{INLINE_HTML}|(?<open>{OPEN_LINK}){DESTINATION}(?=[^)]*+\))"
 
+    def one(b, shown):
+        inline = F.when(shown.rlike(r"[`<]|\]\("), F.regexp_replace(shown, dropped, "${keep}${open}")).otherwise(shown)
+        return F.when(b["type"].isin("html_block", "definition"), "").when(b["type"] == "fence", shown).otherwise(inline)
 
-def _alt(attributes: str) -> str:
-    m = ALT.search(attributes)
-    return next((g for g in m.groups() if g is not None), "") if m else ""
+    text = joined(F.zip_with(found, table_form(found), one))
+    marks = r"(?m)^ {0,3}(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|[0-9]{1,9}[.)][ \t]+|`{3,}.*$|~{3,}.*$|(?:=+|-+|[-*_ ]{3,})$)"
+    plain = F.regexp_replace(F.regexp_replace(text, marks, ""), r"!?\[([^\]]*)\](?:\(\s*(?:\"[^\"]*\")?\s*\)|\[[^\]]*\])?", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[*_`~]+", ""), r"\s+", " "))
 
 
-def strip_images(text: str) -> str:
+def _outside_code(b: Column) -> Column:
+    return F.when(b["type"] == "fence", "").when(b["type"] == "html_block", b["value"]).otherwise(F.regexp_replace(b["value"], CODE, "`"))
+
+
+def strip_images(found: Column) -> Column:
     """Images become their alternative texts, ``<img>`` its alt; definitions that only images use go. Code stays."""
-    code = [s for s in protected(text) if s.kind in ("fence", "code")]
-    free: list[tuple[int, int]] = []
-    last = 0
-    for s in code:
-        free.append((last, s.start))
-        last = s.end
-    free.append((last, len(text)))
-    used = {m[1].strip().lower() for a, b in free for m in re.finditer(r"(?<!!)\[[^\]\n]*\]\[([^\]\n]+)\]", text[a:b])}
-    used |= {m[1].strip().lower() for a, b in free for m in re.finditer(r"(?<!!)(?<!\])\[([^\]\n]+)\](?![:(\[])", text[a:b])}
-    images = {m[1].strip().lower() for a, b in free for m in re.finditer(r"!\[[^\]\n]*\]\[([^\]\n]+)\]", text[a:b])}
-    images |= {m[1].strip().lower() for a, b in free for m in re.finditer(r"!\[([^\]\n]+)\](?:\[\])?(?![(\[])", text[a:b])}
-
-    def clean(piece: str) -> str:
-        out, at = [], 0
-        for m in re.finditer(r"!\[((?:[^\[\]\\]|\\.)*)\](\(|\[[^\]\n]*\])?", piece):
-            if m.start() < at:
-                continue
-            end = m.end()
-            if m[2] == "(":
-                where = _destination(piece, m.end(), len(piece))
-                close = piece.find(")", where[1] if where else m.end())
-                title = re.compile(r"\s*(?:\"[^\"]*\"|'[^']*')?\s*\)").match(piece, where[1] if where else m.end())
-                end = title.end() if title else close + 1 if close >= 0 else m.end()
-            out += piece[at : m.start()], m[1]
-            at = end
-        piece = "".join([*out, piece[at:]])
-        return IMAGE_TAG.sub(lambda m: _alt(m[1]), piece)
-
-    def keep_line(line: str) -> bool:
-        m = DEFINITION.match(line)
-        return not (m and m[1].strip().lower() in images and m[1].strip().lower() not in used)
-
-    out = []
-    for i, (a, b) in enumerate(free):
-        piece = "".join(x for x in text[a:b].splitlines(True) if keep_line(x))
-        out.append(clean(piece))
-        if i < len(code):
-            out.append(text[code[i].start : code[i].end])
-    return "".join(out)
-
-
-def has_forbidden_image(text: str) -> bool:
+    free = joined(F.transform(found, _outside_code))
+    labels = lambda t, pattern: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: F.lower(F.trim(x)))
+    image = lambda t: F.concat(labels(t, rf"!\[[^\]\r\n]*+\]{LABEL}"), labels(t, rf"!{LABEL}(?:\[\])?+(?![(\[])"))
+    link = lambda t: F.concat(labels(t, rf"(?<!!)\[[^\]\r\n]++\]{LABEL}"), labels(t, rf"(?<![!\]]){LABEL}(?![:(\[])"))
+    orphans = let(free, lambda t: F.array_except(image(t), link(t)))
+    images = rf"{IMAGE}|{IMAGE_TAG}"
+
+    def rebuild(unused):
+        def one(b):
+            lines = F.regexp_extract_all(b["value"], F.lit(rf"[^\r\n]++{EOL}|{NL}"), F.lit(0))
+            kept = F.filter(lines, lambda x: ~x.rlike(rf"\A(?:{OPENS['definition']})") | ~F.array_contains(unused, F.lower(F.trim(F.regexp_extract(x, LABEL, 1)))))
+            value = F.when(F.contains(b["value"], F.lit("]:")) & (F.size(unused) > 0), joined(kept)).otherwise(b["value"])
+            shown = F.when(b["type"] == "html_block", F.regexp_replace(value, images, "${alt}${x}${y}${z}")).otherwise(F.regexp_replace(value, rf"(?<keep>{CODE})|{images}", "${keep}${alt}${x}${y}${z}"))
+            return F.when(b["type"] == "fence", b["value"]).otherwise(shown)
+
+        return joined(F.transform(found, one))
+
+    return let(orphans, rebuild)
+
+
+def has_forbidden_image(found: Column) -> Column:
     """An image, an ``<img>``, or a link to a ``data:image`` outside code."""
-    code = [s for s in protected(text) if s.kind in ("fence", "code")]
-    last, free = 0, []
-    for s in code:
-        free.append(text[last : s.start])
-        last = s.end
-    rest = "\0".join([*free, text[last:]])
-    return bool(re.search(r"!\[[^\]\n]*\](?:\(|\[)", rest) or IMAGE_TAG.search(rest) or re.search(r"(?i)\]\(\s*<?data:image|^ {0,3}\[[^\]]+\]:\s*<?data:image", rest))
+    pattern = rf"!\[[^\]\r\n]*+\][(\[]|(?i:<img)\b[^>]*+>|(?i:\]\(\s*+<?data:image)|(?im:^ {{0,3}}\[[^\]\r\n]++\]:[ \t]*+<?data:image)"
+    return F.exists(found, lambda b: _outside_code(b).rlike(pattern))

@@ -1,22 +1,24 @@
 """Markdown cleaning: paragraph de-duplication, redaction, formatting, guards, digests, reports.
 
-``clean_documents`` is one narrow stage: no shuffle, so the same function serves batch and stream.
+``clean_documents`` is one narrow stage of expressions: no shuffle, no Python, so the same function serves batch and
+stream.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.functions import markdown
-from corpusmill.functions.text import BOM, digest, paragraph_key
+from corpusmill.functions.arrays import let
+from corpusmill.functions.text import BOM, digest, drop_bom
 from corpusmill.operators import pii
-from corpusmill.operators.structure import SPANS, block_type_signature, link_targets, visible_text
+from corpusmill.operators.structure import CONTAINERS
 
+# Fixed value: marks that belong to a cleaner's inside and must not be published.
+INTERNAL_MARKER = r"__MD_INTERNAL_\d+__|\x{E000}MD_CLEAN_\d+\x{E001}"
 COUNTERS = ["duplicate_paragraphs_removed", *pii.COUNTERS.values(), "formatting_changes"]
 
 
@@ -30,88 +32,54 @@ class CleaningLimits:
     max_pii_candidates: int = 2000
 
 
-DEDUPED = T.StructType().add("text", T.StringType()).add("duplicate_paragraphs_removed", T.IntegerType())
-#: What one reading of a source text gives: its size in blocks and spans, the de-duplicated text, the spans of that.
-PREPARED = T.StructType().add("blocks", T.IntegerType()).add("spans", T.IntegerType()).add("widest", T.IntegerType()).add("unclosed", T.BooleanType()).add("text", T.StringType()).add("removed", T.IntegerType()).add("protected", SPANS)
-FINISHED = T.StructType().add("text", T.StringType()).add("changes", T.IntegerType())
+def dedup_paragraphs(text: Column) -> Column:
+    """``struct<text,duplicate_paragraphs_removed>``: the first of equal top-level paragraphs stays."""
+    done = lambda d: F.struct(d["text"].alias("text"), d["removed"].alias("duplicate_paragraphs_removed"))
+    return let(let(markdown.blocks(F.coalesce(text, F.lit(""))), markdown.without_repeated_paragraphs), done)
 
 
-@F.pandas_udf(DEDUPED)
-def dedup_paragraphs(texts: pd.Series) -> pd.DataFrame:
-    done = [markdown.dedup_paragraphs(t or "") for t in texts]
-    return pd.DataFrame(done, columns=["text", "duplicate_paragraphs_removed"])
+def normalize_markdown(text: Column) -> Column:
+    """Formatting at the level of text; see ``markdown.formatted_values``."""
+    return let(markdown.blocks(drop_bom(F.coalesce(text, F.lit("")))), lambda b: markdown.ended(markdown.joined(markdown.formatted_values(b))))
 
 
-@F.pandas_udf(PREPARED)
-def _prepare(texts: pd.Series) -> pd.DataFrame:
-    def one(text: str) -> tuple:
-        blocks = markdown.segment(text)
-        clean, removed = markdown.dedup_paragraphs(text)
-        widest = max((b.end - b.start for b in blocks), default=0)
-        return len(blocks), len(markdown.protected(text, blocks)), widest, markdown.has_unclosed_fence(text), clean, removed, [s._asdict() for s in markdown.protected(clean)]
+def count_format_changes(text: Column) -> Column:
+    """How many stretches of lines formatting changes, by the formatter's own alignment of lines."""
+    return let(markdown.blocks(drop_bom(F.coalesce(text, F.lit("")))), lambda b: markdown.changed_stretches(b, markdown.formatted_values(b)))
 
-    return pd.DataFrame([one(t or "") for t in texts], columns=PREPARED.names)
 
-
-@F.pandas_udf(FINISHED)
-def _finish(texts: pd.Series) -> pd.DataFrame:
-    done = [markdown.normalize(t or "") for t in texts]
-    return pd.DataFrame({"text": done, "changes": [markdown.count_changes(a or "", b) for a, b in zip(texts, done, strict=True)]})
-
-
-# Kept as steps of their own: inlined into the expressions between them they could not be evaluated.
-_prepare, _finish = _prepare.asNondeterministic(), _finish.asNondeterministic()
-
-
-def dedup_paragraph_rows(docs: DataFrame) -> DataFrame:
-    """The same choice as rows, for blocks that already lie in a table: ``doc_id, start, end, key, keep``."""
-    first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("start")) == 1
-    return docs.withColumn("key", paragraph_key(F.col("content"))).withColumn("keep", first)
-
-
-@F.pandas_udf(T.StringType())
-def normalize_markdown(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: markdown.normalize(t or ""))
-
-
-@F.pandas_udf(T.IntegerType())
-def _changes(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([markdown.count_changes(a or "", b or "") for a, b in zip(before, after, strict=True)], dtype="int32")
-
-
-def count_format_changes(before: Column, after: Column) -> Column:
-    """Differing stretches of lines; equal texts never leave the JVM as anything but empty strings."""
-    same = before.eqNullSafe(after)
-    return _changes(F.when(same, "").otherwise(before), F.when(same, "").otherwise(after))
-
-
-@F.pandas_udf(T.StringType())
-def normalize_table_delimiters(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: markdown.table_form(t or ""))
+def normalize_table_delimiters(text: Column) -> Column:
+    return let(markdown.blocks(F.coalesce(text, F.lit(""))), lambda b: markdown.joined(markdown.table_form(b)))
 
 
 def content_preserved(versions: DataFrame) -> DataFrame:
     """``doc_id, violation`` of ``(doc_id, before, after)``: what formatting must not change."""
-    checks = {"BLOCK_TYPES": block_type_signature, "VISIBLE_TEXT": visible_text, "LINK_TARGETS": link_targets}
-    differing = [F.when(~f("before").eqNullSafe(f("after")), code) for code, f in checks.items()]
-    units = F.when(~_units("before").eqNullSafe(_units("after")), "PROTECTED_UNITS")
-    return versions.select("doc_id", F.explode(F.array_compact(F.array(*differing, units))).alias("violation"))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _units(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [f"{s.kind}:{t[s.start : s.end]}" for s in markdown.protected(t or "")])
+    types = lambda b: F.transform(F.filter(b, lambda x: x["type"] != "blank"), lambda x: x["type"])
+    checks = {"BLOCK_TYPES": types, "VISIBLE_TEXT": markdown.visible_text, "LINK_TARGETS": markdown.link_targets, "PROTECTED_UNITS": markdown.protected_units}
+    read = versions.select("doc_id", *(markdown.blocks(F.coalesce(c, F.lit(""))).alias(c) for c in ("before", "after")))
+    differing = [F.when(~f(F.col("before")).eqNullSafe(f(F.col("after"))), code) for code, f in checks.items()]
+    return read.select("doc_id", F.explode(F.array_compact(F.array(*differing))).alias("violation"))
 
 
 def protected_regions_preserved(source: Column, output: Column) -> Column:
-    """Ordered (kind, content) of the protected units are the same."""
-    return _units(source).eqNullSafe(_units(output))
+    """Ordered (kind, block, content) of the protected units are the same."""
+    units = lambda text: let(markdown.blocks(F.coalesce(text, F.lit(""))), markdown.protected_units)
+    return units(source).eqNullSafe(units(output))
 
 
 def resource_guard(text: Column, blocks: Column, spans: Column, limits: CleaningLimits = CleaningLimits()) -> Column:
     """Error code of a document beyond the limits, else null."""
-    widest = F.coalesce(F.array_max(F.transform(blocks, lambda b: b["end"] - b["start"])), F.lit(0))
-    return _guard(text, F.size(blocks), F.size(spans), widest, limits)
+    return _guard(text, F.size(blocks), F.size(spans), _widest(blocks), limits)
+
+
+def _widest(blocks: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(blocks, lambda b: b["end"] - b["start"])), F.lit(0))
+
+
+def _block_count(found: Column) -> Column:
+    """Blocks and the paragraphs inside containers; blank ones don't count."""
+    sizes = F.transform(found, lambda b: F.when(b["type"] == "blank", 0).when(b["type"].isin(*CONTAINERS), 1 + F.size(F.regexp_extract_all(b["value"], F.lit(markdown.INNER_PARAGRAPH), F.lit(0)))).otherwise(1))
+    return F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
 
 
 def _guard(text: Column, blocks: Column, spans: Column, widest: Column, limits: CleaningLimits) -> Column:
@@ -130,6 +98,7 @@ def check_clean_output(text: Column, limits: CleaningLimits = CleaningLimits())
         .when(F.octet_length(text) > limits.max_output_bytes, "OUTPUT_TOO_LARGE")
         .when(F.contains(text, F.lit("\0")) | text.startswith(BOM) | F.contains(text, F.lit("\r")), "INVALID_ENCODING")
         .when(~text.endswith("\n") | text.endswith("\n\n"), "INVALID_TERMINAL_NEWLINE")
+        .when(text.rlike(INTERNAL_MARKER), "INTERNAL_MARKER")
     )
 
 
@@ -142,28 +111,39 @@ def clean_documents(docs: DataFrame, limits: CleaningLimits = CleaningLimits())
 
     Order: structure, guards, paragraph de-duplication, candidate guard, redaction outside protected spans,
     formatting, output checks. A rejected document has its code, no text and zero counters; the others go on.
-    Null texts are rejected as empty; extra columns ride along, ahead of the new ones. Texts leave the JVM twice: once
-    to be read and de-duplicated, once to be formatted; detection and redaction between are expressions.
+    Null texts are rejected as empty; extra columns ride along, ahead of the new ones, and may have any name. Each step
+    is a projection of its own, so that what later steps name several times is computed once.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "status", "error_code", *COUNTERS)]
-    source = docs.select("doc_id", *extra, F.col("text").alias("_in"))
-    large = F.octet_length("_in") > limits.max_input_bytes  # never parsed
-    parsed = source.withColumn("_p", _prepare(F.when(large, "").otherwise(F.col("_in"))))
-    p = lambda name: F.col(f"_p.{name}")
-    guard = F.when(F.col("_in").isNull() | (F.col("_in") == ""), "EMPTY_INPUT").when(p("unclosed"), "INVALID_MARKDOWN").otherwise(_guard(F.col("_in"), p("blocks"), p("spans"), p("widest"), limits))
-    crowded = F.when(pii.too_many_candidates(p("text"), p("protected"), limits.max_pii_candidates), "TOO_MANY_PII_CANDIDATES")
-    found = parsed.withColumn("_code", F.coalesce(guard, crowded)).withColumn("_m", F.when(F.col("_code").isNull(), pii.find_pii(p("text"), p("protected"))))
-    formatted = found.withColumn("_f", _finish(F.when(F.col("_code").isNull(), pii.redact(p("text"), F.col("_m")))))
-    checked = formatted.withColumn("_code", F.coalesce("_code", check_clean_output(F.col("_f.text"), limits)))
-    ok = F.col("_code").isNull()
+    made = {"doc_id", "text", "status", "error_code", *COUNTERS, "input_sha256", "input_bytes", "output_sha256", "output_bytes"}
+    extra = [c for c in docs.columns if c not in made]
+    source = docs.select(F.struct("doc_id", *(F.col("`" + c.replace("`", "``") + "`") for c in extra)).alias("row"), F.col("text").alias("source"))
+    large = F.octet_length("source") > limits.max_input_bytes  # never parsed
+    read = source.withColumn("blocks", markdown.blocks(F.when(large | F.col("source").isNull(), "").otherwise(F.col("source"))))
+    placed = read.withColumn("places", markdown.located(F.col("blocks")))
+    guard = F.when(F.col("source").isNull() | (F.col("source") == ""), "EMPTY_INPUT").when(markdown.unclosed_fence(F.col("source")), "INVALID_MARKDOWN").otherwise(
+        _guard(F.col("source"), _block_count(F.col("blocks")), F.size(markdown.protected(F.col("places"))), _widest(F.col("places")), limits)
+    )
+    unique = placed.select("row", "source", "blocks", guard.alias("code"), markdown.without_repeated_paragraphs(F.col("blocks")).alias("kept"))
+    again = unique.withColumn("blocks", F.when(F.col("kept.removed") > 0, markdown.blocks(F.col("kept.text"))).otherwise(F.col("blocks")))
+    raw = {e: m.alias(e) for e, m in pii.raw_matches(F.col("kept.text")).items()}
+    searched = again.withColumn("raw", F.struct(*raw.values())).withColumn("spans", markdown.protected(markdown.located(F.col("blocks"))))
+    hits = {e: F.col(f"raw.{e}") for e in raw}
+    crowded = F.when(pii.count_outside(hits, F.col("spans")) > limits.max_pii_candidates, "TOO_MANY_PII_CANDIDATES")
+    found = searched.withColumn("code", F.coalesce("code", crowded)).withColumn("matches", F.when(F.col("code").isNull(), pii.resolve_overlaps(pii.exclude_protected(pii.validated(hits), F.col("spans")))))
+    redacted = found.withColumn("clean", F.when(F.col("code").isNull(), drop_bom(pii.redact(F.col("kept.text"), F.col("matches")))))
+    formed = redacted.withColumn("blocks", F.when((F.size("matches") > 0) | F.col("source").startswith(BOM), markdown.blocks(F.col("clean"))).otherwise(F.col("blocks")))
+    formatted = formed.withColumn("values", markdown.formatted_values(F.col("blocks")))
+    done = formatted.withColumn("text", F.when(F.col("code").isNull(), markdown.ended(markdown.joined(F.col("values")))))
+    checked = done.withColumn("code", F.coalesce("code", check_clean_output(F.col("text"), limits)))
+    ok = F.col("code").isNull()
     zero = lambda c: F.when(ok, c).otherwise(0).cast("int")
-    out = F.when(ok, F.col("_f.text"))
+    out = F.when(ok, F.col("text"))
     return checked.select(
-        "doc_id", *extra, out.alias("text"), zero(p("removed")).alias("duplicate_paragraphs_removed"),
-        *(zero(c).alias(n) for c, n in zip(pii.counts(F.col("_m")), pii.COUNTERS.values(), strict=True)),
-        zero(F.col("_f.changes")).alias("formatting_changes"),
-        *content_digest(F.col("_in"), "input"), *content_digest(out, "output"),
-        F.when(ok, "succeeded").otherwise("rejected").alias("status"), F.col("_code").alias("error_code"),
+        "row.*", out.alias("text"), zero(F.col("kept.removed")).alias("duplicate_paragraphs_removed"),
+        *(zero(c).alias(n) for c, n in zip(pii.counts(F.col("matches")), pii.COUNTERS.values(), strict=True)),
+        zero(markdown.changed_stretches(F.col("blocks"), F.col("values"))).alias("formatting_changes"),
+        *content_digest(F.col("source"), "input"), *content_digest(out, "output"),
+        F.when(ok, "succeeded").otherwise("rejected").alias("status"), F.col("code").alias("error_code"),
     )
 
 
@@ -174,10 +154,10 @@ def cleaning_report(cleaned: DataFrame, by: list[str]) -> DataFrame:
 
 def check_summary(cleaned: DataFrame, source: DataFrame) -> DataFrame:
     """``doc_id, error_code`` where a counter is negative or missing, or the input digest or size isn't the text's."""
-    joined = cleaned.join(source.select("doc_id", F.col("text").alias("_in")), "doc_id")
-    bad = None
+    actual = source.select(F.col("doc_id").alias("id"), *content_digest(F.col("text"), "actual"))
+    bad = F.lit(False)
     for c in COUNTERS:
-        wrong = F.col(c).isNull() | (F.col(c) < 0)
-        bad = wrong if bad is None else bad | wrong
-    code = F.when(bad, "INVALID_SUMMARY").when(~F.col("input_sha256").eqNullSafe(digest(F.col("_in"))), "INPUT_DIGEST_MISMATCH").when(~F.col("input_bytes").eqNullSafe(F.octet_length("_in").cast("long")), "INPUT_SIZE_MISMATCH")
-    return joined.select("doc_id", code.alias("error_code")).where("error_code IS NOT NULL")
+        bad = bad | F.col(c).isNull() | (F.col(c) < 0)
+    code = F.when(bad, "INVALID_SUMMARY").when(~F.col("input_sha256").eqNullSafe(F.col("actual_sha256")), "INPUT_DIGEST_MISMATCH").when(~F.col("input_bytes").eqNullSafe(F.col("actual_bytes")), "INPUT_SIZE_MISMATCH")
+    own = cleaned.select("doc_id", *COUNTERS, "input_sha256", "input_bytes")
+    return own.join(actual, F.col("doc_id") == F.col("id")).select("doc_id", code.alias("error_code")).where("error_code IS NOT NULL")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions import markdown
+from corpusmill.functions.arrays import let
 from corpusmill.functions.text import BOM, strip
 
 # Extensions and the formats they promise.
@@ -122,29 +123,49 @@ def unzip(archives: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([one(raw) for raw in batch], columns=["entries", "error"])
 
 
-def archive_entries(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """``key, name, size, data``: a row per member; an unreadable archive has none."""
-    return docs.select(key, unzip(content).alias("z")).select(key, F.inline("z.entries"))
+def archive_entries(docs: DataFrame, key: str = "doc_id", content: str = "content", file_name: str | None = None) -> DataFrame:
+    """``key, extension, name, size, data, error``: a row per member. An archive that cannot be read, or holds nothing,
+    is one row without a member. ``file_name`` names the column of the archives' own names."""
+    named = extension_of(F.col(file_name)) if file_name else F.lit(None).cast("string")
+    opened = docs.select(key, named.alias("extension"), unzip(content).alias("z"))
+    return opened.select(key, "extension", F.inline_outer("z.entries"), F.col("z.error").alias("error"))
 
 
-def archive_violations(entries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, error`` of archives beyond the limits or with absolute or parent paths."""
+def _archive_facts() -> list[Column]:
     unsafe = F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..")
-    facts = entries.groupBy(key).agg(F.count("*").alias("n"), F.max("size").alias("largest"), F.sum("size").alias("total"), F.bool_or(unsafe).alias("unsafe"))
-    code = F.when(F.col("unsafe"), "UNSAFE_PATH").when(F.col("n") > MAX_ENTRIES, "TOO_MANY_ENTRIES").when(F.col("largest") > MAX_ENTRY_BYTES, "ENTRY_TOO_LARGE").when(F.col("total") > MAX_TOTAL_BYTES, "ARCHIVE_TOO_LARGE")
-    return facts.select(key, code.alias("error")).where("error IS NOT NULL")
+    return [F.count("name").alias("n"), F.max("size").alias("largest"), F.sum("size").alias("total"), F.bool_or(unsafe).alias("unsafe")]
+
+
+def _beyond_limits() -> Column:
+    return (
+        F.when(F.col("unsafe"), "UNSAFE_PATH").when(F.col("n") > MAX_ENTRIES, "TOO_MANY_ENTRIES")
+        .when(F.col("largest") > MAX_ENTRY_BYTES, "ENTRY_TOO_LARGE").when(F.col("total") > MAX_TOTAL_BYTES, "ARCHIVE_TOO_LARGE")
+    )
+
+
+def archive_violations(entries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, error`` of archives that cannot be read, are beyond the limits, or hold absolute or parent paths."""
+    facts = entries.groupBy(key).agg(*_archive_facts(), F.max("error").alias("unreadable"))
+    return facts.select(key, F.coalesce("unreadable", _beyond_limits()).alias("error")).where("error IS NOT NULL")
 
 
 def detect_zip_format(entries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, format, error``: EPUB by its ``mimetype`` member, else exactly one office structure."""
-    has = lambda n: F.bool_or(F.col("name") == n)
+    """``key, format, error``, one row per archive: EPUB by its ``mimetype`` member, else exactly one office structure.
+
+    Archives that cannot be read or break the limits are invalid; where the archive's own extension is known, an office
+    structure other than it promises is unsupported."""
+    has = lambda n: F.coalesce(F.bool_or(F.col("name") == n), F.lit(False))
     facts = entries.groupBy(key).agg(
-        F.bool_or((F.col("name") == "mimetype") & (F.col("data").cast("string") == "application/epub+zip")).alias("epub"),
+        F.coalesce(F.bool_or((F.col("name") == "mimetype") & (F.col("data").cast("string") == "application/epub+zip")), F.lit(False)).alias("epub"),
         has("[Content_Types].xml").alias("types"), has("word/document.xml").alias("docx"), has("ppt/presentation.xml").alias("pptx"), has("xl/workbook.xml").alias("xlsx"),
+        *_archive_facts(), F.max("error").alias("unreadable"), F.max("extension").alias("extension"),
     )
     kinds = F.array_compact(F.array(*(F.when(F.col(k), k) for k in ("docx", "pptx", "xlsx"))))
-    found = F.when(F.coalesce("epub", F.lit(False)), "epub").when(F.col("types") & (F.size(kinds) == 1), F.get(kinds, F.lit(0)))
-    return facts.select(key, found.alias("format"), F.when(found.isNull(), "INVALID_ARCHIVE").alias("error"))
+    bad = F.coalesce("unreadable", _beyond_limits()).isNotNull()
+    office = F.when(F.col("types") & (F.size(kinds) == 1), F.get(kinds, F.lit(0)))
+    promised = F.coalesce(_lookup(F.col("extension"), BINARY_EXTENSIONS) == office, F.col("extension").isNull())
+    error = F.when(bad, "INVALID_ARCHIVE").when(F.col("epub"), None).when(office.isNull(), "INVALID_ARCHIVE").when(~promised, "UNSUPPORTED_INPUT_FORMAT")
+    return facts.select(key, F.when(error.isNull(), F.when(F.col("epub"), "epub").otherwise(office)).alias("format"), error.alias("error"))
 
 
 def docx_counts(entries: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -205,25 +226,17 @@ def content_list_to_markdown(items: Column) -> Column:
     return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "\n\n"), F.lit("\n")))
 
 
-@F.pandas_udf(T.StringType())
-def _strip_images(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else markdown.strip_images(t))
+def _image_marks(text: Column) -> Column:
+    return F.contains(text, F.lit("![")) | text.rlike("(?i)<img|data:image")
 
 
 def strip_images(text: Column) -> Column:
-    """Images as their alternative text; texts without an image mark never leave the JVM."""
-    marked = F.contains(text, F.lit("![")) | F.contains(F.lower(text), F.lit("<img"))
-    return F.when(marked, _strip_images(F.when(marked, text))).otherwise(text)
-
-
-@F.pandas_udf(T.BooleanType())
-def _forbidden(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: bool(t) and markdown.has_forbidden_image(t))
+    """Images as their alternative text; texts without an image mark are not read as Markdown."""
+    return F.when(_image_marks(text), let(markdown.blocks(text), markdown.strip_images)).otherwise(text)
 
 
 def has_forbidden_image_content(text: Column) -> Column:
-    marked = F.contains(text, F.lit("![")) | F.contains(F.lower(text), F.lit("<img")) | F.contains(F.lower(text), F.lit("data:image"))
-    return F.when(marked, _forbidden(F.when(marked, text))).otherwise(False)
+    return F.when(_image_marks(text), let(markdown.blocks(text), markdown.has_forbidden_image)).otherwise(False)
 
 
 def check_extraction_output(text: Column, max_bytes: int = 50 << 20) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrays import let, running_maxima
 from corpusmill.functions.regex_spans import find_matches
 
 # Entities in priority order, their tokens, and their counters.
@@ -34,20 +35,30 @@ def has_at(text: Column) -> Column:
     return F.contains(text, F.lit("@"))
 
 
-def has_digit(text: Column) -> Column:
-    return text.rlike(r"\p{Nd}")
+def has_long_number(text: Column) -> Column:
+    """Eleven digits in a row, single blanks and dashes between: whatever holds a phone, id or card number."""
+    return text.rlike(r"(?U)(?:\d[ -]?){10}\d")
 
 
-def _only(matches: Column, valid) -> Column:
-    return F.filter(matches, lambda m: F.coalesce(valid(m["value"]), F.lit(False)))
+def has_dotted_number(text: Column) -> Column:
+    return text.rlike(r"(?U)\d\.\d{1,3}\.\d")
 
 
-def find_emails(text: Column) -> Column:
-    return find_matches(text, EMAIL, has_at(text))
+def raw_matches(text: Column) -> dict[str, Column]:
+    """Matches of each entity's pattern before validation, and of the e-mail candidates' own."""
+    plain = F.when(text.rlike("[０-９]"), ascii_digits(text)).otherwise(text)
+    return {
+        "EMAIL_ADDRESS": find_matches(text, EMAIL, has_at(text)),
+        "CN_ID_CARD": find_matches(plain, ID_CARD, has_long_number(plain)),
+        "CN_MOBILE_PHONE": find_matches(plain, PHONE, has_long_number(plain)),
+        "CREDIT_CARD": find_matches(plain, BANK_CARD, has_long_number(plain)),
+        "IPV4_ADDRESS": find_matches(plain, IPV4, has_dotted_number(plain)),
+        "EMAIL_CANDIDATE": find_matches(text, EMAIL_CANDIDATE, has_at(text)),
+    }
 
 
-def find_cn_phones(text: Column) -> Column:
-    return _only(find_matches(ascii_digits(text), PHONE, has_digit(text)), lambda v: F.regexp_replace(v, "[ -]", "").rlike(r"\A\d{11}\z"))
+def _only(matches: Column, valid) -> Column:
+    return F.filter(matches, lambda m: F.coalesce(valid(m["value"]), F.lit(False)))
 
 
 def valid_cn_id(value: Column) -> Column:
@@ -59,24 +70,29 @@ def valid_cn_id(value: Column) -> Column:
     return F.substring(value, 1, 2).isin(PROVINCES) & (F.substring(value, 3, 4) != "0000") & born.isNotNull() & (F.upper(F.substring(value, 18, 1)) == check)
 
 
-def find_cn_ids(text: Column) -> Column:
-    return _only(find_matches(ascii_digits(text), ID_CARD, has_digit(text)), valid_cn_id)
+VALID = {
+    "EMAIL_ADDRESS": lambda v: F.lit(True),
+    "CN_ID_CARD": valid_cn_id,
+    "CN_MOBILE_PHONE": lambda v: F.regexp_replace(v, "[ -]", "").rlike(r"\A\d{11}\z"),
+    "CREDIT_CARD": lambda v: F.call_function("luhn_check", v),
+    "IPV4_ADDRESS": lambda v: F.forall(F.split(v, r"\."), lambda p: p.try_cast("int") <= 255),
+}
 
 
-def find_bank_cards(text: Column) -> Column:
-    return _only(find_matches(ascii_digits(text), BANK_CARD, has_digit(text)), lambda v: F.call_function("luhn_check", v))
+def _finder(entity: str):
+    return lambda text: _only(raw_matches(text)[entity], VALID[entity])
 
 
-def find_ipv4(text: Column) -> Column:
-    return _only(find_matches(ascii_digits(text), IPV4, has_digit(text)), lambda v: F.forall(F.split(v, r"\."), lambda p: p.try_cast("int") <= 255))
+find_emails, find_cn_ids, find_cn_phones, find_bank_cards, find_ipv4 = map(_finder, VALID)
 
 
-FINDERS = {"EMAIL_ADDRESS": find_emails, "CN_ID_CARD": find_cn_ids, "CN_MOBILE_PHONE": find_cn_phones, "CREDIT_CARD": find_bank_cards, "IPV4_ADDRESS": find_ipv4}
+def validated(raw: dict[str, Column]) -> Column:
+    """All validated matches, in entity order, each entity by start."""
+    return F.concat(*(F.transform(_only(raw[entity], valid), _tag(entity)) for entity, valid in VALID.items()))
 
 
 def candidates(text: Column) -> Column:
-    """All validated matches, in entity order, each entity by start."""
-    return F.concat(*(F.transform(find(text), _tag(entity)) for entity, find in FINDERS.items()))
+    return validated(raw_matches(text))
 
 
 def _tag(entity: str):
@@ -87,21 +103,41 @@ def _is(entity: str):
     return lambda m: m["entity"] == entity
 
 
+def clear_of(matches: Column, fixed: Column) -> Column:
+    """The matches that overlap no span of ``fixed``, by start. One sweep over both in order: a match overlaps if a span
+    that starts before it ends after its start, or one that starts later starts before its end."""
+    part = lambda own: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(own).alias("own"), (x["entity"] if own else F.lit("")).alias("entity"))
+    far = F.lit(-(1 << 31))
+
+    def swept(both):
+        ends = running_maxima(F.transform(both, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(far)))
+        starts = F.reverse(running_maxima(F.reverse(F.transform(both, lambda x: F.when(x["own"] == 0, -x["start"]).otherwise(far)))))
+        facts = F.arrays_zip(both.alias("x"), ends.alias("e"), starts.alias("s"))
+        kept = F.filter(facts, lambda f: (f["x"]["own"] == 1) & (f["e"] <= f["x"]["start"]) & (-f["s"].cast("long") >= f["x"]["end"]))
+        return F.transform(kept, lambda f: F.struct(f["x"]["entity"].alias("entity"), f["x"]["start"].alias("start"), f["x"]["end"].alias("end")).cast(SPAN))
+
+    def cleared(two):
+        mine, theirs = two["m"], two["f"]
+        both = F.array_sort(F.concat(F.transform(theirs, part(0)), F.transform(mine, part(1))))
+        return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), mine).otherwise(let(both, swept))
+
+    return let(F.struct(matches.alias("m"), fixed.alias("f")), cleared)
+
+
 def exclude_protected(matches: Column, spans: Column) -> Column:
-    """Without matches that touch a protected span."""
-    return F.filter(matches, lambda m: ~F.exists(spans, lambda p: (p["start"] < m["end"]) & (p["end"] > m["start"])))
+    """Without matches that touch a protected span; each entity's stay in order of start."""
+    return let(clear_of(matches, spans), lambda m: F.concat(*(F.filter(m, _is(e)) for e in TOKENS)))
 
 
 def resolve_overlaps(matches: Column) -> Column:
-    """Matches accepted in the given order unless they overlap an accepted one; the result by start."""
-    nothing = F.array().cast(f"array<{SPAN}>")
+    """Entity by entity in priority order, matches that overlap none accepted before; the result by start."""
 
-    def step(acc, m):
-        clash = F.exists(acc, lambda a: (a["start"] < m["end"]) & (a["end"] > m["start"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(m.cast(SPAN))))
+    def ordered(found: Column) -> Column:
+        accepted = F.aggregate(F.array(*map(F.lit, TOKENS)), F.array().cast(f"array<{SPAN}>"), lambda taken, e: F.concat(taken, clear_of(F.filter(found, lambda m: m["entity"] == e), taken)))
+        by_start = F.array_sort(F.transform(accepted, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["entity"].alias("entity"))))
+        return F.transform(by_start, lambda m: F.struct(m["entity"].alias("entity"), m["start"].alias("start"), m["end"].alias("end")).cast(SPAN))
 
-    by_start = F.array_sort(F.transform(F.aggregate(matches, nothing, step), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["entity"].alias("entity"))))
-    return F.transform(by_start, lambda m: F.struct(m["entity"].alias("entity"), m["start"].alias("start"), m["end"].alias("end")))
+    return let(matches, lambda found: F.when(F.size(found) < 2, found).otherwise(ordered(found)))
 
 
 def find_pii(text: Column, protected: Column | None = None) -> Column:
@@ -112,13 +148,13 @@ def find_pii(text: Column, protected: Column | None = None) -> Column:
 def redact(text: Column, matches: Column) -> Column:
     """The text with each match replaced by its entity's token; ``matches`` disjoint, by start."""
     token = F.create_map(*(F.lit(x) for pair in TOKENS.items() for x in pair))
-    state = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc, m):
-        return F.struct(m["end"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, m["start"] - acc["pos"]), token[m["entity"]]).alias("out"))
+    def rebuild(found):
+        end_before = lambda i: F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
+        pieces = F.transform(found, lambda m, i: F.concat(F.substring(text, end_before(i) + 1, m["start"] - end_before(i)), token[m["entity"]]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(found, -1)["end"] + 1, F.char_length(text)))
 
-    done = F.aggregate(matches, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.char_length(text) + 1)))
-    return F.when(F.size(matches) == 0, text).otherwise(done)
+    return let(matches, lambda found: F.when(F.size(found) == 0, text).otherwise(rebuild(found)))
 
 
 def counts(matches: Column) -> list[Column]:
@@ -127,17 +163,18 @@ def counts(matches: Column) -> list[Column]:
 
 def pii_summary(docs: DataFrame, by: list[str]) -> DataFrame:
     """Counts per entity after overlap resolution, summed over ``by``."""
-    per_doc = docs.withColumn("_m", find_pii(F.col("text"))).select(*by, *counts(F.col("_m")))
+    per_doc = docs.select(F.struct(*by).alias("by"), find_pii(F.col("text")).alias("found")).select("by.*", *counts(F.col("found")))
     return per_doc.groupBy(*by).agg(*(F.sum(c).alias(c) for c in COUNTERS.values()), F.count("*").alias("documents"))
 
 
-def candidate_count(text: Column, protected: Column | None = None) -> Column:
+def count_outside(raw: dict[str, Column], protected: Column | None = None) -> Column:
     """Unvalidated candidates outside protected spans, over all entities, overlaps included."""
-    total = F.lit(0)
-    for source, pattern, hint in ((text, EMAIL_CANDIDATE, has_at(text)), *((ascii_digits(text), p, has_digit(text)) for p in (PHONE, ID_CARD, BANK_CARD, IPV4))):
-        found = find_matches(source, pattern, hint)
-        total = total + F.size(found if protected is None else F.filter(found, lambda m: ~F.exists(protected, lambda p: (p["start"] < m["end"]) & (p["end"] > m["start"]))))
-    return total
+    found = F.concat(*(F.transform(raw[e], _tag(e)) for e in ("EMAIL_CANDIDATE", *list(TOKENS)[1:])))
+    return F.size(found if protected is None else clear_of(found, protected))
+
+
+def candidate_count(text: Column, protected: Column | None = None) -> Column:
+    return count_outside(raw_matches(text), protected)
 
 
 def too_many_candidates(text: Column, protected: Column | None = None, limit: int = 2000) -> Column:

@@ -1,48 +1,64 @@
-"""Markdown structure as tables and columns: blocks, protected spans, line offsets, merged spans, blank runs."""
+"""Markdown structure as tables and columns: blocks, protected spans, line offsets, merged spans, blank runs.
+
+All of it is expressions of one narrow stage; only operators over rows of spans or lines shuffle, by document.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.functions import markdown
+from corpusmill.functions.arrays import let, running_totals
+
+CONTAINERS = ("blockquote", "list_item")
+
+
+def place_blocks(text: Column) -> Column:
+    """Located blocks of a text, blank ones included; see ``markdown.located``."""
+    return let(markdown.blocks(text), markdown.located)
 
-INT = T.IntegerType()
-BLOCK = T.StructType().add("type", T.StringType()).add("line_start", INT).add("line_end", INT).add("start", INT).add("end", INT).add("top_level", T.BooleanType())
-SPAN = T.StructType().add("kind", T.StringType()).add("start", INT).add("end", INT)
-BLOCKS, SPANS = T.ArrayType(BLOCK), T.ArrayType(SPAN)
 
+def blocks_of(text: Column) -> Column:
+    """``array<struct<type,line_start,line_end,start,end,top_level>>`` without blank blocks, in order of (start, end),
+    with the paragraphs inside block quotes and list items."""
 
-@F.pandas_udf(BLOCKS)
-def blocks_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [b._asdict() for b in markdown.segment(t or "")])
+    def rows(b):
+        own = F.struct(b["start"].alias("start"), b["end"].alias("end"), b["type"].alias("type"), b["line_start"].alias("line_start"), b["line_end"].alias("line_end"), F.lit(True).alias("top_level"))
+        inner = F.transform(
+            markdown.inner_paragraphs(b),
+            lambda p: F.struct((b["start"] + p["start"]).alias("start"), (b["start"] + p["end"]).alias("end"), F.lit("paragraph").alias("type"), (b["line_start"] + p["before"]).alias("line_start"), (b["line_start"] + p["before"] + p["lines"]).alias("line_end"), F.lit(False).alias("top_level")),
+        )
+        return F.when(b["type"].isin(*CONTAINERS), F.concat(F.array(own), inner)).otherwise(F.array(own))
 
+    def collected(places):
+        found = F.array_sort(F.flatten(F.transform(F.filter(places, lambda b: b["type"] != "blank"), rows)))
+        return F.transform(found, lambda b: F.struct(*(b[c].alias(c) for c in ("type", "line_start", "line_end", "start", "end", "top_level"))))
 
-@F.pandas_udf(SPANS)
-def protected_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [s._asdict() for s in markdown.protected(t or "")])
+    return let(place_blocks(text), collected)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def link_targets(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: markdown.link_targets(t or ""))
+def protected_spans(text: Column) -> Column:
+    """``array<struct<kind,start,end>>``, left to right and disjoint."""
+    return let(place_blocks(text), markdown.protected)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def block_type_signature(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: markdown.type_signature(t or ""))
+def link_targets(text: Column) -> Column:
+    return let(markdown.blocks(text), markdown.link_targets)
 
 
-@F.pandas_udf(T.StringType())
-def visible_text(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: markdown.visible_text(t or ""))
+def block_type_signature(text: Column) -> Column:
+    """Types of the blocks, those inside containers too."""
+    return F.transform(blocks_of(text), lambda b: b["type"])
+
+
+def visible_text(text: Column) -> Column:
+    return let(markdown.blocks(text), markdown.visible_text)
 
 
 def segment_blocks(docs: DataFrame) -> DataFrame:
     """``doc_id, block_ix, type, line_start, line_end, start, end, top_level``, in order of (start, end)."""
-    return docs.select("doc_id", F.posexplode(blocks_of("text")).alias("block_ix", "b")).select("doc_id", "block_ix", "b.*")
+    return docs.select("doc_id", F.posexplode(blocks_of(F.col("text"))).alias("block_ix", "b")).select("doc_id", "block_ix", "b.*")
 
 
 def text_lines(text: Column) -> Column:
@@ -51,45 +67,40 @@ def text_lines(text: Column) -> Column:
 
 
 def line_offsets(text: Column) -> Column:
-    """Code-point offset at which each line starts. Line ends of one character only: normalise CRLF first."""
-    lengths = F.transform(text_lines(text), lambda x: F.char_length(x) + 1)
-    return F.aggregate(F.slice(lengths, 1, F.size(lengths) - 1), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    """Code-point offset at which each line starts."""
+    ends = F.regexp_extract_all(text, F.lit(r"(\r\n|\r|\n)"), F.lit(1))
+    lengths = let(text_lines(text), lambda lines: F.zip_with(F.slice(lines, F.lit(1), F.size(lines) - 1), ends, lambda x, e: F.char_length(x) + F.char_length(e)))
+    return F.concat(F.array(F.lit(0)), running_totals(lengths))
 
 
 def lines_to_span(text: Column, line_start: Column, line_end: Column) -> Column:
     """Span of the half-open range of lines."""
-    at = line_offsets(text)
-    return F.struct(F.get(at, line_start).alias("start"), F.coalesce(F.get(at, line_end), F.char_length(text)).alias("end"))
+    return let(line_offsets(text), lambda at: F.struct(F.get(at, line_start).alias("start"), F.coalesce(F.get(at, line_end), F.char_length(text)).alias("end")))
 
 
 def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Overlapping spans of a key as one; spans that only touch stay apart."""
-    order = Window.partitionBy(key).orderBy("start", "end")
+    order = Window.partitionBy("key").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.select(key, "start", "end", F.when(F.col("start") < reach, 0).otherwise(1).alias("_new"))
-    island = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
-
-
-@F.pandas_udf(T.BooleanType())
-def _unclosed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: markdown.has_unclosed_fence(t))
+    flagged = spans.select(F.col(key).alias("key"), "start", "end").withColumn("fresh", F.when(F.col("start") < reach, 0).otherwise(1))
+    island = flagged.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(F.col("key").alias(key), "start", "end")
 
 
 def unclosed_fence(text: Column) -> Column:
-    """True if a fence stays open; only texts that hold a fence mark are read line by line."""
-    return F.coalesce(_unclosed(F.when(F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~")), text).otherwise("")), F.lit(False))
+    """True if a fence stays open; only texts that hold a fence mark are searched."""
+    return markdown.unclosed_fence(text)
 
 
 def blank_runs(docs: DataFrame) -> DataFrame:
     """``doc_id, line_start, line_end``: maximal runs of white-space-only lines, half open."""
     lines = docs.select("doc_id", F.posexplode(text_lines(F.col("text"))).alias("line", "content")).where(~F.col("content").rlike(r"(?U)\S"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    return lines.withColumn("_run", F.col("line") - rank).groupBy("doc_id", "_run").agg(F.min("line").alias("line_start"), (F.max("line") + 1).alias("line_end")).drop("_run")
+    return lines.select("doc_id", "line", (F.col("line") - rank).alias("run")).groupBy("doc_id", "run").agg(F.min("line").alias("line_start"), (F.max("line") + 1).alias("line_end")).drop("run")
 
 
 def top_level_paragraphs(blocks: DataFrame) -> DataFrame:
     """Paragraph blocks not inside a list item, quote or table of their document."""
-    box = blocks.where(F.col("type").isin("list_item", "blockquote", "table")).select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (F.col("doc_id") == F.col("_d")) & (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e"))
+    box = blocks.where(F.col("type").isin(*CONTAINERS, "table")).select(F.col("doc_id").alias("box_doc"), F.col("start").alias("box_start"), F.col("end").alias("box_end"))
+    inside = (blocks["doc_id"] == box["box_doc"]) & (blocks["start"] >= box["box_start"]) & (blocks["end"] <= box["box_end"])
     return blocks.where("type = 'paragraph'").join(box, inside, "left_anti")

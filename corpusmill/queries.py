@@ -56,6 +56,10 @@ DOC_PATH = "concat(source, '/', doc_id, '.txt')"
 SQL_PATH = "source || '/' || doc_id || '.txt'"
 SPACED = "replace(text, '\\n', '\\n\\n')"
 SQL_STRIP = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))"
+# Marks made of the text's own words: code, links and images; and two blanks behind the lines that begin with T.
+MARKED = "replace(replace(text, ' the ', ' `the` '), ' of ', ' [of](u/of) ')"
+IMAGED = "replace(replace(text, ' the ', ' `![x](y)` '), ' of ', ' ![of](p.png) ')"
+BLANKED, SQL_BLANKED = "regexp_replace(text, '(?m)^(T.*)$', '$1  ')", "regexp_replace(text, '(?m)^(T.*)$', '\\1  ', 'g')"
 SQL_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents"
 
 
@@ -157,13 +161,33 @@ def _package(ids: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([one(i, t or "") for i, t in zip(ids, texts, strict=True)])
 
 
+@F.pandas_udf(BinaryType())
+def _archive(langs: pd.Series, texts: pd.Series) -> pd.Series:
+    """An archive around each text, its kind by the language."""
+
+    def one(lang: str, body: str) -> bytes:
+        members = {"en": ["word/document.xml"], "de": ["xl/workbook.xml"], "fr": [], "es": ["ppt/presentation.xml"]}[lang]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("mimetype", "application/epub+zip" if lang == "fr" else body)
+            z.writestr("[Content_Types].xml", "<Types/>")
+            for name in members:
+                z.writestr(name, body)
+        return out.getvalue()[: 40 if lang == "es" and len(body) % 2 == 0 else None]
+
+    return pd.Series([one(k, t or "") for k, t in zip(langs, texts, strict=True)])
+
+
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.archive_entries(documents(spark, sf_dir).select("doc_id", _package("doc_id", "text").alias("content")))
 
 
-@query("SELECT doc_id, 'docx' AS format, CAST(NULL AS VARCHAR) AS error FROM documents")
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'docx' WHEN 'fr' THEN 'epub' END AS format,
+  CASE lang WHEN 'de' THEN 'UNSUPPORTED_INPUT_FORMAT' WHEN 'es' THEN CASE WHEN length(text) % 2 = 0 THEN 'INVALID_ARCHIVE' ELSE 'UNSUPPORTED_INPUT_FORMAT' END END AS error FROM documents""")
 def b2_detect_zip_format(spark, sf_dir):
-    return extract.detect_zip_format(packages(spark, sf_dir))
+    """English: documents; German: a workbook named as a document; French: a book; Spanish: cut short, or a show named so."""
+    named = documents(spark, sf_dir).select("doc_id", _archive("lang", "text").alias("content"), F.lit("x.docx").alias("file"))
+    return extract.detect_zip_format(extract.archive_entries(named, file_name="file"))
 
 
 @query("""
@@ -206,18 +230,14 @@ def b6_content_list_to_markdown(spark, sf_dir):
     return items.select("conv_id", extract.content_list_to_markdown(F.to_json("i")).alias("markdown"))
 
 
-IMAGE = "concat('![alt ', doc_id, '](img/', doc_id, '.png) ', text)"
-
-
-@query("SELECT doc_id, 'alt ' || doc_id || ' ' || text AS text FROM documents")
+@query("SELECT doc_id, replace(text, ' the ', ' `![x](y)` ') AS text FROM documents")
 def b7_strip_images(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", extract.strip_images(F.expr(IMAGE)).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", extract.strip_images(F.expr(IMAGED)).alias("text"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS forbidden FROM documents")
+@query("SELECT doc_id, contains(replace(text, ' the ', ' `![x](y)` '), ' of ') AS forbidden FROM documents")
 def b8_has_forbidden_image_content(spark, sf_dir):
-    body = F.when(F.col("doc_id") % 2 == 0, F.expr(IMAGE)).otherwise(F.concat(F.lit("`![a](b)` "), F.col("text")))
-    return documents(spark, sf_dir).select("doc_id", extract.has_forbidden_image_content(body).alias("forbidden"))
+    return documents(spark, sf_dir).select("doc_id", extract.has_forbidden_image_content(F.expr(IMAGED)).alias("forbidden"))
 
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN 'EMPTY_OUTPUT' WHEN strlen(text) > 4000 THEN 'OUTPUT_TOO_LARGE' END AS error_code FROM documents")
@@ -242,15 +262,17 @@ def c2_line_offsets(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(structure.line_offsets(F.col("text"))).alias("line", "start"))
 
 
-@query("""
-WITH n AS (SELECT doc_id, length(CAST(doc_id AS VARCHAR)) AS d FROM documents)
-SELECT doc_id, 'code' AS kind, 0 AS start, CAST(7 + d AS INT) AS "end" FROM n
-UNION ALL SELECT doc_id, 'autolink', CAST(12 + d AS INT), CAST(28 + 2 * d AS INT) FROM n
-UNION ALL SELECT doc_id, 'destination', CAST(37 + 2 * d AS INT), CAST(39 + 3 * d AS INT) FROM n""")
+SQL_PLACES = """SELECT doc_id, '{kind}' AS kind, CAST(ahead + {first} AS INT) AS start, CAST(ahead + {last} AS INT) AS "end" FROM (
+  SELECT doc_id, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * {size} AS ahead FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, string_split({body}, '{mark}') AS parts FROM documents)))"""
+
+
+def _places(body: str, mark: str, kind: str, first: int, last: int) -> str:
+    return SQL_PLACES.format(body=body, mark=mark, kind=kind, first=first, last=last, size=len(mark))
+
+
+@query(_places(MARKED, "`the`", "code", 0, 5) + " UNION ALL " + _places(MARKED, "(u/of)", "destination", 1, 5))
 def c3_protected_spans(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    marked = F.concat(F.lit("`code "), n, F.lit("` see <https://e.org/"), n, F.lit("> and [x](u/"), n, F.lit(") "), F.translate("text", "<>`[]()", ""))
-    return documents(spark, sf_dir).select("doc_id", F.explode(structure.protected_spans(marked)).alias("s")).select("doc_id", "s.kind", "s.start", "s.end")
+    return documents(spark, sf_dir).select("doc_id", F.explode(structure.protected_spans(F.expr(MARKED))).alias("s")).select("doc_id", "s.kind", "s.start", "s.end")
 
 
 @query(f"""
@@ -265,10 +287,10 @@ def c4_merge_spans(spark, sf_dir):
     return structure.merge_spans(lines.select("doc_id", "x.start", (F.col("x.start") + F.when(F.col("line") % 3 == 0, 2 * n).otherwise(n)).alias("end")))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS unclosed FROM documents")
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: x[1] = 'T')) % 2 = 1 AS unclosed FROM documents")
 def c5_unclosed_fence(spark, sf_dir):
-    body = F.concat(F.lit("```text\n"), F.col("text"), F.when(F.col("doc_id") % 2 == 0, "\n``").otherwise("\n````"))
-    return documents(spark, sf_dir).select("doc_id", structure.unclosed_fence(body).alias("unclosed"))
+    """A fence mark before each line that begins with T: each second one closes."""
+    return documents(spark, sf_dir).select("doc_id", structure.unclosed_fence(F.expr("regexp_replace(text, '(?m)^T', '```\nT')")).alias("unclosed"))
 
 
 @query("""
@@ -279,11 +301,15 @@ def c6_blank_runs(spark, sf_dir):
     return structure.blank_runs(documents(spark, sf_dir).select("doc_id", F.expr(SPACED).alias("text")))
 
 
-@query("SELECT doc_id, 'heading' || repeat(',paragraph', len(string_split(text, chr(10)))) AS signature, 'u/' || doc_id AS targets FROM documents")
+@query(f"""
+SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x[1] = 'T' THEN 'heading' ELSE 'paragraph' END), ',') AS signature,
+  array_to_string(list_transform(range(1, len(string_split({MARKED}, '(u/of)'))), lambda i: 'u/of'), ',') AS targets, replace(text, chr(10), ' ') AS visible FROM documents WHERE NOT regexp_matches(text, '[*_]')
+UNION ALL SELECT doc_id, NULL, NULL, trim(regexp_replace(regexp_replace(text, '[*_`~]+', '', 'g'), '[ \n]+', ' ', 'g')) FROM documents WHERE regexp_matches(text, '[*_]')""")
 def c7_signature_and_targets(spark, sf_dir):
-    body = F.concat(F.lit("# [x](u/"), F.col("doc_id").cast("string"), F.lit(")\n\n"), F.expr(SPACED))
-    marked = documents(spark, sf_dir).select("doc_id", body.alias("t"))
-    return marked.select("doc_id", F.array_join(structure.block_type_signature("t"), ",").alias("signature"), F.array_join(structure.link_targets("t"), ",").alias("targets"))
+    """Lines that begin with T as headings. Texts with emphasis marks: what a reader sees alone."""
+    body = F.expr(f"regexp_replace(replace({MARKED}, '\n', '\n\n'), '(?m)^T', '# T')")
+    marked = documents(spark, sf_dir).select("doc_id", body.alias("t"), (~F.col("text").rlike("[*_]")).alias("plain"))
+    return marked.select("doc_id", F.when(F.col("plain"), F.array_join(structure.block_type_signature(F.col("t")), ",")).alias("signature"), F.when(F.col("plain"), F.array_join(structure.link_targets(F.col("t")), ",")).alias("targets"), structure.visible_text(F.col("t")).alias("visible"))
 
 
 # --- paragraphs ---------------------------------------------------------------------------------------------------
@@ -325,19 +351,24 @@ def e1_find_emails(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", _values(pii.find_emails(F.col("text"))))
 
 
-@query("SELECT doc_id, '138 ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '-1234' AS found FROM documents")
+SQL_PHONES = "regexp_extract_all('x' || {body}, '[^0-9](1[3-9](?:[ -]?[0-9]){{9}})(?:[^0-9]|$)', 1)"
+
+
+@query(f"SELECT doc_id, array_to_string({SQL_PHONES.format(body='text')} || ['138 ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '-1234'], ',') AS found FROM documents")
 def e2_find_cn_phones(spark, sf_dir):
-    body = F.concat(F.translate("text", "0123456789", ""), F.lit(" 138 "), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("-1234 "), F.lit("23800138000 1280013800"))
+    body = F.concat(F.col("text"), F.lit(" x138 "), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("-1234 x"), F.lit("23800138000 x1280013800"))
     return documents(spark, sf_dir).select("doc_id", _values(pii.find_cn_phones(body)))
 
 
-@query("""
-WITH b AS (SELECT doc_id, '11010519491231' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS b FROM documents),
-c AS (SELECT doc_id, b, substr('10X98765432', CAST(list_sum(list_transform(range(1, 18), lambda i: CAST(b[i] AS INT) * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i])) % 11 + 1 AS INT), 1) AS k FROM b)
-SELECT doc_id, CASE WHEN k = 'X' THEN b || 'X' ELSE '' END AS found FROM c""")
+SQL_CHECK = "substr('10X98765432', CAST(list_sum(list_transform(range(1, 18), lambda i: CAST({b}[i] AS INT) * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i])) % 11 + 1 AS INT), 1)"
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, regexp_extract_all('x' || text || ' x11010519491231' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || 'X, x11010519490231' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || 'X', '[^0-9]([0-9]{{17}}[0-9Xx])(?:[^0-9]|$)', 1) AS c FROM documents)
+SELECT doc_id, array_to_string(list_filter(c, lambda x: try_strptime(substr(x, 7, 8), '%Y%m%d') IS NOT NULL AND upper(x[18]) = {SQL_CHECK.format(b='x')} AND substr(x, 1, 2) IN ({', '.join(f"'{p}'" for p in pii.PROVINCES)}) AND substr(x, 3, 4) <> '0000'), ',') AS found FROM b""")
 def e3_find_cn_ids(spark, sf_dir):
     serial = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
-    body = F.concat(F.translate("text", "0123456789", ""), F.lit(" 11010519491231"), serial, F.lit("X, 11010519490231"), serial, F.lit("X"))
+    body = F.concat(F.col("text"), F.lit(" x11010519491231"), serial, F.lit("X, x11010519490231"), serial, F.lit("X"))
     return documents(spark, sf_dir).select("doc_id", _values(pii.find_cn_ids(body)))
 
 
@@ -354,27 +385,39 @@ def e5_find_ipv4(spark, sf_dir):
 SQL_COUNTS = f"len(regexp_extract_all(text, '{SQL_EMAIL}')) AS email_redactions, 0 AS id_card_redactions, 0 AS phone_redactions, len({SQL_CARDS}) AS bank_card_redactions, len({SQL_IPS}) AS ipv4_redactions"
 
 
-@query("SELECT doc_id, 1 + len(regexp_extract_all(text, '" + SQL_EMAIL + "')) AS email_redactions, 1 AS id_card_redactions, 0 AS bank_card_redactions FROM documents")
+@query(f"SELECT doc_id, 1 + len(regexp_extract_all(text, '{SQL_EMAIL}')) AS email_redactions, 1 AS id_card_redactions, len({SQL_CARDS}) AS bank_card_redactions, len({SQL_IPS}) AS ipv4_redactions FROM documents")
 def e6_resolve_overlaps(spark, sf_dir):
-    """An id that is a card number by its check digit too, and an address inside an e-mail: the first entity wins."""
-    body = F.concat(F.lit("11010519491231002X 1.2.3.4@sample.org "), F.regexp_replace("text", r"[0-9]{12,}", "0"))
-    found = documents(spark, sf_dir).select("doc_id", pii.find_pii(body).alias("m"))
-    wanted = [c for c in pii.counts(F.col("m"))]
-    return found.select("doc_id", *wanted).select("doc_id", "email_redactions", "id_card_redactions", "bank_card_redactions")
+    """Before the text an id whose digits look like a card, and an e-mail that begins with an address: the first entity wins."""
+    found = documents(spark, sf_dir).select("doc_id", pii.find_pii(F.concat(F.lit("11010519491231002X 1.2.3.4@sample.org x "), F.col("text"))).alias("m"))
+    return found.select("doc_id", *pii.counts(F.col("m"))).drop("phone_redactions")
 
 
-@query("SELECT doc_id, 'EMAIL_ADDRESS' AS entity, 11 AS start, 18 AS \"end\" FROM documents")
+@query(f"""
+SELECT doc_id, 'EMAIL_ADDRESS' AS entity, 11 AS start, 18 AS "end" FROM documents
+UNION ALL SELECT doc_id, 'EMAIL_ADDRESS', CAST(19 + list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS INT),
+  CAST(19 + list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(hits[1:i], lambda x: length(x))) AS INT)
+FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '{SQL_EMAIL}') AS gaps, regexp_extract_all(text, '{SQL_EMAIL}') AS hits FROM documents))""")
 def e7_exclude_protected(spark, sf_dir):
-    body = F.concat(F.lit("`a@b.org`: c@d.org "), F.translate("text", "@<>`", "")).alias("t")
-    marked = documents(spark, sf_dir).select("doc_id", body).withColumn("s", structure.protected_spans("t"))
-    kept = pii.exclude_protected(F.filter(pii.candidates(F.col("t")), lambda m: m["entity"] == "EMAIL_ADDRESS"), F.col("s"))
+    marked = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("`a@b.org`: c@d.org "), F.col("text")).alias("t")).withColumn("s", structure.protected_spans(F.col("t")))
+    kept = F.filter(pii.exclude_protected(pii.candidates(F.col("t")), F.col("s")), lambda m: m["entity"] == "EMAIL_ADDRESS")
     return marked.select("doc_id", F.explode(kept).alias("m")).select("doc_id", "m.entity", "m.start", "m.end")
 
 
-@query(f"SELECT doc_id, regexp_replace(text, '{SQL_EMAIL}', '[EMAIL]', 'g') AS text FROM documents")
+SQL_CARD_RUN = SQL_CARDS.replace("regexp_extract_all(text, '[0-9]+')", "[r]").replace("CAST(", "TRY_CAST(")
+SQL_IP_RUN = SQL_IPS.replace("regexp_extract_all(text, '[0-9.]+')", "[r]")
+
+
+def _sql_redacted(text: str) -> str:
+    """E-mails, cards and addresses replaced in turn; the tables hold no ids or phone numbers of the other kinds."""
+    mail = f"regexp_replace({text}, '{SQL_EMAIL}', '[EMAIL]', 'g')"
+    card = f"array_to_string(list_transform(regexp_extract_all({mail}, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_full_match(r, '[0-9]{{12,19}}') THEN CASE WHEN len({SQL_CARD_RUN}) > 0 THEN '[BANK_CARD]' ELSE r END ELSE r END), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({card}, '[0-9.]+|[^0-9.]+'), lambda r: CASE WHEN length(r) BETWEEN 7 AND 16 AND len({SQL_IP_RUN}) > 0 THEN '[IPV4]' || CASE WHEN r LIKE '%.' THEN '.' ELSE '' END ELSE r END), '')"
+
+
+@query(f"SELECT doc_id, {_sql_redacted('text')} AS text FROM documents")
 def e8_redact(spark, sf_dir):
-    emails = F.filter(pii.find_pii(F.col("text")), lambda m: m["entity"] == "EMAIL_ADDRESS")
-    return documents(spark, sf_dir).select("doc_id", pii.redact(F.col("text"), emails).alias("text"))
+    found = documents(spark, sf_dir).select("doc_id", "text", pii.find_pii(F.col("text")).alias("m"))
+    return found.select("doc_id", pii.redact(F.col("text"), F.col("m")).alias("text"))
 
 
 @query(f"SELECT lang, source, sum(email_redactions) AS email_redactions, sum(id_card_redactions) AS id_card_redactions, sum(phone_redactions) AS phone_redactions, sum(bank_card_redactions) AS bank_card_redactions, sum(ipv4_redactions) AS ipv4_redactions, count(*) AS documents FROM (SELECT lang, source, {SQL_COUNTS} FROM documents) GROUP BY lang, source")
@@ -382,10 +425,13 @@ def e9_pii_summary(spark, sf_dir):
     return pii.pii_summary(documents(spark, sf_dir).select("lang", "source", "text"), ["lang", "source"])
 
 
-@query("SELECT doc_id, doc_id % 4 > 2 AS rejected FROM documents")
+SQL_IP_SHAPES = r"len(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: regexp_full_match(x, '([0-9]{1,3}\.){3}[0-9]{1,3}\.?')))"
+
+
+@query(f"""SELECT doc_id, len(regexp_extract_all(text, '{SQL_EMAIL}')) + len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 12 AND 19))
+  + len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 18)) + len({SQL_PHONES.format(body='text')}) + {SQL_IP_SHAPES} > 0 AS rejected FROM documents""")
 def e10_pii_candidate_guard(spark, sf_dir):
-    body = F.concat(F.translate("text", "0123456789@", ""), F.repeat(F.lit(" a@b.org"), (F.col("doc_id") % 4).cast("int")), F.lit(" 1234567890123"))
-    return documents(spark, sf_dir).select("doc_id", pii.too_many_candidates(body, limit=3).alias("rejected"))
+    return documents(spark, sf_dir).select("doc_id", pii.too_many_candidates(F.col("text"), limit=0).alias("rejected"))
 
 
 # --- formatting and cleaning ------------------------------------------------------------------------------------
@@ -397,55 +443,68 @@ def f1_normalize_markdown(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", cleaning.normalize_markdown(body).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS changes FROM documents")
+@query("""
+WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: x[1] = 'T') AS t FROM documents), f AS (SELECT doc_id, list_append(t[1:-2], true) AS f FROM l)
+SELECT doc_id, CAST(len(list_filter(range(1, len(f) + 1), lambda i: f[i] AND (i = 1 OR NOT f[i - 1]))) AS INT) AS changes FROM f""")
 def f2_count_format_changes(spark, sf_dir):
-    framed = F.concat(F.lit("a\n"), F.col("text"), F.lit("\nz"))
-    changed = F.concat(F.lit("b\n"), F.col("text"), F.lit("\ny"))
-    return documents(spark, sf_dir).select("doc_id", cleaning.count_format_changes(framed, F.when(F.col("doc_id") % 3 == 0, framed).otherwise(changed)).alias("changes"))
+    """Two blanks behind the lines that begin with T go, and the last line gets its end."""
+    return documents(spark, sf_dir).select("doc_id", cleaning.count_format_changes(F.expr(BLANKED)).alias("changes"))
 
 
-@query("SELECT doc_id, 'a ' || doc_id || chr(10) || 'TABLE_DELIMITER:left,center' || chr(10) || 'x y' || chr(10) || chr(10) || text AS text FROM documents")
+@query("""
+SELECT doc_id, 'a b' || chr(10) || 'TABLE_DELIMITER:left,center' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(replace(x, '|', ' '), ' +', ' ', 'g'))), chr(10)) AS text FROM documents""")
 def f3_normalize_table_delimiters(spark, sf_dir):
-    head = F.concat(F.lit("| a | "), F.col("doc_id").cast("string"), F.lit(" |\n|:---|:-:|\n| x | y |\n\n"), F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", cleaning.normalize_table_delimiters(head).alias("text"))
+    """Each line a table row, each word a cell."""
+    rows = F.expr("concat('| ', replace(replace(text, ' ', ' | '), '\n', ' |\n| '), ' |')")
+    return documents(spark, sf_dir).select("doc_id", cleaning.normalize_table_delimiters(F.concat(F.lit("| a | b |\n|:---|:-:|\n"), rows)).alias("text"))
 
 
-@query("SELECT doc_id, unnest(['VISIBLE_TEXT', 'LINK_TARGETS', 'PROTECTED_UNITS']) AS violation FROM documents WHERE doc_id % 2 = 1")
+@query(f"""
+SELECT doc_id, unnest(list_concat(CASE WHEN contains({MARKED}, '(u/of)') THEN ['LINK_TARGETS', 'PROTECTED_UNITS'] ELSE [] END, CASE WHEN contains(text, 'anon') THEN ['VISIBLE_TEXT'] ELSE [] END)) AS violation FROM documents""")
 def f4_content_preserved(spark, sf_dir):
-    before = F.concat(F.lit("[x](u) "), F.col("text"))
-    after = F.when(F.col("doc_id") % 2 == 0, F.concat(before, F.lit("  \n"))).otherwise(F.concat(F.lit("[y](v) "), F.col("text")))
-    return cleaning.content_preserved(documents(spark, sf_dir).select("doc_id", before.alias("before"), after.alias("after")))
+    """Other link destinations and other words are changes; two blanks behind a line are none."""
+    after = F.expr(f"concat(replace(replace({MARKED}, '(u/of)', '(v/of)'), 'anon', 'ANON'), '  \n')")
+    return cleaning.content_preserved(documents(spark, sf_dir).select("doc_id", F.expr(MARKED).alias("before"), after.alias("after")))
 
 
-SQL_CLEAN = f"SELECT doc_id, lang, source, 'succeeded' AS status, 0 AS duplicate_paragraphs_removed, {SQL_COUNTS} FROM documents"
-CLEAN_COLUMNS = ["doc_id", "status", "duplicate_paragraphs_removed", *pii.COUNTERS.values()]
+CLEAN_COLUMNS = ["doc_id", "status", "text", *cleaning.COUNTERS, "input_sha256", "input_bytes", "output_sha256", "output_bytes"]
+SPREAD, SQL_SPREAD = f"replace({BLANKED}, '\\n', '\\n\\n')", f"replace({SQL_BLANKED}, chr(10), chr(10) || chr(10))"
+#: Each line a paragraph: the first of equal ones stays; personal data goes; blanks behind lines that begin with T go.
+SQL_CLEAN = f"""
+SELECT doc_id, lang, source, 'succeeded' AS status, clean AS text, n - len(lines) AS duplicate_paragraphs_removed, email_redactions, id_card_redactions, phone_redactions, bank_card_redactions, ipv4_redactions,
+  CAST(len(list_filter(lines[1:-2], lambda x: x[1] = 'T')) + 1 AS INT) AS formatting_changes, sha256(body) AS input_sha256, strlen(body) AS input_bytes, sha256(clean) AS output_sha256, strlen(clean) AS output_bytes
+FROM (SELECT *, {_sql_redacted("array_to_string(lines, chr(10) || chr(10))")} || chr(10) AS clean, {SQL_COUNTS.replace("(text,", "(array_to_string(lines, chr(10) || chr(10)),")}
+  FROM (SELECT doc_id, lang, source, len(string_split(text, chr(10))) AS n, {SQL_SPREAD} AS body,
+    list_transform(list_filter(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), lambda z: list_position(list_transform(string_split(text, chr(10)), lambda y: trim(y)), trim(z[1])) = z[2]), lambda z: z[1]) AS lines FROM documents))"""
 
 
 @query(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM ({SQL_CLEAN})")
 def g1_clean_documents(spark, sf_dir):
-    return cleaning.clean_documents(documents(spark, sf_dir).select("doc_id", "text")).select(*CLEAN_COLUMNS)
+    return cleaning.clean_documents(documents(spark, sf_dir).select("doc_id", F.expr(SPREAD).alias("text"))).select(*CLEAN_COLUMNS)
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 6000 THEN 'INPUT_TOO_LARGE' WHEN len(string_split(text, chr(10))) > 8 THEN 'TOO_MANY_BLOCKS' WHEN length(text) > 3000 AND strpos(text, chr(10)) = 0 THEN 'BLOCK_TOO_LARGE' END AS error_code FROM documents")
+@query(f"""
+SELECT doc_id, CASE WHEN strlen(text) > 6000 THEN 'INPUT_TOO_LARGE' WHEN len(string_split(text, chr(10))) > 8 THEN 'TOO_MANY_BLOCKS'
+  WHEN len(string_split({MARKED}, '`the`')) + len(string_split({MARKED}, '(u/of)')) - 2 > 12 THEN 'TOO_MANY_PROTECTED_SPANS'
+  WHEN list_max(list_transform(string_split({MARKED}, chr(10)), lambda x: length(x))) > 700 THEN 'BLOCK_TOO_LARGE' END AS error_code FROM documents""")
 def g2_resource_guard(spark, sf_dir):
-    limits = cleaning.CleaningLimits(max_input_bytes=6000, max_blocks=8, max_block_chars=1 << 30)
-    one = cleaning.CleaningLimits(max_input_bytes=6000, max_blocks=8, max_block_chars=3000)
-    docs = documents(spark, sf_dir).select("doc_id", "text", structure.blocks_of(F.expr(SPACED)).alias("b"), structure.protected_spans(F.lit("")).alias("s"))
-    code = F.when(F.contains("text", F.lit("\n")), cleaning.resource_guard(F.col("text"), F.col("b"), F.col("s"), limits)).otherwise(cleaning.resource_guard(F.col("text"), F.col("b"), F.col("s"), one))
-    return docs.select("doc_id", code.alias("error_code"))
+    limits = cleaning.CleaningLimits(max_input_bytes=6000, max_blocks=8, max_protected_spans=12, max_block_chars=700)
+    body = F.expr(f"replace({MARKED}, '\n', '\n\n')")
+    docs = documents(spark, sf_dir).select("doc_id", "text", structure.blocks_of(body).alias("b"), structure.protected_spans(body).alias("s"))
+    return docs.select("doc_id", cleaning.resource_guard(F.col("text"), F.col("b"), F.col("s"), limits).alias("error_code"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'INVALID_TERMINAL_NEWLINE' WHEN doc_id % 3 = 1 THEN 'INVALID_ENCODING' END AS error_code FROM documents")
+@query("""SELECT doc_id, CASE WHEN lang = 'fr' THEN 'INVALID_ENCODING' WHEN lang IN ('de', 'es') THEN 'INVALID_TERMINAL_NEWLINE' WHEN contains(text, ' of ') THEN 'INTERNAL_MARKER' END AS error_code FROM documents""")
 def g3_check_clean_output(spark, sf_dir):
-    tail = F.when(F.col("doc_id") % 3 == 0, "\n\n").when(F.col("doc_id") % 3 == 1, "\r\n").otherwise("\n")
-    return documents(spark, sf_dir).select("doc_id", cleaning.check_clean_output(F.concat("text", tail)).alias("error_code"))
+    tail = F.when(F.col("lang") == "de", "\n\n").when(F.col("lang") == "fr", "\r\n").when(F.col("lang") == "es", "").otherwise("\n")
+    body = F.concat(F.expr("replace(text, ' of ', ' __MD_INTERNAL_7__ ')"), tail)
+    return documents(spark, sf_dir).select("doc_id", cleaning.check_clean_output(body).alias("error_code"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS preserved FROM documents")
+@query(f"SELECT doc_id, NOT contains({MARKED}, '`the`') AS preserved FROM documents")
 def g4_protected_regions_preserved(spark, sf_dir):
-    before = F.concat(F.lit("`a`  "), F.col("text"))
-    after = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("`a` "), F.col("text"), F.lit("\n"))).otherwise(F.concat(F.lit("`b` "), F.col("text")))
-    return documents(spark, sf_dir).select("doc_id", before.alias("x"), after.alias("y")).select("doc_id", cleaning.protected_regions_preserved("x", "y").alias("preserved"))
+    after = F.expr(f"concat(replace({MARKED}, '`the`', '`The`'), '  \n')")
+    return documents(spark, sf_dir).select("doc_id", F.expr(MARKED).alias("x"), after.alias("y")).select("doc_id", cleaning.protected_regions_preserved(F.col("x"), F.col("y")).alias("preserved"))
 
 
 @query("SELECT doc_id, sha256(text) AS input_sha256, CAST(strlen(text) AS BIGINT) AS input_bytes FROM documents")
@@ -454,11 +513,10 @@ def g5_content_digest(spark, sf_dir):
 
 
 @query(f"""
-SELECT lang, source, count(*) AS documents, count(*) AS succeeded, sum(duplicate_paragraphs_removed) AS duplicate_paragraphs_removed, sum(email_redactions) AS email_redactions,
-  sum(bank_card_redactions) AS bank_card_redactions, sum(ipv4_redactions) AS ipv4_redactions FROM ({SQL_CLEAN}) GROUP BY ROLLUP (lang, source)""")
+SELECT lang, source, count(*) AS documents, count(*) AS succeeded, {', '.join(f'sum({c}) AS {c}' for c in cleaning.COUNTERS)} FROM ({SQL_CLEAN}) GROUP BY ROLLUP (lang, source)""")
 def g6_cleaning_report(spark, sf_dir):
-    cleaned = cleaning.clean_documents(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
-    return cleaning.cleaning_report(cleaned, ["lang", "source"]).select("lang", "source", "documents", "succeeded", "duplicate_paragraphs_removed", "email_redactions", "bank_card_redactions", "ipv4_redactions")
+    cleaned = cleaning.clean_documents(documents(spark, sf_dir).select("doc_id", F.expr(SPREAD).alias("text"), "lang", "source"))
+    return cleaning.cleaning_report(cleaned, ["lang", "source"])
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'INPUT_DIGEST_MISMATCH' ELSE 'INVALID_SUMMARY' END AS error_code FROM documents WHERE doc_id % 50 IN (0, 1)")
@@ -732,7 +790,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM ({SQL_CLEAN})")
 def l1_stream_clean(spark, sf_dir):
     out = new_path(spark, "stream-clean")
-    cleaned = streams.stream_clean(_stream(spark, sf_dir, "documents").select("doc_id", "text")).select(*CLEAN_COLUMNS)
+    cleaned = streams.stream_clean(_stream(spark, sf_dir, "documents").select("doc_id", F.expr(SPREAD).alias("text"))).select(*CLEAN_COLUMNS)
     streams.run_available(cleaned, f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data")
 

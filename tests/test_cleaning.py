@@ -1,73 +1,47 @@
 """Markdown structure, personal data and cleaning: vectors, protection, idempotence, guards."""
 
+import random
 import re
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.functions import markdown
 from corpusmill.functions.regex_spans import find_matches
-from corpusmill.operators import cleaning, pii, structure
+from corpusmill.operators import cleaning, extract, pii, structure
 
-GOLDEN = """# Title
+from . import plain_markdown as plain
 
-same paragraph
-
-same paragraph
-
-mail: a@sample.org
-tel: 13800138000
-card: 4111111111110006
-id: 11010519491231002X
-net: 10.0.0.1
-
-`13800138000 a@sample.org 10.0.0.1` stays.
-
-[link](https://files.example/13800138000/a@sample.org/10.0.0.1)
-
-shown a@b.com and 10.0.0.1 go.
-
-<mailto:a@b.com>
-
-<span data-phone="13800138000"></span>
-
-```text
-13800138000 4111111111110006
-```
-
-<div>
-a@sample.org 10.0.0.1
-</div>
-
-- item one
-- item one
-
-[ref]: https://a@b.com/foo(1)
-"""
+# One valid value of each entity.
+VALUES = {"EMAIL_ADDRESS": "a@sample.org", "CN_ID_CARD": "11010519491231002X", "CN_MOBILE_PHONE": "13800138000", "CREDIT_CARD": "4111111111111111", "IPV4_ADDRESS": "10.0.0.1"}
+#: Every kind of protected place, with a gap for a value.
+PLACES = ["`{}`", "see [the page](https://files.example/{}/x) there", "![shot](img/{}.png)", "<https://files.example/{}>", 'a <i title="{}">word</i>', "~~~\n{}\n~~~", "<section>\n{}\n</section>", "[r1]: https://files.example/{}"]
 
 
 def columns(spark, text, *exprs):
     return spark.createDataFrame([(text,)], "t string").select(*exprs).head()
 
 
-def test_golden_document(spark):
-    frame = spark.createDataFrame([(1, GOLDEN, "x")], "doc_id long, text string, lang string")
+@pytest.mark.parametrize("entity", VALUES)
+def test_values_go_from_text_and_stay_in_protected_places(spark, entity):
+    value, token = VALUES[entity], pii.TOKENS[entity]
+    kept = [p.format(value) for p in PLACES]
+    text = "\n\n".join([f"# about {value}", f"It says {value} here, and {value}.", *kept, f"- point {value}", f"> quoted {value}", f"| a | {value} |\n| --- | --- |\n| b | c |"]) + "\n"
+    frame = spark.createDataFrame([(1, text, "x", "y", "z")], "doc_id long, text string, lang string, blocks string, row string")
     row = cleaning.clean_documents(frame).head()
-    counts = [row[c] for c in ("duplicate_paragraphs_removed", "phone_redactions", "id_card_redactions", "bank_card_redactions", "email_redactions", "ipv4_redactions")]
-    assert row.status == "succeeded" and counts == [1, 1, 1, 1, 2, 2] and row.lang == "x"
-    for kept in ("`13800138000 a@sample.org 10.0.0.1`", "](https://files.example/13800138000/a@sample.org/10.0.0.1)", "<mailto:a@b.com>", "```text\n13800138000 4111111111110006\n```", "https://a@b.com/foo(1)", "- item one\n- item one"):
-        assert kept in row.text
-    for token in ("mail: [EMAIL]", "tel: [PHONE]", "card: [BANK_CARD]", "id: [ID_CARD]", "net: [IPV4]"):
-        assert token in row.text
+    assert row.status == "succeeded" and (row.lang, row.blocks, row.row) == ("x", "y", "z")
+    assert {c: row[c] for c in pii.COUNTERS.values()} == {c: 6 * (e == entity) for e, c in pii.COUNTERS.items()}
+    assert row.text.count(token) == 6 and all(k in row.text for k in kept)
     again = cleaning.clean_documents(spark.createDataFrame([(1, row.text)], "doc_id long, text string")).head()
     assert again.text == row.text and sum(again[c] for c in cleaning.COUNTERS) == 0
 
 
-@pytest.mark.parametrize(("before", "after", "removed"), [("same\n\nsame\n\nsame\n", "same\n\n", 2), ("a\n\nb\n", "a\n\nb\n", 0), ("a  b\n\na b\n\nc", "a  b\n\nc", 1), ("- x\n\nx\n", "- x\n\nx\n", 0), ("", "", 0)])
-def test_paragraph_vectors(before, after, removed):
-    assert markdown.dedup_paragraphs(before) == (after, removed)
+@pytest.mark.parametrize(
+    ("before", "after", "removed"),
+    [("same\n\nsame\n\nsame\n", "same\n\n", 2), ("a\n\nb\n", "a\n\nb\n", 0), ("a  b\n\na b\n\nc", "a  b\n\nc", 1), ("- x\n\nx\n", "- x\n\nx\n", 0), ("", "", 0), ("p\n\n# h\n\np\n# h\n", "p\n\n# h\n\n# h\n", 1), ("x\r\n\r\nx", "x\r\n\r\n", 1), ("> q\n\nq\n\nQ\n\nq", "> q\n\nq\n\nQ\n\n", 1)],
+)
+def test_paragraph_vectors(spark, before, after, removed):
+    assert tuple(columns(spark, before, cleaning.dedup_paragraphs(F.col("t")).alias("d")).d) == (after, removed)
 
 
 def test_pii_vector(spark):
@@ -83,24 +57,42 @@ def test_full_width_digits_and_bad_ids(spark):
 
 
 def test_offsets_agree_with_python(spark):
-    texts = ["ab1c22", "漢1字22😀333", "", "1", "no digits"]
+    texts = ["ab1c22", "漢1字22😀333", "", "1", "no digits", "7a" * 5_000]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", find_matches(F.col("t"), r"\d+").alias("m")).collect()
     for r in rows:
         assert [(m.start, m.end, m.value) for m in r.m] == [(*m.span(), m[0]) for m in re.finditer(r"\d+", r.t)]
 
 
-@given(st.text(alphabet="ab`~#-*>| \n1.<[]()!:", max_size=80))
-@settings(max_examples=300, deadline=None)
-def test_structure_properties(text):
-    blocks = markdown.segment(text)
-    top = [b for b in blocks if b.top_level]
-    assert all(a.end <= b.start for a, b in zip(top, top[1:], strict=False))
-    spans = markdown.protected(text, blocks)
-    assert all(0 <= s.start <= s.end <= len(text) for s in spans)
-    covered = {i for b in top for i in range(b.start, b.end)}
-    assert all(i in covered or text[i].isspace() for i in range(len(text)))
-    once = markdown.normalize(text)
-    assert not once or once.endswith("\n") and "\r" not in once
+PIECES = "a b|a  c|# h|- x|1. y|  more|   deep|> q|```|~~~|`c`|<div>|</div>|<b>t</b>|<!-- z|-->|[r]: u/x|    code|---|===|[l](u(1))|![i](p.png)|<http://e.org/>|text `x|***|||| |\t|a\\b".split("|") + ["| a | b |", "|---|:-:|"]
+
+
+def test_structure_matches_a_plain_reading(spark):
+    """Texts of random lines, against a reader that goes line by line."""
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 12))) + rng.choice(["", "\n"]) for _ in range(1500)]
+    read = spark.createDataFrame([(t,) for t in texts], "t string").select("t", markdown.blocks(F.col("t")).alias("b")).select("t", "b", markdown.located(F.col("b")).alias("places"))
+    rows = read.select(
+        "t", "b", structure.blocks_of(F.col("t")).alias("blocks"), markdown.protected(F.col("places")).alias("spans"), structure.unclosed_fence(F.col("t")).alias("open"),
+        markdown.without_repeated_paragraphs(F.col("b")).alias("unique"), cleaning.normalize_markdown(F.col("t")).alias("formatted"), markdown.link_targets(F.col("b")).alias("targets"),
+        markdown.visible_text(F.col("b")).alias("visible"), markdown.strip_images(F.col("b")).alias("bare"), markdown.has_forbidden_image(F.col("b")).alias("image"), structure.line_offsets(F.col("t")).alias("lines"),
+    ).collect()
+    for r in rows:
+        t = r.t
+        assert "".join(b.value for b in r.b) == t
+        assert [tuple(b) for b in r.blocks if b.top_level] == [tuple(b) for b in plain.segment(t) if b.top_level]
+        assert [tuple(s) for s in r.spans] == [tuple(s) for s in plain.protected(t)]
+        assert r.open == plain.has_unclosed_fence(t) and tuple(r.unique) == plain.dedup_paragraphs(t)
+        assert r.formatted == plain.normalize(t) and list(r.targets) == plain.link_targets(t)
+        assert r.bare == plain.strip_images(t) and r.image == plain.has_forbidden_image(t)
+        assert r.lines == [m.end() for m in re.finditer(r"\A|\n", t)]
+        if "|" not in t:
+            assert r.visible == plain.visible_text(t)
+
+
+@pytest.mark.parametrize("text", ["```\n" + "line\n" * 100_000, "word word\n" * 100_000, "- item\n" * 50_000, "p one\n\n" * 50_000, "`a " * 20_000, "[a](" + "(" * 20_000, "<a " * 30_000], ids=lambda t: t[:8].strip())
+def test_very_long_texts(spark, text):
+    done = columns(spark, text, cleaning.normalize_markdown(F.col("t")).alias("f"), F.size(structure.protected_spans(F.col("t"))).alias("n"))
+    assert done.f == plain.normalize(text) and done.n >= 0
 
 
 @pytest.mark.parametrize(("text", "unclosed"), [("```\na", True), ("```\na\n```", False), ("~~~\na\n```", True), ("````\n```\n````", False), ("``` a`b\nx", False), ("plain", False)])
@@ -108,9 +100,31 @@ def test_fences(spark, text, unclosed):
     assert columns(spark, text, structure.unclosed_fence(F.col("t")).alias("u")).u == unclosed
 
 
-@pytest.mark.parametrize(("a", "b", "n"), [("x\n", "x\n", 0), ("a\nb\nc\n", "a\nB\nc\n", 1), ("a\nb\nc\n", "A\nb\nC\n", 2), ("a\n", "a\nb\n", 1)])
-def test_change_counts(a, b, n):
-    assert markdown.count_changes(a, b) == n
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [("x\n", 0), ("x", 1), ("a  \nb\nc\n", 1), ("a  \nb  \nc\n", 1), ("a  \nb\nc  \n", 2), ("a\n\n\n\nb\n", 1), ("\n\na\n", 1), ("a\n\n\n", 1), ("a\r\nb\r\n", 1), ("* x\n\nb\n\n* y\n", 2), ("```\nx  \n```\n", 0), ("", 0)],
+)
+def test_change_counts(spark, text, n):
+    assert columns(spark, text, cleaning.count_format_changes(F.col("t")).alias("n")).n == n
+
+
+def test_spans_are_cleared_in_linear_time_and_as_by_comparison(spark):
+    rng = random.Random(2)
+    pick = lambda n: sorted((a, a + rng.randrange(1, 9)) for a in (rng.randrange(400) for _ in range(n)))
+    cases = [(i, [("E", *s) for s in pick(rng.randrange(30))], [("k", *s) for s in pick(rng.randrange(20))]) for i in range(60)]
+    schema = "i int, m array<struct<entity:string,start:int,end:int>>, f array<struct<kind:string,start:int,end:int>>"
+    for r in spark.createDataFrame(cases, schema).select("m", "f", pii.clear_of(F.col("m"), F.col("f")).alias("kept")).collect():
+        want = [tuple(m) for m in r.m if not any(f.start < m.end and f.end > m.start for f in r.f)]
+        assert sorted(map(tuple, r.kept)) == sorted(want)
+
+
+def test_images(spark):
+    """Reference definitions that only images use go, and code is left alone."""
+    text = "# Report\n\nSee ![the chart](plots/q(2).svg 'second') or ![][map].\n\n[map]: plots/map.svg\n[doc]: files/doc.md\n\nRead [this][doc] and <IMG alt='a logo' src=l.svg>; type `![x](y)`.\n\n~~~\n![kept](z)\n~~~\n"
+    want = "# Report\n\nSee the chart or .\n\n[doc]: files/doc.md\n\nRead [this][doc] and a logo; type `![x](y)`.\n\n~~~\n![kept](z)\n~~~\n"
+    row = columns(spark, text, extract.strip_images(F.col("t")).alias("s"), extract.has_forbidden_image_content(F.col("t")).alias("before"), extract.has_forbidden_image_content(extract.strip_images(F.col("t"))).alias("after"))
+    assert row.s == want and row.before and not row.after
+    assert columns(spark, "[n](data:image/gif;base64,R0)", extract.has_forbidden_image_content(F.col("t")).alias("f")).f
 
 
 def test_rejections_leave_others_alone(spark):

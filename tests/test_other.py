@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from corpusmill import queries
-from corpusmill.functions import markdown
 from corpusmill.functions.ordering import with_positions
 from corpusmill.operators import classify, extract, intake, validation
 from corpusmill.sources import files, sinks
@@ -78,21 +77,18 @@ def test_formats_and_features(spark):
     frame = spark.createDataFrame(rows, "doc_id long, name string, content binary")
     got = {r.doc_id: r.format for r in extract.detect_format(frame).collect()}
     assert got == {1: "zip", 2: "zip", 3: "zip", 4: "pdf", 5: None, 6: None, 7: "csv", 8: None, 9: "html", 10: "doc", 11: "zip"}
-    entries = extract.archive_entries(frame.where("doc_id IN (1, 2, 3, 11)"))
-    assert {r.doc_id: r.format for r in extract.detect_zip_format(entries).collect()} == {1: "docx", 2: "epub", 3: None}
+    entries = extract.archive_entries(frame.where("doc_id IN (1, 2, 3, 11)"), file_name="name")
+    assert {r.doc_id: (r.format, r.error) for r in extract.detect_zip_format(entries).collect()} == {1: ("docx", None), 2: ("epub", None), 3: (None, "INVALID_ARCHIVE"), 11: (None, "INVALID_ARCHIVE")}
+    book = office({"[Content_Types].xml": "<T/>", "xl/workbook.xml": "w"})
+    named = spark.createDataFrame([(1, "a.docx", book), (2, "a.xlsx", book), (3, "a.docx", office({"../x": "a", "[Content_Types].xml": "", "word/document.xml": ""})), (4, "a.epub", office({}))], "doc_id long, name string, content binary")
+    got = {r.doc_id: (r.format, r.error) for r in extract.detect_zip_format(extract.archive_entries(named, file_name="name")).collect()}
+    assert got == {1: (None, "UNSUPPORTED_INPUT_FORMAT"), 2: ("xlsx", None), 3: (None, "INVALID_ARCHIVE"), 4: (None, "INVALID_ARCHIVE")}
     row = extract.docx_features(extract.docx_counts(entries.where("doc_id = 1"))).head()
     assert (row.text_character_count, row.visual_complexity_score) == (13, 2 + 1 + 2 + 2 + 1 + 2 + 2)
     assert row.reasons == ["image_dominant_document", "drawings=1", "anchored_objects=1", "text_boxes=1", "column_sections=1", "charts=1", "embedded_objects=1"]
     unsafe = extract.archive_entries(spark.createDataFrame([(1, office({"../x": "a"})), (2, office({"ok": "a"}))], "doc_id long, content binary"))
     assert [tuple(r) for r in extract.archive_violations(unsafe).collect()] == [(1, "UNSAFE_PATH")]
-
-
-def test_images():
-    text = '# t\n\n![arch](images/a(1).png "title")\n![][ref]\n[ref]: images/a.png\n\n<img src="x.png" alt="pic">\n\n[link](https://example.com)\n\n```\n![x](y)\n```\n'
-    out = markdown.strip_images(text)
-    assert "arch" in out and "pic" in out and "[link](https://example.com)" in out and "![x](y)" in out
-    assert "![arch]" not in out and "[ref]:" not in out and "<img" not in out
-    assert markdown.has_forbidden_image("[n](data:image/png;base64,A)") and not markdown.has_forbidden_image("`![a](b)`")
+    assert [tuple(r) for r in extract.archive_violations(entries.where("doc_id = 11")).collect()] == [(11, "INVALID_ARCHIVE")]
 
 
 def test_windows(spark):
