@@ -1,4 +1,4 @@
-"""Global positions without one global window."""
+"""Global positions without one global window, and small scans on all cores."""
 
 from __future__ import annotations
 
@@ -11,14 +11,22 @@ from .storage import materialize
 def with_positions(df: DataFrame, order: list[str], name: str = "uid") -> DataFrame:
     """Add the 0-based position in the order of ``order`` (nulls first).
 
-    Rows are range-partitioned and written once; block counts (one row per block) give each block's offset, and a
-    window within a block does the rest. Ties take consecutive positions.
+    Rows are range-partitioned and written once; block counts (one row per block) give each block's offset, and the
+    generated sequence, which has no gaps within a block, does the rest. Ties take consecutive positions. Columns may have
+    any names.
     """
     blocks = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
-    written, _ = materialize(ranged.select("*", F.spark_partition_id().alias("_block"), F.monotonically_increasing_id().alias("_seq")), "positions")
-    counts = written.groupBy("_block").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    offsets = counts.select("_block", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    # the generated sequence has no gaps within a block, so no further window is needed
-    return written.join(F.broadcast(offsets), "_block").select(*df.columns, (F.col("_ahead") + F.col("_seq") - F.col("_first")).alias(name))
+    row = F.struct(*(ranged["`" + c.replace("`", "``") + "`"] for c in df.columns))
+    written, _ = materialize(ranged.select(row.alias("row"), F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("seq")), "positions")
+    counts = written.groupBy("block").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = counts.select("block", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    return written.join(F.broadcast(offsets), "block").select("row.*", (F.col("ahead") + F.col("seq") - F.col("first")).alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out to all of them; any larger one stays as it is, so that no
+    text of a large table is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder is set only where it names none (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it names none a local folder serves, but only if driver and
+    executors are one process; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         root = _own["dir"]

@@ -12,9 +12,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.ordering import spread
 from corpusmill.functions.storage import materialize
 from corpusmill.functions.text import digest, strip, uuid5
 from corpusmill.operators.components import connected_components
@@ -34,7 +35,8 @@ class MinHashConfig:
     seed: int = 42
 
 
-#: Clusters up to this size get an id over their sorted members; larger ones an id over an order-free digest of them.
+#: A batch of the definition has a hundred thousand documents at most, and so has a cluster: its id is over the sorted
+#: members. Larger clusters lie outside the definition; their id is over an order-free digest, as no row could list them.
 MAX_LISTED_MEMBERS = 100_000
 
 
@@ -59,23 +61,33 @@ def hash_family(permutations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([a for a, _ in pairs], np.uint64), np.array([b for _, b in pairs], np.uint64)
 
 
-def band_keys(text: str, cfg: MinHashConfig) -> list[bytes]:
-    """Bands of the signature, each of its minima as 4 big-endian bytes; none for texts shorter than the window."""
-    text = text.lower() if cfg.lowercase else text
-    grams = {text[i : i + cfg.window] for i in range(len(text) - cfg.window + 1)}
-    if not grams:
-        return []
-    hashes = np.frombuffer(b"".join(hashlib.sha1(g.encode("utf-8", "replace")).digest()[:4] for g in grams), "<u4").astype(np.uint64)
+def signatures_of(texts: list[str], cfg: MinHashConfig) -> np.ndarray:
+    """Least hash values per permutation, one row per text; every text holds a window. All windows of the texts are hashed
+    as one column and reduced by text, a slice of the permutations at a time."""
+    owner, low = [], []
+    for i, text in enumerate(texts):
+        folded = text.lower() if cfg.lowercase else text
+        windows = {folded[k : k + cfg.window] for k in range(len(folded) - cfg.window + 1)}
+        owner.append(len(windows))
+        low += [hashlib.sha1(w.encode("utf-8", "replace")).digest()[:4] for w in windows]
+    x = np.frombuffer(b"".join(low), "<u4").astype(np.uint64)
+    begins = np.concatenate(([0], np.cumsum(owner)[:-1])).astype(np.int64)
     a, b = hash_family(cfg.permutations, cfg.seed)
-    least = np.full(cfg.permutations, RANGE, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        x = hashes[at : at + 1024, None] * a + b  # wraps at 64 bits, by definition of the family
-        x = (x & PRIME) + (x >> np.uint64(61))
-        np.subtract(x, PRIME, out=x, where=x >= PRIME)
-        np.minimum(least, (x & RANGE).min(axis=0), out=least)
+    out = np.empty((len(texts), cfg.permutations), ">u4")
+    for k in range(cfg.permutations):
+        wrapped = x * a[k] + b[k]  # modulo 2^64, then 2^61 - 1, by definition of the family
+        out[:, k] = np.minimum.reduceat((wrapped % PRIME) & RANGE, begins)
+    return out
+
+
+def band_keys(texts: list[str], cfg: MinHashConfig) -> list[list[bytes]]:
+    """Per text the bands of its signature, each of its minima as 4 big-endian bytes; none for texts without a window."""
     bands, rows = lsh_parameters(cfg.threshold, cfg.permutations)
-    minima = least.astype(">u4")
-    return [minima[i * rows : (i + 1) * rows].tobytes() for i in range(bands)]
+    out: list[list[bytes]] = [[] for _ in texts]
+    whole = [i for i, t in enumerate(texts) if len(t) >= cfg.window]
+    for row, i in zip(signatures_of([texts[i] for i in whole], cfg) if whole else (), whole, strict=True):
+        out[i] = [row[k * rows : (k + 1) * rows].tobytes() for k in range(bands)]
+    return out
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -96,19 +108,18 @@ def char_shingles(text: Column, window: int = 5) -> Column:
 
 
 def minhash_signatures(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """``uid, bands`` (array of binary) for texts of at least one window."""
+    """``uid, bands`` (array of binary) for texts of at least one window, hashed where they are read: no text of a large
+    table is shuffled."""
     lsh_parameters(cfg.threshold, cfg.permutations)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                bands = [band_keys(t or "", cfg) for t in part.column(1).to_pylist()]
+                bands = band_keys([t or "" for t in part.column(1).to_pylist()], cfg)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bands, pa.list_(pa.binary()))], names=["uid", "bands"])
 
-    # hashing costs far more than moving a text once, and few input files must not mean few tasks
-    width = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return docs.select(F.col("uid").cast("long").alias("uid"), "text").repartition(width, "uid").mapInArrow(run, "uid long, bands array<binary>").where(F.size("bands") > 0)
+    return spread(docs.select(F.col("uid").cast("long").alias("uid"), "text")).mapInArrow(run, "uid long, bands array<binary>").where(F.size("bands") > 0)
 
 
 def lsh_edges(signatures: DataFrame) -> DataFrame:
@@ -148,7 +159,8 @@ def dedup_decisions(docs: DataFrame, request_id: str, cfg: MinHashConfig = MinHa
     """
     groups, _ = materialize(exact_groups(docs), "exact-groups")
     reps = groups.where("uid = exact_rep").select("uid")
-    components = minhash_clusters(docs.select("uid", "text").join(reps, "uid", "left_semi"), cfg)
+    # signatures of all texts, then those of the representatives: bands travel, texts don't
+    components = connected_components(lsh_edges(minhash_signatures(docs.select("uid", "text"), cfg).join(reps, "uid", "left_semi")))
     members, _ = materialize(expand_clusters(groups, components), "cluster-members")
     return decide(members, request_id)
 
@@ -162,6 +174,12 @@ def exact_decisions(docs: DataFrame, request_id: str) -> DataFrame:
 
 def decide(members: DataFrame, request_id: str) -> DataFrame:
     """Cluster ids, methods and representatives of clustered members."""
+    chosen = named_clusters(members, request_id)
+    return members.join(chosen, "cluster", "left").select("uid", "cluster_id", (F.col("cluster").isNull() | (F.col("uid") == F.col("best"))).alias("representative"), "method")
+
+
+def named_clusters(members: DataFrame, request_id: str) -> DataFrame:
+    """``cluster, best, method, cluster_id`` of the clusters."""
     grouped = members.where("cluster IS NOT NULL")
     chosen = grouped.groupBy("cluster").agg(
         F.min(F.struct((-F.col("stripped_length")).alias("l"), F.col("uid").alias("u")))["u"].alias("best"),
@@ -171,8 +189,7 @@ def decide(members: DataFrame, request_id: str) -> DataFrame:
     )
     listed = grouped.join(chosen.where(F.col("n") <= MAX_LISTED_MEMBERS).select("cluster"), "cluster", "left_semi").groupBy("cluster").agg(cluster_id(F.lit(request_id), F.collect_list("uid")).alias("listed_id"))
     large = uuid5(CLUSTER_NAMESPACE, F.concat(F.lit(request_id), F.lit("\0"), F.concat_ws(",", "cluster", "n", "mark")))
-    named = chosen.join(listed, "cluster", "left").select("cluster", "best", "method", F.coalesce("listed_id", large).alias("cluster_id"))
-    return members.join(named, "cluster", "left").select("uid", "cluster_id", (F.col("cluster").isNull() | (F.col("uid") == F.col("best"))).alias("representative"), "method")
+    return chosen.join(listed, "cluster", "left").select("cluster", "best", "method", F.coalesce("listed_id", large).alias("cluster_id"))
 
 
 def validate_decisions(decisions: DataFrame, expected: DataFrame) -> DataFrame:
@@ -238,9 +255,3 @@ def quarantine_plan(result: DataFrame, folder: str = "duplicate") -> DataFrame:
     first = dropped.groupBy("destination").agg(F.min(F.struct("source", "file_id")).alias("first"))
     taken = F.struct("source", "file_id") == F.col("first")
     return dropped.join(first, "destination").select("file_id", "source", "destination", F.when(taken, "planned").otherwise("failed").alias("state"), F.when(~taken, "OUTPUT_CONFLICT").alias("code"))
-
-
-def first_documents(docs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key, by a window: for callers that need whole rows rather than ids."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return docs.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

@@ -15,8 +15,11 @@ def with_fingerprint(requests: DataFrame, columns: list[str]) -> DataFrame:
 def resolve_intake(requests: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Add ``decision``: ``accepted``, ``replay`` or ``conflict``. First requests come from a partial aggregate, so a
     key with very many requests isn't gathered in one task to be ordered."""
-    first = requests.groupBy(*keys).agg(F.min(F.struct(*order, "fingerprint")).alias("_first"))
-    joined = requests.join(first, keys)
-    own = F.struct(*order, "fingerprint")
-    decision = F.when(own == F.col("_first"), "accepted").when(F.col("fingerprint") == F.col("_first.fingerprint"), "replay").otherwise("conflict")
-    return joined.withColumn("decision", decision).drop("_first")
+    first = requests.groupBy(*keys).agg(F.min(F.struct(*order, "fingerprint")).alias("first")).alias("f")
+    col = lambda side, c: F.col(f"{side}.`{c}`")
+    same = F.lit(True)
+    for k in keys:
+        same = same & col("r", k).eqNullSafe(col("f", k))
+    own = F.struct(*(col("r", c) for c in (*order, "fingerprint")))
+    decision = F.when(own == F.col("f.first"), "accepted").when(col("r", "fingerprint") == F.col("f.first.fingerprint"), "replay").otherwise("conflict")
+    return requests.alias("r").join(first, same).select(*(col("r", c) for c in requests.columns if c != "decision"), decision.alias("decision"))

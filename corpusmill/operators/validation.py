@@ -22,18 +22,18 @@ def enforce_batch_budget(docs: DataFrame, limits: BatchLimits = BatchLimits()) -
     """``code, uid`` of ``(uid, size_bytes)``: documents too large, the first (by uid) that takes the running total over
     the limit, and a batch of too many documents (uid null).
 
-    Running totals are taken over blocks of uids with block offsets, never over one global window.
-    """
+    The first offender is looked for level by level, in blocks of uids, then in the block that crosses the limit: no
+    window ever runs over more rows than a level has blocks."""
     large = docs.where(F.col("size_bytes") > limits.document_bytes).select(F.lit("DOCUMENT_TOO_LARGE").alias("code"), "uid")
     many = docs.agg(F.count("*").alias("n")).where(F.col("n") > limits.documents).select(F.lit("TOO_MANY_DOCUMENTS").alias("code"), F.lit(None).cast("long").alias("uid"))
-    width = 4096
-    blocked = docs.select("uid", "size_bytes", F.expr(f"uid DIV {width}").alias("block"))
-    totals = blocked.groupBy("block").agg(F.sum("size_bytes").alias("b"))
-    ahead = totals.select("block", F.coalesce(F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), "b")
-    crossing = ahead.where((F.col("ahead") <= limits.total_bytes) & (F.col("ahead") + F.col("b") > limits.total_bytes)).select("block", "ahead")
-    run = F.sum("size_bytes").over(Window.partitionBy("block").orderBy("uid"))
-    first = blocked.join(F.broadcast(crossing), "block").withColumn("run", F.col("ahead") + run).where(F.col("run") > limits.total_bytes).agg(F.min("uid").alias("uid")).where("uid IS NOT NULL")
-    return large.unionByName(many).unionByName(first.select(F.lit("BATCH_TOO_LARGE").alias("code"), "uid"))
+    rows = docs.select("uid", F.col("size_bytes").cast("long").alias("size"), F.lit(0).cast("long").alias("ahead"))
+    for width in (1 << 36, 1 << 24, 1 << 12, 1):
+        block = F.expr(f"uid DIV {width}")
+        totals = rows.groupBy("ahead", block.alias("block")).agg(F.sum("size").alias("total"))
+        run = F.sum("total").over(Window.orderBy("block"))
+        crossing = totals.withColumn("upto", F.col("ahead") + run).where(F.col("upto") > limits.total_bytes).agg(F.min(F.struct("block", (F.col("upto") - F.col("total")).alias("before"))).alias("c")).where("c IS NOT NULL")
+        rows = rows.join(F.broadcast(crossing), block == F.col("c.block")).select("uid", "size", F.col("c.before").alias("ahead"))
+    return large.unionByName(many).unionByName(rows.select(F.lit("BATCH_TOO_LARGE").alias("code"), "uid").distinct())
 
 
 def parse_samples(lines: DataFrame) -> DataFrame:
@@ -89,9 +89,10 @@ def validate_classifier_text(text: Column, max_chars: int = 500_000, max_bytes:
 
 
 def batch_fingerprint(docs: DataFrame, by: list[str], path: str = "path", listed_up_to: int = 100_000) -> DataFrame:
-    """``by, documents, fingerprint, set_digest``: SHA-256 of the sorted paths, one per line, for batches that fit one
-    row, and for every batch an order-free digest that partial aggregates can build."""
+    """``by, documents, fingerprint, set_digest``: SHA-256 of the sorted paths, one per line. A batch is a hundred thousand
+    documents at most by its own limits; a larger set of paths does not fit one row, and its fingerprint is a SHA-256 of
+    its size and of the order-free digest that partial aggregates build for every set."""
     facts = docs.groupBy(*by).agg(F.count("*").alias("documents"), F.bit_xor(F.xxhash64(path)).alias("set_digest"))
     small = docs.join(facts.where(F.col("documents") <= listed_up_to).select(*by), by, "left_semi")
     listed = small.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(path)), "\n"), 256).alias("fingerprint"))
-    return facts.join(listed, by, "left").select(*by, "documents", "fingerprint", "set_digest")
+    return facts.join(listed, by, "left").select(*by, "documents", F.coalesce("fingerprint", F.sha2(F.concat_ws(",", "documents", "set_digest"), 256)).alias("fingerprint"), "set_digest")

@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -20,7 +20,7 @@ from corpusmill.functions.ordering import with_positions
 from corpusmill.functions.storage import materialize, new_path
 from corpusmill.operators import classify, cleaning, components, dedup, extract, intake, pii, structure, validation
 from corpusmill.plans import flows
-from corpusmill.sources import sinks
+from corpusmill.sources import files, sinks
 from corpusmill.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,40 @@ FROM (SELECT lang, doc_id, min(doc_id) OVER (PARTITION BY {SQL_STRIP}) AS rep FR
 # --- sources and validation -------------------------------------------------------------------------------------
 
 
+@query("""
+SELECT source, count(*) AS lines, CAST(sum(strlen(replace(text, chr(10), ' ')) + 1) AS BIGINT) AS bytes, true AS named FROM documents GROUP BY source""")
+def a1_scan_documents(spark, sf_dir):
+    """The texts, a line each, written as text files below one folder per source, and scanned."""
+    path = new_path(spark, "scan")
+    documents(spark, sf_dir).select("source", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("value")).write.partitionBy("source").text(path)
+    found = files.scan_documents(spark, path).select(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("source"), "content", "size_bytes", (F.col("file_id") == F.sha2("path", 256)).alias("named"))
+    breaks = F.octet_length("content") - F.octet_length(F.regexp_replace(F.col("content").cast("string"), "\n", ""))
+    return found.groupBy("source").agg(F.sum(breaks).cast("long").alias("lines"), F.sum("size_bytes").alias("bytes"), F.bool_and("named").alias("named"))
+
+
+@query("""
+SELECT 'INVALID_ENTRY' AS code, CAST(doc_id AS VARCHAR) AS file_id FROM documents WHERE length(text) % 50 = 0
+UNION ALL SELECT 'DUPLICATE_FILE_ID', CAST(doc_id AS VARCHAR) FROM documents WHERE length(text) % 50 = 1
+UNION ALL SELECT 'TOO_MANY_DOCUMENTS', NULL FROM documents HAVING count(*) + count(*) FILTER (WHERE length(text) % 50 = 1) > 500""")
+def a3_load_manifest(spark, sf_dir):
+    """One manifest per source, an array of entries each: some without a path, some twice."""
+    path, kind = new_path(spark, "manifest"), F.char_length("text") % 50
+    docs = documents(spark, sf_dir).select("source", F.explode(F.sequence(F.lit(0), F.when(kind == 1, 1).otherwise(0))), F.col("doc_id").cast("string").alias("fileId"), F.when(kind == 0, " ").otherwise(F.expr(DOC_PATH)).alias("fileStoragePath"), F.lit(1).alias("other"))
+    docs.groupBy("source").agg(F.to_json(F.collect_list(F.struct("fileId", "fileStoragePath", "other"))).alias("value")).write.partitionBy("source").text(path)
+    return files.load_manifest(spark, path, 500)[1]
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN lang = 'en' THEN 's3a://' || source || '/' || doc_id WHEN lang = 'de' THEN {SQL_PATH} WHEN source = first THEN 's3a://' || source || '/' || doc_id END AS path,
+  CASE WHEN lang IN ('es', 'fr') AND source <> first THEN 'BUCKET_NOT_ALLOWED' END AS error FROM documents, (SELECT min(source) AS first FROM documents) WHERE lang <> 'en' OR source = first""")
+def a10_object_store_read(spark, sf_dir):
+    """Object-store paths in the bucket of the first source are allowed, those in others are not; plain paths are."""
+    docs = documents(spark, sf_dir)
+    first = docs.agg(F.min("source")).head()[0]
+    path = F.when(F.col("lang") == "de", F.expr(DOC_PATH)).otherwise(F.concat(F.when(F.col("lang") == "en", "s3a://").otherwise("s3://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")))
+    return docs.where((F.col("lang") != "en") | (F.col("source") == first)).select("doc_id", files.allowed_location(path, (first,)).alias("l")).select("doc_id", "l.*")
+
+
 @query(f"SELECT {SQL_PATH} AS path, doc_id, row_number() OVER (ORDER BY {SQL_PATH}) - 1 AS uid FROM documents")
 def a2_assign_uids(spark, sf_dir):
     return with_positions(documents(spark, sf_dir).select(F.expr(DOC_PATH).alias("path"), "doc_id"), ["path"])
@@ -553,40 +587,80 @@ def h2_char_shingles(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(dedup.char_shingles(F.col("text"))).cast("long").alias("shingles"))
 
 
-@query()
+#: A family small enough for SQL to compute over whole tables: bands of few rows, the same arithmetic.
+SMALL = dedup.MinHashConfig(permutations=12, threshold=0.7)
+SMALL_BANDS, SMALL_ROWS = dedup.lsh_parameters(SMALL.threshold, SMALL.permutations)
+SQL_FAMILY = ", ".join(f"({k}, {a}::HUGEINT, {b}::HUGEINT)" for k, (a, b) in enumerate(zip(*dedup.hash_family(SMALL.permutations, SMALL.seed), strict=True)) if k < SMALL_BANDS * SMALL_ROWS)
+SQL_BANDS = f"""
+SELECT uid, k // {SMALL_ROWS} AS band, string_agg(printf('%08x', least), '' ORDER BY k) AS key FROM (
+  SELECT uid, k, min((((h * a + b) % 18446744073709551616) % 2305843009213693951 % 4294967296)::BIGINT) AS least
+  FROM (SELECT DISTINCT doc_id AS uid, ('0x' || substr(d, 7, 2) || substr(d, 5, 2) || substr(d, 3, 2) || substr(d, 1, 2))::BIGINT::HUGEINT AS h
+    FROM (SELECT doc_id, sha1(unnest(list_distinct(list_transform(range(1, greatest(1, length(text) - 3)), lambda i: substr(lower(text), i, 5))))) AS d FROM documents)),
+    (VALUES {SQL_FAMILY}) AS family(k, a, b) GROUP BY uid, k) GROUP BY uid, band"""
+SQL_EDGES = "SELECT DISTINCT src, uid AS dst FROM (SELECT uid, min(uid) OVER (PARTITION BY band, key) AS src FROM bands) WHERE uid <> src"
+SQL_ROOTED = f"""RECURSIVE bands AS ({SQL_BANDS}), groups AS (SELECT doc_id AS uid, min(doc_id) OVER w AS exact_rep, count(*) OVER w AS group_size, length({SQL_STRIP}) AS n FROM documents WINDOW w AS (PARTITION BY {SQL_STRIP})),
+edges AS (SELECT DISTINCT src, uid AS dst FROM (SELECT b.uid, min(b.uid) OVER (PARTITION BY band, key) AS src FROM bands b JOIN groups g ON b.uid = g.uid AND g.uid = g.exact_rep) WHERE uid <> src),
+both_ways AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges),
+reached AS (SELECT x AS node, x AS root FROM both_ways UNION SELECT y, root FROM reached JOIN both_ways ON node = x WHERE root < y),
+components AS (SELECT node, min(root) AS component FROM reached GROUP BY node),
+members AS (SELECT uid, coalesce(component, CASE WHEN group_size > 1 THEN exact_rep END) AS cluster, component IS NOT NULL AS by_minhash, group_size, n FROM groups LEFT JOIN components ON exact_rep = node)"""
+
+
+@query(f"SELECT uid, CAST(band AS INT) AS band, key FROM ({SQL_BANDS})")
 def h3_minhash_signature(spark, sf_dir):
-    return dedup.minhash_signatures(samples(spark, sf_dir)).select("uid", F.size("bands").alias("bands"), F.md5(F.array_join(F.transform("bands", F.hex), "").cast("binary")).alias("signature_md5"))
+    return dedup.minhash_signatures(samples(spark, sf_dir), SMALL).select("uid", F.posexplode("bands").alias("band", "key")).select("uid", "band", F.lower(F.hex("key")).alias("key"))
 
 
 @query()
+def h3_production_signature(spark, sf_dir):
+    return dedup.minhash_signatures(samples(spark, sf_dir)).select("uid", F.size("bands").alias("bands"), F.md5(F.array_join(F.transform("bands", F.hex), "").cast("binary")).alias("signature_md5"))
+
+
+@query("SELECT doc_id AS uid, 25 AS bands, 10 AS band_rows FROM documents WHERE length(text) >= 5")
+def h4_lsh_parameters(spark, sf_dir):
+    """The production parameters, as every signature shows them."""
+    return dedup.minhash_signatures(samples(spark, sf_dir)).select("uid", F.size("bands").alias("bands"), (F.array_max(F.transform("bands", F.octet_length)) / 4).cast("int").alias("band_rows"))
+
+
+@query(f"WITH bands AS ({SQL_BANDS}) {SQL_EDGES}")
 def h5_lsh_edges(spark, sf_dir):
-    return dedup.lsh_edges(dedup.minhash_signatures(samples(spark, sf_dir)))
+    return dedup.lsh_edges(dedup.minhash_signatures(samples(spark, sf_dir), SMALL))
 
 
-@query("SELECT doc_id AS node, rep AS component FROM (SELECT doc_id, min(doc_id) OVER w AS rep, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY substr(text, 1, 40))) WHERE n > 1")
+@query(f"SELECT doc_id AS node, rep AS component FROM (SELECT doc_id, min(doc_id) OVER w AS rep, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY {SQL_STRIP})) WHERE n > 1")
 def h6_connected_components(spark, sf_dir):
-    """Chains: each document linked to the next one of the same beginning."""
-    before = F.lag("doc_id").over(Window.partitionBy(F.substring("text", 1, 40)).orderBy("doc_id"))
-    return components.connected_components(documents(spark, sf_dir).select(before.alias("src"), F.col("doc_id").alias("dst")))
+    """Stars: each document linked to the first one of the same text."""
+    groups = dedup.exact_groups(samples(spark, sf_dir))
+    return components.connected_components(groups.select(F.col("exact_rep").alias("src"), F.col("uid").alias("dst")))
 
 
-@query()
-def h7_expand_clusters(spark, sf_dir):
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = samples(spark, sf_dir)
     groups, _ = materialize(dedup.exact_groups(docs), "exact-groups")
-    return dedup.expand_clusters(groups, dedup.minhash_clusters(docs.join(groups.where("uid = exact_rep").select("uid"), "uid", "left_semi"))).select("uid", "cluster", "by_minhash")
+    edges = dedup.lsh_edges(dedup.minhash_signatures(docs, SMALL).join(groups.where("uid = exact_rep").select("uid"), "uid", "left_semi"))
+    return materialize(dedup.expand_clusters(groups, components.connected_components(edges)), "cluster-members")[0]
+
+
+@query(f"WITH {SQL_ROOTED} SELECT uid, cluster, by_minhash FROM members")
+def h7_expand_clusters(spark, sf_dir):
+    return _members(spark, sf_dir).select("uid", "cluster", "by_minhash")
 
 
-@query(f"SELECT rep AS exact_rep, rep AS representative FROM ({SQL_EXACT}) WHERE n > 1 GROUP BY rep")
+@query(f"""WITH {SQL_ROOTED} SELECT cluster, CASE WHEN NOT bool_or(by_minhash) THEN 'exact' WHEN max(group_size) > 1 THEN 'exact_minhash' ELSE 'minhash' END AS method FROM members WHERE cluster IS NOT NULL GROUP BY cluster""")
+def h8_cluster_method(spark, sf_dir):
+    return dedup.named_clusters(_members(spark, sf_dir), REQUEST).select("cluster", "method")
+
+
+@query(f"WITH {SQL_ROOTED} SELECT cluster, arg_min(uid, (-n, uid)) AS representative FROM members WHERE cluster IS NOT NULL GROUP BY cluster")
 def h9_pick_representative(spark, sf_dir):
-    best = F.min(F.struct((-F.col("stripped_length")).alias("l"), "uid"))["uid"]
-    return dedup.exact_groups(samples(spark, sf_dir)).where("group_size > 1").groupBy("exact_rep").agg(best.alias("representative"))
+    return dedup.named_clusters(_members(spark, sf_dir), REQUEST).select("cluster", F.col("best").alias("representative"))
 
 
 @query(f"SELECT rep AS exact_rep, {SQL_CLUSTER_ID} AS cluster_id FROM ({SQL_EXACT}) GROUP BY rep HAVING count(*) > 1")
 def h10_cluster_id(spark, sf_dir):
-    groups = dedup.exact_groups(samples(spark, sf_dir)).where("group_size > 1")
-    return groups.groupBy("exact_rep").agg(dedup.cluster_id(F.lit(REQUEST), F.collect_list("uid")).alias("cluster_id"))
+    none = spark.createDataFrame([], "node long, component long")
+    members, _ = materialize(dedup.expand_clusters(dedup.exact_groups(samples(spark, sf_dir)), none), "cluster-members")
+    return dedup.named_clusters(members, REQUEST).select(F.col("cluster").alias("exact_rep"), "cluster_id")
 
 
 @query()
@@ -595,6 +669,14 @@ def h11_dedup_decisions(spark, sf_dir):
     return dedup.dedup_decisions(samples(spark, sf_dir), REQUEST)
 
 
+@query(f"""
+WITH {SQL_ROOTED}, named AS (SELECT cluster, arg_min(uid, (-n, uid)) AS best, CASE WHEN NOT bool_or(by_minhash) THEN 'exact' WHEN max(group_size) > 1 THEN 'exact_minhash' ELSE 'minhash' END AS method, {SQL_CLUSTER_ID} AS cluster_id FROM members WHERE cluster IS NOT NULL GROUP BY cluster)
+SELECT uid, cluster_id, cluster IS NULL OR uid = best AS representative, method FROM members LEFT JOIN named USING (cluster)""")
+def h11_small_family_decisions(spark, sf_dir):
+    """The whole of the decisions over a hash family that SQL can follow."""
+    return dedup.dedup_decisions(samples(spark, sf_dir), REQUEST, SMALL)
+
+
 @query(f"SELECT uid, cluster_id, representative, method FROM ({SQL_DECISIONS})")
 def h11_exact_decisions(spark, sf_dir):
     return dedup.exact_decisions(samples(spark, sf_dir), REQUEST)
@@ -722,13 +804,16 @@ def i8_score_chunks(spark, sf_dir):
     return classify.score_chunks(chunks, classify.fit_chunk_model(labelled, "quality", 1 << 12), ["low", "high"])
 
 
-@query("SELECT 'end' AS model, 'LABEL_COUNT' AS code UNION ALL SELECT 'top', 'LABEL_COUNT' UNION ALL SELECT 'other', 'UNKNOWN_MODEL'")
+@query("""
+WITH m AS (SELECT 'top' AS model, lang || ' > ' || source || ' > ' || (length(text) % 7) AS label FROM documents UNION ALL SELECT 'end', source FROM documents UNION ALL SELECT 'other', lang FROM documents),
+f AS (SELECT model, count(*) AS n, count(DISTINCT label) AS names FROM m GROUP BY model)
+SELECT model, 'LABEL_COUNT' AS code FROM f WHERE model <> 'other' AND n <> CASE model WHEN 'top' THEN 18 ELSE 6 END
+UNION ALL SELECT model, 'UNKNOWN_MODEL' FROM f WHERE model = 'other' UNION ALL SELECT model, 'DUPLICATE_LABEL' FROM f WHERE n <> names""")
 def i9_validate_label_manifest(spark, sf_dir):
-    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    top = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("top").alias("model"), F.concat_ws(" > ", "r_name", "n_name", F.col("n_nationkey").cast("string")).alias("label"))
-    end = region.select(F.lit("end").alias("model"), F.col("r_name").alias("label"))
-    other = region.select(F.lit("other").alias("model"), F.col("r_name").alias("label"))
-    return classify.validate_label_manifest(top.union(end).union(other), {"top": 18, "end": 6}, "top")
+    docs = documents(spark, sf_dir)
+    top = docs.select(F.lit("top").alias("model"), F.concat_ws(" > ", "lang", "source", (F.char_length("text") % 7).cast("string")).alias("label"))
+    rest = docs.select(F.lit("end").alias("model"), "source").union(docs.select(F.lit("other"), "lang")).toDF("model", "label")
+    return classify.validate_label_manifest(top.union(rest), {"top": 18, "end": 6}, "top")
 
 
 @query("""
@@ -782,9 +867,12 @@ def k3_run_manifest(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of them."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return streams.file_stream(spark, sf_dir, schema, f"{name}.parquet")
+    whole = spark.read.parquet(path)
+    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in whole.inputFiles()):
+        return streams.file_stream(spark, sf_dir, whole.schema, f"{name}.parquet")
+    return streams.file_stream(spark, path, whole.schema)
 
 
 @query(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM ({SQL_CLEAN})")

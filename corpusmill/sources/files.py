@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = ("md", "txt", "json")
@@ -30,11 +30,19 @@ def scan_documents(spark: SparkSession, path: str, allowed_buckets: tuple[str, .
     wanted = files.where(F.col("path").rlike(rf"(?i)\.(?:{'|'.join(SUFFIXES)})\z"))
     if wanted.select("path").isEmpty():
         raise ValueError("EMPTY_DOCUMENT_LIST")
-    plain = urlsplit(root).path
-    relative = F.substring(F.col("path"), F.expr(f"locate('{plain}/', path)") + len(plain) + 1, F.char_length("path"))
+    inside = urlsplit(root).path + "/"
+    relative = F.substring(F.col("path"), F.locate(inside, F.col("path")) + len(inside), F.char_length("path"))
     return wanted.select(F.sha2(relative, 256).alias("file_id"), relative.alias("path"), "content", F.col("length").alias("size_bytes"))
 
 
+def allowed_location(path: Column, allowed_buckets: tuple[str, ...] = ()) -> Column:
+    """Of a column of paths: ``struct<path,error>``, as ``check_location`` decides it."""
+    bucket = F.regexp_extract(path, r"\As3a?://([^/]*)", 1)
+    stored = path.rlike(r"\As3a?://")
+    ok = ~stored | bucket.isin(*allowed_buckets)
+    return F.struct(F.when(ok, F.regexp_replace(path, r"\As3://", "s3a://")).alias("path"), F.when(~ok, "BUCKET_NOT_ALLOWED").alias("error"))
+
+
 def load_manifest(spark: SparkSession, path: str, max_documents: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Manifest rows ``(file_id, file_storage_path)`` and violations ``(code, file_id)``; other keys are ignored."""
     raw = spark.read.schema("fileId string, fileStoragePath string").option("multiLine", True).json(path)
@@ -49,10 +57,13 @@ def load_manifest(spark: SparkSession, path: str, max_documents: int = 100_000)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value`` of one text file, read whole so that lines keep their numbers; for batch-sized files."""
-    whole = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace("value", r"\n\z", "")
-    return whole.select(F.posexplode(F.split(body, "\n", -1)).alias("line_no", "value")).select((F.col("line_no") + 1).alias("line_no"), "value")
+    """``line_no, value`` of one text file, read in splits: a line's number is the number of lines in the splits before
+    its own, plus its place there."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"))
+    counts = lines.groupBy("split").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per split
+    offsets = counts.select("split", "first", ahead.alias("ahead"))
+    return lines.join(F.broadcast(offsets), "split").select((F.col("ahead") + F.col("seq") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:

@@ -51,7 +51,8 @@ def test_band_keys_match_direct_arithmetic():
     grams = {text.lower()[i : i + 5] for i in range(len(text) - 4)}
     low = [int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams]
     least = [min(((h * int(x) + int(y)) % 2**64) % (2**61 - 1) & 0xFFFFFFFF for h in low) for x, y in zip(a, b, strict=True)]
-    keys = dedup.band_keys(text, cfg)
+    keys, short = dedup.band_keys([text, "abcd"], cfg)
+    assert short == []
     assert len(keys) == 25 and b"".join(keys) == b"".join(v.to_bytes(4, "big") for v in least[:250])
 
 
