@@ -202,7 +202,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, cfg
 
         return work
 
-    return per_text(docs, "doc_id", "text", fields, make)
+    return per_text(docs, "doc_id", "text", fields, make, scan=True)
 
 
 def decode_ids(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -93,7 +93,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], cfg: LanguageConfig
 
         return lambda texts: list(map(list, zip(*map(one, texts), strict=True)))
 
-    return per_text(docs, "doc_id", "text", [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("accepted", T.BooleanType())], make)
+    return per_text(docs, "doc_id", "text", [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("accepted", T.BooleanType())], make, scan=True)
 
 
 def language_id(docs: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> DataFrame:

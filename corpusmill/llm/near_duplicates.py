@@ -86,7 +86,7 @@ def fingerprint(text: bytes, cfg: SimHashConfig = SimHashConfig()) -> int:
 
 def fingerprints(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long) of every whole text."""
-    return per_text(docs, "doc_id", "text", [("fp", T.LongType())], lambda: lambda texts: [[_signed(fingerprint(t, cfg)) for t in texts]])
+    return per_text(docs, "doc_id", "text", [("fp", T.LongType())], lambda: lambda texts: [[_signed(fingerprint(t, cfg)) for t in texts]], scan=True)
 
 
 def distance(x: Column, y: Column) -> Column:

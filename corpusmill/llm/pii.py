@@ -226,7 +226,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         counts = [sum(s[0] == k for s in base) for k in KINDS]
         return *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), _covered(spans)
 
-    return per_text(docs, "doc_id", "text", FIELDS, lambda: lambda texts: list(map(list, zip(*map(one, texts), strict=True))))
+    return per_text(docs, "doc_id", "text", FIELDS, lambda: lambda texts: list(map(list, zip(*map(one, texts), strict=True))), scan=True)
 
 
 def _covered(spans: list[Span]) -> int:

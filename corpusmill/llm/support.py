@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.functions import storage
+from corpusmill.functions.ordering import spread
 from corpusmill.functions.storage import drop_path, new_path, path_exists
 
 #: Rows handed to a per-text function at a time, so that a task never holds many decoded texts at once.
@@ -26,14 +27,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return storage.materialize(df, tag)[0]
 
 
-def per_text(df: DataFrame, key: str, text: str, fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable[[list[bytes]], list[list]]]) -> DataFrame:
+def per_text(df: DataFrame, key: str, text: str, fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable[[list[bytes]], list[list]]], scan: bool = False) -> DataFrame:
     """Row-wise map over whole texts.
 
     ``make()`` runs once per task and returns a function from a list of UTF-8 texts (null: empty) to one list per
     output field. Only ``key`` and ``text`` leave the JVM; other columns, whatever their names, are pruned. The key
-    comes back under its own name, then the fields.
+    comes back under its own name, then the fields. ``scan`` says that ``df`` reads a table and no more: a scan of fewer
+    splits than cores is then dealt out to all of them.
     """
     source = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
+    source = spread(source) if scan else source
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(n, t) for n, t in fields)])
     arrow = to_arrow_schema(schema)
 

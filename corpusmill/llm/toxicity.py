@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], cfg: ToxicityConfig
 
         return work
 
-    return per_text(docs, "doc_id", "text", [("score", T.DoubleType()), ("predicted", T.IntegerType())], make)
+    return per_text(docs, "doc_id", "text", [("score", T.DoubleType()), ("predicted", T.IntegerType())], make, scan=True)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
