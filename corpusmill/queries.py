@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from corpusmill.functions import text as T
-from corpusmill.functions.ordering import with_positions
+from corpusmill.functions.ordering import spread, with_positions
 from corpusmill.functions.storage import materialize, new_path
 from corpusmill.operators import classify, cleaning, components, dedup, extract, intake, pii, structure, validation
 from corpusmill.plans import flows
@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
