@@ -76,7 +76,9 @@ def signatures_of(texts: list[str], cfg: MinHashConfig) -> np.ndarray:
     out = np.empty((len(texts), cfg.permutations), ">u4")
     for k in range(cfg.permutations):
         wrapped = x * a[k] + b[k]  # modulo 2^64, then 2^61 - 1, by definition of the family
-        out[:, k] = np.minimum.reduceat((wrapped % PRIME) & RANGE, begins)
+        folded = (wrapped & PRIME) + (wrapped >> np.uint64(61))
+        np.subtract(folded, PRIME, out=folded, where=folded >= PRIME)
+        out[:, k] = np.minimum.reduceat(folded & RANGE, begins)
     return out
 
 
