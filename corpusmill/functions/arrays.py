@@ -10,41 +10,42 @@ from pyspark.sql import functions as F
 CHUNK = 256
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def higher(name: str, *args: Column | str) -> Column:
+    """A function of arrays whose lambdas are given in SQL: parsed in one call, where a Python lambda makes several for each
+    of its nodes, which adds up to seconds in large plans."""
+    return F.call_function(name, *(F.expr(a) if isinstance(a, str) else a for a in args))
 
 
-def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
-    """Inclusive running values of ``combine`` over an array of integers.
+def let(value: Column, use: Callable[[Column], Column] | str) -> Column:
+    """``use`` of a value that is computed once, however often ``use``, a function or a lambda in SQL, names it."""
+    one = F.array(value)
+    return F.get(higher("transform", one, use) if isinstance(use, str) else F.transform(one, use), F.lit(0))
+
+
+def running(values: Column, combine: str, zero: str) -> Column:
+    """Inclusive running values over an array of integers; ``combine`` is SQL for the value after those in ``grown``, at ``x``.
 
     An accumulator that grows by one element a step is copied each time, so the array is taken in chunks: only a chunk's
     own accumulator grows by elements, the outer one grows by chunks.
     """
-    parts = F.array().cast("array<array<int>>")
-
-    def extend(acc: Column, chunk: Column) -> Column:
-        grown = F.aggregate(chunk, F.array(acc["last"]), lambda out, x: F.array_append(out, combine(F.element_at(out, -1), x)))
-        return let(grown, lambda g: F.struct(F.element_at(g, -1).alias("last"), F.array_append(acc["parts"], F.slice(g, F.lit(2), F.size(chunk))).alias("parts")))
-
-    def whole(xs: Column) -> Column:
-        last = F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
-        chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * CHUNK + 1, F.lit(CHUNK)))
-        return F.aggregate(chunks, F.struct(zero.alias("last"), parts.alias("parts")), extend, lambda acc: F.flatten(acc["parts"]))
-
-    return let(values, whole)
+    step = f"array_append(grown, {combine})"
+    grown = f"aggregate(chunk, array(acc.reached), (grown, x) -> {step})"
+    extend = f"transform(array({grown}), g -> named_struct('reached', element_at(g, -1), 'parts', array_append(acc.parts, slice(g, 2, size(chunk)))))[0]"
+    chunks = f"transform(sequence(0, greatest(0, cast(floor((size(xs) - 1) / {CHUNK}) AS int))), i -> slice(xs, i * {CHUNK} + 1, {CHUNK}))"
+    start = f"named_struct('reached', {zero}, 'parts', cast(array() AS array<array<int>>))"
+    return let(values, f"xs -> aggregate({chunks}, {start}, (acc, chunk) -> {extend}, acc -> flatten(acc.parts))")
 
 
 def running_totals(values: Column) -> Column:
-    return running(values, lambda x, y: x + y, F.lit(0))
+    return running(values, "element_at(grown, -1) + x", "0")
 
 
 def running_maxima(values: Column) -> Column:
-    return running(values, lambda x, y: F.greatest(x, y), F.lit(-(1 << 31)))
+    return running(values, "greatest(element_at(grown, -1), x)", "cast(-2147483648 AS int)")
 
 
 def first_flags(keys: Column) -> Column:
     """For each element, whether it is the first of its value; by sorting, not by comparing all pairs."""
-    ranked = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    marked = let(ranked, lambda r: F.transform(r, lambda x, n: F.struct(x["i"].alias("i"), ((n == 0) | ~x["k"].eqNullSafe(F.get(r, n - 1)["k"])).alias("first"))))
-    return F.transform(F.array_sort(marked), lambda x: x["first"])
+    ranked = higher("array_sort", higher("transform", keys, "(k, i) -> named_struct('k', k, 'i', i)"))
+    marked = let(ranked, "r -> transform(r, (x, n) -> named_struct('i', x.i, 'fresh', n = 0 OR NOT (x.k <=> get(r, n - 1).k)))")
+    return higher("transform", F.array_sort(marked), "x -> x.fresh")

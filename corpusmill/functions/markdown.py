@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import first_flags, let, running_totals
+from .arrays import first_flags, higher, let, running_totals
 from .regex_spans import positioned
 from .text import paragraph_key
 
@@ -92,18 +92,17 @@ SPAN = "struct<kind:string,start:int,end:int>"
 UNTOUCHED = ("fence", "html_block", "indented_code")
 
 
-def block_type(value: Column) -> Column:
-    """Of one piece of a text; pieces that begin as no special block does are told apart by their last line alone."""
-    underlined = F.when(value.rlike(rf"[\r\n]{SETEXT}\z"), "heading").otherwise("paragraph")
-    found = F.when(value.rlike(rf"\A(?:{BLANK})++\z"), "blank")
-    for name, pattern in OPENS.items():
-        found = found.when(value.rlike(rf"\A(?:{pattern})"), name)
-    return F.when(value.rlike(SPECIAL), found.otherwise(underlined)).otherwise(underlined)
+def block_type(value: str) -> str:
+    """SQL for the type of one piece of a text; pieces that begin as no special block does are told apart by their last
+    line alone."""
+    cases = {rf"\A(?:{BLANK})++\z": "blank"} | {rf"\A(?:{p})": name for name, p in OPENS.items()} | {rf"[\r\n]{SETEXT}\z": "heading"}
+    listed = " ".join(f"WHEN {value} RLIKE r'{p}' THEN '{name}'" for p, name in cases.items())
+    return rf"CASE WHEN {value} RLIKE r'{SPECIAL}' THEN CASE {listed} ELSE 'paragraph' END WHEN {value} RLIKE r'[\r\n]{SETEXT}\z' THEN 'heading' ELSE 'paragraph' END"
 
 
 def blocks(text: Column) -> Column:
     """All blocks, blank ones included, in order; their values joined are the text."""
-    return F.transform(F.regexp_extract_all(text, F.lit(BLOCKS), F.lit(0)), lambda v: F.struct(block_type(v).alias("type"), v.alias("value")).cast(BLOCK))
+    return higher("transform", F.regexp_extract_all(text, F.lit(BLOCKS), F.lit(0)), f"v -> cast(named_struct('type', {block_type('v')}, 'value', v) AS {BLOCK})")
 
 
 def joined(values: Column) -> Column:
@@ -117,17 +116,15 @@ def _trimmed(value: Column) -> Column:
 
 def located(found: Column) -> Column:
     """The blocks with ``line_start, line_end, start, end``; the line end of a block is not part of it."""
-    breaks = lambda b: F.size(F.split(b["value"], NL, -1)) - 1
-    ends = running_totals(F.transform(found, lambda b: F.char_length(b["value"])))
-    lines = running_totals(F.transform(found, breaks))
-
-    def one(b, place):
-        size, n = F.char_length(b["value"]), breaks(b)
-        start, line = place["e"] - size, place["l"] - n
-        last = F.when(b["value"].rlike(r"[\r\n]\z"), place["l"]).otherwise(place["l"] + 1)
-        return F.struct(b["type"].alias("type"), b["value"].alias("value"), line.alias("line_start"), last.alias("line_end"), start.alias("start"), (start + F.char_length(_trimmed(b["value"]))).alias("end"))
-
-    return F.zip_with(found, F.zip_with(ends, lines, lambda e, l: F.struct(e.alias("e"), l.alias("l"))), one)
+    ends = running_totals(higher("transform", found, "b -> char_length(b.value)"))
+    lines = running_totals(higher("transform", found, f"b -> size(split(b.value, r'{NL}', -1)) - 1"))
+    start = "p.e - char_length(b.value)"
+    fields = {
+        "type": "b.type", "value": "b.value", "line_start": f"p.l - (size(split(b.value, r'{NL}', -1)) - 1)", "line_end": r"if(b.value RLIKE r'[\r\n]\z', p.l, p.l + 1)",
+        "start": start, "end": rf"{start} + char_length(regexp_replace(b.value, r'{NL}\z', ''))",
+    }
+    place = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return higher("zip_with", found, F.arrays_zip(ends.alias("e"), lines.alias("l")), f"(b, p) -> named_struct({place})")
 
 
 def inner_paragraphs(block: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import running_totals
+from .arrays import higher, running_totals
 
 MATCH = "struct<start:int,end:int,value:string>"
 
@@ -25,5 +25,5 @@ def find_matches(text: Column, pattern: str, hint: Column | None = None) -> Colu
 def positioned(hits: Column, text: Column, pattern: str) -> Column:
     """The matches ``hits`` of ``pattern`` in ``text`` with their offsets."""
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    ends = running_totals(F.zip_with(gaps, hits, lambda g, h: F.char_length(g) + F.char_length(h)))
-    return F.zip_with(ends, hits, lambda e, h: F.struct((e - F.char_length(h)).alias("start"), e.alias("end"), h.alias("value")).cast(MATCH))
+    ends = running_totals(higher("zip_with", gaps, hits, "(g, h) -> char_length(g) + char_length(h)"))
+    return higher("zip_with", ends, hits, f"(e, h) -> cast(named_struct('start', e - char_length(h), 'end', e, 'value', h) AS {MATCH})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.arrays import let, running_maxima
+from corpusmill.functions.arrays import higher, let, running_maxima
 from corpusmill.functions.regex_spans import find_matches
 
 # Entities in priority order, their tokens, and their counters.
@@ -106,19 +106,19 @@ def _is(entity: str):
 def clear_of(matches: Column, fixed: Column) -> Column:
     """The matches that overlap no span of ``fixed``, by start. One sweep over both in order: a match overlaps if a span
     that starts before it ends after its start, or one that starts later starts before its end."""
-    part = lambda own: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(own).alias("own"), (x["entity"] if own else F.lit("")).alias("entity"))
-    far = F.lit(-(1 << 31))
+    part = lambda own, entity: f"x -> named_struct('start', x.start, 'end', x.end, 'own', {own}, 'entity', {entity})"
+    fixed_only = lambda value: f"x -> if(x.own = 0, {value}, cast(-2147483648 AS int))"
 
     def swept(both):
-        ends = running_maxima(F.transform(both, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(far)))
-        starts = F.reverse(running_maxima(F.reverse(F.transform(both, lambda x: F.when(x["own"] == 0, -x["start"]).otherwise(far)))))
+        ends = running_maxima(higher("transform", both, fixed_only("x.end")))
+        starts = F.reverse(running_maxima(F.reverse(higher("transform", both, fixed_only("-x.start")))))
         facts = F.arrays_zip(both.alias("x"), ends.alias("e"), starts.alias("s"))
-        kept = F.filter(facts, lambda f: (f["x"]["own"] == 1) & (f["e"] <= f["x"]["start"]) & (-f["s"].cast("long") >= f["x"]["end"]))
-        return F.transform(kept, lambda f: F.struct(f["x"]["entity"].alias("entity"), f["x"]["start"].alias("start"), f["x"]["end"].alias("end")).cast(SPAN))
+        kept = higher("filter", facts, "f -> f.x.own = 1 AND f.e <= f.x.start AND -cast(f.s AS bigint) >= f.x.end")
+        return higher("transform", kept, f"f -> cast(named_struct('entity', f.x.entity, 'start', f.x.start, 'end', f.x.end) AS {SPAN})")
 
     def cleared(two):
         mine, theirs = two["m"], two["f"]
-        both = F.array_sort(F.concat(F.transform(theirs, part(0)), F.transform(mine, part(1))))
+        both = F.array_sort(F.concat(higher("transform", theirs, part(0, "''")), higher("transform", mine, part(1, "x.entity"))))
         return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), mine).otherwise(let(both, swept))
 
     return let(F.struct(matches.alias("m"), fixed.alias("f")), cleared)
