@@ -2,13 +2,16 @@
 
 import hashlib
 import re
+import zlib
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fill_in_middle
+from corpusmill.llm import fill_in_middle, prefix_trie
 from corpusmill.llm.fill_in_middle import FillConfig
 
 # --- fill in the middle
@@ -55,3 +58,77 @@ def test_fill_operator_on_edge_rows(spark, docs):
     for row in fill_in_middle.digest_columns(fill_in_middle.fill_in_middle(table)).collect():
         assert row.doc_id is None or row.restored_sha256 in {hashlib.sha256((t or "").encode()).hexdigest() for i, t in FILL_EDGE if i == row.doc_id}
     assert fill_in_middle.fill_in_middle(docs([])).count() == 0
+
+
+# --- conversation trie
+
+
+def brute_trie(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    for turns in own.values():
+        turns.sort()
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        rebuilt[c] = [t[2:] for t in own.get(c - c % 20, [])[:h] + turns[h:]]
+    nodes = defaultdict(list)
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            nodes[tuple(turns[:d])].append(c)
+    out = []
+    for path, members in nodes.items():
+        below = [p for p in nodes if p[: len(path)] == path]
+        children = [p for p in below if len(p) == len(path) + 1]
+        leaves = [p for p in below if not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in below)]
+        saved = sum((len(nodes[p]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) for p in below if p)
+        ends = ",".join(map(str, sorted(c for c in members if len(rebuilt[c]) == len(path))))
+        out.append((min(members), len(path), min(nodes[path[:-1]]) if path else None, len(members), len(children), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def found_trie(spark, rows):
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit("x")).withColumn("uid", F.lit(1)).withColumn("block", F.lit(1))
+    return [tuple(r) for r in prefix_trie.prefix_trie(table).collect()]
+
+
+TREES = {
+    "edges": [(None, 0, "user", "lost"), (1, None, None, None), (1, 0, "user", "a b"), (1, 0, "user", "a b"), (2, 1, "x", "y"), (3, 0, "user", ""), (41, 5, "u", "only")],
+    "shared": [(c, t, "user" if t % 2 == 0 else "bot", f"turn {t} of {c % (t + 1)} words") for c in range(0, 70) for t in range(c % 6)],
+    "copies": [(c, t, "user", f"w{t} " * (t + 1)) for c in range(100, 160) for t in range(4)],
+    "nested": [(c, t, "user", f"step {t}") for c in range(200, 240) for t in range(c - 199)],
+    "deep": [(c, t, "user", f"step {t // (1 + (c == 302))}") for c in (300, 301, 302) for t in range(40)] + [(5, 0, "a", "b")],
+}
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_trie_matches_brute_force(spark, monkeypatch, name):
+    monkeypatch.setattr(prefix_trie, "BLOCK_TURNS", 8)
+    rows = TREES[name]
+    assert sorted(map(str, found_trie(spark, rows))) == sorted(map(str, brute_trie(rows)))
+
+
+def test_trie_of_nothing(spark):
+    assert found_trie(spark, []) == []
+    assert found_trie(spark, [(None, 1, "user", "x")]) == []
+
+
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.sampled_from([1, 2, 3, 8]))
+@settings(max_examples=300, deadline=None)
+def test_findclose(closes, block):
+    opens, depth = [], 0
+    for k in closes:
+        opens.append(True)
+        opens += [False] * min(k, depth)
+        depth += 1 - min(k, depth)
+    opens += [False] * depth
+    stack, expected = [], {}
+    for i, o in enumerate(opens):
+        if o:
+            stack.append(i)
+        else:
+            expected[stack.pop()] = i
+    tree = prefix_trie.Parentheses(np.array(opens), block)
+    assert {i: tree.findclose(i) for i in expected} == expected
