@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, fill_in_middle, html_text, language, near_duplicates, pii, prefix_trie, quality, secrets, sharding, toxicity
+from . import byte_bpe, decontamination, fill_in_middle, html_text, language, near_duplicates, pii, prefix_trie, quality, secrets, sharding, suffix_dedup, toxicity
 from .support import new_path, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -65,7 +69,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_quality, op5_decontamination, op6_language, op7_html, op8_secrets, op9_bpe, op10_simhash, op12_trie, op13_fim)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_quality, op5_decontamination, op6_language, op7_html, op8_secrets, op9_bpe, op10_simhash, op11_suffixes, op12_trie, op13_fim)}
 
 
 def oracle_sql() -> dict[str, str]:

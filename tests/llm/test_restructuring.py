@@ -1,9 +1,10 @@
 """Suffix removal, conversation tries and fill-in-middle against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -11,8 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fill_in_middle, prefix_trie
+from corpusmill.llm import fill_in_middle, prefix_trie, registry, suffix_dedup
 from corpusmill.llm.fill_in_middle import FillConfig
+from corpusmill.llm.suffix_dedup import SuffixConfig
 
 # --- fill in the middle
 
@@ -132,3 +134,80 @@ def test_findclose(closes, block):
             expected[stack.pop()] = i
     tree = prefix_trie.Parentheses(np.array(opens), block)
     assert {i: tree.findclose(i) for i in expected} == expected
+
+
+# --- suffix removal
+
+
+def brute_removal(texts, length):
+    """``n_bytes, n_removed, n_spans, kept digest`` per text."""
+    data = [(t or "").encode() for t in texts]
+    starts = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if starts[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(d, gone, strict=True) if not g)
+        out.append((len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+SMALL = SuffixConfig(length=12, gram=2, window=8, run_bytes=600, sample_rate=1, strings_per_part=7, piece_bytes=20)
+
+
+@given(st.lists(st.text(st.sampled_from("ab"), max_size=60), max_size=8), st.integers(2, 11))
+@settings(max_examples=200, deadline=None)
+def test_every_start_has_one_anchor_that_its_bytes_decide(texts, window):
+    cfg = SuffixConfig(length=12, gram=2 if window < 12 else 1, window=min(window, 11), piece_bytes=7)
+    seen = {}
+    for text in texts:
+        rows = suffix_dedup.anchors_of(text.encode(), cfg).tolist()
+        assert [p for _, a, b in rows for p in range(a, b + 1)] == list(range(max(len(text) - 11, 0)))
+        assert len({r[0] for r in rows}) == len(rows)
+        for anchor, first, last in rows:
+            for p in range(first, last + 1):
+                assert 0 <= anchor - p < cfg.window
+                assert seen.setdefault(text[p : p + 12], anchor - p) == anchor - p
+
+
+@given(st.lists(st.lists(st.text(st.sampled_from("ab"), max_size=9), min_size=1, max_size=12), min_size=1, max_size=9))
+@settings(max_examples=200, deadline=None)
+def test_loser_tree_merges_with_common_prefixes(runs):
+    pieces = [sorted(s.encode() for s in run) for run in runs]
+    coded = [suffix_dedup.front_code(p, np.zeros((len(p), 5), np.int64)) for p in pieces]
+    merged = list(suffix_dedup.LoserTree([suffix_dedup.front_decode(c) for c in coded]))
+    expected = sorted(s for p in pieces for s in p)
+    assert [bytes(m[1]) for m in merged] == expected
+    assert [m[0] for m in merged] == [0, *(suffix_dedup.common(x, y) for x, y in zip(expected, expected[1:], strict=False))]
+
+
+def passages(seed):
+    rng = random.Random(seed)
+    words = lambda n: "".join(rng.choice(["ab", "ba", "c", "é", "dd "]) for _ in range(n))
+    shared = [words(12) for _ in range(4)]
+    texts = [words(rng.randrange(20)) + "".join(rng.choice(shared)[rng.randrange(3) :] + words(rng.randrange(3)) for _ in range(rng.randrange(4))) for _ in range(40)]
+    return [*texts, None, "", "short", "a" * 50, "ab" * 30, shared[0], *[shared[1] * 2] * 12, *["x" + shared[2] + w for w in "pqrstuvw" * 3]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_removal_matches_brute_force(spark, docs, seed):
+    texts = passages(seed)
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
+    table = docs(rows)
+    for name in ("file", "row", "text_crc", "n_bytes", "anchor", "_metadata"):
+        table = table.withColumn(name, F.lit("x"))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table, SMALL).collect())
+    assert got == sorted((str(i), *b) for (i, _), b in zip(rows, brute_removal(texts, 12), strict=True))
+
+
+def test_removal_of_nothing(spark, docs):
+    assert suffix_dedup.remove_repeats(docs([]), SMALL).count() == 0
+
+
+def test_removal_query_matches_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = sorted(tuple(r) for r in registry.op11_suffixes(spark, sf).collect())
+    expected = sorted((r.doc_id, *b) for r, b in zip(rows, brute_removal([r.text for r in rows], 400), strict=True))
+    assert got == expected and any(0 < e[2] < e[1] for e in expected)
