@@ -25,8 +25,13 @@ def with_positions(df: DataFrame, order: list[str], name: str = "uid") -> DataFr
     return written.join(F.broadcast(offsets), "block").select("row.*", (F.col("ahead") + F.col("seq") - F.col("first")).alias(name))
 
 
+#: Bytes that one core reads in about the time that dealing them out costs.
+SPREAD_BYTES = 8 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than there are cores is dealt out to all of them; any larger one stays as it is, so that no
-    text of a large table is shuffled."""
+    """A small table is dealt out to all cores, whatever its files and row groups; a larger one stays as it is, so that no
+    text of a large table is shuffled. The plan's own estimate of its bytes decides; nothing runs for it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimate < cores * SPREAD_BYTES else df

@@ -47,15 +47,24 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def uuid5(namespace: str | Column, name: Column) -> Column:
-    """Name-based UUID, version 5. ``namespace``: a UUID string, or a column of them."""
+def namespace_bytes(namespace: str | Column) -> Column:
+    """The 16 bytes of a UUID string, or of a column of them."""
     space = F.lit(namespace) if isinstance(namespace, str) else namespace
-    h = F.sha1(F.concat(F.unhex(F.replace(space, F.lit("-"), F.lit(""))), name.cast("binary")))
+    return F.unhex(F.replace(space, F.lit("-"), F.lit("")))
+
+
+def uuid_of_sha1(h: Column) -> Column:
+    """Version 5 UUID of a SHA-1 in hex."""
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
+def uuid5(namespace: str | Column, name: Column) -> Column:
+    """Name-based UUID, version 5. ``namespace``: a UUID string, or a column of them."""
+    return uuid_of_sha1(F.sha1(F.concat(namespace_bytes(namespace), name.cast("binary"))))
+
+
 def request_fingerprint(columns: dict[str, Column]) -> Column:
     """SHA-256 of compact JSON with sorted keys; nulls are part of it."""
     pairs = [columns[k].alias(k) for k in sorted(columns)]

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.digests import listed_uuid
 from corpusmill.functions.ordering import spread
-from corpusmill.functions.storage import materialize
-from corpusmill.functions.text import digest, strip, uuid5
+from corpusmill.functions.storage import drop_path, materialize
+from corpusmill.functions.text import digest, namespace_bytes, strip
 from corpusmill.operators.components import connected_components
 
 # The namespace of cluster ids, and the hash family's modulus and range.
@@ -35,11 +36,6 @@ class MinHashConfig:
     seed: int = 42
 
 
-#: A batch of the definition has a hundred thousand documents at most, and so has a cluster: its id is over the sorted
-#: members. Larger clusters lie outside the definition; their id is over an order-free digest, as no row could list them.
-MAX_LISTED_MEMBERS = 100_000
-
-
 @cache
 def lsh_parameters(threshold: float = 0.7, permutations: int = 256) -> tuple[int, int]:
     """Bands and rows that minimise the mean of the false-positive and false-negative areas, by the trapezoid rule."""
@@ -53,6 +49,21 @@ def lsh_parameters(threshold: float = 0.7, permutations: int = 256) -> tuple[int
     return min(choices, key=lambda c: cost(*c))
 
 
+def lsh_parameter_table(requests: DataFrame, grid: int = 2001) -> DataFrame:
+    """``threshold, permutations, bands, band_rows`` of each distinct request ``(threshold, permutations)``, as
+    ``lsh_parameters`` chooses them: bands and rows within the permutations, both areas by the trapezoid rule over the same
+    grid. Every candidate is one row, so that requests of many permutations spread over tasks."""
+    wanted = requests.select("threshold", "permutations").distinct()
+    bands = wanted.select("*", F.explode(F.expr("sequence(1, permutations)")).alias("bands"))
+    choices = bands.select("*", F.explode(F.expr("sequence(1, permutations DIV bands)")).alias("band_rows"))
+    points = f"transform(sequence(0, {grid - 1}), k -> k / {grid - 1}D)"
+    hit = "pow(1 - pow(s, band_rows), bands)"
+    area = lambda chosen, value: f"aggregate(slice(filter({points}, s -> {chosen}), 2, {grid}), named_struct('last', filter({points}, s -> {chosen})[0], 'sum', 0D), (acc, s) -> named_struct('last', s, 'sum', acc.sum + (s - acc.last) * ({value} + {value.replace('s,', 'acc.last,')}) / 2), acc -> acc.sum)"
+    cost = F.round(F.expr(area("s <= threshold", f"(1 - {hit})")) + F.expr(area("s >= threshold", hit)), 12)
+    best = choices.groupBy("threshold", "permutations").agg(F.min(F.struct(cost.alias("cost"), "bands", "band_rows")).alias("best"))
+    return best.select("threshold", "permutations", "best.bands", "best.band_rows")
+
+
 @cache
 def hash_family(permutations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and offsets, drawn in turn."""
@@ -147,10 +158,50 @@ def expand_clusters(groups: DataFrame, components: DataFrame) -> DataFrame:
     return joined.select("uid", F.coalesce("found", F.when(F.col("group_size") > 1, F.col("exact_rep"))).alias("cluster"), "group_size", "stripped_length", F.col("found").isNotNull().alias("by_minhash"))
 
 
-def cluster_id(request_id: Column, members: Column, namespace: str | Column = CLUSTER_NAMESPACE) -> Column:
-    """UUID over the request and the sorted members, comma-joined."""
-    listed = F.array_join(F.transform(F.array_sort(members), lambda u: u.cast("string")), ",")
-    return uuid5(namespace, F.concat(request_id, F.lit("\0"), listed))
+def cluster_ids(members: DataFrame, request_id: str, namespace: str = CLUSTER_NAMESPACE) -> DataFrame:
+    """``cluster, cluster_id`` of ``(cluster, uid)``: UUIDs over the request and the sorted members, comma-joined. Members
+    are a sorted stream, so that a cluster may be of any size."""
+    head = F.concat(namespace_bytes(namespace), F.lit(request_id + "\0").cast("binary"))
+    return listed_uuid(members.select("cluster", "uid", head.alias("head")), "cluster", "uid", "head").withColumnRenamed("uuid", "cluster_id")
+
+
+#: Bits of a bitmap's row, and the bytes of bitmaps that may be sent to the tasks.
+BITMAP_BITS = 32768
+MAX_BITMAP_BYTES = 64 << 20
+
+
+def uid_bitmaps(uids: DataFrame) -> DataFrame:
+    """``bucket, bitmap`` of a set of uids: one bit each, in rows of ``BITMAP_BITS``; empty rows are not there."""
+    bucket, bit = F.floor(F.col("uid") / BITMAP_BITS).alias("bucket"), F.pmod("uid", F.lit(BITMAP_BITS)).alias("bit")
+    return uids.select(bucket, bit).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def bit_is_set(bitmap: Column, uid: Column) -> Column:
+    bit = F.pmod(uid, F.lit(BITMAP_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte.cast("long"), bit % 8) == 1
+
+
+def without_uids(docs: DataFrame, uids: DataFrame, max_bytes: int = MAX_BITMAP_BYTES) -> DataFrame | None:
+    """The rows of ``docs`` whose uid is not among ``uids``, tested in the scan: the uids travel as bitmaps, no text is
+    shuffled. None if the bitmaps come to more than ``max_bytes``: their number is counted before they are sent."""
+    bitmaps, path = materialize(uid_bitmaps(uids), "bitmaps")
+    if bitmaps.count() * (BITMAP_BITS // 8) > max_bytes:
+        drop_path(docs.sparkSession, path)
+        return None
+    bucket = F.floor(docs["uid"] / BITMAP_BITS) == bitmaps["bucket"]
+    found = docs.join(F.broadcast(bitmaps), bucket, "left")
+    return found.where(F.col("bitmap").isNull() | ~bit_is_set(F.col("bitmap"), F.col("uid"))).select(*(docs[c] for c in docs.columns))
+
+
+def representative_signatures(docs: DataFrame, groups: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
+    """Signatures of one text per exact group. Copies are left out in the scan; only where their bitmaps would be too large
+    to send are they hashed too, and their signatures dropped, as no text should be shuffled."""
+    slim = docs.select("uid", "text")
+    once = without_uids(slim, groups.where("uid <> exact_rep").select("uid"))
+    if once is not None:
+        return minhash_signatures(once, cfg)
+    return minhash_signatures(slim, cfg).join(groups.where("uid = exact_rep").select("uid"), "uid", "left_semi")
 
 
 def dedup_decisions(docs: DataFrame, request_id: str, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
@@ -160,9 +211,7 @@ def dedup_decisions(docs: DataFrame, request_id: str, cfg: MinHashConfig = MinHa
     ``minhash`` or ``exact_minhash``; a document alone has neither id nor method and represents itself.
     """
     groups, _ = materialize(exact_groups(docs), "exact-groups")
-    reps = groups.where("uid = exact_rep").select("uid")
-    # signatures of all texts, then those of the representatives: bands travel, texts don't
-    components = connected_components(lsh_edges(minhash_signatures(docs.select("uid", "text"), cfg).join(reps, "uid", "left_semi")))
+    components = connected_components(lsh_edges(representative_signatures(docs, groups, cfg)))
     members, _ = materialize(expand_clusters(groups, components), "cluster-members")
     return decide(members, request_id)
 
@@ -186,12 +235,8 @@ def named_clusters(members: DataFrame, request_id: str) -> DataFrame:
     chosen = grouped.groupBy("cluster").agg(
         F.min(F.struct((-F.col("stripped_length")).alias("l"), F.col("uid").alias("u")))["u"].alias("best"),
         F.when(~F.bool_or("by_minhash"), "exact").when(F.max("group_size") > 1, "exact_minhash").otherwise("minhash").alias("method"),
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("uid")).alias("mark"),
     )
-    listed = grouped.join(chosen.where(F.col("n") <= MAX_LISTED_MEMBERS).select("cluster"), "cluster", "left_semi").groupBy("cluster").agg(cluster_id(F.lit(request_id), F.collect_list("uid")).alias("listed_id"))
-    large = uuid5(CLUSTER_NAMESPACE, F.concat(F.lit(request_id), F.lit("\0"), F.concat_ws(",", "cluster", "n", "mark")))
-    return chosen.join(listed, "cluster", "left").select("cluster", "best", "method", F.coalesce("listed_id", large).alias("cluster_id"))
+    return chosen.join(cluster_ids(grouped, request_id), "cluster")
 
 
 def validate_decisions(decisions: DataFrame, expected: DataFrame) -> DataFrame:
@@ -223,24 +268,22 @@ def mapping_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("uid").cast("long").alias("uid"), "file_id", "file_storage_path")
 
 
-def check_mapping(mapping: DataFrame) -> DataFrame:
-    """``code, uid``: duplicate or negative uids, and blank ids or paths."""
+def check_mapping(mapping: DataFrame, task_id: str | None = None) -> DataFrame:
+    """``code, uid``: duplicate or negative uids, and blank ids or paths; of a mapping with ``schema_version`` and
+    ``task_id``, as ``sources.files.read_mapping`` gives it, also another version than 1 and another task."""
     twice = mapping.groupBy("uid").count().where("count > 1").select(F.lit("DUPLICATE_UID").alias("code"), "uid")
-    bad = mapping.where("uid IS NULL OR uid < 0").select(F.lit("INVALID_UID").alias("code"), "uid")
-    blank = mapping.where("trim(coalesce(file_id, '')) = '' OR trim(coalesce(file_storage_path, '')) = ''").select(F.lit("BLANK_FIELD").alias("code"), "uid")
-    return twice.unionByName(bad).unionByName(blank)
+    codes = [F.when(F.col("uid").isNull() | (F.col("uid") < 0), "INVALID_UID"), F.when(F.expr("trim(coalesce(file_id, '')) = '' OR trim(coalesce(file_storage_path, '')) = ''"), "BLANK_FIELD")]
+    if "schema_version" in mapping.columns:
+        codes.append(F.when(~F.col("schema_version").eqNullSafe(F.lit(1)), "SCHEMA_VERSION"))
+    if task_id is not None:
+        codes.append(F.when(~F.col("task_id").eqNullSafe(F.lit(task_id)), "TASK_ID"))
+    return twice.unionByName(mapping.select(F.explode(F.array_compact(F.array(*codes))).alias("code"), "uid"))
 
 
 def business_result(decisions: DataFrame, mapping: DataFrame, task_id: str) -> DataFrame:
-    """``file_id, file_storage_path, group_id, keep``: decisions on files; a group's id is over the task and its uids.
-
-    Groups of more than ``MAX_LISTED_MEMBERS`` get an id over an order-free digest instead of the member list.
-    """
-    grouped = decisions.where("cluster_id IS NOT NULL")
-    sizes = grouped.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("uid").alias("first"), F.bit_xor(F.xxhash64("uid")).alias("mark"))
-    small = grouped.join(sizes.where(F.col("n") <= MAX_LISTED_MEMBERS).select("cluster_id"), "cluster_id", "left_semi")
-    ids = small.groupBy("cluster_id").agg(uuid5(task_id, F.array_join(F.transform(F.array_sort(F.collect_list("uid")), lambda u: u.cast("string")), ",")).alias("listed"))
-    groups = sizes.join(ids, "cluster_id", "left").select("cluster_id", F.coalesce("listed", uuid5(task_id, F.concat_ws(",", "first", "n", "mark"))).alias("group_id"))
+    """``file_id, file_storage_path, group_id, keep``: decisions on files; a group's id is over the task and its uids."""
+    grouped = decisions.where("cluster_id IS NOT NULL").select("cluster_id", "uid", namespace_bytes(task_id).alias("space"))
+    groups = listed_uuid(grouped, "cluster_id", "uid", "space").withColumnRenamed("uuid", "group_id")
     return mapping.join(decisions, "uid").join(groups, "cluster_id", "left").select("file_id", "file_storage_path", "group_id", F.col("representative").alias("keep"))
 
 

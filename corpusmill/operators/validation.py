@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.digests import listed_digest
 from corpusmill.functions.text import BOM, is_blank
 from corpusmill.operators.structure import unclosed_fence
 
@@ -88,11 +89,11 @@ def validate_classifier_text(text: Column, max_chars: int = 500_000, max_bytes:
     return F.when(text.isNull() | is_blank(text), "INVALID_TEXT").when((F.char_length(text) > max_chars) | (F.octet_length(text) > max_bytes), "TEXT_TOO_LARGE")
 
 
-def batch_fingerprint(docs: DataFrame, by: list[str], path: str = "path", listed_up_to: int = 100_000) -> DataFrame:
-    """``by, documents, fingerprint, set_digest``: SHA-256 of the sorted paths, one per line. A batch is a hundred thousand
-    documents at most by its own limits; a larger set of paths does not fit one row, and its fingerprint is a SHA-256 of
-    its size and of the order-free digest that partial aggregates build for every set."""
+def batch_fingerprint(docs: DataFrame, by: list[str], path: str = "path") -> DataFrame:
+    """``by, documents, fingerprint, set_digest``: SHA-256 of the sorted paths, one per line, however many there are; and
+    an order-free digest from partial aggregates. Rows without a path count, and have no line."""
+    key = F.struct(*(F.col(c) for c in by))
+    listed = listed_digest(docs.select(key.alias("batch"), F.col(path).alias("path")), "batch", "path", separator="\n")
     facts = docs.groupBy(*by).agg(F.count("*").alias("documents"), F.bit_xor(F.xxhash64(path)).alias("set_digest"))
-    small = docs.join(facts.where(F.col("documents") <= listed_up_to).select(*by), by, "left_semi")
-    listed = small.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(path)), "\n"), 256).alias("fingerprint"))
-    return facts.join(listed, by, "left").select(*by, "documents", F.coalesce("fingerprint", F.sha2(F.concat_ws(",", "documents", "set_digest"), 256)).alias("fingerprint"), "set_digest")
+    joined = facts.join(listed, F.struct(*(facts[c] for c in by)).eqNullSafe(listed["batch"]), "left")
+    return joined.select(*(facts[c] for c in by), "documents", F.coalesce("digest", F.sha2(F.lit(b""), 256)).alias("fingerprint"), "set_digest")

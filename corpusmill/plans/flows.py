@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.storage import materialize
+from corpusmill.functions.text import digest, strip
 from corpusmill.operators import classify, dedup
 from corpusmill.operators.cleaning import CleaningLimits, clean_documents, cleaning_report
 
@@ -19,9 +20,11 @@ def deduplicate(docs: DataFrame, mapping: DataFrame, request_id: str, task_id: s
 
 
 def surviving_by_language(docs: DataFrame) -> DataFrame:
-    """``lang, total, kept``: documents per language, and how many stay after exact de-duplication."""
-    groups = dedup.exact_groups(docs.select(F.col("doc_id").alias("uid"), "text")).select(F.col("uid").alias("doc_id"), (F.col("uid") == F.col("exact_rep")).alias("keep"))
-    return docs.select("doc_id", "lang").join(groups, "doc_id").groupBy("lang").agg(F.count("*").alias("total"), F.count_if("keep").alias("kept"))
+    """``lang, total, kept``: documents per language, and how many stay after exact de-duplication, of a group the one of
+    the least id. Rows of one group and id count as one that stays, under each of their languages."""
+    groups = docs.select(F.unhex(digest(strip(F.col("text")))).alias("key"), "doc_id", "lang").groupBy("key", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    best = groups.groupBy("key").agg(F.min("first").alias("best"))
+    return groups.join(best, "key").groupBy("lang").agg(F.sum("n").alias("total"), F.count_if(F.col("first").eqNullSafe(F.col("best"))).alias("kept"))
 
 
 def clean_and_report(docs: DataFrame, by: list[str], limits: CleaningLimits = CleaningLimits()) -> tuple[DataFrame, DataFrame]:

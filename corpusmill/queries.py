@@ -616,10 +616,19 @@ def h3_production_signature(spark, sf_dir):
     return dedup.minhash_signatures(samples(spark, sf_dir)).select("uid", F.size("bands").alias("bands"), F.md5(F.array_join(F.transform("bands", F.hex), "").cast("binary")).alias("signature_md5"))
 
 
-@query("SELECT doc_id AS uid, 25 AS bands, 10 AS band_rows FROM documents WHERE length(text) >= 5")
+@query("""
+WITH wanted AS (SELECT DISTINCT (1 + doc_id % 9) / 10.0::DOUBLE AS threshold, 8 * (1 + length(text) % 3) AS permutations FROM documents), grid AS (SELECT range / 2000.0::DOUBLE AS s FROM range(2001)),
+choices AS (SELECT w.*, bands, unnest(range(1, permutations // bands + 1)) AS band_rows FROM (SELECT *, unnest(range(1, permutations + 1)) AS bands FROM wanted) w),
+areas AS (SELECT threshold, permutations, bands, band_rows,
+  coalesce(sum((s - before) * ((1 - pow(1 - pow(s, band_rows), bands)) + (1 - pow(1 - pow(before, band_rows), bands))) / 2) FILTER (s <= threshold), 0)
+  + coalesce(sum((s - before) * (pow(1 - pow(s, band_rows), bands) + pow(1 - pow(before, band_rows), bands)) / 2) FILTER (before >= threshold), 0) AS cost
+  FROM choices, (SELECT s, lag(s) OVER (ORDER BY s) AS before FROM grid) WHERE before IS NOT NULL GROUP BY ALL)
+SELECT threshold, CAST(permutations AS INT) AS permutations, CAST(bands AS INT) AS bands, CAST(band_rows AS INT) AS band_rows
+FROM (SELECT *, row_number() OVER (PARTITION BY threshold, permutations ORDER BY round(cost, 12), bands, band_rows) AS r FROM areas) WHERE r = 1""")
 def h4_lsh_parameters(spark, sf_dir):
-    """The production parameters, as every signature shows them."""
-    return dedup.minhash_signatures(samples(spark, sf_dir)).select("uid", F.size("bands").alias("bands"), (F.array_max(F.transform("bands", F.octet_length)) / 4).cast("int").alias("band_rows"))
+    """Requests that the documents make: their ids give thresholds, their lengths numbers of permutations."""
+    wanted = documents(spark, sf_dir).select(((1 + F.col("doc_id") % 9) / 10).alias("threshold"), (8 * (1 + F.char_length("text") % 3)).cast("int").alias("permutations"))
+    return dedup.lsh_parameter_table(wanted)
 
 
 @query(f"WITH bands AS ({SQL_BANDS}) {SQL_EDGES}")
@@ -637,7 +646,7 @@ def h6_connected_components(spark, sf_dir):
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = samples(spark, sf_dir)
     groups, _ = materialize(dedup.exact_groups(docs), "exact-groups")
-    edges = dedup.lsh_edges(dedup.minhash_signatures(docs, SMALL).join(groups.where("uid = exact_rep").select("uid"), "uid", "left_semi"))
+    edges = dedup.lsh_edges(dedup.representative_signatures(docs, groups, SMALL))
     return materialize(dedup.expand_clusters(groups, components.connected_components(edges)), "cluster-members")[0]
 
 
@@ -721,10 +730,17 @@ def h15_quarantine_plan(spark, sf_dir):
     return dedup.quarantine_plan(_business(spark, sf_dir))
 
 
-@query("SELECT 'DUPLICATE_UID' AS code, doc_id AS uid FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT 'BLANK_FIELD', doc_id FROM documents WHERE doc_id % 100 = 1")
+@query("""SELECT 'DUPLICATE_UID' AS code, doc_id AS uid FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT 'BLANK_FIELD', doc_id FROM documents WHERE doc_id % 100 = 1
+UNION ALL SELECT 'SCHEMA_VERSION', doc_id FROM documents WHERE length(text) % 64 = 2 UNION ALL SELECT 'SCHEMA_VERSION', doc_id FROM documents WHERE length(text) % 64 = 2 AND doc_id % 100 = 0
+UNION ALL SELECT 'TASK_ID', doc_id FROM documents WHERE length(text) % 64 = 3 UNION ALL SELECT 'TASK_ID', doc_id FROM documents WHERE length(text) % 64 = 3 AND doc_id % 100 = 0""")
 def h16_mapping_table(spark, sf_dir):
+    """One mapping file per version and task, written as JSON and read back: some of another version or task."""
+    folder, kind = new_path(spark, "mapping"), F.char_length("text") % 64
+    heads = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.when(kind == 2, 2).otherwise(1).alias("schema_version"), F.when(kind == 3, "other").otherwise(TASK).alias("task_id"))
     rows = _mapping(spark, sf_dir).withColumn("file_id", F.when(F.col("uid") % 100 == 1, " ").otherwise(F.col("file_id")))
-    return dedup.check_mapping(rows.union(rows.where("uid % 100 = 0")))
+    marked = rows.union(rows.where("uid % 100 = 0")).join(heads, F.col("uid") == F.col("id")).drop("id")
+    files.write_mapping(marked, folder)
+    return dedup.check_mapping(files.read_mapping(spark, folder), TASK)
 
 
 # --- classification ----------------------------------------------------------------------------------------------

@@ -66,9 +66,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(F.broadcast(offsets), "split").select((F.col("ahead") + F.col("seq") - F.col("first") + 1).alias("line_no"), "value")
 
 
+def write_mapping(mapping: DataFrame, path: str) -> None:
+    """Mapping files of ``uid, file_id, file_storage_path, schema_version, task_id``: one JSON object a line, in part files
+    of any number, so that no mapping need fit one row."""
+    document = F.struct("uid", F.col("file_id").alias("fileId"), F.col("file_storage_path").alias("fileStoragePath"))
+    rows = mapping.select(F.col("schema_version").alias("schemaVersion"), F.col("task_id").alias("taskId"), F.array(document).alias("documents"))
+    rows.write.mode("errorifexists").json(path)
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """``uid, file_id, file_storage_path, schema_version, task_id`` of a mapping file."""
+    """``uid, file_id, file_storage_path, schema_version, task_id`` of a mapping: a file that holds one object, or a folder
+    of files that hold one a line."""
     schema = "schemaVersion int, taskId string, documents array<struct<uid:long,fileId:string,fileStoragePath:string>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    rows = raw.select("schemaVersion", "taskId", F.inline("documents"))
+    lines = spark.read.text(path, wholetext=path.endswith(".json")).select(F.from_json("value", schema).alias("m"))
+    rows = lines.select("m.schemaVersion", "m.taskId", F.inline("m.documents"))
     return rows.select("uid", F.col("fileId").alias("file_id"), F.col("fileStoragePath").alias("file_storage_path"), F.col("schemaVersion").alias("schema_version"), F.col("taskId").alias("task_id"))

@@ -7,8 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import digests, ordering
 from corpusmill.functions.text import strip, uuid5
-from corpusmill.operators import dedup
+from corpusmill.operators import dedup, validation
 from corpusmill.operators.components import connected_components
 from corpusmill.plans import flows
 
@@ -92,10 +93,54 @@ def test_violations_are_all_named(spark):
     assert codes == {"DUPLICATE_UID", "MISSING_UID", "UNEXPECTED_UID", "INVALID_TYPE", "INVALID_SINGLETON", "INVALID_METHOD", "CLUSTER_TOO_SMALL", "REPRESENTATIVE_COUNT", "MIXED_METHODS"}
 
 
-def test_large_clusters_get_an_id_without_a_member_list(texts, monkeypatch):
-    monkeypatch.setattr(dedup, "MAX_LISTED_MEMBERS", 2)
-    rows = dedup.exact_decisions(texts([(0, "x"), (1, "x"), (2, "x"), (3, "y"), (4, "y")]), "req").collect()
-    assert len({r.cluster_id for r in rows}) == 2 and all(r.cluster_id for r in rows)
+def test_ids_of_clusters_of_any_size(spark, monkeypatch):
+    """More members than a chunk, a partition, or the old limit of listed members holds: the same definition."""
+    monkeypatch.setattr(digests, "CHUNK_BYTES", 1000)
+    members = spark.range(0, 120_000).selectExpr("CASE WHEN id % 7 = 0 THEN 1L ELSE 0L END AS cluster", "id AS uid")
+    got = {r.cluster: r.cluster_id for r in dedup.cluster_ids(members, "req").collect()}
+    listed = {c: ",".join(str(i) for i in range(120_000) if (i % 7 == 0) == c) for c in (0, 1)}
+    assert got == {c: str(uuid.uuid5(uuid.UUID(dedup.CLUSTER_NAMESPACE), f"req\0{names}")) for c, names in listed.items()}
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 1 << 20])
+def test_listed_digests(spark, chunk):
+    rows = [("a", v) for v in (5, 5, 5, 6, 40, -1)] + [("b", 7), (None, 1), ("c", None)]
+    got = digests.listed_digest(spark.createDataFrame(rows, "k string, v long").withColumn("p", F.lit(b"x")), "k", "v", "p", chunk_bytes=chunk).collect()
+    assert {r.k: r.digest for r in got} == {"a": hashlib.sha256(b"x-1,5,5,5,6,40").hexdigest(), "b": hashlib.sha256(b"x7").hexdigest()}
+
+
+def test_batch_fingerprint_of_many_paths(spark):
+    rows = spark.range(0, 110_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'x' END AS source", "concat('p', id) AS path")
+    got = {r.source: r.fingerprint for r in validation.batch_fingerprint(rows, ["source"]).collect()}
+    paths = lambda odd: "\n".join(sorted(f"p{i}" for i in range(odd, 110_000, 2)))
+    assert got == {"x": hashlib.sha256(paths(0).encode()).hexdigest(), None: hashlib.sha256(paths(1).encode()).hexdigest()}
+
+
+def test_copies_are_left_out_in_the_scan(spark, texts):
+    frame = texts([(i, f"text number {i % 5}") for i in range(0, 70_000, 1000)])
+    groups = dedup.exact_groups(frame)
+    once = dedup.without_uids(frame, groups.where("uid <> exact_rep").select("uid"))
+    assert sorted(r.uid for r in once.collect()) == sorted(r.exact_rep for r in groups.select("exact_rep").distinct().collect())
+    assert "Exchange hashpartitioning(text" not in once._jdf.queryExecution().toString()
+    assert dedup.without_uids(frame, groups.select("uid"), max_bytes=0) is None
+    few = dedup.representative_signatures(frame, groups).collect()
+    assert sorted(r.uid for r in few) == sorted(r.uid for r in once.collect())
+
+
+def test_lsh_parameter_table(spark):
+    rows = spark.createDataFrame([(0.7, 24), (0.5, 16), (0.9, 30), (0.7, 24)], "threshold double, permutations int")
+    got = {(r.threshold, r.permutations): (r.bands, r.band_rows) for r in dedup.lsh_parameter_table(rows).collect()}
+    assert got == {k: dedup.lsh_parameters(*k) for k in ((0.7, 24), (0.5, 16), (0.9, 30))}
+
+
+def test_small_tables_are_dealt_out_and_nothing_runs_for_it(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    frame, tracker = spark.read.parquet(f"{tmp_path}/one"), spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    dealt = ordering.spread(frame.join(frame.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).where("id > 1"))
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    full = ordering.spread(frame).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(full) == spark.sparkContext.defaultParallelism and dealt.count() == 998
 
 
 def test_flow_and_quarantine(spark, texts):
