@@ -56,7 +56,7 @@ class SuffixConfig:
     run_bytes: int = 48 << 20
     #: One of so many anchors is drawn for splitters; at most ``max_samples`` reach the driver.
     sample_rate: int = 256
-    max_samples: int = 16_384
+    max_samples: int = 8192
     strings_per_part: int = 60_000
     piece_bytes: int = 1 << 20
 
@@ -375,7 +375,8 @@ def repeated_starts(texts: DataFrame, cfg: SuffixConfig) -> DataFrame:
     """``file, row, low, high``: ranges of places in texts from which ``length`` bytes start that also start elsewhere."""
     spark = texts.sparkSession
     anchors = materialize(find_anchors(texts.select("file", "row", "text"), cfg), "anchors")
-    shared = anchors.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # written, so that the join reads two shuffles and Spark can split a mark that very many anchors have
+    shared = materialize(anchors.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "marks")
     left = materialize(anchors.join(shared, "mark").select("file", "row", "anchor", "first", "last", "sample"), "suffixes")
     total = left.count()
     drawn = left.where("sample IS NOT NULL").orderBy(F.xxhash64("file", "row", "anchor")).limit(cfg.max_samples).select("file", "row", "anchor", "sample").collect()
@@ -388,6 +389,7 @@ def repeated_starts(texts: DataFrame, cfg: SuffixConfig) -> DataFrame:
     judged = materialize(dealt.mapInArrow(lambda b: judge_parts(b, clean, cfg), "h1 long, h2 long, file long, row long, low long, high long, asked boolean"), "matches")
     strings = judged.where("h1 IS NOT NULL")
     again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bool_or("asked").alias("wanted")).where("n > 1 AND wanted").select("h1", "h2")
+    again = materialize(again, "strings")
     looked_up = strings.where("asked").join(again, ["h1", "h2"]).select("file", "row", "low", "high")
     return judged.where("h1 IS NULL").select("file", "row", "low", "high").unionByName(looked_up)
 
