@@ -22,8 +22,9 @@ def let(value: Column, use: Callable[[Column], Column] | str) -> Column:
     return F.get(higher("transform", one, use) if isinstance(use, str) else F.transform(one, use), F.lit(0))
 
 
-def running(values: Column, combine: str, zero: str) -> Column:
-    """Inclusive running values over an array of integers; ``combine`` is SQL for the value after those in ``grown``, at ``x``.
+def running(values: Column | str, combine: str, zero: str) -> Column | str:
+    """Inclusive running values over an array of integers; ``combine`` is SQL for the value after those in ``grown``, at
+    ``x``. Of an array given in SQL the running values are SQL too.
 
     An accumulator that grows by one element a step is copied each time, so the array is taken in chunks: only a chunk's
     own accumulator grows by elements, the outer one grows by chunks.
@@ -33,10 +34,11 @@ def running(values: Column, combine: str, zero: str) -> Column:
     extend = f"transform(array({grown}), g -> named_struct('reached', element_at(g, -1), 'parts', array_append(acc.parts, slice(g, 2, size(chunk)))))[0]"
     chunks = f"transform(sequence(0, greatest(0, cast(floor((size(xs) - 1) / {CHUNK}) AS int))), i -> slice(xs, i * {CHUNK} + 1, {CHUNK}))"
     start = f"named_struct('reached', {zero}, 'parts', cast(array() AS array<array<int>>))"
-    return let(values, f"xs -> aggregate({chunks}, {start}, (acc, chunk) -> {extend}, acc -> flatten(acc.parts))")
+    use = f"xs -> aggregate({chunks}, {start}, (acc, chunk) -> {extend}, acc -> flatten(acc.parts))"
+    return f"transform(array({values}), {use})[0]" if isinstance(values, str) else let(values, use)
 
 
-def running_totals(values: Column) -> Column:
+def running_totals(values: Column | str) -> Column | str:
     return running(values, "element_at(grown, -1) + x", "0")
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import markdown
+from corpusmill.functions import alignment, markdown
 from corpusmill.functions.arrays import let
 from corpusmill.functions.text import BOM, digest, drop_bom
 from corpusmill.operators import pii
@@ -40,11 +42,26 @@ def dedup_paragraphs(text: Column) -> Column:
 
 def normalize_markdown(text: Column) -> Column:
     """Formatting at the level of text; see ``markdown.formatted_values``."""
-    return let(markdown.blocks(drop_bom(F.coalesce(text, F.lit("")))), lambda b: markdown.ended(markdown.joined(markdown.formatted_values(b))))
+    return let(markdown.blocks(drop_bom(F.coalesce(text, F.lit("")))), lambda b: markdown.formatted(b, markdown.formatted_values(b)))
 
 
-def count_format_changes(text: Column) -> Column:
-    """How many stretches of lines formatting changes, by the formatter's own alignment of lines."""
+def count_format_changes(versions: DataFrame) -> DataFrame:
+    """``doc_id, changes`` of ``(doc_id, before, after)``: in how many stretches of lines the texts differ, beside their
+    longest common stretches. Null texts are empty. Only digests of lines leave the JVM, one row at a time."""
+    digests = [alignment.line_digests(F.coalesce(c, F.lit(""))).alias(c) for c in ("before", "after")]
+    key = versions.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lines = ([np.asarray(x.as_py(), np.int64).view(np.uint64) for x in batch.column(i)] for i in (1, 2))
+            counts = [alignment.changes(a, b) for a, b in zip(*lines, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=["doc_id", "changes"])
+
+    return versions.select("doc_id", *digests).mapInArrow(run, f"doc_id {key}, changes int")
+
+
+def formatting_changes(text: Column) -> Column:
+    """The same for a text and what formatting makes of it, by the formatter's own alignment of blocks: no Python."""
     return let(markdown.blocks(drop_bom(F.coalesce(text, F.lit("")))), lambda b: markdown.changed_stretches(b, markdown.formatted_values(b)))
 
 
@@ -55,7 +72,7 @@ def normalize_table_delimiters(text: Column) -> Column:
 def content_preserved(versions: DataFrame) -> DataFrame:
     """``doc_id, violation`` of ``(doc_id, before, after)``: what formatting must not change."""
     types = lambda b: F.transform(F.filter(b, lambda x: x["type"] != "blank"), lambda x: x["type"])
-    checks = {"BLOCK_TYPES": types, "VISIBLE_TEXT": markdown.visible_text, "LINK_TARGETS": markdown.link_targets, "PROTECTED_UNITS": markdown.protected_units}
+    checks = {"BLOCK_TYPES": types, "VISIBLE_TEXT": markdown.visible_text, "LINK_TARGETS": markdown.link_targets, "INLINE_LEAVES": markdown.leaf_sequence, "PROTECTED_UNITS": markdown.protected_units}
     read = versions.select("doc_id", *(markdown.blocks(F.coalesce(c, F.lit(""))).alias(c) for c in ("before", "after")))
     differing = [F.when(~f(F.col("before")).eqNullSafe(f(F.col("after"))), code) for code, f in checks.items()]
     return read.select("doc_id", F.explode(F.array_compact(F.array(*differing))).alias("violation"))
@@ -76,9 +93,9 @@ def _widest(blocks: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(blocks, lambda b: b["end"] - b["start"])), F.lit(0))
 
 
-def _block_count(found: Column) -> Column:
-    """Blocks and the paragraphs inside containers; blank ones don't count."""
-    sizes = F.transform(found, lambda b: F.when(b["type"] == "blank", 0).when(b["type"].isin(*CONTAINERS), 1 + F.size(F.regexp_extract_all(b["value"], F.lit(markdown.INNER_PARAGRAPH), F.lit(0)))).otherwise(1))
+def _block_count(places: Column) -> Column:
+    """Located blocks and those inside containers; blank ones don't count."""
+    sizes = F.transform(places, lambda b: F.when(b["type"] == "blank", 0).when(b["type"].isin(*CONTAINERS), 1 + F.size(markdown.nested_blocks(b))).otherwise(1))
     return F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
 
 
@@ -119,21 +136,24 @@ def clean_documents(docs: DataFrame, limits: CleaningLimits = CleaningLimits())
     source = docs.select(F.struct("doc_id", *(F.col("`" + c.replace("`", "``") + "`") for c in extra)).alias("row"), F.col("text").alias("source"))
     large = F.octet_length("source") > limits.max_input_bytes  # never parsed
     read = source.withColumn("blocks", markdown.blocks(F.when(large | F.col("source").isNull(), "").otherwise(F.col("source"))))
-    placed = read.withColumn("places", markdown.located(F.col("blocks")))
+    spans = markdown.protected(F.col("places"))
+    placed = read.withColumn("places", markdown.located(F.col("blocks"))).withColumn("spans", spans)
     guard = F.when(F.col("source").isNull() | (F.col("source") == ""), "EMPTY_INPUT").when(markdown.unclosed_fence(F.col("source")), "INVALID_MARKDOWN").otherwise(
-        _guard(F.col("source"), _block_count(F.col("blocks")), F.size(markdown.protected(F.col("places"))), _widest(F.col("places")), limits)
+        _guard(F.col("source"), _block_count(F.col("places")), F.size("spans"), _widest(F.col("places")), limits)
     )
-    unique = placed.select("row", "source", "blocks", guard.alias("code"), markdown.without_repeated_paragraphs(F.col("blocks")).alias("kept"))
-    again = unique.withColumn("blocks", F.when(F.col("kept.removed") > 0, markdown.blocks(F.col("kept.text"))).otherwise(F.col("blocks")))
+    unique = placed.select("row", "source", "blocks", "places", "spans", guard.alias("code"), markdown.without_repeated_paragraphs(F.col("blocks")).alias("kept"))
+    fewer = F.col("kept.removed") > 0
+    again = unique.withColumn("blocks", F.when(fewer, markdown.blocks(F.col("kept.text"))).otherwise(F.col("blocks")))
     raw = {e: m.alias(e) for e, m in pii.raw_matches(F.col("kept.text")).items()}
-    searched = again.withColumn("raw", F.struct(*raw.values())).withColumn("spans", markdown.protected(markdown.located(F.col("blocks"))))
+    moved = again.withColumn("places", F.when(fewer, markdown.located(F.col("blocks"))).otherwise(F.col("places")))
+    searched = moved.withColumn("raw", F.struct(*raw.values())).withColumn("spans", F.when(fewer, spans).otherwise(F.col("spans")))
     hits = {e: F.col(f"raw.{e}") for e in raw}
     crowded = F.when(pii.count_outside(hits, F.col("spans")) > limits.max_pii_candidates, "TOO_MANY_PII_CANDIDATES")
     found = searched.withColumn("code", F.coalesce("code", crowded)).withColumn("matches", F.when(F.col("code").isNull(), pii.resolve_overlaps(pii.exclude_protected(pii.validated(hits), F.col("spans")))))
     redacted = found.withColumn("clean", F.when(F.col("code").isNull(), drop_bom(pii.redact(F.col("kept.text"), F.col("matches")))))
     formed = redacted.withColumn("blocks", F.when((F.size("matches") > 0) | F.col("source").startswith(BOM), markdown.blocks(F.col("clean"))).otherwise(F.col("blocks")))
     formatted = formed.withColumn("values", markdown.formatted_values(F.col("blocks")))
-    done = formatted.withColumn("text", F.when(F.col("code").isNull(), markdown.ended(markdown.joined(F.col("values")))))
+    done = formatted.withColumn("text", F.when(F.col("code").isNull(), markdown.formatted(F.col("blocks"), F.col("values"))))
     checked = done.withColumn("code", F.coalesce("code", check_clean_output(F.col("text"), limits)))
     ok = F.col("code").isNull()
     zero = lambda c: F.when(ok, c).otherwise(0).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import markdown
 from corpusmill.functions.arrays import let, running_totals
 
-CONTAINERS = ("blockquote", "list_item")
+CONTAINERS = markdown.CONTAINERS
 
 
 def place_blocks(text: Column) -> Column:
@@ -20,20 +20,21 @@ def place_blocks(text: Column) -> Column:
 
 
 def blocks_of(text: Column) -> Column:
-    """``array<struct<type,line_start,line_end,start,end,top_level>>`` without blank blocks, in order of (start, end),
-    with the paragraphs inside block quotes and list items."""
+    """``array<struct<type,line_start,line_end,start,end,top_level,depth,parent>>`` without blank blocks, in order of (start,
+    depth): the blocks of the text, and those that block quotes and list items hold, at all depths, with the start of the
+    container around them."""
+    fields = ("start", "depth", "end", "type", "line_start", "line_end", "parent")
 
     def rows(b):
-        own = F.struct(b["start"].alias("start"), b["end"].alias("end"), b["type"].alias("type"), b["line_start"].alias("line_start"), b["line_end"].alias("line_end"), F.lit(True).alias("top_level"))
-        inner = F.transform(
-            markdown.inner_paragraphs(b),
-            lambda p: F.struct((b["start"] + p["start"]).alias("start"), (b["start"] + p["end"]).alias("end"), F.lit("paragraph").alias("type"), (b["line_start"] + p["before"]).alias("line_start"), (b["line_start"] + p["before"] + p["lines"]).alias("line_end"), F.lit(False).alias("top_level")),
-        )
+        value = {"depth": F.lit(0), "parent": F.lit(None).cast("int")}
+        own = F.struct(*(value.get(c, b[c] if c not in value else None).alias(c) for c in fields))
+        inner = F.transform(markdown.nested_blocks(b), lambda n: F.struct(*(n[c].alias(c) for c in fields)))
         return F.when(b["type"].isin(*CONTAINERS), F.concat(F.array(own), inner)).otherwise(F.array(own))
 
     def collected(places):
         found = F.array_sort(F.flatten(F.transform(F.filter(places, lambda b: b["type"] != "blank"), rows)))
-        return F.transform(found, lambda b: F.struct(*(b[c].alias(c) for c in ("type", "line_start", "line_end", "start", "end", "top_level"))))
+        shown = ("type", "line_start", "line_end", "start", "end")
+        return F.transform(found, lambda b: F.struct(*(b[c].alias(c) for c in shown), (b["depth"] == 0).alias("top_level"), b["depth"].alias("depth"), b["parent"].alias("parent")))
 
     return let(place_blocks(text), collected)
 
@@ -57,7 +58,8 @@ def visible_text(text: Column) -> Column:
 
 
 def segment_blocks(docs: DataFrame) -> DataFrame:
-    """``doc_id, block_ix, type, line_start, line_end, start, end, top_level``, in order of (start, end)."""
+    """``doc_id, block_ix, type, line_start, line_end, start, end, top_level, depth, parent``, in order of (start, depth);
+    ``parent`` is the start of the container around a block."""
     return docs.select("doc_id", F.posexplode(blocks_of(F.col("text"))).alias("block_ix", "b")).select("doc_id", "block_ix", "b.*")
 
 

@@ -58,6 +58,10 @@ SPACED = "replace(text, '\\n', '\\n\\n')"
 SQL_STRIP = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))"
 # Marks made of the text's own words: code, links and images; and two blanks behind the lines that begin with T.
 MARKED = "replace(replace(text, ' the ', ' `the` '), ' of ', ' [of](u/of) ')"
+MARKED_SHOWN = "replace(text, ' the ', ' `the` ')"
+SQL_UNSTRESSED = "{text}"
+for _pair in (r"\*\*([^*\r\n]+)\*\*", r"__([^_\r\n]+)__", r"\*([^*\r\n]+)\*", r"_([^_\r\n]+)_", r"~~([^~\r\n]+)~~"):
+    SQL_UNSTRESSED = f"regexp_replace({SQL_UNSTRESSED}, '{_pair}', '\\1', 'g')"
 IMAGED = "replace(replace(text, ' the ', ' `![x](y)` '), ' of ', ' ![of](p.png) ')"
 BLANKED, SQL_BLANKED = "regexp_replace(text, '(?m)^(T.*)$', '$1  ')", "regexp_replace(text, '(?m)^(T.*)$', '\\1  ', 'g')"
 SQL_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents"
@@ -290,6 +294,26 @@ def c1_segment_blocks(spark, sf_dir):
     return blocks.select("doc_id", "block_ix", "type", "line_start", "start", (F.col("end") - F.col("start")).alias("size"))
 
 
+#: Each line as a list item in a quote, and again in a fence in that item.
+SQL_CONTAINED = f"SELECT *, CAST(coalesce(sum(2 * length(content) + 27) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS s, CAST(length(content) AS INT) AS n, CAST(5 * line AS INT) AS l FROM ({SQL_LINES})"
+
+
+def _contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform(F.split("text", "\n"), lambda c: F.concat(F.lit("> - "), c, F.lit("\n>   ~~~\n>   "), c, F.lit("\n>   ~~~\n\n")))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(lines, "").alias("text"))
+
+
+@query(f"""
+SELECT doc_id, type, line_start, line_end, start, "end", depth, parent FROM (SELECT doc_id, unnest([
+  {{'type': 'blockquote', 'line_start': l, 'line_end': l + 4, 'start': s, 'end': s + 2 * n + 25, 'depth': 0, 'parent': NULL}},
+  {{'type': 'list_item', 'line_start': l, 'line_end': l + 4, 'start': s + 2, 'end': s + 2 * n + 25, 'depth': 1, 'parent': s}},
+  {{'type': 'paragraph', 'line_start': l, 'line_end': l + 1, 'start': s + 4, 'end': s + 4 + n, 'depth': 2, 'parent': s + 2}},
+  {{'type': 'fence', 'line_start': l + 1, 'line_end': l + 4, 'start': s + n + 9, 'end': s + 2 * n + 25, 'depth': 2, 'parent': s + 2}}], recursive := true) FROM ({SQL_CONTAINED}))""")
+def c1_nested_blocks(spark, sf_dir):
+    """Blocks of list items in quotes, with the container around each."""
+    return structure.segment_blocks(_contained(spark, sf_dir)).select("doc_id", "type", "line_start", "line_end", "start", "end", "depth", "parent")
+
+
 @query(f"""
 SELECT doc_id, CAST(line AS INT) AS line, CAST(coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM ({SQL_LINES})""")
 def c2_line_offsets(spark, sf_dir):
@@ -309,6 +333,11 @@ def c3_protected_spans(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(structure.protected_spans(F.expr(MARKED))).alias("s")).select("doc_id", "s.kind", "s.start", "s.end")
 
 
+@query(f"""SELECT doc_id, 'fence' AS kind, s + n + 9 AS start, s + 2 * n + 25 AS "end" FROM ({SQL_CONTAINED})""")
+def c3_protected_in_containers(spark, sf_dir):
+    return _contained(spark, sf_dir).select("doc_id", F.explode(structure.protected_spans(F.col("text"))).alias("s")).select("doc_id", "s.kind", "s.start", "s.end")
+
+
 @query(f"""
 WITH o AS (SELECT doc_id, coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(content) AS n, line FROM ({SQL_LINES})),
 s AS (SELECT doc_id, start, start + CASE WHEN line % 3 = 0 THEN 2 * n ELSE n END AS fin FROM o),
@@ -337,8 +366,8 @@ def c6_blank_runs(spark, sf_dir):
 
 @query(f"""
 SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x[1] = 'T' THEN 'heading' ELSE 'paragraph' END), ',') AS signature,
-  array_to_string(list_transform(range(1, len(string_split({MARKED}, '(u/of)'))), lambda i: 'u/of'), ',') AS targets, replace(text, chr(10), ' ') AS visible FROM documents WHERE NOT regexp_matches(text, '[*_]')
-UNION ALL SELECT doc_id, NULL, NULL, trim(regexp_replace(regexp_replace(text, '[*_`~]+', '', 'g'), '[ \n]+', ' ', 'g')) FROM documents WHERE regexp_matches(text, '[*_]')""")
+  array_to_string(list_transform(range(1, len(string_split({MARKED}, '(u/of)'))), lambda i: 'u/of'), ',') AS targets, replace({MARKED_SHOWN}, chr(10), ' ') AS visible FROM documents WHERE NOT regexp_matches(text, '[*_]')
+UNION ALL SELECT doc_id, NULL, NULL, trim(regexp_replace({SQL_UNSTRESSED.format(text=MARKED_SHOWN)}, '[ \n]+', ' ', 'g')) FROM documents WHERE regexp_matches(text, '[*_]')""")
 def c7_signature_and_targets(spark, sf_dir):
     """Lines that begin with T as headings. Texts with emphasis marks: what a reader sees alone."""
     body = F.expr(f"regexp_replace(replace({MARKED}, '\n', '\n\n'), '(?m)^T', '# T')")
@@ -482,7 +511,34 @@ WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x:
 SELECT doc_id, CAST(len(list_filter(range(1, len(f) + 1), lambda i: f[i] AND (i = 1 OR NOT f[i - 1]))) AS INT) AS changes FROM f""")
 def f2_count_format_changes(spark, sf_dir):
     """Two blanks behind the lines that begin with T go, and the last line gets its end."""
-    return documents(spark, sf_dir).select("doc_id", cleaning.count_format_changes(F.expr(BLANKED)).alias("changes"))
+    return cleaning.count_format_changes(documents(spark, sf_dir).select("doc_id", F.expr(BLANKED).alias("before"), cleaning.normalize_markdown(F.expr(BLANKED)).alias("after")))
+
+
+@query(f"""
+SELECT doc_id, CAST(len(regexp_extract_all(string_agg(CASE length(content) % 7 WHEN 0 THEN 'x' WHEN 1 THEN 'x' WHEN 2 THEN '=x' ELSE '=' END, '' ORDER BY line), 'x+')) AS INT) AS changes FROM ({SQL_LINES}) GROUP BY doc_id""")
+def f2_changes_of_edits(spark, sf_dir):
+    """Numbered lines, of which some are missing, changed, or followed by a new one in the second text."""
+    line = lambda c, i: F.concat(i.cast("string"), F.lit(" "), c, F.lit("\n"))
+    kind = lambda c: F.char_length(c) % 7
+    edited = lambda c, i: F.when(kind(c) == 0, "").when(kind(c) == 1, F.concat(F.lit("new "), line(c, i))).when(kind(c) == 2, F.concat(line(c, i), F.lit("more "), line(c, i))).otherwise(line(c, i))
+    text = lambda f: F.array_join(F.transform(F.split("text", "\n"), f), "")
+    return cleaning.count_format_changes(documents(spark, sf_dir).select("doc_id", text(line).alias("before"), text(edited).alias("after")))
+
+
+#: Each line a table row, each word a cell; bars and more than one blank between words are taken out before.
+WORDED = "trim(regexp_replace(replace(text, '|', ' '), ' +', ' '))"
+
+
+@query(f"""
+WITH cells AS (SELECT doc_id, list_prepend(['a', 'b'], list_transform(string_split(trim(regexp_replace(replace(text, '|', ' '), ' +', ' ', 'g')), chr(10)), lambda x: string_split(trim(x), ' '))) AS r FROM documents),
+sized AS (SELECT doc_id, r, list_max(list_transform(r, lambda x: len(x))) AS n FROM cells),
+wide AS (SELECT doc_id, r, n, list_transform(range(1, n + 1), lambda c: greatest(3, list_max(list_transform(r, lambda x: coalesce(length(x[c]), 0))))) AS w FROM sized),
+rows AS (SELECT doc_id, list_transform(r, lambda x: '| ' || array_to_string(list_transform(range(1, n + 1), lambda c: rpad(coalesce(x[c], ''), CAST(w[c] AS INT), ' ')), ' | ') || ' |') AS t, '| :' || repeat('-', w[1] - 1) || ' | ' || array_to_string(list_transform(w[2:], lambda x: repeat('-', x)), ' | ') || ' |' AS rule FROM wide)
+SELECT doc_id, array_to_string(list_concat([t[1], rule], t[2:]), chr(10)) || chr(10) AS text FROM rows""")
+def f1_format_tables(spark, sf_dir):
+    """The words of each line as a row of a table: padded to the widest of their column."""
+    rows = F.transform(F.split(F.expr(WORDED), "\n"), lambda c: F.concat(F.lit("|"), F.replace(F.trim(c), F.lit(" "), F.lit("|")), F.lit("|")))
+    return documents(spark, sf_dir).select("doc_id", cleaning.normalize_markdown(F.concat(F.lit("|a|b|\n|:--|---|\n"), F.array_join(rows, "\n"))).alias("text"))
 
 
 @query("""
@@ -494,11 +550,16 @@ def f3_normalize_table_delimiters(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, unnest(list_concat(CASE WHEN contains({MARKED}, '(u/of)') THEN ['LINK_TARGETS', 'PROTECTED_UNITS'] ELSE [] END, CASE WHEN contains(text, 'anon') THEN ['VISIBLE_TEXT'] ELSE [] END)) AS violation FROM documents""")
+SELECT doc_id, unnest(list_concat(CASE WHEN contains({MARKED}, '(u/of)') THEN ['LINK_TARGETS', 'PROTECTED_UNITS'] ELSE [] END, CASE WHEN contains(text, 'anon') OR doc_id % 3 = 0 THEN ['VISIBLE_TEXT'] ELSE [] END)) AS violation FROM documents
+UNION ALL SELECT doc_id, unnest(CASE WHEN doc_id % 3 <> 1 THEN [] WHEN contains({MARKED}, '(u/of)') THEN ['INLINE_LEAVES', 'VISIBLE_TEXT'] ELSE ['INLINE_LEAVES', 'VISIBLE_TEXT', 'PROTECTED_UNITS'] END) AS violation FROM documents WHERE NOT (doc_id % 3 = 1 AND contains(text, 'anon'))
+UNION ALL SELECT doc_id, unnest(CASE WHEN contains({MARKED}, '(u/of)') THEN ['INLINE_LEAVES'] ELSE ['INLINE_LEAVES', 'PROTECTED_UNITS'] END) FROM documents WHERE doc_id % 3 = 1 AND contains(text, 'anon')""")
 def f4_content_preserved(spark, sf_dir):
-    """Other link destinations and other words are changes; two blanks behind a line are none."""
+    """Other link destinations and other words are changes, and so are a lost mark of snake case and code that is none any
+    more; two blanks behind a line and marks of emphasis are none."""
     after = F.expr(f"concat(replace(replace({MARKED}, '(u/of)', '(v/of)'), 'anon', 'ANON'), '  \n')")
-    return cleaning.content_preserved(documents(spark, sf_dir).select("doc_id", F.expr(MARKED).alias("before"), after.alias("after")))
+    pick = lambda *tails: F.element_at(F.array(*map(F.lit, tails)), (F.col("doc_id") % 3 + 1).cast("int"))
+    before, end = F.concat(F.expr(MARKED), F.lit("\n\n"), pick("call snake_case", "use `it`", "*so* there\n")), F.concat(after, F.lit("\n\n"), pick("call snakecase", "use it", "so there\n"))
+    return cleaning.content_preserved(documents(spark, sf_dir).select("doc_id", before.alias("before"), end.alias("after")))
 
 
 CLEAN_COLUMNS = ["doc_id", "status", "text", *cleaning.COUNTERS, "input_sha256", "input_bytes", "output_sha256", "output_bytes"]

@@ -1,8 +1,7 @@
 """Markdown structure of one text: blocks, protected spans, line rewriting. A documented subset of CommonMark and tables.
 
 Blocks: fence, html_block, heading (ATX and setext), thematic_break, blockquote, list_item, table, definition,
-indented_code, paragraph. Block quotes and list items are containers: the paragraphs in them are listed too, not as
-top level. Nested containers are read as text of the outer one. Line ends are CRLF, CR and LF only. All offsets are
+indented_code, paragraph. Block quotes and list items are containers; ``nested`` lists what they hold. Line ends are CRLF, CR and LF only. All offsets are
 code points, half open.
 """
 
@@ -109,15 +108,8 @@ def segment(text: str) -> list[Block]:
         line = lines[i][1]
         return bool(fence_open(line) or HEADING.match(line) or BREAK.match(line) or QUOTE.match(line) or ITEM.match(line) or _html_end(line) is not None or is_table(i))
 
-    def inner_paragraphs(a: int, b: int) -> None:
-        start = None
-        for k in range(a, b + 1):
-            text_here = k < b and bool(re.sub(r"^[ \t]*(?:>[ \t]?)*(?:(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$))?", "", lines[k][1]).strip())
-            if text_here and start is None:
-                start = k
-            elif not text_here and start is not None:
-                add("paragraph", start, k, False)
-                start = None
+    def line_tab(i: int) -> bool:
+        return lines[i][1].startswith("\t")
 
     i = 0
     while i < n:
@@ -149,24 +141,22 @@ def segment(text: str) -> list[Block]:
             while j < n and not blank(j) and (QUOTE.match(lines[j][1]) or not interrupts(j)):
                 j += 1
             add("blockquote", i, j)
-            inner_paragraphs(i, j)
         elif m := ITEM.match(line):
-            width = len(m[0].expandtabs(4))
+            width = len(line) - len(line.lstrip(" ")) + (2 if line.lstrip(" ")[0] in "-*+" else 3)
             while j < n:
                 indent = len(lines[j][1]) - len(lines[j][1].lstrip(" "))
                 if blank(j):
                     k = j
                     while k < n and blank(k):
                         k += 1
-                    if k == n or len(lines[k][1]) - len(lines[k][1].lstrip(" ")) < min(width, 4) or ITEM.match(lines[k][1]):
+                    if k == n or len(lines[k][1]) - len(lines[k][1].lstrip(" ")) < width and not lines[k][1].startswith("\t"):
                         break
                     j = k
-                elif indent >= min(width, 4) or not interrupts(j) and not blank(j - 1):
+                elif indent >= width or line_tab(j) or not interrupts(j) and not blank(j - 1):
                     j += 1
                 else:
                     break
             add("list_item", i, j)
-            inner_paragraphs(i, j)
         elif is_table(i):
             j = i + 2
             while j < n and not blank(j) and not (HEADING.match(lines[j][1]) or fence_open(lines[j][1]) or QUOTE.match(lines[j][1])):
@@ -194,6 +184,39 @@ def segment(text: str) -> list[Block]:
     return sorted(out, key=lambda b: (b.start, b.end))
 
 
+QUOTE_MARK, ITEM_MARK = re.compile(r" {0,3}>[ \t]?"), re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]{1,4}(?=[^ \t\r\n])|[ \t]?)")
+
+
+def nested(text: str) -> list[tuple[str, int, int, int, int, int, int]]:
+    """``type, start, end, first line, line after, depth, parent's start`` of all blocks inside containers."""
+    out = []
+
+    def enter(block: Block, lines: list[tuple[int, str]], depth: int, line0: int) -> None:
+        """``lines``: source offset and content of each line of the container."""
+        inner = []
+        width = None
+        for at, content in lines:
+            if block.type == "blockquote":
+                m = QUOTE_MARK.match(content)
+                cut = m.end() if m else 0
+            elif width is None:
+                cut = width = ITEM_MARK.match(content).end()
+            else:
+                cut = min(width, 1 if content.startswith("\t") else len(content) - len(content.lstrip(" ")))
+            inner.append((at + cut, content[cut:]))
+        for b in segment("\n".join(c for _, c in inner) + "\n"):
+            last = inner[b.line_end - 1]
+            out.append((b.type, inner[b.line_start][0], last[0] + len(last[1]), line0 + b.line_start, line0 + b.line_end, depth, lines[0][0]))
+            if b.type in ("blockquote", "list_item"):
+                enter(b, inner[b.line_start : b.line_end], depth + 1, line0 + b.line_start)
+
+    lines = split_lines(text)
+    for b in segment(text):
+        if b.type in ("blockquote", "list_item"):
+            enter(b, lines[b.line_start : b.line_end], 1, b.line_start)
+    return sorted(out, key=lambda x: (x[1], x[5]))
+
+
 def _destination(text: str, at: int, end: int) -> tuple[int, int] | None:
     """Of the link whose ``(`` is just before ``at``: its destination, parentheses balanced."""
     while at < end and text[at] in " \t\n":
@@ -220,6 +243,10 @@ def protected(text: str, blocks: list[Block] | None = None) -> list[Span]:
     HTML, autolinks, link and image destinations, destinations of reference definitions."""
     blocks = segment(text) if blocks is None else blocks
     spans = [Span(b.type, b.start, b.end) for b in blocks if b.type in ("fence", "html_block")]
+    code = [Span(*n[:3]) for n in nested(text) if n[0] in ("fence", "html_block")]
+    spans += code
+    for c in code:
+        text = text[: c.start] + " " * (c.end - c.start) + text[c.end :]
     for b in blocks:
         if not b.top_level or b.type in ("fence", "html_block", "thematic_break"):
             continue
@@ -269,27 +296,71 @@ def dedup_paragraphs(text: str) -> tuple[str, int]:
     return "".join([*out, text[last:]]), len(cuts)
 
 
+def _single(line: str) -> str:
+    return re.sub(r"(?<=\S)[ \t]{2,}(?=\S)", " ", line)
+
+
+def _table(lines: list[str]) -> list[str]:
+    rows = [[c.strip(" ") for c in re.split(r"(?<!\\)\|", re.sub(r"^\||(?<!\\)\|$", "", line.strip(" ")))] for line in lines]
+    width = max(map(len, rows))
+    rows = [r + [""] * (width - len(r)) for r in rows]
+    out = [[] for _ in rows]
+    for c in range(width):
+        column = [r[c] for r in rows]
+        rule = column[1]
+        size = max(3, *(len(x) for i, x in enumerate(column) if i != 1))
+        left, right = rule.startswith(":") and len(rule) > 0, rule.endswith(":") and len(rule) > 0
+        left = left and not (right and len(rule) == 1)
+        for i, x in enumerate(column):
+            if i == 1:
+                out[i].append((":" if left else "-") + "-" * (size - 2) + (":" if right else "-"))
+            else:
+                ahead = (size - len(x)) // 2 if left and right else size - len(x) if right else 0
+                out[i].append(" " * ahead + x + " " * (size - len(x) - ahead))
+    return ["| " + " | ".join(r) + " |" for r in out]
+
+
+def _item(lines: list[str], code: bool) -> list[str]:
+    whole = "\n".join(lines)
+    m = re.match(r"( {0,3}(?:[-*+]|\d{1,9}[.)]))([ \t]{1,4}(?=[^ \t\n])|[ \t]?)", whole)
+    mark, out = re.sub(r"[*+]", "-", m[1].strip()), []
+    for i, line in enumerate(lines):
+        rest = line[m.end() :] if i == 0 else line[min(m.end(), 1 if line.startswith("\t") else len(line) - len(line.lstrip(" "))) :]
+        if not code:
+            rest = _single(re.sub(r"^( *)[*+](?=[ \t])", r"\1-", rest))
+        out.append(f"{mark} {rest}" if i == 0 and rest else mark if i == 0 else " " * (len(mark) + 1) + rest if rest else "")
+    return out
+
+
+def _quote(lines: list[str], code: bool) -> list[str]:
+    if code:
+        return [re.sub(r"^ {0,3}>[ \t]?", "> ", line).rstrip(" ") if QUOTE.match(line) else line.rstrip(" ") for line in lines]
+    return [("> " + _single(re.sub(r"^ {0,3}>? {0,4}(?! )|^ {0,3}>?[ \t]*$", "", line, count=1))).rstrip(" ") for line in lines]
+
+
 def normalize(text: str) -> str:
-    """Text-level formatting: LF ends, no trailing blanks, single blank lines, ``-`` bullets, single inner blanks in
-    paragraphs, one LF at the end. Fences, HTML blocks, indented code and tables keep their lines."""
-    text = re.sub(r"\r\n?", "\n", text.removeprefix("﻿"))
-    blocks = [b for b in segment(text) if b.top_level]
+    """Text-level formatting: LF ends, no trailing blanks, one empty line between blocks but those of a list, tables, items
+    and quotes in one form, single inner blanks, one LF at the end. Fences, HTML blocks and indented code keep their lines."""
+    text = re.sub(r"\r\n?", "\n", text.removeprefix("\ufeff"))
+    blocks = segment(text)
     lines = text.split("\n")
     out: list[str] = []
-    last = 0
+    last, before = 0, None
     for b in blocks:
-        if b.line_start > last and out:
+        code = b.type in ("blockquote", "list_item") and any(x in text[b.start : b.end] for x in ("```", "~~~", "<"))
+        if out and (b.line_start > last or (before, b.type) not in {("list_item", "list_item"), ("definition", "definition")}):
             out.append("")
-        for k in range(b.line_start, b.line_end):
-            line = lines[k]
-            if b.type not in ("fence", "html_block", "indented_code"):
-                line = line.rstrip(" \t")
-            if b.type == "list_item":
-                line = re.sub(r"^( {0,3})[*+](?=[ \t])", r"\1-", line)
-            if b.type == "paragraph":
-                line = re.sub(r"(?<=\S)[ \t]{2,}(?=\S)", " ", line)
-            out.append(line if b.type in ("fence", "html_block", "indented_code") or line.strip() or (out and out[-1]) else "")
-        last = b.line_end
+        own = lines[b.line_start : b.line_end]
+        if b.type not in ("fence", "html_block", "indented_code"):
+            own = [line.rstrip(" \t") for line in own]
+        if b.type == "paragraph":
+            own = [_single(line.lstrip(" \t")) for line in own]
+        elif b.type in ("heading", "thematic_break"):
+            own[0] = re.sub(r"^ {1,3}", "", own[0])
+        elif b.type in ("table", "list_item", "blockquote"):
+            own = _table(own) if b.type == "table" else _item(own, code) if b.type == "list_item" else _quote(own, code)
+        out += own
+        last, before = b.line_end, b.type
     return "\n".join(out).strip("\n") + "\n" if out else ""
 
 
@@ -336,7 +407,9 @@ def visible_text(text: str) -> str:
     text = "".join([*kept, text[last:]])
     text = re.sub(r"(?m)^ {0,3}(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d{1,9}[.)][ \t]+|`{3,}.*$|~{3,}.*$|(?:=+|-+|[-*_ ]{3,})$|\[[^\]]*\]:[ \t]*$)", "", text)
     text = re.sub(r"!?\[([^\]]*)\](?:\(\s*(?:\"[^\"]*\")?\s*\)|\[[^\]]*\])?", r"\1", text)
-    return " ".join(re.sub(r"[*_`~]+", "", text).split())
+    for pair in (r"\*\*([^*\r\n]+)\*\*", r"__([^_\r\n]+)__", r"\*([^*\r\n]+)\*", r"_([^_\r\n]+)_", r"~~([^~\r\n]+)~~"):
+        text = re.sub(rf"((?<!`)(?P<c>`+)(?!`)(?s:.+?)(?<!`)(?P=c)(?!`))|{pair}", lambda m: m[1] or m[3], text)
+    return " ".join(text.split())
 
 
 def _alt(attributes: str) -> str:

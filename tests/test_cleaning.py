@@ -1,12 +1,17 @@
 """Markdown structure, personal data and cleaning: vectors, protection, idempotence, guards."""
 
+import difflib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.functions import markdown
+from corpusmill.functions import alignment, markdown
 from corpusmill.functions.regex_spans import find_matches
 from corpusmill.operators import cleaning, extract, pii, structure
 
@@ -63,7 +68,19 @@ def test_offsets_agree_with_python(spark):
         assert [(m.start, m.end, m.value) for m in r.m] == [(*m.span(), m[0]) for m in re.finditer(r"\d+", r.t)]
 
 
-PIECES = "a b|a  c|# h|- x|1. y|  more|   deep|> q|```|~~~|`c`|<div>|</div>|<b>t</b>|<!-- z|-->|[r]: u/x|    code|---|===|[l](u(1))|![i](p.png)|<http://e.org/>|text `x|***|||| |\t|a\\b".split("|") + ["| a | b |", "|---|:-:|"]
+CONTAINED = ["- a\n  ~~~\n  {}\n  ~~~\n", "> ~~~\n> {}\n> ~~~\n", "> 1. x\n>    ```\n>    {}\n>    ```\n", "- > - y\n  >   ~~~ text\n  >   {}\n  >   ~~~\n", "- <div>\n  {}\n  </div>\n", "> ~~~\n> {}\n"]
+
+
+@pytest.mark.parametrize("form", CONTAINED)
+def test_code_in_containers_survives(spark, form):
+    text = form.format("me@sample.org 10.0.0.1") + "\n- tell me@sample.org\n\n> and 10.0.0.1\n"
+    row = cleaning.clean_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    want = text.replace("tell me@sample.org", "tell [EMAIL]").replace("and 10.0.0.1", "and [IPV4]")
+    assert (row.status, row.text.count("me@sample.org"), row.email_redactions, row.ipv4_redactions) == ("succeeded", 1, 1, 1) and "10.0.0.1" in row.text
+    assert [x.split() for x in row.text.splitlines() if x.strip()] == [x.split() for x in want.splitlines() if x.strip()]
+
+
+PIECES = "a b|- ~~~|> ~~~|> - x|> > y|  ~~~|>  z|   1. w|- > v|a  c|# h|- x|1. y|  more|   deep|> q|```|~~~|`c`|<div>|</div>|<b>t</b>|<!-- z|-->|[r]: u/x|    code|---|===|[l](u(1))|![i](p.png)|<http://e.org/>|text `x|***|||| |\t|a\\b".split("|") + ["| a | b |", "|---|:-:|"]
 
 
 def test_structure_matches_a_plain_reading(spark):
@@ -79,7 +96,8 @@ def test_structure_matches_a_plain_reading(spark):
     for r in rows:
         t = r.t
         assert "".join(b.value for b in r.b) == t
-        assert [tuple(b) for b in r.blocks if b.top_level] == [tuple(b) for b in plain.segment(t) if b.top_level]
+        assert [tuple(b)[:6] for b in r.blocks if b.top_level] == [tuple(b) for b in plain.segment(t)]
+        assert [(b.type, b.start, b.end, b.line_start, b.line_end, b.depth, b.parent) for b in r.blocks if not b.top_level] == plain.nested(t)
         assert [tuple(s) for s in r.spans] == [tuple(s) for s in plain.protected(t)]
         assert r.open == plain.has_unclosed_fence(t) and tuple(r.unique) == plain.dedup_paragraphs(t)
         assert r.formatted == plain.normalize(t) and list(r.targets) == plain.link_targets(t)
@@ -105,7 +123,75 @@ def test_fences(spark, text, unclosed):
     [("x\n", 0), ("x", 1), ("a  \nb\nc\n", 1), ("a  \nb  \nc\n", 1), ("a  \nb\nc  \n", 2), ("a\n\n\n\nb\n", 1), ("\n\na\n", 1), ("a\n\n\n", 1), ("a\r\nb\r\n", 1), ("* x\n\nb\n\n* y\n", 2), ("```\nx  \n```\n", 0), ("", 0)],
 )
 def test_change_counts(spark, text, n):
-    assert columns(spark, text, cleaning.count_format_changes(F.col("t")).alias("n")).n == n
+    frame = spark.createDataFrame([(text,)], "t string")
+    versions = frame.select(F.lit("x").alias("doc_id"), F.col("t").alias("before"), cleaning.normalize_markdown(F.col("t")).alias("after"))
+    assert (frame.select(cleaning.formatting_changes(F.col("t")).alias("n")).head().n, cleaning.count_format_changes(versions).head().changes) == (n, n)
+
+
+# Fixed vectors.
+@pytest.mark.parametrize(("before", "after", "n"), [("a  \r\nb  \r\n", "a\nb\n", 1), ("a\n\nb\n", "\na\n\nb\n", 1), ("a   \n\nb   \n", "a\n\nb\n", 2), ("a\n\n\n\n", "a\n", 1), ("hello\n", "hello\n", 0), ("", "x", 1), (None, "", 0), ("a\x0bb\u2028c", "a\x0bB\u2028c", 1)])
+def test_changes_between_texts(spark, before, after, n):
+    assert [r.changes for r in cleaning.count_format_changes(spark.createDataFrame([(1, before, after)], "doc_id long, before string, after string")).collect()] == [n]
+
+
+@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 5)), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_alignment_agrees_with_the_standard_library(before, edits):
+    after = list(before)
+    for at, line in edits:
+        if line == 5:
+            del after[at : at + 1]
+        else:
+            after.insert(at, line)
+    blocks = [tuple(m) for m in difflib.SequenceMatcher(None, before, after, autojunk=False).get_matching_blocks()[:-1]]
+    one, two = np.array(before, np.uint64), np.array(after, np.uint64)
+    assert alignment.matching_stretches(one, two) == blocks
+    assert alignment.changes(one, two) == sum(c[0] != "equal" for c in difflib.SequenceMatcher(None, before, after, autojunk=False).get_opcodes())
+
+
+def test_alignment_of_long_texts_is_fast():
+    lines = np.arange(60_000, dtype=np.uint64)
+    other = lines.copy()
+    other[::2] += np.uint64(10**9)
+    began = time.time()
+    assert alignment.changes(lines, other) == 30_000 and alignment.changes(np.zeros(60_000, np.uint64), np.zeros(30_000, np.uint64)) == 1
+    assert time.time() - began < 20
+
+
+# Fixed vectors: texts, what cleaning makes of them, and its counters.
+GOLDEN = [
+    (
+        "# 清洗基准1\n\n同一段落\n\n同一段落\n\n邮箱: a@sample.org\n电话: 13800138000\n银行卡: 4111111111110006\n身份证: 11010519491231002X\n内网: 10.0.0.1\n\n| h1 | h2 |\n| --- | --- |\n| A | B |\n\n- item one\n- item one\n\n[safe-ref]: https://a@b.com/foo(1)\n",
+        "# 清洗基准1\n\n同一段落\n\n邮箱: [EMAIL]\n电话: [PHONE]\n银行卡: [BANK_CARD]\n身份证: [ID_CARD]\n内网: [IPV4]\n\n| h1  | h2  |\n| --- | --- |\n| A   | B   |\n\n- item one\n- item one\n\n[safe-ref]: https://a@b.com/foo(1)\n",
+        (1, 1, 1, 1, 1, 1, 2),
+    ),
+    (
+        "# 清洗基准2\n-   item  one\n\n-   item  one\n\n|a|b|\n|---|---|\n|x|y|\n\n  >  quote\nbefore   [x](https://example.com/?a=1)   after\n",
+        "# 清洗基准2\n\n- item one\n\n- item one\n\n| a   | b   |\n| --- | --- |\n| x   | y   |\n\n> quote\n> before [x](https://example.com/?a=1) after\n",
+        (0, 0, 0, 0, 0, 0, 4),
+    ),
+]
+
+
+@pytest.mark.parametrize(("text", "want", "counts"), GOLDEN)
+def test_golden_texts(spark, text, want, counts):
+    names = ("duplicate_paragraphs_removed", "phone_redactions", "id_card_redactions", "bank_card_redactions", "email_redactions", "ipv4_redactions", "formatting_changes")
+    first, again = cleaning.clean_documents(spark.createDataFrame([(1, text), (2, want)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (first.status, first.text, tuple(first[c] for c in names)) == ("succeeded", want, counts)
+    assert (again.text, tuple(again[c] for c in names)) == (want, (0,) * 7)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("|a|bb|c|\n|:-:|--:|:--|\n|xxxxx|1|y|\n|z|\n", "|   a   |  bb | c   |\n| :---: | --: | :-- |\n| xxxxx |   1 | y   |\n|   z   |     |     |\n"),
+        ("|a\\|b|c|\n|-|-|\n", "| a\\|b | c   |\n| ---- | --- |\n"), ("*   a\n    more\n    *  b\n", "- a\n  more\n  - b\n"), ("12)   x\n      y\n", "12) x\n    y\n"),
+        ("# h\ntext\n***\n> q\n", "# h\n\ntext\n\n***\n\n> q\n"), (">  a   b\n>\n>c\nlazy\n", "> a b\n>\n> c\n> lazy\n"), ("-   x\n\n    ~~~\n    a  b\n    ~~~\n", "- x\n\n  ~~~\n  a  b\n  ~~~\n"), ("-\n", "-\n"),
+    ],
+)
+def test_forms_of_tables_items_and_quotes(spark, text, want):
+    row = columns(spark, text, cleaning.normalize_markdown(F.col("t")).alias("f"))
+    assert row.f == want and plain.normalize(text) == want and plain.normalize(want) == want
 
 
 def test_spans_are_cleared_in_linear_time_and_as_by_comparison(spark):
@@ -134,6 +220,19 @@ def test_rejections_leave_others_alone(spark):
     assert got == {1: ("rejected", "EMPTY_INPUT"), 2: ("rejected", "EMPTY_INPUT"), 3: ("rejected", "INVALID_MARKDOWN"), 4: ("succeeded", None), 5: ("rejected", "TOO_MANY_PII_CANDIDATES")}
 
 
+@pytest.mark.parametrize(
+    ("before", "after", "found"),
+    [
+        ("call snake_case now", "call snakecase now", {"VISIBLE_TEXT"}), ("a * b", "a  b", {"VISIBLE_TEXT"}), ("so **strong** and _soft_ and ~~gone~~", "so strong and soft and gone", set()),
+        ("*open only", "open only", {"VISIBLE_TEXT"}), ("use `x_y`", "use `xy`", {"VISIBLE_TEXT", "PROTECTED_UNITS"}), ("use `x`", "use x", {"VISIBLE_TEXT", "INLINE_LEAVES", "PROTECTED_UNITS"}),
+        ("`a` <http://x.org/>", "<http://x.org/> `a`", {"VISIBLE_TEXT", "INLINE_LEAVES", "PROTECTED_UNITS"}), ("> ~~~\n> a\n> ~~~\n", "> ~~~\n> b\n> ~~~\n", {"VISIBLE_TEXT", "PROTECTED_UNITS"}), ("- a_b_c\n", "* abc\n", set()),
+    ],
+)
+def test_emphasis_by_pairs(spark, before, after, found):
+    versions = spark.createDataFrame([(1, before, after)], "doc_id long, before string, after string")
+    assert {r.violation for r in cleaning.content_preserved(versions).collect()} == found
+
+
 def test_merge_spans_keeps_touching_apart(spark):
     rows = [(1, 0, 5), (1, 3, 8), (1, 8, 9), (2, 1, 2), (1, 4, 6)]
     got = structure.merge_spans(spark.createDataFrame(rows, "doc_id long, start int, end int")).collect()
