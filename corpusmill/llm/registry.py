@@ -26,7 +26,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.quality_report(docs, learned=quality.learn_limits(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

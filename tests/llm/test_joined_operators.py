@@ -259,6 +259,9 @@ def test_components_of_chains_and_empty(spark):
 # --- pipeline
 
 
+from .test_text_operators import brute_kept
+
+
 def test_pipeline_matches_brute_force(spark):
     import numpy as np
     import public_tokenizers
@@ -270,9 +273,8 @@ def test_pipeline_matches_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     documents = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    bands = quality.CompressionBands()
-    squeeze = quality.compressor(bands)
-    left = {d: t for d, t in documents.items() if quality.judge((t or "").encode(), squeeze, bands)[6]}
+    learned = quality.learn_limits(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    left = {d: t for d, t in documents.items() if brute_kept((t or "").encode(), learned)}
     prints = [(d, brute_fingerprint(t)) for d, t in left.items()]
     left = {d: left[d] for (d, _), c in zip(prints, brute_components(prints), strict=True) if d == c}
     windows = {}
