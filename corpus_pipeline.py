@@ -19,8 +19,10 @@ from corpusmill.llm.support import materialize, new_path, read_table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the compression bands reject go; so do null and empty texts, which have no words.
-    Repeated rows stay or go together."""
-    return docs.where(quality.keep_text()("text"))
+    Repeated rows stay or go together. Learned limits come from the labelled rows among ``docs``; where there are none, the
+    fixed limits decide."""
+    learned = quality.learn_limits(docs, read_table(spark, sf_dir, "labels"))
+    return docs.where(quality.keep_text(learned=learned)("text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
