@@ -960,11 +960,17 @@ def l1_stream_clean(spark, sf_dir):
     return spark.read.parquet(f"{out}/data")
 
 
-@query(f"SELECT DISTINCT user_id, {SQL_FINGERPRINT} AS fingerprint FROM events")
+@query(f"""
+WITH e AS (SELECT event_id, ts, user_id, {SQL_FINGERPRINT} AS f FROM events), w AS (SELECT *, row_number() OVER k AS r, first_value(f) OVER k AS f0 FROM e WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, CASE WHEN r = 1 THEN 'accepted' WHEN f = f0 THEN 'replay' ELSE 'conflict' END AS decision FROM w""")
 def l2_stream_intake(spark, sf_dir):
-    out = new_path(spark, "stream-intake")
-    requests = intake.with_fingerprint(_stream(spark, sf_dir, "events").select("ts", "user_id", "event_type", "props"), ["props", "event_type"])
-    streams.run_available(streams.stream_intake(requests, ["user_id"], delay="3650 days").select("user_id", "fingerprint"), f"{out}/data", f"{out}/checkpoint")
+    """The table's own span as delay: no request is late, however many batches the table makes."""
+    out, events = new_path(spark, "stream-intake"), table(spark, sf_dir, "events")
+    seconds = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))
+    span = events.agg(seconds).head()[0] or 0
+    requests = intake.with_fingerprint(_stream(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"), ["props", "event_type"])
+    decided = streams.stream_intake(requests, ["user_id"], order=["event_id"], delay=f"{span + 1} seconds")
+    streams.run_available(decided.select("event_id", "user_id", "decision"), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data")
 
 

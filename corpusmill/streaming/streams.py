@@ -1,13 +1,20 @@
-"""Streams over the same operators: cleaning needs no state, intake keeps keys until the watermark passes them."""
+"""Streams over the same operators: cleaning needs no state, intake keeps the first request of each key for a time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from corpusmill.operators.cleaning import CleaningLimits, clean_documents
 
+#: Keyed state with timers needs this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int = 100) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -19,13 +26,62 @@ def stream_clean(docs: DataFrame, limits: CleaningLimits = CleaningLimits()) ->
     return clean_documents(docs, limits)
 
 
-def stream_intake(requests: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """First request of each (key, fingerprint); state is dropped ``delay`` after the request's time."""
-    return requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, "fingerprint"])
+class FirstRequests(StatefulProcessor):
+    """Per key the fingerprint of the first request, and a timer that takes it away."""
+
+    def __init__(self, ts: str, order: list[str], keep_ms: int) -> None:
+        self.ts, self.order, self.keep_ms = ts, order, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", T.StructType([T.StructField("fingerprint", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Requests of one key in one batch, which bounds them, in their order."""
+        requests = pd.concat(list(rows)).sort_values([self.ts, *self.order], kind="stable", ignore_index=True)
+        known = self.first.get()[0] if self.first.exists() else None
+        named = requests["fingerprint"]
+        if known is None:
+            known = named.iloc[0]
+            self.first.update((known,))
+            self.handle.registerTimer(int(requests[self.ts].iloc[0].timestamp() * 1000) + self.keep_ms)
+            decisions = pd.Series(["accepted"] + ["replay" if f == known else "conflict" for f in named.iloc[1:]])
+        else:
+            decisions = pd.Series(["replay" if f == known else "conflict" for f in named])
+        yield requests.assign(decision=decisions)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_intake(requests: DataFrame, keys: list[str], ts: str = "ts", order: list[str] | None = None, delay: str = "1 hour") -> DataFrame:
+    """``decision`` beside the columns of each request: ``accepted``, ``replay`` or ``conflict``, as ``resolve_intake``
+    decides them.
+
+    The first request of a key that arrives (of a batch, by ``ts`` and ``order``) is remembered until the watermark has
+    passed its time by ``delay``; a later one is the first anew. Requests behind the watermark have no decision: they are
+    dropped. Keys must not be null.
+    """
+    keep_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+    timed = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    schema = T.StructType([*timed.schema.fields, T.StructField("decision", T.StringType())])
+    keyed = timed.groupBy(*keys)
+    return keyed.transformWithStateInPandas(FirstRequests(ts, order or [], keep_ms), schema, "Append", "EventTime")
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there, appending Parquet; restarting with the same checkpoint goes on where it ended."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Process what is there, appending Parquet; restarting with the same checkpoint goes on where it ended. The store
+    that keyed state needs is named to this query alone."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE[0])
+    conf.set(*STATE_STORE)
+    try:
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.set(STATE_STORE[0], before)
     query.awaitTermination()
     return query

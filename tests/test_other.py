@@ -1,5 +1,6 @@
 """Sources, validation, extraction, classification, intake, sinks, streams."""
 
+import datetime
 import io
 import json
 import zipfile
@@ -139,3 +140,22 @@ def test_registry(spark, sf):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 4
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_stream_intake_decides_forgets_and_drops_late_requests(spark, tmp_path):
+    schema, at = "key string, ts timestamp, event_id long, fingerprint string", lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streams.stream_intake(streams.file_stream(spark, f"{tmp_path}/in", schema), ["key"], order=["event_id"], delay="1 hour")
+        streams.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
+        return {r.event_id: r.decision for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    provider = spark.conf.get(streams.STATE_STORE[0])
+    got = arrive([("k", at(0), 2, "A"), ("k", at(0, 10), 3, "A"), ("k", at(0), 1, "A"), ("k", at(0, 20), 4, "B")])
+    assert got == {1: "accepted", 2: "replay", 3: "replay", 4: "conflict"}
+    got = arrive([("k", at(0, 30), 5, "B"), ("z", at(5), 6, "Z")])
+    assert got[5] == "conflict" and got[6] == "accepted"  # known from the batch before; the watermark is now 4:00
+    got = arrive([("k", at(5, 10), 7, "B"), ("k", at(0, 40), 8, "A"), ("z", at(5, 20), 9, "Z")])
+    assert got[7] == "accepted" and got[9] == "replay" and 8 not in got  # forgotten; late
+    assert spark.conf.get(streams.STATE_STORE[0]) == provider
