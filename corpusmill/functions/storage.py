@@ -44,3 +44,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def rename_path(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a folder in one step; false if something is there already."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not system.exists(target) and system.rename(source, target)
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of its own."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    """The text of a small file, hidden ones too."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -96,7 +96,10 @@ def fit_chunk_model(chunks: DataFrame, label: str, features: int = 1 << 15):
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol=label, probabilityCol="_p", maxIter=20, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(chunks)
+    model = Pipeline(stages=stages).fit(chunks)
+    # the training summary holds the session, which can't be sent to tasks once it has observed a write
+    model.stages[-1]._java_obj.setSummary(chunks.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def score_chunks(chunks: DataFrame, model, labels: list[str]) -> DataFrame:

@@ -95,13 +95,35 @@ SELECT 'INVALID_ENTRY' AS code, CAST(doc_id AS VARCHAR) AS file_id FROM document
 UNION ALL SELECT 'DUPLICATE_FILE_ID', CAST(doc_id AS VARCHAR) FROM documents WHERE length(text) % 50 = 1
 UNION ALL SELECT 'TOO_MANY_DOCUMENTS', NULL FROM documents HAVING count(*) + count(*) FILTER (WHERE length(text) % 50 = 1) > 500""")
 def a3_load_manifest(spark, sf_dir):
-    """One manifest per source, an array of entries each: some without a path, some twice."""
+    """A manifest of all documents, an entry a line: some without a path, some twice."""
     path, kind = new_path(spark, "manifest"), F.char_length("text") % 50
-    docs = documents(spark, sf_dir).select("source", F.explode(F.sequence(F.lit(0), F.when(kind == 1, 1).otherwise(0))), F.col("doc_id").cast("string").alias("fileId"), F.when(kind == 0, " ").otherwise(F.expr(DOC_PATH)).alias("fileStoragePath"), F.lit(1).alias("other"))
-    docs.groupBy("source").agg(F.to_json(F.collect_list(F.struct("fileId", "fileStoragePath", "other"))).alias("value")).write.partitionBy("source").text(path)
+    docs = documents(spark, sf_dir).select(F.explode(F.sequence(F.lit(0), F.when(kind == 1, 1).otherwise(0))), F.col("doc_id").cast("string").alias("fileId"), F.when(kind == 0, " ").otherwise(F.expr(DOC_PATH)).alias("fileStoragePath"), F.lit(1).alias("other"))
+    docs.drop("col").write.json(path)
     return files.load_manifest(spark, path, 500)[1]
 
 
+@query("""
+WITH r AS (SELECT doc_id, 'd' || doc_id % 16 AS name, text FROM documents),
+f AS (SELECT name, count(*) AS lines, CAST(sum(strlen(replace(replace(text, chr(10), ' '), chr(13), ' ')) + 1) AS BIGINT) AS size_bytes FROM r GROUP BY name)
+SELECT name || '-here' AS file_id, lines, size_bytes, CAST(NULL AS VARCHAR) AS error_code FROM f
+UNION ALL SELECT name || '-gone', NULL, NULL, 'DOCUMENT_NOT_FOUND' FROM f UNION ALL SELECT name || '-out', NULL, NULL, 'DOCUMENT_PATH_NOT_ALLOWED' FROM f UNION ALL SELECT name || '-other', NULL, NULL, 'UNSUPPORTED_DOCUMENT_FORMAT' FROM f""")
+def a3_manifest_documents(spark, sf_dir):
+    """The texts, a line each, dealt into text files in folders by id; a manifest names the files that are there, and for
+    each folder one that is missing, one outside the root, and one of another format. Followed to the files, by folder."""
+    root, manifest = new_path(spark, "followed"), new_path(spark, "manifest")
+    name = F.concat(F.lit("d"), (F.col("doc_id") % 16).cast("string"))
+    documents(spark, sf_dir).select(name.alias("name"), F.translate("text", "\n\r", "  ").alias("value")).write.partitionBy("name").text(root)
+    listed = files.scan_documents(spark, root).select("path")
+    folders = documents(spark, sf_dir).select(name.alias("name")).distinct()
+    entry = lambda kind, path: F.struct(F.concat("name", F.lit(f"-{kind}")).alias("fileId"), path.alias("fileStoragePath"))
+    others = folders.select(F.explode(F.array(entry("gone", F.concat(F.lit("name="), "name", F.lit("/none.txt"))), entry("out", F.concat(F.lit("../"), "name", F.lit(".txt"))), entry("other", F.concat("name", F.lit(".pdf"))))).alias("e")).select("e.*")
+    here = listed.select(F.concat(F.regexp_extract("path", "^name=([^/]*)/", 1), F.lit("-here")).alias("fileId"), F.col("path").alias("fileStoragePath"))
+    here.unionByName(others).write.json(manifest)
+    found = files.follow_manifest(files.load_manifest(spark, manifest)[0], root)
+    breaks = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))
+    return found.groupBy("file_id", "error_code").agg(F.sum(breaks).cast("long").alias("lines"), F.sum("size_bytes").alias("size_bytes"))
+
+
 @query(f"""
 SELECT doc_id, CASE WHEN lang = 'en' THEN 's3a://' || source || '/' || doc_id WHEN lang = 'de' THEN {SQL_PATH} WHEN source = first THEN 's3a://' || source || '/' || doc_id END AS path,
   CASE WHEN lang IN ('es', 'fr') AND source <> first THEN 'BUCKET_NOT_ALLOWED' END AS error FROM documents, (SELECT min(source) AS first FROM documents) WHERE lang <> 'en' OR source = first""")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.storage import materialize
+from corpusmill.functions.text import normalize_text
+
 SUFFIXES = ("md", "txt", "json")
 
 
@@ -44,8 +49,9 @@ def allowed_location(path: Column, allowed_buckets: tuple[str, ...] = ()) -> Col
 
 
 def load_manifest(spark: SparkSession, path: str, max_documents: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Manifest rows ``(file_id, file_storage_path)`` and violations ``(code, file_id)``; other keys are ignored."""
-    raw = spark.read.schema("fileId string, fileStoragePath string").option("multiLine", True).json(path)
+    """Manifest rows ``(file_id, file_storage_path)`` and violations ``(code, file_id)``; other keys are ignored. A
+    manifest is a ``.json`` file that holds an array, or a folder of part files with one entry a line."""
+    raw = spark.read.schema("fileId string, fileStoragePath string").option("multiLine", path.endswith(".json")).json(path)
     rows = raw.select(F.col("fileId").alias("file_id"), F.col("fileStoragePath").alias("file_storage_path"))
     blank = rows.where("trim(coalesce(file_id, '')) = '' OR trim(coalesce(file_storage_path, '')) = ''").select(F.lit("INVALID_ENTRY").alias("code"), "file_id")
     twice = rows.where("file_id IS NOT NULL").groupBy("file_id").count().where("count > 1").select(F.lit("DUPLICATE_FILE_ID").alias("code"), "file_id")
@@ -56,6 +62,57 @@ def load_manifest(spark: SparkSession, path: str, max_documents: int = 100_000)
     return rows, blank.unionByName(twice).unionByName(empty).unionByName(many)
 
 
+def follow_manifest(rows: DataFrame, root: str, max_document_bytes: int = 100 << 20, part_bytes: int = 64 << 20, allowed_buckets: tuple[str, ...] = ()) -> DataFrame:
+    """``file_id, file_storage_path, text, size_bytes, error_code`` of manifest rows ``(file_id, file_storage_path)``: the
+    files they name below ``root``, one row per row, in tasks of about ``part_bytes``.
+
+    The folder's listing, without contents, gives sizes; running sums of them over path-ordered blocks deal the files out,
+    and only files that are named are opened. A file named twice is opened twice. Codes: ``INVALID_ENTRY`` (blank fields),
+    ``DOCUMENT_PATH_NOT_ALLOWED`` (a path that leads out of the root), ``UNSUPPORTED_DOCUMENT_FORMAT``, ``DOCUMENT_NOT_FOUND``, ``DOCUMENT_TOO_LARGE``,
+    ``DOCUMENT_DECODE_FAILED``; rows with a code have no text. Files must be of a file system that Arrow opens.
+    """
+    spark, folder = rows.sparkSession, check_location(root, allowed_buckets).rstrip("/")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("uri"), F.col("length").alias("size"))
+    inside = urlsplit(folder).path + "/"
+    listed = listing.select(F.substring("uri", F.locate(inside, F.col("uri")) + len(inside), F.char_length("uri")).alias("name"), "uri", "size")
+    named = rows.select("file_id", "file_storage_path", F.trim("file_storage_path").alias("name"))
+    blank = F.expr("trim(coalesce(file_id, '')) = '' OR coalesce(name, '') = ''")
+    outside = F.col("name").rlike(r"\A/|\A[A-Za-z0-9+.-]+:|(?:\A|/)\.\.(?:/|\z)")
+    kind = ~F.col("name").rlike(rf"(?i)\.(?:{'|'.join(SUFFIXES)})\z")
+    found = named.join(listed, "name", "left")
+    code = F.when(blank, "INVALID_ENTRY").when(outside, "DOCUMENT_PATH_NOT_ALLOWED").when(kind, "UNSUPPORTED_DOCUMENT_FORMAT").when(F.col("size") > max_document_bytes, "DOCUMENT_TOO_LARGE")
+    base = folder if urlsplit(folder).scheme else f"file:{folder}"  # the listing leaves out empty files; the task that opens a file knows
+    uri = F.coalesce("uri", F.concat(F.lit(f"{base}/"), "name")).alias("uri")
+    coded, _ = materialize(found.select("file_id", "file_storage_path", "name", uri, F.coalesce("size", F.lit(0)).alias("size"), code.alias("code")), "manifest-files")
+    width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = coded.where("code IS NULL").repartitionByRange(width, "name", "file_id").select("file_id", "file_storage_path", "uri", "size", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("seq"))
+    blocks, _ = materialize(wanted, "manifest-blocks")
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = blocks.groupBy("block").agg(F.sum("size").alias("bytes")).select("block", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("ahead"))
+    run = Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = blocks.withColumn("reached", F.sum("size").over(run)).join(F.broadcast(offsets), "block").select("file_id", "file_storage_path", "uri", "size", ((F.col("ahead") + F.col("reached") - F.col("size")) / part_bytes).cast("long").alias("part"))
+    parts = 1 + (dealt.agg(F.max("part")).head()[0] or 0)
+    contents = dealt.repartition(parts, "part").select("file_id", "file_storage_path", "uri").mapInArrow(_open_files, "file_id string, file_storage_path string, content binary, missing boolean")
+    text = normalize_text(F.col("content"))
+    read = contents.select("file_id", "file_storage_path", text.alias("text"), F.octet_length("content").cast("long").alias("size_bytes"), F.when(F.col("missing"), "DOCUMENT_NOT_FOUND").when(text.isNull(), "DOCUMENT_DECODE_FAILED").alias("error_code"))
+    failed = coded.where("code IS NOT NULL").select("file_id", "file_storage_path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("size_bytes"), F.col("code").alias("error_code"))
+    return read.unionByName(failed)
+
+
+def _open_files(batches):
+    """One file at a time; a file that is gone by now has no content."""
+    for batch in batches:
+        for file_id, path, uri in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            try:
+                system, place = pafs.FileSystem.from_uri(quote(uri, safe=":/%?&=@"))
+                with system.open_input_stream(place) as stream:
+                    content = stream.read()
+            except FileNotFoundError:
+                content = None
+            columns = [pa.array([file_id]), pa.array([path]), pa.array([content], pa.binary()), pa.array([content is None])]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "file_storage_path", "content", "missing"])
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, value`` of one text file, read in splits: a line's number is the number of lines in the splits before
     its own, plus its place there."""

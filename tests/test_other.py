@@ -3,6 +3,7 @@
 import datetime
 import io
 import json
+import math
 import zipfile
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from corpusmill import queries
 from corpusmill.functions.ordering import with_positions
-from corpusmill.operators import classify, extract, intake, validation
+from corpusmill.operators import classify, dedup, extract, intake, validation
 from corpusmill.sources import files, sinks
 from corpusmill.streaming import streams
 
@@ -159,3 +160,73 @@ def test_stream_intake_decides_forgets_and_drops_late_requests(spark, tmp_path):
     got = arrive([("k", at(5, 10), 7, "B"), ("k", at(0, 40), 8, "A"), ("z", at(5, 20), 9, "Z")])
     assert got[7] == "accepted" and got[9] == "replay" and 8 not in got  # forgotten; late
     assert spark.conf.get(streams.STATE_STORE[0]) == provider
+
+
+def test_publishing_compares_recorded_digests(spark, tmp_path):
+    path, frame = str(tmp_path / "o"), spark.range(10).withColumn("a.b", F.lit("x")).repartition(3)
+    assert sinks.write_once(frame, path) == "published" and spark.read.parquet(path).count() == 10
+    for part in tmp_path.glob("o/*.parquet"):
+        part.unlink()  # a second publication reads nothing of the first
+    assert sinks.write_once(frame.orderBy(F.desc("id")), path) == "recovered"
+    for other in (frame.limit(9), frame.union(frame), frame.withColumn("a.b", F.lit("y"))):
+        with pytest.raises(FileExistsError, match="OUTPUT_CONFLICT"):
+            sinks.write_once(other, path)
+    (tmp_path / "foreign").mkdir()
+    with pytest.raises(FileExistsError, match="OUTPUT_CONFLICT"):
+        sinks.write_once(frame, str(tmp_path / "foreign"))
+    lines = spark.createDataFrame([(2, None, True, None), (1, "c", False, "exact")], "uid long, cluster_id string, representative boolean, method string")
+    assert [sinks.write_decisions(lines, str(tmp_path / "d")) for _ in range(2)] == ["published", "recovered"]
+    assert [json.loads(r.value)["uid"] for r in spark.read.text(str(tmp_path / "d")).collect()] == [1, 2]
+
+
+def test_a_broken_publication_leaves_nothing(spark, tmp_path):
+    broken = spark.range(100).select(F.when(F.col("id") == 99, F.raise_error(F.lit("broken"))).otherwise("x").alias("v"), "id").repartition(4)
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_once(broken, str(tmp_path / "o"))
+    assert [p for p in tmp_path.iterdir()] == []
+    assert sinks.write_once(broken.where("id < 99"), str(tmp_path / "o")) == "published"
+
+
+def test_manifest_followed_to_its_documents(spark, tmp_path):
+    root = tmp_path / "docs"
+    (root / "a b").mkdir(parents=True)
+    (root / "a b" / "one é.md").write_bytes(b"\xef\xbb\xbfx\r\ny")
+    (root / "bad.txt").write_bytes(b"\xff\xfe")
+    (root / "big.txt").write_bytes(b"b" * 300)
+    (root / "empty.json").write_bytes(b"")
+    names = ["a b/one é.md", "a b/one é.md", "bad.txt", "big.txt", "empty.json", "none.txt", "../out.txt", "/etc/passwd.txt", "x.pdf", " ", None]
+    (tmp_path / "m.json").write_text(json.dumps([{"fileId": str(i), "fileStoragePath": n, "more": 1} for i, n in enumerate(names)]))
+    rows, _ = files.load_manifest(spark, str(tmp_path / "m.json"))
+    got = {r.file_id: (r.text, r.size_bytes, r.error_code) for r in files.follow_manifest(rows, str(root), max_document_bytes=200, part_bytes=4).collect()}
+    assert got["0"] == got["1"] == ("x\ny", 7, None) and got["4"] == ("", 0, None)
+    codes = {"2": "DOCUMENT_DECODE_FAILED", "3": "DOCUMENT_TOO_LARGE", "5": "DOCUMENT_NOT_FOUND", "6": "DOCUMENT_PATH_NOT_ALLOWED", "7": "DOCUMENT_PATH_NOT_ALLOWED", "8": "UNSUPPORTED_DOCUMENT_FORMAT", "9": "INVALID_ENTRY", "10": "INVALID_ENTRY"}
+    assert {i: got[i][2] for i in codes} == codes and all(got[i][0] is None for i in codes)
+    assert files.follow_manifest(rows.limit(0), str(root)).count() == 0
+
+
+def test_mapping_files_and_their_checks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "f1", "p1", 1, "t"), (1, "f2", "p2", 1, "t"), (-3, "f", "p", 2, "t"), (4, " ", "p", 1, "other"), (5, "f", "p", 1, "t")], "uid long, file_id string, file_storage_path string, schema_version int, task_id string")
+    files.write_mapping(rows, str(tmp_path / "m"))
+    read = files.read_mapping(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
+    found = {(r.code, r.uid) for r in dedup.check_mapping(read, "t").collect()}
+    assert found == {("DUPLICATE_UID", 1), ("INVALID_UID", -3), ("SCHEMA_VERSION", -3), ("BLANK_FIELD", 4), ("TASK_ID", 4)}
+
+
+def test_scores_of_the_model_from_its_coefficients(spark):
+    """Each score once more: hashed terms counted and weighed by hand, times the coefficients, through the logistic."""
+    from pyspark.ml.feature import HashingTF
+
+    rows = [(i, i % 2, f"Word{i % 5} word{i % 3} other tail{i % 2}" + " word1" * (i % 4), i % 2) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_ix int, chunk string, quality int")
+    model = classify.fit_chunk_model(chunks, "quality", 64)
+    _, _, weigh, logistic = model.stages
+    bucket = HashingTF(numFeatures=64).indexOf
+    weights, coefficients = weigh.idf.toArray(), logistic.coefficients.toArray()
+    got = {(r.doc_id, r.label_ix): (r.label, r.score) for r in classify.score_chunks(chunks, model, ["low", "high"]).collect()}
+    for doc_id, _, text, _ in rows:
+        total = logistic.intercept + sum(weights[bucket(t)] * coefficients[bucket(t)] for t in text.lower().split())
+        high = 1 / (1 + math.exp(-total))
+        assert got[doc_id, 1] == ("high", pytest.approx(high, abs=1e-12)) and got[doc_id, 0] == ("low", pytest.approx(1 - high, abs=1e-12))
+    documents = [math.log((60 + 1) / (1 + sum(any(bucket(t) == b for t in text.lower().split()) for _, _, text, _ in rows))) for b in range(64)]
+    assert list(weights) == pytest.approx(documents)
