@@ -11,11 +11,12 @@ core; the least density on the path from it up to ``body`` is the threshold.
 Boilerplate counts nothing and is left out: elements that never hold article text (navigation, forms, scripts, ...),
 hidden ones, elements whose class, id or role names advertising, notices, comments and so on, and outside articles lists
 of links. A name decides only if it is made of such words ("comment-list", not "no-sidebar" or "related-work"), and never on
-headings, on an element that holds the page's heading or an article, or on one that holds all text there is.
+headings, on an element that holds the page's heading or an article, or, unless it names comments or the page has an
+article elsewhere, on one that holds most of the text there is.
 
-If the core lies in an ``article`` or ``main``, that element is the article. Otherwise the path from the core up to
-``body`` is followed: a node beside it stays if its density reaches the threshold, or if it is a heading, paragraph,
-list, table, figure or the like and not mostly links.
+The path from the core is followed up to the ``article`` or ``main`` around it, or else up to ``body``: a node beside it
+stays if its density reaches the threshold, or if it is a heading, paragraph, list, table, figure or the like and not
+mostly links; inside an ``article`` or ``main`` only what is mostly links goes.
 
 Defined results: null, empty and tag-only pages give an empty text; text without any tag is one block; markup that is
 cut short or badly nested is read as far as it goes (an unclosed script or style runs to the end); very long pages and
@@ -48,14 +49,15 @@ PROSE = HEADINGS | frozenset("p ul ol dl pre blockquote table figure section art
 LISTS = frozenset("ul ol dl table".split())
 # Words of class, id and role names that mark boilerplate, and words that may stand beside them.
 ROLES = frozenset(
-    "ad ads adsbygoogle advert adverts advertisement advertisements advertising banner banners sponsor sponsored promo promos promotion breadcrumb breadcrumbs comment comments disqus replies respond cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay share sharing social sidebar rail related recommended recommendations menu nav navbar navigation toolbar pagination pager header footer masthead copyright login signup search widget widgets skip contentinfo complementary dialog alert toc".split()
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising banner banners sponsor sponsored promo promos promotion breadcrumb breadcrumbs comment comments disqus replies respond cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay share sharing social sidebar rail related recommended recommendations menu nav navbar navigation toolbar pagination pager header footer masthead copyright login signup search widget widgets skip contentinfo complementary dialog alert toc discussion".split()
 )
 BESIDE = frozenset(
-    "site page post posts entry article articles story stories main global user users reader readers google top bottom left right primary secondary mobile desktop sticky list lists section container wrapper wrap inner outer area box block item items form bar button buttons link links icon icons media thread slot unit content body row col title".split()
+    "site page post posts entry article articles story stories main global user users reader readers google top bottom left right primary secondary mobile desktop sticky list lists section container wrapper wrap inner outer area box block item items form bar button buttons link links icon icons media thread slot unit content body row col title law info embed mc".split()
 )
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(/?)>?""", re.S)
 ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+COMMENTS = re.compile(r"(?i)comment|disqus|repl(?:y|ies)|respond|discussion")
 RAW_END = {tag: re.compile(rf"(?i)</{tag}\b[^>]*>") for tag in RAW}
 
 
@@ -109,7 +111,7 @@ def parse(page: str) -> Node:
             close_to(inner)
         child = Node(tag, m[3], stack[-1])
         stack[-1].children.append(child)
-        if m[3].endswith("/") or tag in VOID:
+        if tag in VOID or tag in MATHS and m[3].endswith("/"):  # a slash closes no element of HTML itself
             continue
         if tag in RAW:
             close = None if tag in endless else RAW_END[tag].search(page, at)
@@ -186,12 +188,13 @@ def measure(order: list[Node]) -> None:
 
 def drop_boilerplate(order: list[Node]) -> None:
     """Named boilerplate and, outside articles, lists of links; what holds the heading, or all the text, stays."""
-    everything = order[0].chars
+    everything, articles = order[0].chars, any(n.tag in ("article", "main") and n.chars and not n.dropped for n in order)
     for n in order:
         if n.parent is not None and n.parent.dropped:
             n.dropped = True
         elif not n.dropped and n.chars:
-            own_article = n.holds_heading and "comment" not in n.attrs.lower()
+            most = 2 * n.chars > everything and (n.in_article or not articles)
+            own_article = (n.holds_heading or most) and not COMMENTS.search(n.attrs)
             linked = n.tag in LISTS and n.link_tags >= 2 and n.link_chars > 0.8 * n.chars and not n.in_article
             n.dropped = n.chars < everything and (linked or names_boilerplate(n) and not own_article)
 
@@ -216,16 +219,18 @@ def find_core(root: Node, order: list[Node]) -> Node:
     if not core.total:
         return body
     path = [core]
-    while path[-1] is not body and path[-1].parent is not None:
+    while path[-1].tag not in ("article", "main") and path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
-    for n in path:
-        if n.tag in ("article", "main"):
-            return n
+    article = path[-1].tag in ("article", "main")
     threshold = min((n.density for n in path if n.tag not in ("html", "#root")), default=0.0)
     for inner, outer in zip(path, path[1:], strict=False):
         for c in outer.children:
-            if isinstance(c, Node) and c is not inner and c.tag not in INLINE and c.density < threshold and (c.tag not in PROSE or c.link_chars * 2 > c.chars):
-                c.dropped = True
+            if isinstance(c, Node) and c is not inner and c.tag not in INLINE and c.density < threshold:
+                linked = c.link_chars * 2 > c.chars
+                c.dropped |= linked and c.tag not in PROSE if article else linked or c.tag not in PROSE
+    for c in core.children:
+        if isinstance(c, Node) and c.tag not in INLINE and c.tag not in PROSE and c.density < threshold and c.link_chars * 2 > c.chars:
+            c.dropped = True
     return path[-1]
 
 

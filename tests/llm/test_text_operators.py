@@ -484,6 +484,11 @@ PROSE = "A long enough sentence of article text stands here, with a comma or two
         (f"<body><div id=c><h1>H</h1><p>{PROSE}</p><section id='related-work'><h2 id='related-work'>Related</h2><p>{PROSE}</p></section></div></body>", f"H {PROSE.strip()} Related {PROSE.strip()}"),
         (f"<body><div><h1>T</h1><p>{PROSE}</p></div><div class='comments-section'>{('<p>' + PROSE + '</p>') * 3}</div><div class=cookie-banner>we use</div></body>", f"T {PROSE.strip()}"),
         (f"<article class=post><p>{PROSE}</p><div class=comment-list><p>{PROSE}</p></div></article><article class=comment><p>{PROSE}</p></article>", PROSE.strip()),
+        (f"<body><div class='story widget'><p>{PROSE}</p><p>{PROSE}</p></div><div>x</div></body>", f"{PROSE}{PROSE}".strip().replace("  ", " ")),
+        (f"<body><h1>T</h1><div class='page modal'><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"T {PROSE}{PROSE}".strip()),
+        (f"<body><h1>T</h1><div class='content login'><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"T {PROSE}{PROSE}".strip()),
+        (f"<body><main><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><div class=discussion><p>{PROSE}</p></div><div id=cookie-law-info>c</div><div class=cookie-law-info>c</div><div class=mc_embed_signup>s</div><div><a href=1>Prev</a> <a href=2>Next</a></div></main></body>", f"T {PROSE}{PROSE}".strip() + " c"),
+        (f"<body><article><script src='x.js'/>var a = 1;</script><p>{PROSE}</p><div/><p>{PROSE}</p></article></body>", f"{PROSE}{PROSE}".strip()),
     ],
 )
 def test_html_cases(page, expected):
@@ -504,3 +509,72 @@ def test_html_extra_columns_and_empty_table(spark):
 def test_html_null_page(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None)], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in html_text.main_text(pages).collect()] == [("", 0)] * 2
+
+
+def brute_core(page):
+    """The element of the greatest sum of child densities, by plain recursion over the cleaned tree."""
+    root = html_text.parse(page)
+    order = html_text.document_order(root)
+    html_text.measure(order)
+    html_text.drop_boilerplate(order)
+    body = next((n for n in order if n.tag == "body"), root)
+
+    def counts(n):
+        c = t = lc = lt = 0
+        for x in n.children:
+            if isinstance(x, str):
+                c += len(re.sub(r"[ \n]", "", x))
+            elif not x.dropped:
+                cc, ct, cl, clt = counts(x)
+                c, t, lc, lt = c + cc, t + ct, lc + cl, lt + clt
+        return (c, t + 1, c, lt + 1) if n.tag == "a" else (c, t + 1, lc, lt)
+
+    bc, _, blc, _ = counts(body)
+
+    def density(n):
+        c, t, lc, lt = counts(n)
+        if not c:
+            return 0.0
+        base = math.log(c * max(1, lc) / max(1, c - lc) + c * max(1, blc) / max(1, bc) + math.e)
+        return c / t * (max(0.0, math.log(max(1, c / max(1, lc) * t / max(1, lt)), max(base, 1.0001))) + 1e-9)
+
+    inline = html_text.INLINE
+    sums = [(sum(density(c) for c in n.children if not isinstance(c, str) and not c.dropped and c.tag not in inline), -i, n) for i, n in enumerate(order) if not n.dropped and n.tag not in inline]
+    return root, order, sums
+
+
+def test_html_core_matches_a_plain_reading():
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma, delta", "x"]) for _ in range(n))
+
+    def piece(depth):
+        kind = rng.choice(["p", "p", "div", "section", "ul", "a", "td"]) if depth else "p"
+        if kind in ("div", "section"):
+            return f"<{kind}>" + "".join(piece(depth - 1) for _ in range(rng.randrange(5))) + f"</{kind}>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li><a href=x>{say(2)}</a>" for _ in range(4)) + "</ul>"
+        return {"p": f"<p>{say(rng.randrange(1, 60))} <a href=y>{say(1)}</a> <b>{say(2)}</b></p>", "a": f"<a href=z>{say(3)}</a>", "td": f"<table><tr><td>{say(3)}<td>{say(9)}</table>"}[kind]
+
+    templates = ["<body>{}<footer>f</footer></body>", "<html><body><nav><a href=1>n</a></nav><div id=c>{}</div></body></html>", "<body><article><h1>t</h1>{}</article><div class=ad>x</div></body>"]
+    for k in range(150):
+        page = templates[k % 3].format("".join(piece(3) for _ in range(rng.randrange(1, 6))))
+        root, order, sums = brute_core(page)
+        html_text.measure(order)
+        core = html_text.find_core(root, order)
+        totals = {id(n): s for s, _, n in sums}
+        assert all(n.total == pytest.approx(totals[id(n)], rel=1e-9, abs=1e-9) for _, _, n in sums)
+        total, _, best = max(sums, key=lambda x: (round(x[0], 9), x[1]))
+        if round(total, 9) == 0:
+            assert core.tag == "body"
+            continue
+        while best is not core and best.parent is not None:
+            best = best.parent
+        assert best is core
+
+
+def test_html_repeated_rows_and_a_very_long_article(spark):
+    long = "<article>" + "".join(f"<p>paragraph {i} of many, it says</p>" for i in range(30_000)) + "</article>"
+    rows = [(1, "u", f"<article><p>{PROSE}</p></article>")] * 2 + [(2, "v", long)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert got[0] == got[1] and got[0].text == PROSE.strip()
+    assert got[2].text == " ".join(f"paragraph {i} of many, it says" for i in range(30_000))
