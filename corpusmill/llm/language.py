@@ -1,7 +1,7 @@
 """Language ID: compression classification.
 
 Each language has a zstandard raw-content dictionary: its most frequent normalised words of a bounded training sample,
-the commonest last (nearest to the data). The whole normalised text (lower case, letters only) is cut into chunks and
+the commonest last (nearest to the data). The whole normalised text (lower case, letters and the marks on them) is cut into chunks and
 encoded once per language; the language with the fewest bytes wins. ``accepted`` is false when the runner-up is within
 ``min_margin`` of it.
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .support import decode, materialize, per_text
 
 UNKNOWN = "und"
-NOT_LETTERS = regex.compile(r"\P{L}+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,8 @@ class LanguageConfig:
 
 
 def normalise(text: str) -> str:
-    """Words of letters, lower case, single blanks between."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Words of letters with their marks, lower case, single blanks between."""
+    return " ".join(WORD.findall(text.lower()))
 
 
 def train_dictionaries(docs: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> dict[str, bytes]:

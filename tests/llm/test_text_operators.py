@@ -379,7 +379,7 @@ def test_language_reads_whole_texts_and_needs_letters(spark, docs):
     rows = [(1, "½ ²"), (2, "Ⅷ 1 ①"), (3, "the " * 3 + "der die das und nicht mit auf von zu ist " * 2_000), (4, "zzz"), (5, "zzz")]
     got = {r.doc_id: r for r in language.predict(docs(rows), models).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und", "und", "de"] and got[4].lang_pred == got[5].lang_pred
-    assert language.normalise("Ab-c ½d²E") == "ab c d e"
+    assert language.normalise("Ab-c ½d²E") == "ab c d e" and language.normalise("नमस्ते, दुनिया! สวัสดี ี") == "नमस्ते दुनिया สวัสดี" and language.normalise("\u0301 \u0e35") == ""
     with pytest.raises(ValueError, match="more than 1 languages"):
         language.train_dictionaries(spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, lang string"), language.LanguageConfig(max_langs=1))
 
