@@ -14,10 +14,12 @@ from corpusmill.functions.storage import new_path
 from corpusmill.llm import decontamination, near_duplicates, quality, registry, secrets, sharding
 from corpusmill.operators.components import connected_components
 
+from .test_text_operators import brute_kept
+
 
 def duck(sf, sql):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     found = con.execute(sql)
     return [d[0] for d in found.description], found.fetchall()
@@ -259,9 +261,6 @@ def test_components_of_chains_and_empty(spark):
 # --- pipeline
 
 
-from .test_text_operators import brute_kept
-
-
 def test_pipeline_matches_brute_force(spark):
     import numpy as np
     import public_tokenizers
