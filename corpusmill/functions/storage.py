@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
 _own: dict[str, str] = {}
 
 
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write to the shared folder inside the block are dropped at its end, also after an error.
+    Results are lazy and read them, so write the result inside too. Blocks nest; one is for one thread."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            drop_path(spark, path)
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:

@@ -450,7 +450,7 @@ SQL_CHECK = "substr('10X98765432', CAST(list_sum(list_transform(range(1, 18), la
 
 @query(f"""
 WITH b AS (SELECT doc_id, regexp_extract_all('x' || text || ' x11010519491231' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || 'X, x11010519490231' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || 'X', '[^0-9]([0-9]{{17}}[0-9Xx])(?:[^0-9]|$)', 1) AS c FROM documents)
-SELECT doc_id, array_to_string(list_filter(c, lambda x: try_strptime(substr(x, 7, 8), '%Y%m%d') IS NOT NULL AND upper(x[18]) = {SQL_CHECK.format(b='x')} AND substr(x, 1, 2) IN ({', '.join(f"'{p}'" for p in pii.PROVINCES)}) AND substr(x, 3, 4) <> '0000'), ',') AS found FROM b""")
+SELECT doc_id, array_to_string(list_filter(c, lambda x: try_strptime(substr(x, 7, 8), '%Y%m%d') IS NOT NULL AND upper(x[18]) = {SQL_CHECK.format(b='x')} AND substr(x, 1, 2) IN ('11', '12', '13', '14', '15', '21', '22', '23', '31', '32', '33', '34', '35', '36', '37', '41', '42', '43', '44', '45', '46', '50', '51', '52', '53', '54', '61', '62', '63', '64', '65', '71', '81', '82') AND substr(x, 3, 4) <> '0000'), ',') AS found FROM b""")
 def e3_find_cn_ids(spark, sf_dir):
     serial = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
     body = F.concat(F.col("text"), F.lit(" x11010519491231"), serial, F.lit("X, x11010519490231"), serial, F.lit("X"))
@@ -655,7 +655,7 @@ def _sql_uuid(space: str, name: str) -> str:
 
 
 SQL_MEMBERS = "encode(string_agg(CAST(uid AS VARCHAR), ',' ORDER BY uid))"
-SQL_CLUSTER_ID = _sql_uuid(dedup.CLUSTER_NAMESPACE, f"encode('{REQUEST}') || from_hex('00') || {SQL_MEMBERS}")
+SQL_CLUSTER_ID = _sql_uuid("f02873a0-e739-4e4b-a0ce-285f47b87923", f"encode('{REQUEST}') || from_hex('00') || {SQL_MEMBERS}")
 SQL_DECISIONS = f"""SELECT uid, source, CASE WHEN n > 1 THEN cluster_id END AS cluster_id, uid = rep AS representative, CASE WHEN n > 1 THEN 'exact' END AS method
 FROM ({SQL_EXACT}) JOIN (SELECT rep, {SQL_CLUSTER_ID} AS cluster_id FROM ({SQL_EXACT}) GROUP BY rep) USING (rep)"""
 

@@ -204,6 +204,20 @@ def test_manifest_followed_to_its_documents(spark, tmp_path):
     assert files.follow_manifest(rows.limit(0), str(root)).count() == 0
 
 
+def test_scratch_tables_go_with_their_block(spark):
+    from corpusmill.functions import storage
+
+    with storage.scratch(spark):
+        kept, path = storage.materialize(spark.range(3), "outer")
+        with pytest.raises(KeyError), storage.scratch(spark):
+            _, inner = storage.materialize(spark.range(3), "inner")
+            raise KeyError
+        assert storage.path_exists(spark, path) and not storage.path_exists(spark, inner) and kept.count() == 3
+    assert not storage.path_exists(spark, path)
+    _, lasting = storage.materialize(spark.range(3), "lasting")
+    assert storage.path_exists(spark, lasting)
+
+
 def test_mapping_files_and_their_checks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "f1", "p1", 1, "t"), (1, "f2", "p2", 1, "t"), (-3, "f", "p", 2, "t"), (4, " ", "p", 1, "other"), (5, "f", "p", 1, "t")], "uid long, file_id string, file_storage_path string, schema_version int, task_id string")
     files.write_mapping(rows, str(tmp_path / "m"))
