@@ -137,7 +137,7 @@ def test_limits_are_learned_from_good_rows_of_other_folds_alone(spark, docs):
     table = docs(rows).withColumn("quality", F.lit("x"))
     labels = spark.createDataFrame([(i, 1) for i in range(200)] + [(1000, 1), (None, 1), (7, None), (9999, 1), (3, 1)], "doc_id long, quality int")
     learned = quality.learn_limits(table, labels)
-    decorated = " ".join(w + "%%%" for w in words(rng, 170).split()).encode()
+    decorated = " ".join(w + "%%%" for w in words(rng, 120).split()).encode()
     gauge = quality.Gauge(quality.CompressionBands(), learned)
     assert quality.judge(words(rng, 200).encode(), gauge)[6] and not quality.judge(decorated, gauge)[6]
     held_out = {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2}
