@@ -7,9 +7,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions import markdown
 from corpusmill.functions.arrays import let
@@ -31,7 +33,8 @@ SAMPLE_BYTES = 64 * 1024
 # Archive limits.
 MAX_ENTRIES, MAX_ENTRY_BYTES, MAX_TOTAL_BYTES = 1000, 10 << 20, 50 << 20
 ENTRY = T.StructType().add("name", T.StringType()).add("size", T.LongType()).add("data", T.BinaryType())
-ARCHIVE = T.StructType().add("entries", T.ArrayType(ENTRY)).add("error", T.StringType())
+#: Bytes of members that a task gathers before it hands them on.
+OUTPUT_BYTES = 4 << 20
 
 
 def extension_of(name: Column) -> Column:
@@ -104,31 +107,52 @@ def detect_format(docs: DataFrame, name: str = "name", content: str = "content")
     return kept.withColumn("error", F.when(bad, "UNSUPPORTED_INPUT_FORMAT")).withColumn("format", F.when(~bad, f)).drop("_f")
 
 
-@F.pandas_udf(ARCHIVE)
-def unzip(archives: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Names, sizes and data of an archive's members. Data of members or archives beyond the limits isn't read."""
-
-    def one(raw):
-        if raw is None:
-            return None, None
-        try:
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                infos = z.infolist()
-                small = len(infos) <= MAX_ENTRIES and sum(i.file_size for i in infos) <= MAX_TOTAL_BYTES
-                return [{"name": i.filename.replace("\\", "/"), "size": i.file_size, "data": z.read(i) if small and i.file_size <= MAX_ENTRY_BYTES else None} for i in infos], None
-        except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
-            return None, "INVALID_ARCHIVE"
-
-    for batch in archives:
-        yield pd.DataFrame([one(raw) for raw in batch], columns=["entries", "error"])
+def members(raw: bytes | None) -> Iterator[tuple[str | None, int | None, bytes | None, str | None]]:
+    """``name, size, data, error`` of each member, one at a time; one row without a name if there is none. Data of members
+    or archives beyond the limits isn't read, and none of an archive in which a member can't be read."""
+    if raw is None:
+        yield None, None, None, None
+        return
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            infos = z.infolist()
+            small = len(infos) <= MAX_ENTRIES and sum(i.file_size for i in infos) <= MAX_TOTAL_BYTES
+            found = [(i.filename.replace("\\", "/"), i.file_size, z.read(i) if small and i.file_size <= MAX_ENTRY_BYTES else None, None) for i in infos]
+    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
+        found = [(None, None, None, "INVALID_ARCHIVE")]
+    yield from found or [(None, None, None, None)]
+
+
+def entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of members, the first two columns of their archives ahead: a new one as soon as ``OUTPUT_BYTES`` are held."""
+    types = [(f.name, to_arrow_type(f.dataType)) for f in ENTRY.fields] + [("error", pa.string())]
+
+    def batch_of(batch, at, rows):
+        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)]
+        taken = batch.select([0, 1]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*taken.columns, *columns], names=[*batch.schema.names[:2], *(n for n, _ in types)])
+
+    for batch in batches:
+        at, rows, held = [], [], 0
+        for i in range(batch.num_rows):
+            for row in members(batch.column(2)[i].as_py()):
+                at.append(i)
+                rows.append(row)
+                held += len(row[2] or b"") + 64
+                if held > OUTPUT_BYTES:
+                    yield batch_of(batch, at, rows)
+                    at, rows, held = [], [], 0
+        if rows:
+            yield batch_of(batch, at, rows)
 
 
 def archive_entries(docs: DataFrame, key: str = "doc_id", content: str = "content", file_name: str | None = None) -> DataFrame:
     """``key, extension, name, size, data, error``: a row per member. An archive that cannot be read, or holds nothing,
-    is one row without a member. ``file_name`` names the column of the archives' own names."""
+    is one row without a member. ``file_name`` names the column of the archives' own names. A task holds one archive's
+    members and ``OUTPUT_BYTES`` of those before, however many rows come in."""
     named = extension_of(F.col(file_name)) if file_name else F.lit(None).cast("string")
-    opened = docs.select(key, named.alias("extension"), unzip(content).alias("z"))
-    return opened.select(key, "extension", F.inline_outer("z.entries"), F.col("z.error").alias("error"))
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("extension", T.StringType()), *ENTRY.fields, T.StructField("error", T.StringType())])
+    return docs.select(key, named.alias("extension"), F.col(content).alias("content")).mapInArrow(entry_batches, schema)
 
 
 def _archive_facts() -> list[Column]:

@@ -10,10 +10,9 @@ import io
 import zipfile
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from corpusmill.functions import text as T
 from corpusmill.functions.ordering import spread, with_positions
@@ -204,49 +203,52 @@ def b1_detect_format(spark, sf_dir):
     return extract.detect_format(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "url", "html").select("page_id", "extension", "format", "error")
 
 
-@F.pandas_udf(BinaryType())
-def _package(ids: pd.Series, texts: pd.Series) -> pd.Series:
-    """A small word-processor package around each text: the archive operators' input."""
+def _package(i: int, body: str) -> bytes:
+    """A small word-processor package around a text: the archive operators' input."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        body = body.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        z.writestr("word/document.xml", f"<w:document><w:t>{body}</w:t>{'<w:drawing/>' * (i % 4)}{'<wp:anchor/>' * (i % 3)}</w:document>")
+        for k in range(i % 5):
+            z.writestr(f"word/media/{k}.png", "x" * (k + 1))
+    return out.getvalue()
 
-    def one(i: int, body: str) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("[Content_Types].xml", "<Types/>")
-            body = body.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-            z.writestr("word/document.xml", f"<w:document><w:t>{body}</w:t>{'<w:drawing/>' * (i % 4)}{'<wp:anchor/>' * (i % 3)}</w:document>")
-            for k in range(i % 5):
-                z.writestr(f"word/media/{k}.png", "x" * (k + 1))
-        return out.getvalue()
 
-    return pd.Series([one(i, t or "") for i, t in zip(ids, texts, strict=True)])
+def _archive(lang: str, body: str) -> bytes:
+    """An archive around a text, its kind by the language."""
+    members = {"en": ["word/document.xml"], "de": ["xl/workbook.xml"], "fr": [], "es": ["ppt/presentation.xml"]}[lang]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("mimetype", "application/epub+zip" if lang == "fr" else body)
+        z.writestr("[Content_Types].xml", "<Types/>")
+        for name in members:
+            z.writestr(name, body)
+    return out.getvalue()[: 40 if lang == "es" and len(body) % 2 == 0 else None]
 
 
-@F.pandas_udf(BinaryType())
-def _archive(langs: pd.Series, texts: pd.Series) -> pd.Series:
-    """An archive around each text, its kind by the language."""
+def _packed(docs: DataFrame, kind: str, make: Callable[[object, str], bytes], rows: int = 64) -> DataFrame:
+    """``doc_id, content``: an archive around each text, made of it and of the column ``kind``, a few rows at a time."""
 
-    def one(lang: str, body: str) -> bytes:
-        members = {"en": ["word/document.xml"], "de": ["xl/workbook.xml"], "fr": [], "es": ["ppt/presentation.xml"]}[lang]
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("mimetype", "application/epub+zip" if lang == "fr" else body)
-            z.writestr("[Content_Types].xml", "<Types/>")
-            for name in members:
-                z.writestr(name, body)
-        return out.getvalue()[: 40 if lang == "es" and len(body) % 2 == 0 else None]
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = [make(k, t or "") for k, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
-    return pd.Series([one(k, t or "") for k, t in zip(langs, texts, strict=True)])
+    return docs.select("doc_id", F.col(kind).alias("kind"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.archive_entries(documents(spark, sf_dir).select("doc_id", _package("doc_id", "text").alias("content")))
+    return extract.archive_entries(_packed(documents(spark, sf_dir), "doc_id", _package))
 
 
 @query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'docx' WHEN 'fr' THEN 'epub' END AS format,
   CASE lang WHEN 'de' THEN 'UNSUPPORTED_INPUT_FORMAT' WHEN 'es' THEN CASE WHEN length(text) % 2 = 0 THEN 'INVALID_ARCHIVE' ELSE 'UNSUPPORTED_INPUT_FORMAT' END END AS error FROM documents""")
 def b2_detect_zip_format(spark, sf_dir):
     """English: documents; German: a workbook named as a document; French: a book; Spanish: cut short, or a show named so."""
-    named = documents(spark, sf_dir).select("doc_id", _archive("lang", "text").alias("content"), F.lit("x.docx").alias("file"))
+    named = _packed(documents(spark, sf_dir), "lang", _archive).withColumn("file", F.lit("x.docx"))
     return extract.detect_zip_format(extract.archive_entries(named, file_name="file"))
 
 

@@ -6,6 +6,7 @@ import json
 import math
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,17 @@ def test_formats_and_features(spark):
     assert [tuple(r) for r in extract.archive_violations(entries.where("doc_id = 11")).collect()] == [(11, "INVALID_ARCHIVE")]
 
 
+def test_members_leave_a_task_before_all_are_read():
+    """Many archives in one batch: what a task gathers is bounded, and nothing is lost."""
+    raws = [office({"a": "x" * 700_000, "b": "y"})] * 40 + [None, b"broken", office({})]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(43)), pa.array([None] * 43, pa.string()), pa.array(raws, pa.binary())], names=["id", "extension", "content"])
+    found = list(extract.entry_batches([batch]))
+    assert len(found) > 5 and max(b.nbytes for b in found) < extract.OUTPUT_BYTES + 1_000_000
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [(r["id"], r["name"], r["size"]) for r in rows[:80]] == [(i, n, k) for i in range(40) for n, k in (("a", 700_000), ("b", 1))]
+    assert [(r["id"], r["name"], r["error"]) for r in rows[80:]] == [(40, None, None), (41, None, "INVALID_ARCHIVE"), (42, None, None)]
+
+
 def test_windows(spark):
     cfg = classify.ChunkConfig()
     rows = spark.createDataFrame([(n, ["t"] * n) for n in (0, 10, 476, 4472)], "doc_id long, tokens array<string>")
