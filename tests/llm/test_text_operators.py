@@ -146,6 +146,15 @@ def test_limits_are_learned_from_good_rows_of_other_folds_alone(spark, docs):
     assert nothing.limits == {} and quality.quality_report(table, learned=nothing).count() == len(rows)
 
 
+def test_limits_come_from_all_labelled_rows(spark):
+    """No bound on the rows learned from: more of them than the bound of former rounds are all there."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    wanted = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = quality.labelled_texts(docs, labels, quality.LearningConfig())
+    assert len(wanted) > 12_000 and sorted(r.doc_id for r in got.select("doc_id").collect()) == wanted
+
+
 def test_bands_reject_repetition_and_noise():
     rng, gauge = random.Random(1), quality.Gauge(quality.CompressionBands(), None)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
