@@ -108,6 +108,11 @@ def block_type(value: str) -> str:
     return rf"CASE WHEN {value} RLIKE r'{SPECIAL}' THEN CASE {listed} ELSE 'paragraph' END WHEN {value} RLIKE r'[\r\n]{SETEXT}\z' THEN 'heading' ELSE 'paragraph' END"
 
 
+def breaks(value: str) -> str:
+    """SQL for the number of line ends in a text; a pattern is needed only where CR stands."""
+    return f"if(contains({value}, '\\r'), size(split({value}, r'{NL}', -1)) - 1, octet_length({value}) - octet_length(replace({value}, '\\n', '')))"
+
+
 def blocks(text: Column) -> Column:
     """All blocks, blank ones included, in order; their values joined are the text."""
     return higher("transform", F.regexp_extract_all(text, F.lit(BLOCKS), F.lit(0)), f"v -> cast(named_struct('type', {block_type('v')}, 'value', v) AS {BLOCK})")
@@ -125,10 +130,10 @@ def _trimmed(value: Column) -> Column:
 def located(found: Column) -> Column:
     """The blocks with ``line_start, line_end, start, end``; the line end of a block is not part of it."""
     ends = running_totals(higher("transform", found, "b -> char_length(b.value)"))
-    lines = running_totals(higher("transform", found, f"b -> size(split(b.value, r'{NL}', -1)) - 1"))
+    lines = running_totals(higher("transform", found, f"b -> {breaks('b.value')}"))
     start = "p.e - char_length(b.value)"
     fields = {
-        "type": "b.type", "value": "b.value", "line_start": f"p.l - (size(split(b.value, r'{NL}', -1)) - 1)", "line_end": r"if(b.value RLIKE r'[\r\n]\z', p.l, p.l + 1)",
+        "type": "b.type", "value": "b.value", "line_start": f"p.l - ({breaks('b.value')})", "line_end": r"if(b.value RLIKE r'[\r\n]\z', p.l, p.l + 1)",
         "start": start, "end": rf"{start} + char_length(regexp_replace(b.value, r'{NL}\z', ''))",
     }
     place = ", ".join(f"'{name}', {value}" for name, value in fields.items())
@@ -150,7 +155,7 @@ def _peeled() -> str:
     o1, c1 = _bound(lines=f"regexp_extract_all(box.value, r'{line}', 0)", width=width)
     o2, c2 = _bound(lines="v.lines", cut=f"transform(v.lines, (x, i) -> least(v.width, char_length({lead})))")
     o3, c3 = _bound(inner="array_join(zip_with(v.lines, v.cut, (x, n) -> substring(x, n + 1)), '')", at="zip_with(box.at, v.cut, (a, n) -> a + n)")
-    cut = f"transform(regexp_extract_all(v.inner, r'{BLOCKS}', 0), p -> named_struct('type', {block_type('p')}, 'value', p, 'breaks', size(split(p, r'{NL}', -1)) - 1))"
+    cut = f"transform(regexp_extract_all(v.inner, r'{BLOCKS}', 0), p -> named_struct('type', {block_type('p')}, 'value', p, 'breaks', {breaks('p')}))"
     o4, c4 = _bound(at="v.at", found=cut)
     o5, c5 = _bound(at="v.at", found="v.found", ends=running_totals("transform(v.found, f -> f.breaks)"))
     first = "(e - f.breaks)"
@@ -184,14 +189,28 @@ def masked(value: Column, spans: Column) -> Column:
     return let(F.struct(value.alias("t"), spans.alias("ss")), f"x -> transform(array(x.t), t -> transform(array(x.ss), ss -> concat(array_join(transform(ss, {gap}), ''), substring(t, if(size(ss) = 0, 0, ss[size(ss) - 1].end) + 1)))[0])[0]")
 
 
+#: A destination's match without what opens the link, and the kind of a match.
+_TARGET = r"regexp_replace(m, r'\A\]\([ \t\r\n]*+', '')"
+_AUTO = AUTOLINK.replace("'", chr(92) + "x27")
+_KIND = rf"CASE left(m, 1) WHEN '`' THEN 'code' WHEN ']' THEN 'destination' ELSE if(m RLIKE r'\A{_AUTO}\z', 'autolink', 'html_inline') END"
+
+
+def _may_hold_spans(value: Column) -> Column:
+    return value.rlike(r"[`<]|\]\(")
+
+
 def inline_spans(value: Column) -> Column:
     """Spans inside one block, left to right: code, autolinks, tags, link and image destinations."""
     nothing = F.array().cast(f"array<{SPAN}>")
-    hits, inner = F.regexp_extract_all(value, F.lit(INLINE), F.lit(0)), F.regexp_extract_all(value, F.lit(INLINE), F.lit(2))
-    auto = AUTOLINK.replace("'", chr(92) + "x27")
-    kind = rf"CASE left(m.value, 1) WHEN '`' THEN 'code' WHEN ']' THEN 'destination' ELSE if(m.value RLIKE r'\A{auto}\z', 'autolink', 'html_inline') END"
-    one = f"(m, d) -> cast(named_struct('kind', {kind}, 'start', if(left(m.value, 1) = ']', m.end - char_length(d), m.start), 'end', m.end) AS {SPAN})"
-    return F.when(value.rlike(r"[`<]|\]\("), higher("zip_with", positioned(hits, value, INLINE), inner, one)).otherwise(nothing)
+    one = f"p -> transform(array(p.value), m -> cast(named_struct('kind', {_KIND}, 'start', if(left(m, 1) = ']', p.end - char_length({_TARGET}), p.start), 'end', p.end) AS {SPAN}))[0]"
+    return F.when(_may_hold_spans(value), higher("transform", positioned(F.regexp_extract_all(value, F.lit(INLINE), F.lit(0)), value, INLINE), one)).otherwise(nothing)
+
+
+def inline_units(value: Column, block_type: Column) -> Column:
+    """``kind:block type:content`` of those spans; no offsets are looked up."""
+    kinds = f"b -> transform(b.hits, m -> concat_ws(':', {_KIND}, b.type, if(left(m, 1) = ']', {_TARGET}, m)))"
+    found = lambda: let(F.struct(F.regexp_extract_all(value, F.lit(INLINE), F.lit(0)).alias("hits"), block_type.alias("type")), kinds)
+    return F.when(_may_hold_spans(value), found()).otherwise(F.array().cast("array<string>"))
 
 
 def holds_code(block: Column) -> Column:
@@ -236,11 +255,11 @@ def protected_units(found: Column) -> Column:
         value = b["value"]
         inline = lambda text, spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], b["type"], F.substring(text, s["start"] + 1, s["end"] - s["start"])))
         unmarked = lambda text: F.regexp_replace(text, rf"([\r\n])[ \t]*+(?:>[ \t]?+)*+[ \t]*+", "$1")
-        inside = let(code_inside(b), lambda spans: F.concat(F.transform(inline(value, spans), unmarked), let(masked(value, spans), lambda rest: inline(rest, inline_spans(rest)))))
+        inside = let(code_inside(b), lambda spans: F.concat(F.transform(inline(value, spans), unmarked), let(masked(value, spans), lambda rest: inline_units(rest, b["type"]))))
         target = F.array(F.concat(F.lit("definition:definition:"), F.regexp_extract(value, rf"\]:[ \t]*+(<[^<>\r\n]*+>|\S++)", 1)))
         whole = F.array(F.concat_ws(":", b["type"], b["type"], _trimmed(value)))
         none = F.array().cast("array<string>")
-        return F.when(b["type"].isin("fence", "html_block"), whole).when(b["type"] == "definition", target).when(b["type"].isin("blank", "thematic_break"), none).when(holds_code(b), inside).otherwise(inline(value, inline_spans(value)))
+        return F.when(b["type"].isin("fence", "html_block"), whole).when(b["type"] == "definition", target).when(b["type"].isin("blank", "thematic_break"), none).when(holds_code(b), inside).otherwise(inline_units(value, b["type"]))
 
     return F.flatten(F.transform(found, of))
 
@@ -276,16 +295,18 @@ def formatted_table(value: Column) -> Column:
     """The rows with cells as wide as the widest of their column, three at least, set to the column's side."""
     cells = r"transform(split(regexp_replace(trim(line), r'\A\||(?<!\\)\|\z', ''), r'(?<!\\)\|', -1), c -> trim(c))"
     rows = rf"transform(split(regexp_replace(t, r'{NL}\z', ''), r'{NL}', -1), line -> {cells})"
-    widths = "transform(sequence(0, array_max(transform(rs, r -> size(r))) - 1), c -> greatest(3, array_max(transform(filter(rs, (r, i) -> i <> 1), r -> coalesce(char_length(get(r, c)), 0)))))"
-    side = "if(get(rs[1], c) LIKE ':%:', 'center', if(get(rs[1], c) LIKE '%:', 'right', if(get(rs[1], c) LIKE ':%', 'left', 'none')))"
-    rule = "concat(if(s IN ('center', 'left'), ':', '-'), repeat('-', w - 2), if(s IN ('center', 'right'), ':', '-'))"
-    pad = "w - char_length(coalesce(get(r, c), ''))"
-    before = f"if(s = 'right', {pad}, if(s = 'center', ({pad}) DIV 2, 0))"
-    cell = f"concat(repeat(' ', {before}), coalesce(get(r, c), ''), repeat(' ', {pad} - {before}))"
-    line = f"concat('| ', array_join(zip_with(ws, ss, (w, x) -> transform(array(x), y -> transform(array(y.s), s -> transform(array(y.c), c -> if(i = 1, {rule}, {cell}))[0])[0])[0]), ' | '), ' |')"
-    sides = f"transform(ws, (w, c) -> named_struct('s', {side}, 'c', c))"
+    wide = "aggregate(filter(rs, (r, i) -> i <> 1), array_repeat(3, array_max(transform(rs, r -> size(r)))), (ws, r) -> concat(zip_with(slice(ws, 1, size(r)), r, (w, c) -> greatest(w, char_length(c))), slice(ws, size(r) + 1, size(ws))))"
+    side = "CASE WHEN c LIKE ':%:' THEN 'center' WHEN c LIKE '%:' THEN 'right' WHEN c LIKE ':%' THEN 'left' ELSE 'none' END"
+    columns = f"zip_with(ws, rs[1], (w, c) -> named_struct('w', w, 's', {side}))"
+    rule = "array_join(transform(xs, x -> concat(if(x.s IN ('center', 'left'), ':', '-'), repeat('-', x.w - 2), if(x.s IN ('center', 'right'), ':', '-'))), ' | ')"
+    cell = "CASE x.s WHEN 'right' THEN lpad(c, x.w, ' ') WHEN 'center' THEN rpad(concat(repeat(' ', (x.w - char_length(c)) DIV 2), c), x.w, ' ') ELSE rpad(c, x.w, ' ') END"
+    # cells that a row lacks are blank: the end of a row of blanks
+    lack = "if(size(r) < size(xs), substring(e.blank, e.ends[size(r) - 1] + 1), '')"
+    line = f"concat('| ', if(i = 1, e.rule, concat(array_join(zip_with(slice(xs, 1, size(r)), r, (x, c) -> {cell}), ' | '), if(size(r) < size(xs), ' | ', ''), {lack})), ' |')"
+    ends = running_totals("transform(xs, x -> x.w + 3)")
+    edges = f"named_struct('rule', {rule}, 'blank', array_join(transform(xs, x -> repeat(' ', x.w)), ' | '), 'ends', {ends})"
     body = f"array_join(transform(rs, (r, i) -> {line}), '\\n')"
-    return let(value, f"t -> transform(array({rows}), rs -> transform(array({widths}), ws -> transform(array({sides}), ss -> {body})[0])[0])[0]")
+    return let(value, f"t -> transform(array({rows}), rs -> transform(array({wide}), ws -> transform(array({columns}), xs -> transform(array({edges}), e -> {body})[0])[0])[0])[0]")
 
 
 def formatted_item(value: Column, code: Column) -> Column:
@@ -381,7 +402,12 @@ def table_form(found: Column) -> Column:
 
 def link_targets(found: Column) -> Column:
     """Destinations, autolinks and definitions in order, without angle brackets."""
-    targets = F.filter(protected_units(found), lambda u: u.rlike(r"\A(?:destination|autolink|definition):"))
+    return unit_targets(protected_units(found))
+
+
+def unit_targets(units: Column) -> Column:
+    """The same of the protected units."""
+    targets = F.filter(units, lambda u: u.rlike(r"\A(?:destination|autolink|definition):"))
     return F.transform(targets, lambda u: F.regexp_replace(F.regexp_extract(u, r"(?s)\A[^:]*:[^:]*:(.*)\z", 1), r"\A<|>\z", ""))
 
 
@@ -414,7 +440,12 @@ def visible_text(found: Column) -> Column:
 
 def leaf_sequence(found: Column) -> Column:
     """``kind:block type`` of the protected spans, in order."""
-    return F.transform(protected_units(found), lambda u: F.regexp_extract(u, r"\A([^:]*:[^:]*):", 1))
+    return unit_leaves(protected_units(found))
+
+
+def unit_leaves(units: Column) -> Column:
+    """The same of the protected units."""
+    return F.transform(units, lambda u: F.regexp_extract(u, r"\A([^:]*:[^:]*):", 1))
 
 
 def _by_code(block: Column, text: Column, pattern: str, new: str) -> Column:

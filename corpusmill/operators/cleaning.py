@@ -72,9 +72,10 @@ def normalize_table_delimiters(text: Column) -> Column:
 def content_preserved(versions: DataFrame) -> DataFrame:
     """``doc_id, violation`` of ``(doc_id, before, after)``: what formatting must not change."""
     types = lambda b: F.transform(F.filter(b, lambda x: x["type"] != "blank"), lambda x: x["type"])
-    checks = {"BLOCK_TYPES": types, "VISIBLE_TEXT": markdown.visible_text, "LINK_TARGETS": markdown.link_targets, "INLINE_LEAVES": markdown.leaf_sequence, "PROTECTED_UNITS": markdown.protected_units}
-    read = versions.select("doc_id", *(markdown.blocks(F.coalesce(c, F.lit(""))).alias(c) for c in ("before", "after")))
-    differing = [F.when(~f(F.col("before")).eqNullSafe(f(F.col("after"))), code) for code, f in checks.items()]
+    blocks = versions.select("doc_id", *(markdown.blocks(F.coalesce(c, F.lit(""))).alias(c) for c in ("before", "after")))
+    read = blocks.select("*", *(markdown.protected_units(F.col(c)).alias(f"{c}_units") for c in ("before", "after")))  # three checks read them
+    checks = {"BLOCK_TYPES": (types, ""), "VISIBLE_TEXT": (markdown.visible_text, ""), "LINK_TARGETS": (markdown.unit_targets, "_units"), "INLINE_LEAVES": (markdown.unit_leaves, "_units"), "PROTECTED_UNITS": (lambda u: u, "_units")}
+    differing = [F.when(~f(F.col(f"before{of}")).eqNullSafe(f(F.col(f"after{of}"))), code) for code, (f, of) in checks.items()]
     return read.select("doc_id", F.explode(F.array_compact(F.array(*differing))).alias("violation"))
 
 
