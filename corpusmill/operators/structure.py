@@ -23,6 +23,11 @@ def blocks_of(text: Column) -> Column:
     """``array<struct<type,line_start,line_end,start,end,top_level,depth,parent>>`` without blank blocks, in order of (start,
     depth): the blocks of the text, and those that block quotes and list items hold, at all depths, with the start of the
     container around them."""
+    return let(place_blocks(text), placed_blocks)
+
+
+def placed_blocks(places: Column) -> Column:
+    """The same of located blocks."""
     fields = ("start", "depth", "end", "type", "line_start", "line_end", "parent")
 
     def rows(b):
@@ -31,12 +36,9 @@ def blocks_of(text: Column) -> Column:
         inner = F.transform(markdown.nested_blocks(b), lambda n: F.struct(*(n[c].alias(c) for c in fields)))
         return F.when(b["type"].isin(*CONTAINERS), F.concat(F.array(own), inner)).otherwise(F.array(own))
 
-    def collected(places):
-        found = F.array_sort(F.flatten(F.transform(F.filter(places, lambda b: b["type"] != "blank"), rows)))
-        shown = ("type", "line_start", "line_end", "start", "end")
-        return F.transform(found, lambda b: F.struct(*(b[c].alias(c) for c in shown), (b["depth"] == 0).alias("top_level"), b["depth"].alias("depth"), b["parent"].alias("parent")))
-
-    return let(place_blocks(text), collected)
+    found = F.array_sort(F.flatten(F.transform(F.filter(places, lambda b: b["type"] != "blank"), rows)))
+    shown = ("type", "line_start", "line_end", "start", "end")
+    return F.transform(found, lambda b: F.struct(*(b[c].alias(c) for c in shown), (b["depth"] == 0).alias("top_level"), b["depth"].alias("depth"), b["parent"].alias("parent")))
 
 
 def protected_spans(text: Column) -> Column:
@@ -102,7 +104,10 @@ def blank_runs(docs: DataFrame) -> DataFrame:
 
 
 def top_level_paragraphs(blocks: DataFrame) -> DataFrame:
-    """Paragraph blocks not inside a list item, quote or table of their document."""
+    """Paragraph blocks not inside a list item, quote or table of their document. Blocks that say so themselves, as those
+    of ``segment_blocks`` do, are read once; others are joined with the containers."""
+    if "top_level" in blocks.columns:
+        return blocks.where("type = 'paragraph' AND top_level")
     box = blocks.where(F.col("type").isin(*CONTAINERS, "table")).select(F.col("doc_id").alias("box_doc"), F.col("start").alias("box_start"), F.col("end").alias("box_end"))
     inside = (blocks["doc_id"] == box["box_doc"]) & (blocks["start"] >= box["box_start"]) & (blocks["end"] <= box["box_end"])
     return blocks.where("type = 'paragraph'").join(box, inside, "left_anti")

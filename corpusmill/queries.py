@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import markdown
 from corpusmill.functions import text as T
 from corpusmill.functions.ordering import spread, with_positions
 from corpusmill.functions.storage import materialize, new_path
@@ -396,7 +397,10 @@ def c7_signature_and_targets(spark, sf_dir):
     """Lines that begin with T as headings. Texts with emphasis marks: what a reader sees alone."""
     body = F.expr(f"regexp_replace(replace({MARKED}, '\n', '\n\n'), '(?m)^T', '# T')")
     marked = documents(spark, sf_dir).select("doc_id", body.alias("t"), (~F.col("text").rlike("[*_]")).alias("plain"))
-    return marked.select("doc_id", F.when(F.col("plain"), F.array_join(structure.block_type_signature(F.col("t")), ",")).alias("signature"), F.when(F.col("plain"), F.array_join(structure.link_targets(F.col("t")), ",")).alias("targets"), structure.visible_text(F.col("t")).alias("visible"))
+    read = marked.select("doc_id", "plain", markdown.blocks(F.col("t")).alias("b"))  # parsed once for the three
+    signature = F.transform(structure.placed_blocks(F.col("p")), lambda x: x["type"])
+    placed = read.select("*", F.when(F.col("plain"), markdown.located(F.col("b"))).alias("p"))
+    return placed.select("doc_id", F.when(F.col("plain"), F.array_join(signature, ",")).alias("signature"), F.when(F.col("plain"), F.array_join(markdown.link_targets(F.col("b")), ",")).alias("targets"), markdown.visible_text(F.col("b")).alias("visible"))
 
 
 # --- paragraphs ---------------------------------------------------------------------------------------------------
@@ -609,7 +613,8 @@ SELECT doc_id, CASE WHEN strlen(text) > 6000 THEN 'INPUT_TOO_LARGE' WHEN len(str
 def g2_resource_guard(spark, sf_dir):
     limits = cleaning.CleaningLimits(max_input_bytes=6000, max_blocks=8, max_protected_spans=12, max_block_chars=700)
     body = F.expr(f"replace({MARKED}, '\n', '\n\n')")
-    docs = documents(spark, sf_dir).select("doc_id", "text", structure.blocks_of(body).alias("b"), structure.protected_spans(body).alias("s"))
+    placed = documents(spark, sf_dir).select("doc_id", "text", structure.place_blocks(body).alias("p"))  # parsed once for both
+    docs = placed.select("doc_id", "text", structure.placed_blocks(F.col("p")).alias("b"), markdown.protected(F.col("p")).alias("s"))
     return docs.select("doc_id", cleaning.resource_guard(F.col("text"), F.col("b"), F.col("s"), limits).alias("error_code"))
 
 

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from corpusmill.functions import alignment, markdown
 from corpusmill.functions.regex_spans import find_matches
 from corpusmill.operators import cleaning, extract, pii, structure
@@ -237,3 +238,18 @@ def test_merge_spans_keeps_touching_apart(spark):
     rows = [(1, 0, 5), (1, 3, 8), (1, 8, 9), (2, 1, 2), (1, 4, 6)]
     got = structure.merge_spans(spark.createDataFrame(rows, "doc_id long, start int, end int")).collect()
     assert sorted((r.doc_id, r.start, r.end) for r in got) == [(1, 0, 8), (1, 8, 9), (2, 1, 2)]
+
+
+def test_texts_are_parsed_once(spark, sf):
+    """How often a plan names the patterns of inline spans and of blocks, and whether it joins: checks share what they read."""
+    found = __spark_entry__.queries()
+    for name, inline, blocks in (("f4_content_preserved", 4, 4), ("g4_protected_regions_preserved", 4, 4), ("c7_signature_and_targets", 2, 3), ("g2_resource_guard", 4, 3), ("d2_top_level_paragraphs", 0, 2)):
+        plan = found[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(markdown.INLINE) <= inline and plan.count(f", {markdown.BLOCKS}, 0)") <= blocks and "Join" not in plan, name
+
+
+def test_ragged_tables(spark):
+    """Sides, rows shorter and longer than the head, and cells wider than it."""
+    text = "|a|b|c|\n|:-:|--:|:--|\n|one word|x|\n||1|2|wider|\n"
+    row = spark.createDataFrame([(text,)], "t string").select(cleaning.normalize_markdown(F.col("t")).alias("f")).head()
+    assert row.f == "|    a     |   b | c   |       |\n| :------: | --: | :-- | ----- |\n| one word |   x |     |       |\n|          |   1 | 2   | wider |\n"
