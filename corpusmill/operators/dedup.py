@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,33 +73,93 @@ def hash_family(permutations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([a for a, _ in pairs], np.uint64), np.array([b for _, b in pairs], np.uint64)
 
 
-def signatures_of(texts: list[str], cfg: MinHashConfig) -> np.ndarray:
-    """Least hash values per permutation, one row per text; every text holds a window. All windows of the texts are hashed
-    as one column and reduced by text, a slice of the permutations at a time."""
-    owner, low = [], []
-    for i, text in enumerate(texts):
-        folded = text.lower() if cfg.lowercase else text
-        windows = {folded[k : k + cfg.window] for k in range(len(folded) - cfg.window + 1)}
-        owner.append(len(windows))
-        low += [hashlib.sha1(w.encode("utf-8", "replace")).digest()[:4] for w in windows]
-    x = np.frombuffer(b"".join(low), "<u4").astype(np.uint64)
-    begins = np.concatenate(([0], np.cumsum(owner)[:-1])).astype(np.int64)
-    a, b = hash_family(cfg.permutations, cfg.seed)
+#: Characters hashed together, windows permuted at a time, and the logarithm of the windows whose hashes are remembered.
+BATCH_CHARS = 1 << 17
+BLOCK_WINDOWS = 1 << 16
+KNOWN_BITS = 20
+
+
+class WindowHashes:
+    """The first four bytes of the SHA-1 of windows. A corpus has few different windows beside its characters, so hashes are
+    remembered in a table of fixed size, where a window's code points, three to a word, give its place; one whose place
+    another has taken is hashed again."""
+
+    def __init__(self, width: int, bits: int = KNOWN_BITS) -> None:
+        self.width, self.shift = width, np.uint64(64 - bits)
+        self.words = [np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64) for _ in range(0, width, 3)]
+        self.hashes = np.zeros(1 << bits, np.uint32)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all windows, text by text, and how many each text has: at least one."""
+        counts = np.fromiter(map(len, texts), np.int64, len(texts)) - (self.width - 1)
+        starts = np.arange(counts.sum()) + np.repeat(np.arange(len(texts)) * (self.width - 1), counts)
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+        count, words, place = len(points) - self.width + 1, [], np.zeros(len(starts), np.uint64)
+        for k in range(0, self.width, 3):
+            word = points[k : k + count].copy()
+            for j in range(k + 1, min(k + 3, self.width)):
+                word |= points[j : j + count] << np.uint64(21 * (j - k))
+            words.append(word[starts])  # without windows across two texts
+            place = (place ^ (place >> np.uint64(32)) ^ words[-1]) * np.uint64(0x9E3779B97F4A7C15)
+        place = (place >> self.shift).astype(np.int64)
+        found = self.hashes[place]
+        known = np.ones(len(starts), bool)
+        for own, word in zip(self.words, words, strict=True):
+            known &= own[place] == word
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            windows = [joined[i : i + self.width] for i in starts[missing].tolist()]
+            fresh = {w: int.from_bytes(hashlib.sha1(w.encode("utf-8", "replace")).digest()[:4], "little") for w in set(windows)}
+            found[missing] = [fresh[w] for w in windows]
+            at = place[missing]
+            for own, word in zip(self.words, words, strict=True):
+                own[at] = word[missing]  # of two windows for one place the last stays, in every array
+            self.hashes[at] = found[missing]
+        return found, counts
+
+
+def signatures_of(texts: list[str], cfg: MinHashConfig, known: WindowHashes | None = None) -> np.ndarray:
+    """Least hash values per permutation, one row per text; every text holds a window. Permutations run over the different
+    hashes of a few texts at a time, which stay near the core."""
+    found, counts = (known or WindowHashes(cfg.window)).of([t.lower() for t in texts] if cfg.lowercase else texts)
+    ends = np.cumsum(counts)
     out = np.empty((len(texts), cfg.permutations), ">u4")
-    for k in range(cfg.permutations):
-        wrapped = x * a[k] + b[k]  # modulo 2^64, then 2^61 - 1, by definition of the family
-        folded = (wrapped & PRIME) + (wrapped >> np.uint64(61))
-        np.subtract(folded, PRIME, out=folded, where=folded >= PRIME)
-        out[:, k] = np.minimum.reduceat(folded & RANGE, begins)
+    low = 0
+    while low < len(texts):
+        begin = ends[low] - counts[low]
+        high = max(low + 1, int(np.searchsorted(ends, begin + BLOCK_WINDOWS, "right")))
+        owner = np.arange(high - low, dtype=np.uint64) << np.uint64(32)
+        own = np.sort(np.repeat(owner, counts[low:high]) | found[begin : ends[high - 1]])
+        own = own[np.append(True, own[1:] != own[:-1])]
+        out[low:high] = _least(own & RANGE, np.searchsorted(own, owner), cfg).T
+        low = high
     return out
 
 
-def band_keys(texts: list[str], cfg: MinHashConfig) -> list[list[bytes]]:
+def _least(x: np.ndarray, begins: np.ndarray, cfg: MinHashConfig) -> np.ndarray:
+    """Per permutation the least values of the stretches that begin so."""
+    value, over, low = np.empty_like(x), np.empty_like(x), np.empty(len(x), np.uint32)
+    out = np.empty((cfg.permutations, len(begins)), np.uint32)
+    for k, (a, b) in enumerate(zip(*hash_family(cfg.permutations, cfg.seed), strict=True)):
+        np.multiply(x, a, out=value)  # modulo 2^64, then 2^61 - 1, by definition of the family
+        value += b
+        np.right_shift(value, np.uint64(61), out=over)
+        value &= PRIME
+        value += over
+        if value.max() >= PRIME:
+            value[value >= PRIME] -= PRIME
+        np.copyto(low, value, casting="unsafe")  # the range: 32 bits
+        np.minimum.reduceat(low, begins, out=out[k])
+    return out
+
+
+def band_keys(texts: list[str], cfg: MinHashConfig, known: WindowHashes | None = None) -> list[list[bytes]]:
     """Per text the bands of its signature, each of its minima as 4 big-endian bytes; none for texts without a window."""
     bands, rows = lsh_parameters(cfg.threshold, cfg.permutations)
     out: list[list[bytes]] = [[] for _ in texts]
     whole = [i for i, t in enumerate(texts) if len(t) >= cfg.window]
-    for row, i in zip(signatures_of([texts[i] for i in whole], cfg) if whole else (), whole, strict=True):
+    for row, i in zip(signatures_of([texts[i] for i in whole], cfg, known) if whole else (), whole, strict=True):
         out[i] = [row[k * rows : (k + 1) * rows].tobytes() for k in range(bands)]
     return out
 
@@ -126,11 +187,16 @@ def minhash_signatures(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) ->
     lsh_parameters(cfg.threshold, cfg.permutations)
 
     def run(batches):
+        known = WindowHashes(cfg.window)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                bands = band_keys([t or "" for t in part.column(1).to_pylist()], cfg)
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy())
+            at = 0
+            while at < batch.num_rows:  # at least one text
+                end = max(at + 1, int(np.searchsorted(chars, BATCH_CHARS + (chars[at - 1] if at else 0), "right")))
+                part = batch.slice(at, end - at)
+                bands = band_keys([t or "" for t in part.column(1).to_pylist()], cfg, known)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bands, pa.list_(pa.binary()))], names=["uid", "bands"])
+                at = end
 
     return spread(docs.select(F.col("uid").cast("long").alias("uid"), "text")).mapInArrow(run, "uid long, bands array<binary>").where(F.size("bands") > 0)
 

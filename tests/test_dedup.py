@@ -57,6 +57,44 @@ def test_band_keys_match_direct_arithmetic():
     assert len(keys) == 25 and b"".join(keys) == b"".join(v.to_bytes(4, "big") for v in least[:250])
 
 
+def _direct(text, cfg):
+    """Bands by plain arithmetic on each window."""
+    a, b = dedup.hash_family(cfg.permutations, cfg.seed)
+    bands, rows = dedup.lsh_parameters(cfg.threshold, cfg.permutations)
+    folded = text.lower() if cfg.lowercase else text
+    low = [int.from_bytes(hashlib.sha1(folded[i : i + cfg.window].encode()).digest()[:4], "little") for i in range(len(folded) - cfg.window + 1)]
+    least = [min(((h * int(x) + int(y)) % 2**64) % (2**61 - 1) & 0xFFFFFFFF for h in low).to_bytes(4, "big") for x, y in zip(a, b, strict=True)]
+    return [b"".join(least[k * rows : (k + 1) * rows]) for k in range(bands)]
+
+
+def test_windows_that_texts_share_are_hashed_once(monkeypatch):
+    hashed = Counter()
+    real = hashlib.sha1
+    monkeypatch.setattr(dedup.hashlib, "sha1", lambda w: (hashed.update([w]), real(w))[1])
+    text, cfg = "the same words in every text", dedup.MinHashConfig(permutations=12)
+    keys = dedup.band_keys([text] * 50, cfg)
+    assert set(hashed.values()) == {1} and len(hashed) == len(text) - 4
+    assert all(k == keys[0] for k in keys)
+
+
+def test_bands_of_odd_texts_and_of_full_tables(monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_WINDOWS", 64)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 300)))
+    rows = ["ab\0cd\0\0\0e", "\0" * 9, "\U0001f600" * 7, "İstanbul Σας", "short", "abcd", "", wide, "aab" * 40, wide + wide[::-1]]
+    for cfg in (dedup.MinHashConfig(permutations=12), dedup.MinHashConfig(permutations=12, window=2, lowercase=False), dedup.MinHashConfig(permutations=12, window=9)):
+        known = dedup.WindowHashes(cfg.window, bits=3)  # windows take each other's places
+        for _ in range(2):
+            assert dedup.band_keys(rows, cfg, known) == [_direct(t, cfg) if len(t) >= cfg.window else [] for t in rows]
+
+
+def test_values_at_the_modulus(monkeypatch):
+    """Sums of 2^61 - 1 and a few more are 0 and a few."""
+    x = int.from_bytes(hashlib.sha1(b"abcde").digest()[:4], "little")
+    offsets = [(2**61 - 1 + d - x) % 2**64 for d in (-1, 0, 1, 2)] + [(2**64 - 1 - x) % 2**64]
+    monkeypatch.setattr(dedup, "hash_family", lambda *_: (dedup.np.ones(5, "u8"), dedup.np.array(offsets, "u8")))
+    assert dedup.signatures_of(["abcde"], dedup.MinHashConfig(permutations=5)).tolist() == [[0xFFFFFFFE, 0, 1, 2, 7]]
+
+
 def test_near_duplicates_by_minhash(texts):
     long = "这是一段用于近似去重的很长的中文文本，" * 12
     english = "The quick brown fox jumps over the lazy dog near the river bank. " * 6
