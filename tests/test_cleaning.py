@@ -150,6 +150,32 @@ def test_alignment_agrees_with_the_standard_library(before, edits):
     assert alignment.changes(one, two) == sum(c[0] != "equal" for c in difflib.SequenceMatcher(None, before, after, autojunk=False).get_opcodes())
 
 
+def test_short_texts_need_no_hashes_of_windows(monkeypatch):
+    monkeypatch.setattr(alignment, "_Windows", None)
+    one, two = np.arange(64, dtype=np.uint64), np.arange(64, dtype=np.uint64)
+    two[::3] += np.uint64(100)
+    assert alignment.changes(one, two) == 22
+
+
+@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.integers(0, 4), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_long_texts_are_aligned_like_short_ones(before, after):
+    one, two = np.array(before, np.uint64), np.array(after, np.uint64)
+    few = alignment.FEW_LINES
+    try:
+        alignment.FEW_LINES = 0
+        long = alignment.matching_stretches(one, two)
+    finally:
+        alignment.FEW_LINES = few
+    assert long == alignment.matching_stretches(one, two)
+
+
+def test_line_digests_cut_at_every_line_end(spark):
+    text = "a\r\nb\r\r\n\n\x0b\U0001f600c\x0c\x1c\x1d\x1e\x85d\u2028\u2029e"
+    rows = spark.createDataFrame([(t,) for t in (text, text + "\n", "", "\r\n")], "t string").select(F.size(alignment.line_digests(F.col("t"))).alias("n"), "t").collect()
+    assert [r.n for r in rows] == [len(r.t.splitlines()) for r in rows]
+
+
 def test_alignment_of_long_texts_is_fast():
     lines = np.arange(60_000, dtype=np.uint64)
     other = lines.copy()
