@@ -998,6 +998,7 @@ def l2_stream_intake(spark, sf_dir):
     seconds = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))
     span = events.agg(seconds).head()[0] or 0
     requests = intake.with_fingerprint(_stream(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"), ["props", "event_type"])
+    requests = requests.select("event_id", "ts", "user_id", "fingerprint")  # keyed state needs no more of a request
     decided = streams.stream_intake(requests, ["user_id"], order=["event_id"], delay=f"{span + 1} seconds")
     streams.run_available(decided.select("event_id", "user_id", "decision"), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data")

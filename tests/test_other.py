@@ -8,6 +8,7 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -174,6 +175,36 @@ def test_stream_intake_decides_forgets_and_drops_late_requests(spark, tmp_path):
     assert spark.conf.get(streams.STATE_STORE[0]) == provider
 
 
+def test_intake_of_a_key_asks_its_state_once():
+    """Rows as they come, without a table for each key; one question to the state, and one answer if the key is new."""
+    asked = []
+
+    class State:
+        value = None
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+        def update(self, value):
+            asked.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, ms):
+            asked.append(ms)
+
+    first, row, at = streams.FirstRequests("ts", ["event_id"], 1000), Row("ts", "event_id", "fingerprint"), datetime.datetime(2024, 1, 1)
+    first.init(Handle())
+    got = list(first.handleInputRows(("k",), iter([row(at, None, "B"), row(at, 2, "A"), row(at, 1, "A")]), None))
+    assert [(r.event_id, r.decision) for r in got] == [(1, "accepted"), (2, "replay"), (None, "conflict")]
+    assert asked == ["get", "update", int(at.timestamp() * 1000) + 1000]
+    assert [r.decision for r in first.handleInputRows(("k",), iter([row(at, 3, "B")]), None)] == ["conflict"] and asked[3:] == ["get"]
+
+
 def test_publishing_compares_recorded_digests(spark, tmp_path):
     path, frame = str(tmp_path / "o"), spark.range(10).withColumn("a.b", F.lit("x")).repartition(3)
     assert sinks.write_once(frame, path) == "published" and spark.read.parquet(path).count() == 10
