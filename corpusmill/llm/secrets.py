@@ -113,7 +113,8 @@ def findings_by_path(addressed: DataFrame, ledger: str, rules: Sequence[Rule], p
     # one blob may stand at a third of all paths: its paths are dealt over salts, its one row of findings is copied to each
     salted = addressed.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
     copies = ordered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["blob", "salt"], "left").select(F.col("path").alias(path_col), "blob", F.coalesce(shown, F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans"))
+    # merged, never broadcast: Spark takes the copies for as small as the findings they are made of
+    return salted.join(copies.hint("merge"), ["blob", "salt"], "left").select(F.col("path").alias(path_col), "blob", F.coalesce(shown, F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans"))
 
 
 def digest_columns(found: DataFrame, path_col: str = "doc_id") -> DataFrame:

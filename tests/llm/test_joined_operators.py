@@ -173,6 +173,15 @@ def test_query_with_a_lasting_ledger_scans_nothing_twice(spark, sf):
     assert spark.read.parquet(f"{ledger}/scanned").count() == scanned > 0
 
 
+def test_copies_of_findings_are_not_sent_to_the_driver(spark, docs):
+    secrets.scan_increment(docs(SECRET_ROWS), ledger := new_path(spark, "ledger"))
+    addressed = docs(SECRET_ROWS).select(F.col("doc_id").alias("path"), secrets.blob_id(F.col("text")).alias("blob"))
+    found = secrets.findings_by_path(addressed, ledger, secrets.RULES, "doc_id")
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_secrets_in_a_very_long_text(spark, docs):
     n = 4_000
     text = " ".join(f"é{i} AKIA{'A' * 16}" for i in range(n))
