@@ -12,6 +12,8 @@ from corpusmill.functions import markdown
 from corpusmill.functions.arrays import let, running_totals
 
 CONTAINERS = markdown.CONTAINERS
+#: SQL over rows of ``segment_blocks``: paragraphs not inside a list item, quote or table.
+IS_TOP_LEVEL_PARAGRAPH = "type = 'paragraph' AND top_level"
 
 
 def place_blocks(text: Column) -> Column:
@@ -107,7 +109,7 @@ def top_level_paragraphs(blocks: DataFrame) -> DataFrame:
     """Paragraph blocks not inside a list item, quote or table of their document. Blocks that say so themselves, as those
     of ``segment_blocks`` do, are read once; others are joined with the containers."""
     if "top_level" in blocks.columns:
-        return blocks.where("type = 'paragraph' AND top_level")
+        return blocks.where(IS_TOP_LEVEL_PARAGRAPH)
     box = blocks.where(F.col("type").isin(*CONTAINERS, "table")).select(F.col("doc_id").alias("box_doc"), F.col("start").alias("box_start"), F.col("end").alias("box_end"))
     inside = (blocks["doc_id"] == box["box_doc"]) & (blocks["start"] >= box["box_start"]) & (blocks["end"] <= box["box_end"])
     return blocks.where("type = 'paragraph'").join(box, inside, "left_anti")

@@ -279,3 +279,11 @@ def test_ragged_tables(spark):
     text = "|a|b|c|\n|:-:|--:|:--|\n|one word|x|\n||1|2|wider|\n"
     row = spark.createDataFrame([(text,)], "t string").select(cleaning.normalize_markdown(F.col("t")).alias("f")).head()
     assert row.f == "|    a     |   b | c   |       |\n| :------: | --: | :-- | ----- |\n| one word |   x |     |       |\n|          |   1 | 2   | wider |\n"
+
+
+def test_documents_without_paragraphs_are_counted(spark, docs, tmp_path):
+    docs([(1, ""), (2, "# only a heading"), (3, "one\ntwo")]).write.parquet(f"{tmp_path}/documents.parquet")
+    counted = __spark_entry__.queries()["d2_top_level_paragraphs"](spark, str(tmp_path))
+    blocks = structure.segment_blocks(docs([(1, ""), (3, "one\n\n- two")]).select("doc_id", "text"))
+    assert sorted(map(tuple, counted.collect())) == [(1, 0), (2, 0), (3, 2)]
+    assert [r.doc_id for r in structure.top_level_paragraphs(blocks).collect()] == [3]
